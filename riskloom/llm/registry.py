@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import packing, secrets, token_files
+from riskloom.llm import packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_files": token_files.op7_token_files,
+    "op8_quality": quality.op8_quality,
     "op9_pack": packing.op9_pack,
 }
 ORACLES: dict[str, str] = {}
