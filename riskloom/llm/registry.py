@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import packing, quality, secrets, simhash, token_files, toxicity
+from riskloom.llm import exact_dedup, packing, quality, secrets, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_files": token_files.op7_token_files,
     "op8_quality": quality.op8_quality,
     "op9_pack": packing.op9_pack,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+}
