@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import exact_dedup, packing, quality, secrets, simhash, token_files, toxicity
+from riskloom.llm import exact_dedup, html_text, packing, quality, secrets, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": token_files.op7_token_files,
     "op8_quality": quality.op8_quality,
     "op9_pack": packing.op9_pack,
+    "op10_main_text": html_text.op10_main_text,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
