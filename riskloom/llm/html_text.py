@@ -159,7 +159,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         if place is None:
             place = seen[b.tags, b.names] = np.array([*(t in b.tags for t in GOOD_TAGS), *(t in b.tags for t in BAD_TAGS), bool(GOOD_NAMES.search(b.names)), *(bool(p.search(b.names)) for p in BAD_NAMES.values())], np.float32)
         n = b.text.count(" ") + 1
-        rows[i, :8] = (1, n < 4, 4 <= n < 12, n >= 12, b.link_share > 0.5, b.text[-1] in ".!?\"»”…", i == 0, "©" in b.text or "|" in b.text)
+        rows[i, :8] = (1, n < 4, 4 <= n < 12, n >= 12, b.link_share > 0.5, b.text[-1] in ".!?\"»”…", i == 0, "©" in b.text)
         rows[i, 8:] = place
     return rows
 
