@@ -55,7 +55,7 @@ NAMED = re.compile(r"""\b(?:class|id|role|data-part)\s*=\s*(?:"([^"]*)"|'([^']*)
 PART = re.compile(r'data-part="(\w+)"')
 HIDDEN = re.compile(r"\bhidden(?=[\s/=]|$)|display:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS.split("|")}
-MAX_ROWS, MAX_TRAIN_BLOCKS, REPEATS = 100, 100, 3
+MAX_ROWS, MAX_TRAIN_BLOCKS, REPEATS = 400, 100, 3
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
