@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import context_mixing, exact_dedup, html_text, packing, quality, secrets, simhash, token_files, toxicity
+from riskloom.llm import context_mixing, exact_dedup, html_text, packing, pieces, quality, secrets, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": pieces.op1_pieces,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_lm_score": context_mixing.op3_lm_score,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
