@@ -97,11 +97,14 @@ def expand_links(mentions_: DataFrame, suppliers: DataFrame, manufacturers: Data
     sup = links.where("type = 'SUPPLIER'").select("article_id", "canonical").distinct()
     made = sup.join(of, "canonical").select("article_id", F.col("m").alias("canonical"), F.lit("MANUFACTURER").alias("type"), F.lit(0.62).alias("score"), F.lit("supplier_catalog").alias("method"))
     links = best_links(links.unionByName(made).select(cols))
-    stocked = suppliers.select(F.col("code").alias("canonical"), F.explode("mpns").alias("mpn"))
-    first = links.where("type = 'SUPPLIER'").join(stocked, "canonical").select("article_id", "mpn", F.lit(0).alias("p"))
-    second = links.where("type = 'MANUFACTURER'").join(parts.select(F.col("manufacturer").alias("canonical"), "mpn"), "canonical").select("article_id", "mpn", F.lit(1).alias("p"))
-    each = first.unionByName(second).groupBy("article_id", "mpn").agg(F.min("p").alias("p"))
-    capped = each.withColumn("r", F.row_number().over(Window.partitionBy("article_id").orderBy("p", "mpn"))).where(F.col("r") <= MAX_COMPONENTS)
+    # articles with the same suppliers and manufacturers have the same components, which are found once for each such set
+    holders = links.where("type in ('SUPPLIER', 'MANUFACTURER')").groupBy("article_id").agg(F.array_sort(F.collect_set(F.struct("type", "canonical"))).alias("holders"))
+    each = holders.select("holders").distinct().select("holders", F.explode("holders").alias("h")).select("holders", "h.*")
+    stocked = suppliers.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), F.explode("mpns").alias("mpn"), F.lit(0).alias("p"))
+    listed = parts.select(F.lit("MANUFACTURER").alias("type"), F.col("manufacturer").alias("canonical"), "mpn", F.lit(1).alias("p")).distinct()
+    found = each.join(stocked.unionByName(listed), ["type", "canonical"]).groupBy("holders", "mpn").agg(F.min("p").alias("p"))
+    capped = found.withColumn("r", F.row_number().over(Window.partitionBy("holders").orderBy("p", "mpn"))).where(F.col("r") <= MAX_COMPONENTS)
+    capped = holders.join(capped, "holders")
     parts_ = capped.select("article_id", F.col("mpn").alias("canonical"), F.lit("COMPONENT").alias("type"), F.when(F.col("p") == 0, 0.6).otherwise(0.55).alias("score"), F.when(F.col("p") == 0, "supplier_catalog").otherwise("manufacturer_catalog").alias("method"))
     return best_links(links.unionByName(parts_))
 

@@ -119,7 +119,7 @@ def analysis_budget(events: DataFrame, priority: float = 65.0, max_events: int =
 
 def impact(events: DataFrame, lead_times: DataFrame) -> DataFrame:
     """Rule-based forecast: category priors by severity, components, sources and the suppliers' mean lead time (supplier_code, avg_lead)."""
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), round_to(c, 3)))
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), round_to(round_to(c, 9), 3)))
     df = events.join(lead_times, "supplier_code", "left")
     mult = 0.55 + F.col("severity") / 100.0 * 0.55
     prior = lambda k: lookup(F.col("event_category"), {c: v[k] for c, v in L.BASELINES.items()}, L.DEFAULT_BASELINE[k])

@@ -1 +1,212 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the registered queries. Lexicons and rules are written into it from the fixed values."""
+
+from __future__ import annotations
+
+import re
+
+from riskloom.functions import lexicon as L
+from riskloom.sources import domain as D
+
+
+def q(value) -> str:
+    return "'" + str(value).replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def items(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def case(key: str, table: dict, default) -> str:
+    return "CASE " + " ".join(f"WHEN {key} = {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {q(default)} END"
+
+
+def hits(text: str, words) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text}, {q(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def best(text: str, weights: dict) -> str:
+    return "greatest(" + ", ".join(f"CASE WHEN contains({text}, {q(k)}) THEN {v}::DOUBLE ELSE 0::DOUBLE END" for k, v in weights.items()) + ")"
+
+
+def filled(text: str) -> str:
+    for mark, value in (("{N}", "nation"), ("{S}", "sup"), ("{B}", "brand"), ("{M}", "mpn")):
+        text = f"replace({text}, '{mark}', {value})"
+    return text
+
+
+NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SUP = "'SUP' || lpad(({0})::VARCHAR, 3, '0')"
+MPN = "'MPN' || lpad(({0})::VARCHAR, 6, '0')"
+
+CTES = {
+    "distributors": f"""SELECT {SUP.format('s_suppkey')} AS code, s_name AS name, n_name AS country, CASE s_suppkey % 4 WHEN 3 THEN 'no' WHEN 2 THEN ' TRUE ' ELSE 'Yes' END AS dealt_with,
+        CASE WHEN s_acctbal < 0 THEN 0.9::DOUBLE WHEN s_acctbal < 3000 THEN 0.6::DOUBLE WHEN s_acctbal < 6000 THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS risk FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "active": "SELECT * FROM distributors WHERE lower(trim(dealt_with)) IN ('yes', 'y', 'true', '1')",
+    "manufacturers": "SELECT p_brand AS name, n_name AS country, replace(p_brand, '#', ' ') AS alias FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL) LEFT JOIN nation ON regexp_extract(p_brand, '([0-9]+)', 1)::INT % 25 = n_nationkey",
+    "parts": f"SELECT {MPN.format('p_partkey')} AS mpn, coalesce(p_brand, '') AS manufacturer, coalesce(p_type, 'catalog') AS category, p_name AS description FROM part",
+    "stock": f"""SELECT a.code, {MPN.format('l_partkey')} AS mpn, coalesce(p.manufacturer, '') AS manufacturer, coalesce(p.category, 'catalog') AS category,
+        abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) % 90)::INT AS lead_time_days, l_quantity AS quantity, l_orderkey * 8 + l_linenumber AS ordinal
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN active a ON a.code = {SUP.format('l_suppkey')} LEFT JOIN parts p ON p.mpn = {MPN.format('l_partkey')}""",
+    "countries": "SELECT country FROM active WHERE country <> '' UNION SELECT country FROM manufacturers WHERE country <> ''",
+    "filled": f"""SELECT event_id, ts, user_id, k, {items(L.PROVIDERS)}[user_id % 5 + 1] AS provider, 'NATION_' || (user_id % 25) AS nation, {SUP.format('event_id % 10')} AS sup, 'Brand#' || (event_id % 25 + 1) AS brand, {MPN.format('event_id % 50')} AS mpn
+        FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events)""",
+    "articles": f"""SELECT event_id AS article_id, provider, {case('provider', {n: p[0] for n, p in L.PROVIDERS.items()}, 3)} AS tier, {filled(f'{items(D.TITLES)}[event_id % 24 + 1]')} AS title, {filled(q(D.BODY))} AS body,
+        CASE WHEN provider = 'marketaux' THEN (k - 60) / 100.0::DOUBLE END AS sentiment, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_TYPES)}[event_id % 7 + 1] END AS gdacs_type, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_LEVELS)}[event_id % 3 + 1] END AS alert_level,
+        CASE WHEN provider = 'gdacs' AND k % 4 <> 0 THEN (k % 80) / 10.0::DOUBLE END AS magnitude, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CATEGORIES)}[k % 3 + 1] END AS category, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CODES)}[k % 4 + 1] END AS event_code,
+        CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_SUBS)}[k % 5 + 1] END AS subcategory, CASE WHEN provider = 'gdelt' THEN (k % 10) / 10.0::DOUBLE END AS significance, CASE WHEN provider IN ('gdelt', 'gdacs') AND user_id % 2 = 0 THEN nation END AS geo_country FROM filled""",
+    "doc_articles": "SELECT doc_id AS article_id, 'gnews' AS provider, '' AS title, text AS body, NULL::VARCHAR AS category, NULL::VARCHAR AS event_code, NULL::VARCHAR AS subcategory FROM documents",
+    "lex": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {q(t)}, {q(w)}, {weight * (0.25 if t in L.CORE_TOPICS else 0.20)!r}::DOUBLE, {0.12 * weight!r}::DOUBLE)" for n, (t, w, weight) in enumerate((t, w, weight) for t, (weight, words) in L.TOPICS.items() for w in words)) + ") x(n, topic, word, score, meta)",
+    "texts": "SELECT *, lower(trim(concat_ws(' ', title, body))) AS text FROM {articles}",
+    "mfr": "SELECT article_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS found FROM texts JOIN manufacturers ON list_contains(regexp_extract_all(text, '[a-z0-9_#]+'), lower(name)) GROUP BY 1",
+    "hit": "SELECT article_id, count(*) AS n, sum(score) AS score, string_agg(topic || ':' || word, ',' ORDER BY lex.n) AS names FROM texts JOIN lex ON contains(text, word) GROUP BY 1",
+    "meta": "SELECT article_id, count(*) AS n, sum(meta) AS score, string_agg('metadata:' || topic || ':' || word, ',' ORDER BY lex.n) AS names FROM texts JOIN lex ON provider = 'gdelt' AND contains(lower(concat_ws(' ', category, event_code, subcategory)), word) AND NOT contains(text, word) GROUP BY 1",
+    "scored0": f"""SELECT t.*, coalesce(h.n, 0) AS n_hits, coalesce(m.n, 0) AS n_mfr, coalesce(m.found, '') AS manufacturers_found, coalesce(d.n, 0) AS n_meta, concat_ws(',', h.names, d.names) AS names,
+        round_even(coalesce(h.score, 0) + 0.35 * coalesce(m.n, 0) + CASE WHEN coalesce(h.n, 0) >= 2 THEN 0.15 ELSE 0 END + CASE WHEN coalesce(m.n, 0) > 0 AND coalesce(h.n, 0) > 0 THEN 0.10 ELSE 0 END + coalesce(d.score, 0)
+            + CASE WHEN coalesce(m.n, 0) >= 2 OR (coalesce(m.n, 0) > 0 AND {hits('text', L.CONTEXT)} >= 2) THEN 0.10 ELSE 0 END, 9) AS raw,
+        {hits('text', L.CONTEXT)} >= 2 AS context, list_filter({items(L.NEGATIVE)}, lambda w: contains(text, w))[1] AS neg FROM texts t LEFT JOIN hit h USING (article_id) LEFT JOIN mfr m USING (article_id) LEFT JOIN meta d USING (article_id)""",
+    "scored": f"""SELECT *, round_even(CASE WHEN provider = 'gdacs' THEN 1 WHEN text = '' OR neg IS NOT NULL THEN 0 WHEN n_hits + n_mfr + n_meta = 0 THEN CASE WHEN context THEN 0.15 ELSE 0.12 END ELSE least(1.0, raw) END::DOUBLE, 4) AS score,
+        CASE WHEN provider = 'gdacs' THEN 'provider:auto_pass' WHEN text = '' THEN '' WHEN neg IS NOT NULL THEN 'negative:' || neg ELSE names END AS matched,
+        CASE WHEN provider = 'gdacs' THEN 'provider_auto_pass' WHEN text = '' THEN 'empty_content' WHEN neg IS NOT NULL THEN 'negative_keyword_match' WHEN n_hits + n_mfr + n_meta = 0 THEN CASE WHEN context THEN 'has_context_no_direct_match' ELSE 'no_keyword_or_entity_match' END ELSE 'keyword_entity_score' END AS reason,
+        {case('provider', {p: v[2] for p, v in L.PROVIDERS.items()}, 0.40)}::DOUBLE AS least FROM scored0""",
+    "names": "SELECT code AS surface, code AS canonical, 'SUPPLIER' AS type FROM active UNION ALL SELECT name, name, 'MANUFACTURER' FROM manufacturers UNION ALL SELECT mpn, mpn, 'COMPONENT' FROM parts UNION ALL SELECT country, country, 'LOCATION' FROM countries",
+    "words": "SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, body)), '[a-z0-9_#]+')) AS word FROM {articles}",
+    "mentions": "SELECT article_id, canonical, type, (instr(lower(trim(concat_ws(' ', title, body))), word) - 1)::INT AS span_start, (instr(lower(trim(concat_ws(' ', title, body))), word) - 1 + length(surface))::INT AS span_end FROM words JOIN names ON word = lower(surface) JOIN {articles} USING (article_id)",
+    "linked": "SELECT s.*, coalesce(n.n, 0)::INT AS n_mentions, coalesce(n.n, 0)::INT AS n_links, n.supplier_risk FROM scored s LEFT JOIN (SELECT article_id, count(*) AS n, max(risk) AS supplier_risk FROM mentions LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1) n USING (article_id) WHERE score >= least",
+    "ruled": "SELECT article_id, first(category ORDER BY conf DESC, rank) AS category, first(kind ORDER BY conf DESC, rank) AS kind, max(conf) AS conf FROM ("
+    + " UNION ALL ".join(f"SELECT article_id, {n} AS rank, {q(c)} AS category, {q(k)} AS kind, CASE WHEN {hits('text', w)} >= 2 THEN {min(f + 0.05, 1.0)!r} ELSE {f!r} END::DOUBLE AS conf FROM linked WHERE {hits('text', w)} >= 1" for n, (c, k, w, f) in enumerate(L.RULES))
+    + " UNION ALL SELECT article_id, 50, 'financial_distress', 'credit_downgrade', CASE WHEN n_links > 0 THEN 0.80 ELSE 0.72 END::DOUBLE FROM linked WHERE provider = 'marketaux' AND sentiment <= -0.2) GROUP BY 1",
+    "classified": f"""SELECT l.*, coalesce({case('gdacs_type', {k: v[0] for k, v in L.GDACS.items()}, None).replace('None', 'NULL')}, r.category, 'other') AS event_category, coalesce({case('gdacs_type', {k: v[1] for k, v in L.GDACS.items()}, None).replace('None', 'NULL')}, r.kind, 'unclassified') AS event_type,
+        round_even(coalesce({case('gdacs_type', {k: v[2] for k, v in L.GDACS.items()}, None).replace('None', 'NULL')}::DOUBLE, CASE WHEN r.conf IS NOT NULL THEN least(1.0, r.conf + least(0.15, CASE WHEN n_links >= 6 THEN 0.15 WHEN n_links >= 3 THEN 0.10 WHEN n_links >= 1 THEN 0.05 ELSE 0 END + CASE WHEN n_mentions >= 3 THEN 0.05 ELSE 0 END)) END,
+            CASE WHEN score >= 0.5 OR n_links + n_mentions >= 2 THEN CASE WHEN n_links + n_mentions >= 3 THEN 0.55 WHEN n_links + n_mentions >= 1 THEN 0.50 ELSE 0.45 END ELSE 0.25 END)::DOUBLE, 6) AS class_confidence
+        FROM linked l LEFT JOIN ruled r USING (article_id)""",
+    "based": f"""SELECT *, place AS loc, CASE WHEN provider = 'gdacs' THEN greatest(level, coalesce(least(100, magnitude * 12), level))
+        WHEN event_category = 'financial_distress' THEN CASE WHEN n_links >= 2 THEN least(100, money + 10) ELSE money END
+        WHEN event_category = 'natural_disaster' THEN CASE WHEN place > 0 THEN least(100, nature + place * 15) ELSE nature END
+        WHEN event_category IN ('factory_shutdown', 'logistics_disruption', 'labor_action') THEN CASE WHEN urgent THEN least(100, work2 + 5) ELSE work2 END
+        WHEN event_category = 'export_sanction' THEN CASE WHEN n_links >= 3 THEN least(100, trade + 10) ELSE trade END ELSE 30 END::DOUBLE AS b0
+        FROM (SELECT *, CASE WHEN n_links >= 5 THEN least(100, work1 + 15) WHEN n_links >= 2 THEN least(100, work1 + 8) ELSE work1 END AS work2
+        FROM (SELECT *, CASE WHEN event_category = 'logistics_disruption' AND place > 0 THEN least(100, work0 + place * 20) ELSE work0 END AS work1
+        FROM (SELECT *, {case("lower(coalesce(alert_level, ''))", L.ALERT_LEVELS, 30.0)}::DOUBLE AS level, {best('text', L.LOCATIONS)} AS place, CASE WHEN {best('text', L.INTENSITY)} > 0 THEN 55 + {best('text', L.INTENSITY)} * 30 ELSE 55 END::DOUBLE AS work0,
+            CASE WHEN sentiment IS NOT NULL THEN least(100, 40 + abs(sentiment) * 60) WHEN {hits('text', ['bankruptcy', 'default', 'crisis'])} > 0 THEN 75 ELSE 30 END::DOUBLE AS money,
+            coalesce(least(100, try_cast(regexp_extract(text, 'magnitude\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) * 12), 30)::DOUBLE AS nature, {hits('text', L.URGENT)} > 0 AS urgent,
+            (CASE WHEN {hits('text', ['ban', 'embargo', 'restrict', 'comprehensive'])} > 0 THEN 72 ELSE 60 END + CASE WHEN {hits('text', ['comprehensive', 'all', 'entire', 'full'])} > 0 THEN 10 ELSE 0 END)::DOUBLE AS trade FROM classified)))""",
+    "factored": f"""SELECT *, round_even(b0, 1) AS base_severity, round_even(round_even(b0, 1) * 0.40, 2) AS c_base_rule_score, round_even(coalesce(supplier_risk, 0) * 100.0 * 0.15, 2) AS c_supplier_criticality, round_even({case('provider', {p: v[1] * 100.0 for p, v in L.PROVIDERS.items()}, 50.0)}::DOUBLE * 0.10, 2) AS c_source_reliability,
+        round_even(CASE WHEN n_links = 0 THEN 10.0 WHEN n_links >= 6 THEN 90.0 WHEN n_links >= 3 THEN 65.0 ELSE 40.0 END::DOUBLE * 0.10, 2) AS c_entity_impact, round_even(greatest(place, CASE WHEN geo_country IS NOT NULL THEN 0.55 ELSE 0 END::DOUBLE) * 100.0 * 0.10, 2) AS c_geographic_importance,
+        round_even({case('event_category', L.MARKET, 35.0)}::DOUBLE * 0.10, 2) AS c_market_sensitivity, 0::DOUBLE AS c_multi_source_confirmation FROM based""",
+    "severe": "SELECT *, round_even(greatest(0, least(100, " + " + ".join(f"c_{k}" for k in L.WEIGHTS) + ")), 1) AS severity, (SELECT string_agg(f, ',' ORDER BY c DESC, i) FROM (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)}, c_{k})" for i, k in enumerate(L.WEIGHTS)) + ") v(i, f, c) ORDER BY c DESC, i LIMIT 3)) AS top_factors FROM factored",
+    "acted": f"""SELECT *, CASE WHEN {hits('text', L.SIGNALS)} > 0 THEN true WHEN event_category <> 'other' AND class_confidence >= 0.6 THEN true WHEN provider = 'gdacs' THEN true WHEN upper(category) IN ({items(L.QUIET_CATEGORIES)[1:-1]}) OR starts_with(upper(event_code), 'CO') THEN false
+        WHEN contains(upper(subcategory), 'MILESTONE') OR contains(upper(subcategory), 'DEVELOPMENT') THEN false WHEN significance < 0.4 AND event_category = 'other' THEN false WHEN severity >= 55 THEN true WHEN n_links > 0 AND event_category <> 'other' THEN true ELSE false END AS actionable FROM severe""",
+    "risk": f"""SELECT event_id, {items(D.CATEGORIES)}[event_id % 7 + user_id % 4 + 1] AS event_category, event_type, 'Event ' || (user_id % 40) || ' of ' || event_type AS title, 'Summary of ' || event_type || ' ' || k AS summary, least(100, floor(value))::DOUBLE AS severity,
+        (k % 50) / 50.0::DOUBLE AS class_confidence, (k % 20) / 20.0::DOUBLE AS confidence, (user_id % 10) / 10.0::DOUBLE AS verification, (user_id % 4 + 1)::INT AS source_count, (k % 6)::INT AS n_components, {SUP.format('user_id % 10')} AS supplier_code, 'NATION_' || (user_id % 25) AS geo_country,
+        CASE WHEN user_id % 3 <> 0 THEN (user_id % 90)::DOUBLE END AS latitude, CASE WHEN user_id % 3 <> 0 THEN (user_id % 180)::DOUBLE END AS longitude, {items(D.STATUSES)}[event_id % 4 + 1] AS status, strftime(ts, '%Y-%m-%d') AS run_id, ts AS retrieved_at FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events)""",
+    "identified": f"SELECT *, sha256({NORM.format('title')} || '|' || coalesce(nullif(event_category, ''), 'other') || '|' || {NORM.format('geo_country')}) AS fingerprint FROM risk",
+    "kept_rows": "SELECT fingerprint, first(event_id ORDER BY severity DESC, retrieved_at DESC, event_id) AS keep_id, max(severity) AS severity, count(*) - 1 AS n_duplicates FROM identified GROUP BY 1",
+    "leads": "SELECT code AS supplier_code, round_even(sum(lead_time_days) / count(lead_time_days)::DOUBLE, 1) AS avg_lead FROM stock GROUP BY 1",
+    "alerted": "SELECT event_id, severity, rule_id, rule_name FROM risk JOIN (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else q(v) for v in r) + ")" for r in L.ALERTS) + ") r(rule_id, rule_name, ms, mc, mv, mk) ON (ms IS NULL OR severity >= ms) AND (mc IS NULL OR source_count >= mc) AND (mv IS NULL OR verification >= mv) AND (mk IS NULL OR event_category = mk)",
+    "confident": """SELECT *, round_even(greatest(0, least(1, class_confidence * 0.35 + link_score * 0.25 + link_score * 0.9 * 0.15 + w * 0.15)), 3) AS overall_confidence FROM (SELECT *, CASE WHEN n_mentions > 0 THEN 1 ELSE 0 END::DOUBLE AS link_score, CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 WHEN 3 THEN 0.65 ELSE 0.5 END::DOUBLE AS w FROM severe)""",
+    "reviewed": """SELECT article_id, unnest(list_filter([CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN link_score < 0.7 AND n_mentions > 0 THEN 'low_entity_link_confidence' END,
+        CASE WHEN n_mentions = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'no_entities_for_event_type' END, CASE WHEN severity >= 70 AND class_confidence < 0.7 THEN 'high_severity_low_confidence_mismatch' END,
+        CASE WHEN event_category IN ('factory_shutdown', 'logistics_disruption', 'export_sanction') AND n_links < 1 THEN 'supply_chain_event_no_entities' END], lambda x: x IS NOT NULL)) AS reason FROM confident""",
+    "titled": "SELECT title, min(article_id) AS ordinal, list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '\\s+'), lambda x: x <> '')) AS w FROM articles GROUP BY title",
+    "pairs0": f"""SELECT a.title AS a, a.ordinal AS oa, b.title AS b, b.ordinal AS ob, lower(trim(a.title)) = lower(trim(b.title)) AS same, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE AS j,
+        list_filter(a.w, lambda x: NOT list_contains({items(L.STOP_WORDS)}, x)) AS ca, list_filter(b.w, lambda x: NOT list_contains({items(L.STOP_WORDS)}, x)) AS cb FROM titled a JOIN titled b ON a.ordinal < b.ordinal AND list_has_any(a.w, b.w)""",
+    "pairs": "SELECT * FROM (SELECT *, CASE WHEN same THEN 1 ELSE 0.3 * j + 0.7 * CASE WHEN len(ca) > 0 AND len(cb) > 0 THEN len(list_intersect(ca, cb)) / len(list_distinct(ca || cb))::DOUBLE ELSE j END END AS similarity FROM pairs0) WHERE similarity >= 0.75",
+    "parents": "SELECT t.title, coalesce(p.a, t.title) AS parent FROM titled t LEFT JOIN (SELECT b, first(a ORDER BY similarity DESC, oa) AS a FROM pairs GROUP BY b) p ON p.b = t.title",
+    "chain": "SELECT title, parent AS root FROM parents UNION SELECT c.title, p.parent FROM chain c JOIN parents p ON p.title = c.root WHERE p.parent <> c.root",
+    "clusters": "SELECT c.title, c.root FROM chain c JOIN parents p ON p.title = c.root AND p.parent = c.root",
+    "hits_at": """SELECT DISTINCT article_id, code, severity FROM (SELECT article_id, a.code, severity FROM mentions m JOIN acted USING (article_id) JOIN active a ON contains(lower(m.canonical), lower(a.country)) OR contains(lower(a.country), lower(m.canonical)) WHERE m.type = 'LOCATION' AND actionable
+        UNION ALL SELECT article_id, canonical, severity FROM mentions m JOIN acted USING (article_id) WHERE m.type = 'SUPPLIER' AND actionable)""",
+}
+
+
+def _sql(body: str, articles: str = "articles") -> str:
+    """body with the CTEs that it and they name; CTES lists each after those it names."""
+    found, open_ = set(), [body]
+    while open_:
+        for word in re.findall(r"\b[a-z][a-z_0-9]*\b", re.sub(r"'[^']*'", "", open_.pop().replace("{articles}", articles))):
+            if word in CTES and word not in found:
+                found.add(word)
+                open_.append(CTES[word])
+    parts = ", ".join(f"{n} AS ({sql.replace('{articles}', articles)})" for n, sql in CTES.items() if n in found)
+    return f"WITH RECURSIVE {parts} {body}" if parts else body
+
+
+_prior = lambda k: case("event_category", {c: v[k] for c, v in L.BASELINES.items()}, L.DEFAULT_BASELINE[k])
+_clamp = lambda x: f"greatest(0, least(1, round_even(round(({x}) * 1e9) / 1e6, 0) / 1000))"
+_P = [_clamp(f"{_prior(k)}::DOUBLE * (0.55 + severity / 100.0 * 0.55::DOUBLE)") for k in range(5)]
+
+BODIES = {
+    "suppliers": "SELECT * FROM active",
+    "manufacturers": "SELECT * FROM manufacturers",
+    "parts": "SELECT * FROM parts",
+    "inventory": "SELECT * FROM stock",
+    "categories": "SELECT DISTINCT category FROM parts",
+    "registry_suppliers": "SELECT a.code, a.name, a.country, coalesce(m, '') AS manufacturers, coalesce(c, '') AS categories, coalesce(n, 0)::INT AS n_mpns FROM active a LEFT JOIN (SELECT code, string_agg(DISTINCT manufacturer, ',' ORDER BY manufacturer) AS m, string_agg(DISTINCT category, ',' ORDER BY category) AS c, count(DISTINCT mpn) AS n FROM stock GROUP BY 1) s ON s.code = a.code",
+    "registry_manufacturers": "SELECT name AS manufacturer, country, least(500, coalesce(n, 0))::INT AS n_mpns, coalesce(f, '') AS first_mpn, coalesce(s, '') AS suppliers FROM manufacturers m LEFT JOIN (SELECT manufacturer, count(DISTINCT mpn) AS n, min(mpn) AS f FROM parts GROUP BY 1) p ON p.manufacturer = m.name LEFT JOIN (SELECT manufacturer, string_agg(DISTINCT code, ',' ORDER BY code) AS s FROM stock GROUP BY 1) k ON k.manufacturer = m.name",
+    "registry_components": "SELECT p.mpn, p.manufacturer, p.category, coalesce(s.code, '') AS supplier FROM parts p LEFT JOIN (SELECT mpn, first(code ORDER BY ordinal, code) AS code FROM stock GROUP BY 1) s ON s.mpn = p.mpn",
+    "registry_stats": "SELECT (SELECT count(*) FROM active) AS suppliers, (SELECT count(*) FROM manufacturers) AS manufacturers, (SELECT count(*) FROM parts) AS components",
+    "countries": "SELECT * FROM countries",
+    "union_sources": "SELECT 'documents' AS source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations UNION ALL SELECT 'pages', count(*), sum(length(html))::BIGINT FROM pages",
+    "ingest_report": "SELECT provider, tier, count(*) AS n, min(article_id) AS first_id FROM articles GROUP BY 1, 2",
+    "relevance": "SELECT article_id, provider, score, matched, manufacturers_found, reason FROM scored",
+    "kept": "SELECT article_id, provider, score, least FROM scored WHERE score >= least",
+    "dropped": "SELECT article_id, provider, score, least, reason FROM scored WHERE score < least",
+    "by_provider": "SELECT provider, count(*) FILTER (score >= least) AS kept, count(*) FILTER (score < least) AS dropped FROM scored GROUP BY 1",
+    "mentions": "SELECT * FROM mentions",
+    "extraction_metrics": "SELECT sum(coalesce(n, 0))::BIGINT AS mentions, count(*) FILTER (n > 0) AS with_mentions, round_even(sum(coalesce(n, 0)) / count(*)::DOUBLE, 4) AS per_article FROM articles LEFT JOIN (SELECT article_id, count(*) AS n FROM mentions GROUP BY 1) USING (article_id)",
+    "metadata_geo": "SELECT geo_country, count(*) AS n, 0.92::DOUBLE AS confidence FROM articles WHERE geo_country IS NOT NULL GROUP BY 1",
+    "supplier_links": "SELECT article_id, canonical, code, 0.9::DOUBLE AS score FROM mentions JOIN (SELECT DISTINCT manufacturer, code, dense_rank() OVER (PARTITION BY manufacturer ORDER BY code) AS r FROM stock) s ON s.manufacturer = canonical AND r <= 3 WHERE type = 'MANUFACTURER'",
+    "mpn_links": "SELECT DISTINCT article_id, mpn FROM (SELECT article_id, unnest(regexp_extract_all(upper(concat_ws(' ', title, body)), 'MPN[0-9]+')) AS mpn FROM articles) JOIN parts USING (mpn)",
+    "location_suppliers": "SELECT DISTINCT n_name AS location, code FROM nation JOIN active ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
+    "location_manufacturers": "SELECT DISTINCT n_name AS location, name FROM nation JOIN manufacturers ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
+    "supplier_manufacturers": "SELECT DISTINCT code, manufacturer FROM stock",
+    "components_capped": "SELECT code, count(*) AS n, min(mpn) AS first_mpn, max(mpn) AS last_mpn FROM (SELECT code, mpn, row_number() OVER (PARTITION BY code ORDER BY mpn) AS r FROM (SELECT DISTINCT code, mpn FROM stock)) WHERE r <= 100 GROUP BY 1",
+    "classified": "SELECT article_id, event_category, event_type, class_confidence FROM classified",
+    "class_distribution": "SELECT event_category, count(*) AS n, round_even(avg(class_confidence), 3) AS mean_confidence FROM classified GROUP BY 1",
+    "base_severity": "SELECT article_id, base_severity FROM severe",
+    "severity": "SELECT article_id, severity, top_factors, " + ", ".join(f"c_{k}" for k in L.WEIGHTS) + " FROM severe",
+    "severity_metrics": "SELECT count(*) AS n, round_even(avg(severity), 2) AS mean_severity, count(*) FILTER (severity >= 70) AS n_high FROM severe",
+    "title_pairs": "SELECT a, b, round_even(similarity, 6) AS similarity FROM pairs",
+    "clusters": "SELECT * FROM clusters",
+    "cluster_stats": "SELECT count(*) AS n_clusters, round_even(avg(n), 3) AS mean_size, max(n) AS max_size FROM (SELECT root, count(*) AS n FROM articles JOIN clusters USING (title) GROUP BY 1)",
+    "actionable": "SELECT article_id, actionable FROM acted",
+    "merged": """SELECT root, count(*) AS source_count, first(article_id ORDER BY severity DESC, class_confidence DESC, article_id) AS primary_id, first(title ORDER BY severity DESC, class_confidence DESC, article_id) AS title, first(event_category ORDER BY severity DESC, class_confidence DESC, article_id) AS event_category, max(severity) AS severity,
+        count(DISTINCT provider) AS n_providers, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, avg(CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 ELSE 0.65 END::DOUBLE))), 3) AS verification FROM acted JOIN clusters USING (title) WHERE actionable GROUP BY root""",
+    "verification": "SELECT title, round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, avg(CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 ELSE 0.65 END::DOUBLE))), 3) AS verification FROM articles GROUP BY title",
+    "confidence": """SELECT article_id, overall_confidence, concat_ws(',', 'few_sources', CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN n_mentions > 0 AND link_score < 0.7 THEN 'weak_entity_matching' END, CASE WHEN n_links = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'missing_entity_links' END) AS uncertainties FROM confident""",
+    "review": "SELECT article_id, string_agg(reason, ',' ORDER BY CASE reason WHEN 'low_classification_confidence' THEN 0 WHEN 'low_entity_link_confidence' THEN 1 WHEN 'no_entities_for_event_type' THEN 2 WHEN 'high_severity_low_confidence_mismatch' THEN 3 ELSE 4 END) AS reasons FROM reviewed GROUP BY 1",
+    "review_histogram": "SELECT reason, count(*) AS n FROM reviewed GROUP BY 1",
+    "fingerprints": f"SELECT doc_id, sha256({NORM.format('substr(text, 1, 200)')} || '|other|' || {NORM.format('source')}) AS fingerprint FROM documents",
+    "stable_ids": "SELECT event_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1] || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS stable_id FROM (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || fingerprint::BLOB) AS d FROM identified)",
+    "identity": "SELECT b.event_id, b.fingerprint, coalesce(known_id, min(b.event_id) OVER (PARTITION BY b.fingerprint)) AS resolved_id, CASE WHEN known_id IS NOT NULL OR row_number() OVER (PARTITION BY b.fingerprint ORDER BY b.event_id) > 1 THEN 'updated' ELSE 'detected' END AS new_status FROM identified b LEFT JOIN (SELECT fingerprint, min(event_id) AS known_id FROM identified WHERE event_id % 3 = 0 GROUP BY 1) k USING (fingerprint) WHERE b.event_id % 3 <> 0",
+    "keepers": "SELECT * FROM kept_rows",
+    "reparented": "SELECT event_id + 1000000 AS child_id, keep_id AS event_id FROM identified JOIN kept_rows USING (fingerprint)",
+    "upsert": "SELECT event_id, severity + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS severity, CASE WHEN event_id % 5 = 0 THEN 'updated' ELSE status END AS status, run_id FROM risk WHERE event_id % 5 = 0 OR event_id % 2 = 0",
+    "alerts": "SELECT * FROM alerted",
+    "gate": "SELECT CASE WHEN severity < 50 THEN 'severity_below_threshold' WHEN confidence < 0.5 THEN 'confidence_below_threshold' ELSE 'eligible' END AS reason, count(*) AS n FROM risk GROUP BY 1",
+    "budget": "SELECT event_id, severity, severity >= 65 OR row_number() OVER (PARTITION BY severity >= 65 ORDER BY severity DESC, event_id) <= 10 AS selected FROM risk WHERE severity >= 50 AND confidence >= 0.5",
+    "impact": f"""SELECT event_id, {_P[0]} AS supply_delay, {_P[1]} AS manufacturing, CASE WHEN source_count >= 2 THEN {_clamp(f'{_P[2]} + least(0.05, 0.02::DOUBLE * (source_count - 1))')} ELSE {_P[2]} END AS logistics, CASE WHEN n_components >= 3 THEN {_clamp(f'{_P[3]} + 0.08')} ELSE {_P[3]} END AS inventory, {_P[4]} AS price,
+        greatest({_prior(5)}, trunc(lead * 0.5))::INT AS recovery_min, CASE WHEN 0.55 + severity / 100.0 * 0.55::DOUBLE >= 0.95 THEN trunc(greatest({_prior(6)}, lead, {_prior(5)}, trunc(lead * 0.5)) * 1.25) ELSE greatest({_prior(6)}, lead, {_prior(5)}, trunc(lead * 0.5)) END::INT AS recovery_max,
+        {_clamp("0.35 + confidence * 0.35::DOUBLE + verification * 0.15::DOUBLE + least(0.15, (6 + CASE WHEN avg_lead IS NOT NULL THEN 1 ELSE 0 END) * 0.02::DOUBLE)")} AS prediction_confidence
+        FROM (SELECT *, trunc(coalesce(avg_lead, 21))::INT AS lead FROM risk LEFT JOIN leads USING (supplier_code)) WHERE severity >= 35""",
+    "refine": "SELECT event_id, severity FROM risk WHERE severity >= 35 ORDER BY severity DESC, event_id LIMIT 10",
+    "adjusted": f"SELECT event_id, {_clamp('greatest(confidence - 0.15, least(confidence + 0.15, verification))')} AS adjusted FROM risk",
+    "lead_times": "SELECT * FROM leads",
+    "supply_links": "SELECT article_id, " + ", ".join(f"coalesce(string_agg(canonical, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in (("suppliers", "SUPPLIER"), ("manufacturers", "MANUFACTURER"), ("components", "COMPONENT"), ("locations", "LOCATION"))) + " FROM mentions GROUP BY 1",
+    "backfill": "SELECT event_id, supplier_code, name AS supplier_name, CASE WHEN event_id % 4 = 0 THEN 'analysis ' || status ELSE 'none' END AS analysis FROM risk LEFT JOIN distributors ON code = supplier_code",
+    "list": "SELECT event_id, title, severity, status, event_id % 4 = 0 AS has_analysis FROM risk WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
+    "detail": "SELECT event_id, title, summary, severity, geo_country, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk WHERE event_id = 7",
+    "runs": "SELECT coalesce(run_id, 'unknown') AS run_id, count(*) AS n_events, max(severity) AS max_severity FROM risk GROUP BY 1",
+    "summary": "SELECT CASE WHEN grouping(event_category) = 0 THEN 'category' WHEN grouping(status) = 0 THEN 'status' ELSE 'all' END AS kind, coalesce(event_category, status, '') AS value, count(*) AS n, round_even(avg(severity), 1) AS avg_severity, max(severity) AS max_severity FROM risk GROUP BY GROUPING SETS ((), (event_category), (status))",
+    "geo": "SELECT event_id, title, event_category, severity, latitude, longitude, geo_country FROM risk WHERE severity >= 20 AND latitude IS NOT NULL",
+    "alert_feed": "SELECT event_id, title, event_category, severity, status, run_id FROM risk WHERE severity >= 60 ORDER BY severity DESC, event_id LIMIT 200",
+    "text_cleanup": f"SELECT doc_id, 'a b c' AS category, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 37) || '...' ELSE trim(text) END AS short, trim(regexp_replace(substr(text, 1, 60), '\\s+$', '')) AS summary, doc_id::VARCHAR AS mpn, {NORM.format('substr(text, 1, 60)')} AS title FROM documents",
+    "audit": "SELECT count(*) AS rows_in, count(*) FILTER (score >= least) AS rows_out, round_even(count(*) FILTER (score >= least) * 100 / count(*)::DOUBLE, 2) AS retention FROM scored",
+    "visible": "SELECT event_id, severity FROM risk WHERE severity >= 50 AND latitude IS NOT NULL",
+    "uncovered": "SELECT type, count(*) AS n FROM mentions WHERE type = 'COMPONENT' GROUP BY 1",
+    "linking_rate": "SELECT count(*) AS mentions, count(*) FILTER (type <> 'LOCATION') AS linked, round_even(count(*) FILTER (type <> 'LOCATION') * 100 / count(*)::DOUBLE, 2) AS rate FROM mentions",
+    "exposure": "SELECT code, count(*) AS n_articles, max(severity) AS max_severity FROM hits_at GROUP BY 1",
+    "tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+}
+
+ORACLES: dict[str, str] = {name: _sql(body) for name, body in BODIES.items()} | {"relevance_documents": _sql("SELECT article_id, score, reason FROM scored", "doc_articles")}
