@@ -34,7 +34,8 @@ def relevance(articles: DataFrame, manufacturers: DataFrame) -> DataFrame:
     meta = F.lower(F.concat_ws(" ", "category", "event_code", "subcategory"))
     df = df.withColumn("_meta", F.when(F.col("provider") == "gdelt", F.filter(_lexicon(), lambda k: F.contains(meta, k["word"]) & ~F.contains(text, k["word"]))).otherwise(F.slice(hits_, 1, 0)))
     sum_of = lambda rows, field: F.aggregate(rows, F.lit(0.0), lambda a, k: a + k[field])
-    context = count_of(text, L.CONTEXT) >= 2
+    df = df.withColumn("_context", count_of(text, L.CONTEXT) >= 2)
+    context = F.col("_context")
     score = (
         sum_of(hits_, "score") + 0.35 * n_mfr + F.when(F.size(hits_) >= 2, 0.15).otherwise(0.0) + F.when((n_mfr > 0) & (F.size(hits_) > 0), 0.10).otherwise(0.0)
         + sum_of(F.col("_meta"), "meta") + F.when((n_mfr >= 2) | ((n_mfr > 0) & context), 0.10).otherwise(0.0)
@@ -43,10 +44,10 @@ def relevance(articles: DataFrame, manufacturers: DataFrame) -> DataFrame:
     negative = F.element_at(F.filter(strings(L.NEGATIVE), lambda w: F.contains(text, w)), 1)
     names = F.array_join(F.concat(F.transform(hits_, lambda k: F.concat_ws(":", k["topic"], k["word"])), F.transform(F.col("_meta"), lambda k: F.concat_ws(":", F.lit("metadata"), k["topic"], k["word"]))), ",")
     auto = F.col("provider") == L.AUTO_PASS
-    df = df.withColumn("_neg", F.when(F.size(F.filter(strings(L.NEGATIVE), lambda w: F.contains(text, w))) > 0, negative))
+    df = df.withColumn("_raw", score).withColumn("_neg", F.when(F.size(F.filter(strings(L.NEGATIVE), lambda w: F.contains(text, w))) > 0, negative))
     return df.select(
         *articles.columns,
-        round_to(F.when(auto, 1.0).when(text == "", 0.0).when(F.col("_neg").isNotNull(), 0.0).when(~matched, F.when(context, 0.15).otherwise(0.12)).otherwise(F.least(F.lit(1.0), score)), 4).alias("score"),
+        round_to(F.when(auto, 1.0).when(text == "", 0.0).when(F.col("_neg").isNotNull(), 0.0).when(~matched, F.when(context, 0.15).otherwise(0.12)).otherwise(F.least(F.lit(1.0), F.col("_raw"))), 4).alias("score"),
         F.when(auto, "provider:auto_pass").when(text == "", "").when(F.col("_neg").isNotNull(), F.concat(F.lit("negative:"), "_neg")).otherwise(names).alias("matched"),
         F.coalesce("_mfr_found", F.lit("")).alias("manufacturers_found"),
         F.when(auto, "provider_auto_pass").when(text == "", "empty_content").when(F.col("_neg").isNotNull(), "negative_keyword_match").when(~matched, F.when(context, "has_context_no_direct_match").otherwise("no_keyword_or_entity_match")).otherwise("keyword_entity_score").alias("reason"),
@@ -63,8 +64,9 @@ def dropped(scored: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame) -> DataFrame:
-    """df (articles with n_links and n_mentions) with event_category, event_type and class_confidence."""
-    text, linked = article_text(df), F.col("n_links")
+    """df (articles with n_links and n_mentions) with text_lower, event_category, event_type and class_confidence."""
+    df = df.withColumn("text_lower", article_text(df))
+    text, linked = F.col("text_lower"), F.col("n_links")
     best = F.struct(F.lit(0.0).alias("conf"), F.lit(-99).alias("rank"), F.lit("").alias("category"), F.lit("").alias("type"))
     options = [best]
     for rank, (category, kind, words, conf) in enumerate(L.RULES):
@@ -96,44 +98,38 @@ def actionable(df: DataFrame) -> Column:
     quiet = F.upper("category").isin(L.QUIET_CATEGORIES) | F.startswith(F.upper("event_code"), F.lit("CO"))
     calm = F.contains(F.upper("subcategory"), F.lit("MILESTONE")) | F.contains(F.upper("subcategory"), F.lit("DEVELOPMENT"))
     return (
-        F.when(any_of(article_text(df), L.SIGNALS), True).when(named & (F.col("class_confidence") >= 0.6), True).when(F.col("provider") == "gdacs", True)
+        F.when(any_of(F.col("text_lower"), L.SIGNALS), True).when(named & (F.col("class_confidence") >= 0.6), True).when(F.col("provider") == "gdacs", True)
         .when(F.coalesce(quiet, F.lit(False)), False).when(F.coalesce(calm, F.lit(False)), False).when((F.col("significance") < 0.4) & ~named, False)
         .when(F.col("severity") >= 55, True).when((F.col("n_links") > 0) & named, True).otherwise(False)
     )
 
 
-def base_severity(df: DataFrame) -> Column:
-    text, n, category = article_text(df), F.col("n_links"), F.col("event_category")
+def base_severity(df: DataFrame) -> DataFrame:
+    """df with base_severity. Every boost is capped at 100, which is the cap of their sum; what is used twice is a column of its own."""
+    text, n, category = F.col("text_lower"), F.col("n_links"), F.col("event_category")
     cap = lambda c: F.least(F.lit(100.0), c)
-    level = lookup(F.lower(F.coalesce("alert_level", F.lit(""))), L.ALERT_LEVELS, 30.0)
-    gdacs = F.greatest(level, F.coalesce(cap(F.col("magnitude") * 12), level))
-    money = F.when(F.col("sentiment").isNotNull(), cap(40.0 + F.abs("sentiment") * 60.0)).when(any_of(text, ["bankruptcy", "default", "crisis"]), 75.0).otherwise(30.0)
-    money = F.when(n >= 2, cap(money + 10.0)).otherwise(money)
-    size = F.regexp_extract(text, r"magnitude\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    place = best_of(text, L.LOCATIONS)
-    nature = F.coalesce(cap(size * 12), F.lit(30.0))
-    nature = F.when(place > 0, cap(nature + place * 15)).otherwise(nature)
-    force = best_of(text, L.INTENSITY)
-    work = F.when(force > 0, 55.0 + force * 30).otherwise(55.0)
-    work = F.when((category == "logistics_disruption") & (place > 0), cap(work + place * 20)).otherwise(work)
-    work = F.when(n >= 5, cap(work + 15.0)).when(n >= 2, cap(work + 8.0)).otherwise(work)
-    work = F.when(any_of(text, L.URGENT), cap(work + 5.0)).otherwise(work)
-    trade = F.when(any_of(text, ["ban", "embargo", "restrict", "comprehensive"]), 72.0).otherwise(60.0)
-    trade = F.when(any_of(text, ["comprehensive", "all", "entire", "full"]), cap(trade + 10.0)).otherwise(trade)
-    trade = F.when(n >= 3, cap(trade + 10.0)).otherwise(trade)
-    return round_to(F.when(F.col("provider") == "gdacs", gdacs).when(category == "financial_distress", money).when(category == "natural_disaster", nature).when(category.isin("factory_shutdown", "logistics_disruption", "labor_action"), work).when(category == "export_sanction", trade).otherwise(30.0), 1)
+    add = lambda test, v: F.when(test, v).otherwise(0.0)
+    df = df.withColumns({"_place": best_of(text, L.LOCATIONS), "_force": best_of(text, L.INTENSITY), "_level": lookup(F.lower(F.coalesce("alert_level", F.lit(""))), L.ALERT_LEVELS, 30.0), "_size": F.regexp_extract(text, r"magnitude\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")})
+    place, force = F.col("_place"), F.col("_force")
+    gdacs = F.greatest("_level", F.coalesce(cap(F.col("magnitude") * 12), "_level"))
+    money = cap(F.when(F.col("sentiment").isNotNull(), cap(40.0 + F.abs("sentiment") * 60.0)).when(any_of(text, ["bankruptcy", "default", "crisis"]), 75.0).otherwise(30.0) + add(n >= 2, 10.0))
+    nature = cap(F.coalesce(cap(F.col("_size") * 12), F.lit(30.0)) + place * 15)
+    work = cap(55.0 + force * 30 + F.when(category == "logistics_disruption", place * 20).otherwise(0.0) + F.when(n >= 5, 15.0).when(n >= 2, 8.0).otherwise(0.0) + add(any_of(text, L.URGENT), 5.0))
+    trade = cap(60.0 + add(any_of(text, ["ban", "embargo", "restrict", "comprehensive"]), 12.0) + add(any_of(text, ["comprehensive", "all", "entire", "full"]), 10.0) + add(n >= 3, 10.0))
+    base = F.when(F.col("provider") == "gdacs", gdacs).when(category == "financial_distress", money).when(category == "natural_disaster", nature).when(category.isin("factory_shutdown", "logistics_disruption", "labor_action"), work).when(category == "export_sanction", trade).otherwise(30.0)
+    return df.withColumn("base_severity", round_to(base, 1)).drop("_force", "_level", "_size")
 
 
 def severity(df: DataFrame, source_count: int = 1, verification: float = 0.0) -> DataFrame:
     """df with base_severity, the seven factors' contributions, severity and the three largest factors. supplier_risk is the largest risk of the linked suppliers."""
-    text, n = article_text(df), F.col("n_links")
-    place = F.greatest(best_of(text, L.LOCATIONS), F.when(F.col("geo_country").isNotNull(), 0.55).otherwise(0.0))
+    df, n = base_severity(df), F.col("n_links")
+    place = F.greatest("_place", F.when(F.col("geo_country").isNotNull(), 0.55).otherwise(0.0))
     several = verification * 50.0 if source_count <= 1 else max(0.0, min(100.0, 50.0 + verification * 50.0 + (source_count - 1) * 10.0))
     parts = {
-        "base_rule_score": base_severity(df), "supplier_criticality": F.coalesce("supplier_risk", F.lit(0.0)) * 100.0, "source_reliability": lookup(F.col("provider"), {p: v[1] for p, v in L.PROVIDERS.items()}, 0.5) * 100.0,
+        "base_rule_score": F.col("base_severity"), "supplier_criticality": F.coalesce("supplier_risk", F.lit(0.0)) * 100.0, "source_reliability": lookup(F.col("provider"), {p: v[1] for p, v in L.PROVIDERS.items()}, 0.5) * 100.0,
         "entity_impact": F.when(n == 0, 10.0).when(n >= 6, 90.0).when(n >= 3, 65.0).otherwise(40.0), "geographic_importance": place * 100.0, "market_sensitivity": lookup(F.col("event_category"), L.MARKET, 35.0), "multi_source_confirmation": F.lit(several),
     }
-    df = df.withColumns({f"c_{k}": round_to(v * L.WEIGHTS[k], 2) for k, v in parts.items()} | {"base_severity": parts["base_rule_score"]})
+    df = df.withColumns({f"c_{k}": round_to(v * L.WEIGHTS[k], 2) for k, v in parts.items()}).drop("_place")
     total = sum((F.col(f"c_{k}") for k in parts), F.lit(0.0))
     order = F.array(*[F.struct((-F.col(f"c_{k}")).alias("c"), F.lit(i).alias("i"), F.lit(k).alias("factor")) for i, k in enumerate(parts)])
     top = F.transform(F.slice(F.array_sort(order), 1, 3), lambda s: s["factor"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as X
+from riskloom.functions.fuzzy import indel_ratio
 from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import scoring as S
@@ -210,6 +211,13 @@ def q_title_pairs(t):
     return E.similar_titles(titles).select("a", "b", F.bround("similarity", 6).alias("similarity"))
 
 
+def q_fuzzy_titles(t):
+    """Similar titles with their Indel ratio; 88 and more would count as one event within a category."""
+    titles = t.articles.groupBy("title").agg(F.min("article_id").alias("ordinal"))
+    pairs = E.similar_titles(titles).withColumn("ratio", F.bround(indel_ratio(X.normalize_title(F.col("a")), X.normalize_title(F.col("b"))), 3))
+    return pairs.select("a", "b", "ratio", (F.col("ratio") >= 88).alias("same_event"))
+
+
 def q_clusters(t):
     return E.clusters(t.articles)
 
@@ -380,12 +388,12 @@ def q_linking_rate(t):
 
 def q_exposure(t):
     """Which suppliers are exposed to the most severe disruptions."""
-    df = t.severe
+    df, active = t.severe, C.active(t.distributors)
     hit = df.where(S.actionable(df)).select("article_id", "severity")
-    at = t.mentions.where("type in ('LOCATION', 'SUPPLIER')").join(hit, "article_id")
-    places = t.mentions.where("type = 'LOCATION'").select(F.col("canonical").alias("location")).distinct()
-    near = C.location_matches(places, C.active(t.distributors), "code").select(F.col("location").alias("canonical"), "code")
-    both = at.where("type = 'LOCATION'").join(near, "canonical").select("article_id", "code", "severity").unionByName(at.where("type = 'SUPPLIER'").select("article_id", F.col("canonical").alias("code"), "severity")).distinct()
+    places = C.countries(t.distributors, t.manufacturers).select(F.col("country").alias("location"))
+    near = C.location_matches(places, active, "code").select(F.lit("LOCATION").alias("type"), F.col("location").alias("canonical"), "code")
+    to = near.unionByName(active.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), "code"))
+    both = t.mentions.join(to, ["type", "canonical"]).select("article_id", "code").distinct().join(hit, "article_id")
     return both.groupBy("code").agg(F.count("*").alias("n_articles"), F.max("severity").alias("max_severity"))
 
 
