@@ -10,8 +10,12 @@ from riskloom.functions.lexicon import STOP_WORDS
 UUID_NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({', '.join(quoted(v) for v in values)})")
 
 
 def any_of(text: Column, words) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import lexicon as L
-from riskloom.functions.text import any_of, best_of, count_of, lookup, round_to, strings, tokens
+from riskloom.functions.text import any_of, best_of, count_of, lookup, quoted, round_to, strings, tokens
 
 
 def article_text(df: DataFrame) -> Column:
@@ -15,7 +15,7 @@ def article_text(df: DataFrame) -> Column:
 
 def _lexicon() -> Column:
     rows = [(topic, word, weight * (0.25 if topic in L.CORE_TOPICS else 0.20), 0.12 * weight) for topic, (weight, words) in L.TOPICS.items() for word in words]
-    return F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(w).alias("word"), F.lit(s).alias("score"), F.lit(m).alias("meta")) for t, w, s, m in rows])
+    return F.expr("array(" + ", ".join(f"named_struct('topic', {quoted(t)}, 'word', {quoted(w)}, 'score', {s!r}D, 'meta', {m!r}D)" for t, w, s, m in rows) + ")")
 
 
 def term_hits(df: DataFrame, terms: DataFrame, term: str, key: str = "article_id") -> DataFrame:
