@@ -176,12 +176,12 @@ BODIES = {
     "confidence": """SELECT article_id, overall_confidence, concat_ws(',', 'few_sources', CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN n_mentions > 0 AND link_score < 0.7 THEN 'weak_entity_matching' END, CASE WHEN n_links = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'missing_entity_links' END) AS uncertainties FROM confident""",
     "review": "SELECT article_id, string_agg(reason, ',' ORDER BY CASE reason WHEN 'low_classification_confidence' THEN 0 WHEN 'low_entity_link_confidence' THEN 1 WHEN 'no_entities_for_event_type' THEN 2 WHEN 'high_severity_low_confidence_mismatch' THEN 3 ELSE 4 END) AS reasons FROM reviewed GROUP BY 1",
     "review_histogram": "SELECT reason, count(*) AS n FROM reviewed GROUP BY 1",
-    "fingerprints": f"SELECT doc_id, sha256({NORM.format('substr(text, 1, 200)')} || '|other|' || {NORM.format('source')}) AS fingerprint FROM documents",
+    "fingerprints": f"SELECT doc_id, sha256({NORM.format('text')} || '|other|' || {NORM.format('source')}) AS fingerprint FROM documents",
     "stable_ids": "SELECT event_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1] || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS stable_id FROM (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || fingerprint::BLOB) AS d FROM identified)",
-    "identity": "SELECT b.event_id, b.fingerprint, coalesce(known_id, min(b.event_id) OVER (PARTITION BY b.fingerprint)) AS resolved_id, CASE WHEN known_id IS NOT NULL OR row_number() OVER (PARTITION BY b.fingerprint ORDER BY b.event_id) > 1 THEN 'updated' ELSE 'detected' END AS new_status FROM identified b LEFT JOIN (SELECT fingerprint, min(event_id) AS known_id FROM identified WHERE event_id % 3 = 0 GROUP BY 1) k USING (fingerprint) WHERE b.event_id % 3 <> 0",
+    "identity": "SELECT b.event_id, b.fingerprint, coalesce(known_id, min(b.event_id) OVER (PARTITION BY b.fingerprint)) AS resolved_id, CASE WHEN known_id IS NOT NULL OR row_number() OVER (PARTITION BY b.fingerprint ORDER BY b.event_id) > 1 THEN 'updated' ELSE 'detected' END AS new_status FROM identified b LEFT JOIN (SELECT fingerprint, min(event_id) AS known_id FROM identified WHERE verification >= 0.5 GROUP BY 1) k USING (fingerprint) WHERE b.verification < 0.5",
     "keepers": "SELECT * FROM kept_rows",
     "reparented": "SELECT event_id + 1000000 AS child_id, keep_id AS event_id FROM identified JOIN kept_rows USING (fingerprint)",
-    "upsert": "SELECT event_id, severity + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS severity, CASE WHEN event_id % 5 = 0 THEN 'updated' ELSE status END AS status, run_id FROM risk WHERE event_id % 5 = 0 OR event_id % 2 = 0",
+    "upsert": "SELECT event_id, severity + CASE WHEN verification >= 0.5 THEN 1 ELSE 0 END AS severity, CASE WHEN verification >= 0.5 THEN 'updated' ELSE status END AS status, run_id FROM risk",
     "alerts": "SELECT * FROM alerted",
     "gate": "SELECT CASE WHEN severity < 50 THEN 'severity_below_threshold' WHEN confidence < 0.5 THEN 'confidence_below_threshold' ELSE 'eligible' END AS reason, count(*) AS n FROM risk GROUP BY 1",
     "budget": "SELECT event_id, severity, severity >= 65 OR row_number() OVER (PARTITION BY severity >= 65 ORDER BY severity DESC, event_id) <= 10 AS selected FROM risk WHERE severity >= 50 AND confidence >= 0.5",
@@ -193,14 +193,14 @@ BODIES = {
     "adjusted": f"SELECT event_id, {_clamp('greatest(confidence - 0.15, least(confidence + 0.15, verification))')} AS adjusted FROM risk",
     "lead_times": "SELECT * FROM leads",
     "supply_links": "SELECT article_id, " + ", ".join(f"coalesce(string_agg(canonical, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in (("suppliers", "SUPPLIER"), ("manufacturers", "MANUFACTURER"), ("components", "COMPONENT"), ("locations", "LOCATION"))) + " FROM mentions GROUP BY 1",
-    "backfill": "SELECT event_id, supplier_code, name AS supplier_name, CASE WHEN event_id % 4 = 0 THEN 'analysis ' || status ELSE 'none' END AS analysis FROM risk LEFT JOIN distributors ON code = supplier_code",
-    "list": "SELECT event_id, title, severity, status, event_id % 4 = 0 AS has_analysis FROM risk WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
+    "backfill": "SELECT event_id, supplier_code, name AS supplier_name, CASE WHEN status = 'detected' THEN 'analysis ' || status ELSE 'none' END AS analysis FROM risk LEFT JOIN distributors ON code = supplier_code",
+    "list": "SELECT event_id, title, severity, status, status = 'detected' AS has_analysis FROM risk WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
     "detail": "SELECT event_id, title, summary, severity, geo_country, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk WHERE event_id = 7",
     "runs": "SELECT coalesce(run_id, 'unknown') AS run_id, count(*) AS n_events, max(severity) AS max_severity FROM risk GROUP BY 1",
     "summary": "SELECT CASE WHEN grouping(event_category) = 0 THEN 'category' WHEN grouping(status) = 0 THEN 'status' ELSE 'all' END AS kind, coalesce(event_category, status, '') AS value, count(*) AS n, round_even(avg(severity), 1) AS avg_severity, max(severity) AS max_severity FROM risk GROUP BY GROUPING SETS ((), (event_category), (status))",
     "geo": "SELECT event_id, title, event_category, severity, latitude, longitude, geo_country FROM risk WHERE severity >= 20 AND latitude IS NOT NULL",
     "alert_feed": "SELECT event_id, title, event_category, severity, status, run_id FROM risk WHERE severity >= 60 ORDER BY severity DESC, event_id LIMIT 200",
-    "text_cleanup": f"SELECT doc_id, 'a b c' AS category, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 37) || '...' ELSE trim(text) END AS short, trim(regexp_replace(substr(text, 1, 60), '\\s+$', '')) AS summary, doc_id::VARCHAR AS mpn, {NORM.format('substr(text, 1, 60)')} AS title FROM documents",
+    "text_cleanup": f"SELECT doc_id, 'a b c' AS category, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 37) || '...' ELSE trim(text) END AS short, trim(regexp_replace(text, '\\s+$', '')) AS summary, doc_id::VARCHAR AS mpn, {NORM.format('text')} AS title FROM documents",
     "audit": "SELECT count(*) AS rows_in, count(*) FILTER (score >= least) AS rows_out, round_even(count(*) FILTER (score >= least) * 100 / count(*)::DOUBLE, 2) AS retention FROM scored",
     "visible": "SELECT event_id, severity FROM risk WHERE severity >= 50 AND latitude IS NOT NULL",
     "uncovered": "SELECT type, count(*) AS n FROM mentions WHERE type = 'COMPONENT' GROUP BY 1",

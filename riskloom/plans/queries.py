@@ -265,7 +265,7 @@ def q_review_histogram(t):
 
 
 def q_fingerprints(t):
-    return t.documents.select("doc_id", X.fingerprint(F.substring("text", 1, 200), F.lit("other"), F.col("source")).alias("fingerprint"))
+    return t.documents.select("doc_id", X.fingerprint(F.col("text"), F.lit("other"), F.col("source")).alias("fingerprint"))
 
 
 def q_stable_ids(t):
@@ -273,8 +273,9 @@ def q_stable_ids(t):
 
 
 def q_identity(t):
+    """Events not yet verified, against the verified ones as what is known."""
     rows = t.identified
-    return E.resolve_identity(rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0"))
+    return E.resolve_identity(rows.where("verification < 0.5"), rows.where("verification >= 0.5"))
 
 
 def q_keepers(t):
@@ -288,9 +289,10 @@ def q_reparented(t):
 
 
 def q_upsert(t):
-    rows = t.risk_events.select("event_id", "severity", "status", "run_id")
-    new = rows.where("event_id % 5 = 0").withColumn("severity", F.col("severity") + 1).withColumn("status", F.lit("updated"))
-    return E.upsert(rows.where("event_id % 2 = 0"), new)
+    """Verified events come as a new batch over the store, which has all others and those with status detected."""
+    rows = t.risk_events.select("event_id", "severity", "status", "run_id", "verification")
+    new = rows.where("verification >= 0.5").withColumn("severity", F.col("severity") + 1).withColumn("status", F.lit("updated"))
+    return E.upsert(rows.where("verification < 0.5 or status = 'detected'").drop("verification"), new.drop("verification"))
 
 
 def q_alerts(t):
@@ -329,12 +331,12 @@ def q_supply_links(t):
 
 
 def q_backfill(t):
-    done = t.risk_events.where("event_id % 4 = 0").select("event_id", F.concat(F.lit("analysis "), F.col("status")).alias("analysis"))
+    done = t.risk_events.where("status = 'detected'").select("event_id", F.concat(F.lit("analysis "), F.col("status")).alias("analysis"))
     return t.risk_events.join(done, "event_id", "left").join(t.distributors.select(F.col("code").alias("supplier_code"), F.col("name").alias("supplier_name")), "supplier_code", "left").select("event_id", "supplier_code", "supplier_name", F.coalesce("analysis", F.lit("none")).alias("analysis"))
 
 
 def q_list(t):
-    done = t.risk_events.where("event_id % 4 = 0").select("event_id", F.lit(True).alias("has")).distinct()
+    done = t.risk_events.where("status = 'detected'").select("event_id", F.lit(True).alias("has")).distinct()
     found = E.page(E.list_events(t.risk_events, category="other", min_severity=10.0, search="of view"), 50, 5)
     return found.join(done, "event_id", "left").select("event_id", "title", "severity", "status", F.coalesce("has", F.lit(False)).alias("has_analysis"))
 
@@ -362,8 +364,7 @@ def q_alert_feed(t):
 
 
 def q_text_cleanup(t):
-    s = F.substring("text", 1, 60)
-    return t.documents.select("doc_id", X.normalize_category(F.lit("a__b_c")).alias("category"), X.truncate(F.col("text"), 40).alias("short"), X.clean_summary(F.concat(s, F.lit(" [...]"))).alias("summary"), X.mpn_of(F.concat(F.lit("mpn:"), F.col("doc_id").cast("string"))).alias("mpn"), X.normalize_title(s).alias("title"))
+    return t.documents.select("doc_id", X.normalize_category(F.lit("a__b_c")).alias("category"), X.truncate(F.col("text"), 40).alias("short"), X.clean_summary(F.concat("text", F.lit(" [...]"))).alias("summary"), X.mpn_of(F.concat(F.lit("mpn:"), F.col("doc_id").cast("string"))).alias("mpn"), X.normalize_title(F.col("text")).alias("title"))
 
 
 def q_audit(t):
