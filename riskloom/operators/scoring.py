@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,17 @@ def relevance(articles: DataFrame, manufacturers: DataFrame) -> DataFrame:
     )
 
 
+def _rows_where(scored: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Rows that meet the test, as a generator: a filter would be pushed below the score's projection, which would then be computed twice."""
+    return scored.select(F.inline(F.filter(F.array(F.struct(*scored.columns)), test)))
+
+
 def kept(scored: DataFrame) -> DataFrame:
-    return scored.where("score >= least")
+    return _rows_where(scored, lambda r: r["score"] >= r["least"])
 
 
 def dropped(scored: DataFrame) -> DataFrame:
-    return scored.where("score < least")
+    return _rows_where(scored, lambda r: r["score"] < r["least"])
 
 
 def classify(df: DataFrame) -> DataFrame:
