@@ -53,7 +53,9 @@ BAD_NAMES = {
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role|data-part)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r'data-part="(\w+)"')
-HIDDEN = re.compile(r"\bhidden(?=[\s/=]|$)|display:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HIDING = re.compile("hidden|style", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS.split("|")}
 MAX_ROWS, MAX_TRAIN_BLOCKS, REPEATS = 400, 100, 3
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -68,10 +70,21 @@ class Block:
     part: str | None  # of labelled pages
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element: hidden of any value, aria-hidden of true, or a style with display: none."""
+    if not HIDING.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Runs of text between block-level tags, with the tags and names open around them."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, str | None]] = []  # tag, names, part
+    stack: list[tuple[str, str, str | None, bool]] = []  # tag, names, part, silent
     silent = links = linked = total = 0
     buffer: list[str] = []
 
@@ -80,14 +93,14 @@ def leaf_blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join(html_module.unescape("".join(buffer)).split())
             if text:
-                blocks.append(Block(text, frozenset(t for t, _, _ in stack), " ".join(n for _, n, _ in stack if n), linked / max(total, 1), next((p for _, _, p in reversed(stack) if p), None)))
+                blocks.append(Block(text, frozenset(t for t, *_ in stack), " ".join(n for _, n, *_ in stack if n), linked / max(total, 1), next((p for _, _, p, _ in reversed(stack) if p), None)))
             buffer.clear()
         linked = total = 0
 
     def pop_to(at: int) -> None:
         nonlocal silent, links
-        for tag, names, _ in stack[at:]:
-            silent -= tag in SILENT_TAGS or names == "hidden"
+        for tag, _, _, mute in stack[at:]:
+            silent -= mute
             links -= tag == "a"
         del stack[at:]
 
@@ -136,15 +149,15 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "body" and silent:
             pop_to(0)
         attributes = m.group(3) or ""
-        hidden = attributes and HIDDEN.search(attributes)
-        names = "hidden" if hidden else " ".join(a or b or c for a, b, c in NAMED.findall(PART.sub("", attributes))).lower() if attributes else ""
+        names = " ".join(a or b or c for a, b, c in NAMED.findall(PART.sub("", attributes))).lower() if attributes else ""
         if tag in RAW_END:
             close = RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
         part = PART.search(attributes) if attributes else None
-        stack.append((tag, names, part and part.group(1)))
-        silent += tag in SILENT_TAGS or names == "hidden"
+        mute = tag in SILENT_TAGS or is_hidden(attributes)
+        stack.append((tag, names, part and part.group(1), mute))
+        silent += mute
         links += tag == "a"
     flush()
     return blocks

@@ -268,3 +268,13 @@ def test_own_pages():
     model = crf.train([html_text.features(b).astype(float) for b in own], labels, rounds=150)
     wrong = sum(int((np.array(crf.viterbi(model, html_text.features(b))) != y).sum()) for b, y in zip(own, labels, strict=True))
     assert wrong <= 0.02 * sum(map(len, own))
+
+
+@pytest.mark.parametrize("shown", ['class="overflow-hidden rounded"', 'aria-hidden="false"', 'data-hidden="0"', 'class="hidden"', 'title="not hidden here"', 'data-style="display:none"', 'data-x="aria-hidden=true"'])
+def test_lookalikes_of_hidden_are_shown(shown):
+    assert [b.text for b in html_text.leaf_blocks(f"<article {shown}><p>kept text</p></article><p>after</p>")] == ["kept text", "after"]
+
+
+@pytest.mark.parametrize("hiding", ["hidden", "HIDDEN=''", 'class="a" hidden', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none !important"', "style='display:none'"])
+def test_hidden_elements_are_skipped(hiding):
+    assert [b.text for b in html_text.leaf_blocks(f"<div {hiding}><p>gone</p></div><p>after</p>")] == ["after"]
