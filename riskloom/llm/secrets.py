@@ -2,8 +2,10 @@
 
 Patterns give the kinds assign, access and hex. The entropy scan takes every run of credential characters, splits it by
 character class (hex, alphanumeric, base64), slides a window over it while keeping the window's symbol counts up to date, and
-marks the windows whose entropy passes the class's threshold. An allow-list then drops identifiers that are random-looking
-but public (UUIDs), ordinary words and counters. Spans are in code points, the end exclusive.
+marks the windows whose entropy passes the class's threshold. An allow-list lets through identifiers that are random-looking
+but public (UUIDs), numbers, and words with counters; mixed case that is no joined words, and entropy that words don't reach,
+win over it. Of an entropy span what a pattern has already taken is cut out, the rest stays. Spans are in code points, the end
+exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows each get a row; an empty table gives an empty result; extra
 columns are not read. Texts of any length are scanned whole.
@@ -38,12 +40,12 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9A-Za-z]+"), 3.55),
     ("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 3.75),
 )
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"[^0-9]*"),  # words, names, paths without digits
-    re.compile(r"[0-9_/=+-]*"),  # numbers, dates, rules
-    re.compile(r"(?:[A-Za-z]*[0-9]{0,4}[/_=+-]+)*[A-Za-z]*[0-9]{0,4}"),  # words that end in a short number, joined
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+NUMBERS = re.compile(r"[0-9_/=+-]*")  # numbers, dates, rules
+SEPARATORS = re.compile(r"[/_=+-]+")
+#: A part of a run that is a word of one case, or words joined by capitals, with a short number behind.
+WORD = re.compile(r"(?:[A-Z]*|[A-Z]?[a-z]*|[a-z]+(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+)[0-9]{0,4}")
+RANDOM = 3.9  # bits from which a window inside one part counts, word or not
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 
@@ -53,7 +55,7 @@ def high_entropy_windows(run: str, threshold: float, window: int = WINDOW) -> li
     n = len(run)
     if n < window:
         return []
-    weight = [0.0, 0.0] + [c * math.log2(c) for c in range(2, window + 1)]
+    weight = [0.0, 0.0] + [c * math.log2(c) for c in range(2, window + 2)]  # a symbol comes in before one goes
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, symbol in enumerate(run):
@@ -74,6 +76,14 @@ def high_entropy_windows(run: str, threshold: float, window: int = WINDOW) -> li
     return spans
 
 
+def is_allowed(run: str) -> bool:
+    """Whether a run is public or made of words and numbers. Each part between separators is looked at once, so time is linear."""
+    if UUID.fullmatch(run) or NUMBERS.fullmatch(run):
+        return True
+    parts = SEPARATORS.split(run)
+    return all(map(WORD.fullmatch, parts)) and not any(high_entropy_windows(part, RANDOM) for part in parts)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     lowered = text.lower()
@@ -85,19 +95,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def outside(spans: list[tuple[int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What is left of ascending spans without those taken, which are sorted by start."""
+    found, k = [], 0
+    reach: list[tuple[int, int]] = []  # the taken ones, those that meet as one
+    for _, s, e in taken:
+        if reach and s <= reach[-1][1]:
+            reach[-1] = (reach[-1][0], max(e, reach[-1][1]))
+        else:
+            reach.append((s, e))
+    for start, end in spans:
+        while k < len(reach) and reach[k][1] <= start:
+            k += 1
+        j = k
+        while j < len(reach) and reach[j][0] < end:
+            if start < reach[j][0]:
+                found.append((start, reach[j][0]))
+            start = reach[j][1]
+            j += 1
+        if start < end:
+            found.append((start, end))
+    return found
+
+
 def entropy_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """High-entropy spans outside of those already taken."""
+    """High-entropy spans, without what is already taken (sorted by start)."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if any(allowed.fullmatch(run) for allowed in ALLOWED):
+        if is_allowed(run):
             continue
         threshold = next(bits for _, alphabet, bits in CLASSES if alphabet.fullmatch(run))
-        for start, end in high_entropy_windows(run, threshold):
-            start, end = m.start() + start, m.start() + end
-            if all(end <= s or e <= start for _, s, e in taken):
-                found.append(("entropy", start, end))
-    return found
+        found += [(m.start() + start, m.start() + end) for start, end in high_entropy_windows(run, threshold)]
+    return [("entropy", start, end) for start, end in outside(found, taken)]
 
 
 def find_spans(text: str) -> tuple[list, list]:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import string
+import time
 import zlib
 
 import numpy as np
@@ -278,3 +280,39 @@ def test_lookalikes_of_hidden_are_shown(shown):
 @pytest.mark.parametrize("hiding", ["hidden", "HIDDEN=''", 'class="a" hidden', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none !important"', "style='display:none'"])
 def test_hidden_elements_are_skipped(hiding):
     assert [b.text for b in html_text.leaf_blocks(f"<div {hiding}><p>gone</p></div><p>after</p>")] == ["after"]
+
+
+def test_random_tokens_are_not_allowed():
+    rnd = random.Random(6)
+    for n, symbols in ((20, string.ascii_letters + string.digits), (24, string.ascii_letters + string.digits), (40, string.ascii_letters + string.digits + "+/")):
+        tokens = ["".join(rnd.choices(symbols, k=n)) for _ in range(5000)]
+        assert sum(map(secrets.is_allowed, tokens)) <= 5
+    for words_ in ("otherwise-thing-and-more-words", "/usr/share/documentation/page12", "getUserNameFromDatabase", "release_notes_2024-01-15", "=" * 40, "INTERNATIONALIZATION"):
+        assert secrets.is_allowed(words_) and secrets.find_spans(words_)[1] == []
+
+
+def test_rules_of_dashes_take_linear_time():
+    began = time.perf_counter()
+    for rule in ("-" * 40, "=" * 5000, "-_" * 5000):
+        secrets.find_spans(f"Content {rule}7d41b838504d8x end")
+    assert time.perf_counter() - began < 5
+
+
+def test_rest_of_a_token_around_a_pattern():
+    inside, token = "0123456789abcdef01234567", "Zq7Xw2Kp9Lm4Vt8R0123456789abcdef01234567Yb6NxK9pQz7Lm2Vt"
+    text = f"key {token} end"
+    base, spans = secrets.find_spans(text)
+    assert [text[s:e] for _, s, e in base] == [inside]
+    assert [text[s:e] for k, s, e in spans if k == "entropy"] == token.split(inside)
+    assert secrets.redact(text) == "key [secret][secret][secret] end"
+
+
+def test_outside_by_marking():
+    rnd = random.Random(8)
+    for _ in range(300):
+        cuts = sorted(rnd.sample(range(60), 6))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        taken = sorted((("hex", s, s + rnd.randint(1, 9)) for s in rnd.choices(range(60), k=rnd.randint(0, 6))), key=lambda t: t[1])
+        want = {i for s, e in spans for i in range(s, e)} - {i for _, s, e in taken for i in range(s, e)}
+        got = secrets.outside(spans, taken)
+        assert {i for s, e in got for i in range(s, e)} == want and all(s < e for s, e in got)
