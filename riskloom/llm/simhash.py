@@ -117,9 +117,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that have a smaller doc_id in their component."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id > component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of each component: that of the smallest id, a null id last. Rows are told apart by a number of their own, since
+    ids may be shared by rows of other components, or by several of one."""
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows", compression="zstd")
+    of_row = near_duplicates(rows, "_row", text_col).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col), "_row"))["_row"]
+    kept = rows.select("_row", id_col).join(of_row, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

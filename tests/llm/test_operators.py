@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from riskloom.llm import context_mixing, crf, exact_dedup, html_text, packing, pieces, quality, secrets, simhash, token_files, toxicity
 from riskloom.llm.wordbpe import WordBpe, vocabulary_path
 
@@ -316,3 +317,15 @@ def test_outside_by_marking():
         want = {i for s, e in spans for i in range(s, e)} - {i for _, s, e in taken for i in range(s, e)}
         got = secrets.outside(spans, taken)
         assert {i for s, e in got for i in range(s, e)} == want and all(s < e for s, e in got)
+
+
+def test_near_copies_go_by_row(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    apart = " ".join(f"z{k * 7}" for k in range(300))
+    data = [(3, text), (5, text + " "), (5, apart), (7, "alone " * 9), (7, "alone " * 9 + " "), (None, text), (None, "no id at all here")]
+    assert plain_fingerprint(text) == plain_fingerprint(text + " ")
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.near_stage(spark, frame, "")
+    assert left.columns == frame.columns
+    got = sorted(((r.doc_id, r.text.strip()) for r in left.collect()), key=str)
+    assert got == sorted([(3, text), (5, apart), (7, ("alone " * 9).strip()), (None, "no id at all here")], key=str)
