@@ -179,12 +179,13 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
 
 
 def decode_ids(rows: DataFrame, path: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, text) of each row's ids: pieces by an equi-join on the id, bytes put together, marks as spaces, the space in front taken off."""
+    """(key, text) of each row's ids: pieces by an equi-join on the id, bytes put together, marks as spaces, the space in front taken off. Rows without ids have the text ""."""
     spark, model = rows.sparkSession, load_model(path)
     table = [(i, p.piece.encode() if p.type != 6 else bytes([int(p.piece[3:5], 16)])) for i, p in enumerate(model.pieces) if p.type in (1, 4, 6)]
     pieces = spark.createDataFrame(pa.table({"id": pa.array([t[0] for t in table], pa.int32()), "bytes": pa.array([t[1] for t in table], pa.binary())}))
-    each = rows.select(key, F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(pieces), "id")
-    whole = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
+    each = rows.select(key, F.posexplode_outer(ids_col).alias("at", "id")).join(F.broadcast(pieces), "id", "left")
+    part = F.when(F.col("bytes").isNotNull(), F.struct("at", "bytes"))  # rows without ids have no parts, but stay
+    whole = each.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     text = F.decode(F.expr("aggregate(parts, X'', (all, p) -> all || p.bytes)"), "UTF-8")
     return whole.select(key, F.regexp_replace(F.translate(text, MARK, " "), "^ ", "").alias("text"))
 

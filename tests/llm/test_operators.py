@@ -329,3 +329,10 @@ def test_near_copies_go_by_row(spark):
     assert left.columns == frame.columns
     got = sorted(((r.doc_id, r.text.strip()) for r in left.collect()), key=str)
     assert got == sorted([(3, text), (5, apart), (7, ("alone " * 9).strip()), (None, "no id at all here")], key=str)
+
+
+def test_decoding_keeps_documents_without_ids_and_whole_texts(spark, docs):
+    path = vocabulary_path("piece_bpe_32k.model")
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    back = {r.doc_id: r.text for r in pieces.decode_ids(pieces.encode_documents(unique), path, "doc_id").collect()}
+    assert back == {r.doc_id: r.text or "" for r in unique.collect()}
