@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,15 @@ def text_batches(batches: Iterable, id_col: int = 0, text_col: int = 1):
     """(ids, texts) of each Arrow batch; a null text counts as empty."""
     for batch in batches:
         yield batch.column(id_col), [t or "" for t in batch.column(text_col).to_pylist()]
+
+
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most limit bytes in the column, or a single row. Batches may be as large as they like."""
+    for batch in batches:
+        values = batch.column(column)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to

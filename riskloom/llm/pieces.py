@@ -1,46 +1,46 @@
 """SentencePiece encoding and decoding as relations.
 
-A text is escaped (a space in front, spaces as the mark U+2581) and cut into units: a run of marks with what follows up to the
-next mark or line break. No piece crosses a unit, so a unit's ids are the same wherever it stands, and only distinct units are
-encoded:
+A text is escaped (a space in front, spaces as the mark U+2581) and cut into units, wherever no piece holds the two characters
+side by side. No piece crosses a unit, so a unit's ids are the same wherever it stands, and only distinct units are encoded:
 
-* lattice: every substring of a unit of at most LONGEST characters is exploded and equi-joined to the piece table (its size is
+* lattice: every substring of a unit that is no longer than the longest piece is exploded and equi-joined to the piece table (its size is
   the vocabulary's, so it is broadcast); the matches are the unit's edges (begin, end, score, ids), and a character that is no
   piece has an edge of its bytes' ids;
 * the edges of a unit are grouped (it is already alone in its partition) and folded by Spark's aggregate. For a unigram model
   the fold is Viterbi's: the best sum of scores up to each end. For a BPE model scores are merge ranks, whose best sum is not
   what the model's own encoder returns; there the fold takes, step by step, the edge of best score that joins two neighbours.
-  Boundaries are bits of a long, so units over WIDEST characters are folded by the same rule in Python.
+  Boundaries are bits of a long, so units over WIDEST characters, which prose has few of, are folded by the same rule in Python.
 
-Ids go back to documents by frequency: the FREQUENT units' ids travel to each task (a bound on what is sent), rarer ones are joined.
+Ids go back to documents by frequency: the FREQUENT units' ids travel to each task (a bound on what is sent), rarer ones are
+joined, each row asking once for each of its own. Decoding takes a piece's bytes by its id (the piece table is the model's).
 
-Defined cases: null and empty texts have no ids; repeated rows get a row each; a null doc_id stays null; an empty table gives an
-empty result; extra columns are not read. Texts and units of any length are encoded whole.
+Defined cases: null and empty texts have no ids and decode to ""; repeated rows get a row each; a null doc_id stays null; an empty
+table gives an empty result; extra columns are not read. Texts and units of any length are encoded whole. A text that holds the
+mark itself decodes with a space there (round_trip is false).
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql import types as T
 
-from riskloom.llm.common import read_table, saved
+from riskloom.llm.common import byte_slices, read_table, saved
 from riskloom.llm.wordbpe import vocabulary_path
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-LONGEST, WIDEST, FREQUENT, STEP = 16, 48, 100_000, 4000
-MODULUS = (1 << 31) - 1
-UNITS_A_PART, FALLBACK, FALLBACK_SETTING = 10_000, "30000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+WIDEST, FREQUENT = 48, 200_000
+NO_PIECE = 1e12  # the cost of a character that is no piece
+BLOCK_BYTES, HELD_UNITS = 4 << 20, 600_000  # bytes of text cut at once; units counted before they are sent on
+PARTS_A_SPLIT, FALLBACK, FALLBACK_SETTING = 8, "30000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 UNIGRAM, BPE = 1, 2
 FIRST_BYTE_ID = 3
 # an edge of a narrow unit as one long: the score's place, begin (6 bits), end (6 bits), id (20 bits; all set: the bytes' ids)
@@ -66,35 +66,34 @@ def piece_table(spark: SparkSession, model) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": [float(r[2]) for r in rows], "code": pa.array(codes, pa.int64())}))
 
 
-def units_of(text: str) -> list[str]:
-    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
-def bpe_by_heap(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
-    """Boundaries left after joining neighbours by rank, for edges (rank, begin, end): the least rank first, then the leftmost."""
-    rank = {(b, e): r for r, b, e in edges}
-    ahead, back = list(range(1, n + 2)), list(range(-1, n))
-    heap = [(rank[i, i + 2], i, i + 2, i + 1) for i in range(n - 1) if (i, i + 2) in rank]
+def bpe_by_heap(unit: str, rank: dict[str, float]) -> list[int]:
+    """Boundaries left after joining neighbours whose whole is a piece: the least rank first, then the leftmost."""
+    n = len(unit)
+    ahead, back, alive = list(range(1, n + 2)), list(range(-1, n)), [True] * (n + 1)
+    heap = [(rank[unit[i : i + 2]], i, i + 2, i + 1) for i in range(n - 1) if unit[i : i + 2] in rank]
     heapq.heapify(heap)
-    alive = [True] * (n + 1)
     while heap:
         _, b, e, m = heapq.heappop(heap)
         if not (alive[b] and alive[e] and alive[m] and ahead[b] == m and ahead[m] == e):
             continue
         alive[m] = False
         ahead[b], back[e] = e, b
-        if e < n and (b, ahead[e]) in rank:
-            heapq.heappush(heap, (rank[b, ahead[e]], b, ahead[e], e))
-        if b > 0 and (back[b], e) in rank:
-            heapq.heappush(heap, (rank[back[b], e], back[b], e, b))
+        if e < n and unit[b : ahead[e]] in rank:
+            heapq.heappush(heap, (rank[unit[b : ahead[e]]], b, ahead[e], e))
+        if b > 0 and unit[back[b] : e] in rank:
+            heapq.heappush(heap, (rank[unit[back[b] : e]], back[b], e, b))
     return [i for i in range(n + 1) if alive[i]]
 
 
-def viterbi_by_steps(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
+def viterbi_by_steps(unit: str, rank: dict[str, float]) -> list[int]:
+    """Boundaries of the path of least cost; a character that is no piece costs more than any path of pieces."""
+    n, longest = len(unit), max(map(len, rank), default=1)
     best, came = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for r, b, e in sorted(edges, key=lambda x: (x[2], x[1])):
-        if best[b] + r < best[e]:
-            best[e], came[e] = best[b] + r, b
+    for e in range(1, n + 1):
+        for b in range(max(0, e - longest), e):
+            cost = rank.get(unit[b:e], NO_PIECE if e - b == 1 else float("inf"))
+            if best[b] + cost < best[e]:
+                best[e], came[e] = best[b] + cost, b
     at, found = n, [n]
     while at:
         at = came[at]
@@ -102,41 +101,41 @@ def viterbi_by_steps(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
     return found[::-1]
 
 
-def _fold_wide(bpe: bool):
+def _fold_wide(bpe: bool, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {p.piece: (i, -p.score) for i, p in enumerate(load_model(path).pieces) if p.type in (1, 4)}
+        rank, fold = {p: r for p, (_, r) in pieces.items()}, bpe_by_heap if bpe else viterbi_by_steps
         for batch in batches:
             found = []
-            for unit, edges in zip(batch.column("unit").to_pylist(), batch.column("edges").to_pylist(), strict=True):
-                cuts = (bpe_by_heap if bpe else viterbi_by_steps)(len(unit), [(x["rank"], x["b"], x["e"]) for x in edges])
-                ids = {(x["b"], x["e"]): x["ids"] for x in edges}
-                found.append([i for b, e in zip(cuts, cuts[1:], strict=False) for i in ids[b, e]])
-            batch = batch.select([c for c in batch.schema.names if c != "edges"])
+            for unit in batch.column("unit").to_pylist():
+                cuts = fold(unit, rank)
+                parts = [unit[b:e] for b, e in zip(cuts, cuts[1:], strict=False)]
+                found.append([i for p in parts for i in ([pieces[p][0]] if p in pieces else [x + FIRST_BYTE_ID for x in p.encode()])])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
     return run
 
 
-def matches(units: DataFrame, pieces: DataFrame) -> DataFrame:
+def matches(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """The columns of units with (b, e, piece, id, score, code) of every substring that is a piece and of every character.
     Begins and lengths are exploded one after the other, which stays in generated code."""
     begins = units.select("*", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("b"))
-    lengths = begins.select("*", F.explode(F.expr(f"sequence(1, least({LONGEST}, length(unit) - b))")).alias("l"))
+    lengths = begins.select("*", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - b))")).alias("l"))
     spans = lengths.select(*units.columns, "b", F.expr("b + l").alias("e"), F.expr("substring(unit, b + 1, l)").alias("piece"))
     return spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e - b = 1")
 
 
-def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """The columns of distinct units, and their edges by rank and begin."""
     of_bytes = f"transform(sequence(1, length(hex(encode(piece, 'UTF-8'))), 2), i -> cast(conv(substring(hex(encode(piece, 'UTF-8')), i, 2), 16, 10) AS int) + {FIRST_BYTE_ID})"
-    # an edge of bytes costs more than any path of pieces
-    edge = F.expr(f"struct(coalesce(-score, 1e12D) AS rank, b, e, CASE WHEN id IS NOT NULL THEN array(id) ELSE {of_bytes} END AS ids)")
-    return matches(units, pieces).groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.expr(f"struct(coalesce(-score, {NO_PIECE!r}D) AS rank, b, e, CASE WHEN id IS NOT NULL THEN array(id) ELSE {of_bytes} END AS ids)")
+    return matches(units, pieces, longest).groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def ranked_lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
+def ranked_lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """As lattice, for narrow units of a BPE model: each edge is one long, so that they sort by rank and begin as numbers."""
     edge = F.expr(f"coalesce(code, {1 << 52 | NO_ID}L) | shiftleft(cast(b AS long), {BEGIN_BIT}) | shiftleft(cast(e AS long), {END_BIT})")
-    return matches(units, pieces).groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return matches(units, pieces, longest).groupBy(*units.columns).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 # Boundaries as bits: of an edge, its ends and all from its begin to its end. What a lambda reads often is carried in the state,
@@ -168,105 +167,214 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     bpe = model.trainer_spec.model_type == BPE
     if not bpe and model.trainer_spec.model_type != UNIGRAM:
         raise ValueError("the model has to be unigram or BPE")
-    table, width = piece_table(spark, model), F.length("unit")
+    table, width, longest = piece_table(spark, model), F.length("unit"), max(len(p.piece) for p in model.pieces if p.type in (1, 4))
     narrow = units.where(width <= WIDEST)
     if bpe:
-        narrow = ranked_lattice(narrow, table).withColumn("bounds", F.expr(_MERGE)).select(*units.columns, F.expr(_MERGED_IDS).alias("ids"))
+        narrow = ranked_lattice(narrow, table, longest).withColumn("bounds", F.expr(_MERGE)).select(*units.columns, F.expr(_MERGED_IDS).alias("ids"))
     else:
-        narrow = lattice(narrow, table).withColumn("n", width).select(*units.columns, F.expr(_VITERBI).alias("ids"))
-    wide = lattice(units.where(width > WIDEST), table).mapInArrow(_fold_wide(bpe), StructType([*units.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+        narrow = lattice(narrow, table, longest).withColumn("n", width).select(*units.columns, F.expr(_VITERBI).alias("ids"))
+    wide = units.where(width > WIDEST).mapInArrow(_fold_wide(bpe, path), T.StructType([*units.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return narrow.unionByName(wide)
 
 
-def decode_ids(rows: DataFrame, path: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, text) of each row's ids: pieces by an equi-join on the id, bytes put together, marks as spaces, the space in front taken off. Rows without ids have the text ""."""
-    spark, model = rows.sparkSession, load_model(path)
-    table = [(i, p.piece.encode() if p.type != 6 else bytes([int(p.piece[3:5], 16)])) for i, p in enumerate(model.pieces) if p.type in (1, 4, 6)]
-    pieces = spark.createDataFrame(pa.table({"id": pa.array([t[0] for t in table], pa.int32()), "bytes": pa.array([t[1] for t in table], pa.binary())}))
-    each = rows.select(key, F.posexplode_outer(ids_col).alias("at", "id")).join(F.broadcast(pieces), "id", "left")
-    part = F.when(F.col("bytes").isNotNull(), F.struct("at", "bytes"))  # rows without ids have no parts, but stay
-    whole = each.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    text = F.decode(F.expr("aggregate(parts, X'', (all, p) -> all || p.bytes)"), "UTF-8")
-    return whole.select(key, F.regexp_replace(F.translate(text, MARK, " "), "^ ", "").alias("text"))
-
-
-def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            counts = Counter(u for t in batch.column(0).slice(at, STEP).to_pylist() for u in units_of(t or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "c"])
-
-
-def vocabulary_of(docs: DataFrame, path: str, text_col: str, *columns: Column | str) -> DataFrame:
-    """The columns given, of (unit, c, ids) of every distinct unit of the texts."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_unit_counts, "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c"))
-    counted = saved(counted, "units", compression="zstd")
+class Cutter:
+    """Cuts texts into units with numpy and Arrow. Two characters stay together only where some piece holds them side by side, since no
+    merge reaches over others; so a unit is at most a word with its mark, and a word's signs are mostly units of their own."""
+
+    def __init__(self, pieces: list[str]):
+        together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.number = np.zeros(0x110000, np.int32)
+        known = sorted({ord(c) for pair in together for c in pair})
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        self.joined = np.zeros(self.width * self.width, bool)
+        self.joined[[self.number[ord(a)] * self.width + self.number[ord(b)] for a, b in together]] = True
+
+    def units(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct units, the number of each unit of all texts, each text's count of units)."""
+        escaped = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        sizes = np.array([len(e) for e in escaped], np.int64)
+        whole = "".join(escaped)
+        if not whole:
+            return pa.array([], pa.string()), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self.number[code]
+        begins = np.empty(len(code), bool)
+        begins[0] = True
+        np.logical_not(self.joined[number[:-1] * self.width + number[1:]], out=begins[1:])
+        starts = np.cumsum(sizes) - sizes
+        begins[starts[sizes > 0]] = True
+        first = np.flatnonzero(begins)
+        ends = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64))
+        offsets = np.append(np.where(first > 0, ends[first - 1], 0), ends[-1]).astype(np.int32)
+        offsets[0] = 0
+        data = whole.encode("utf-8", "surrogatepass")
+        coded = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        counts = np.searchsorted(first, np.append(starts, len(code)))
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(counts)
+
+
+def _unit_counts(cutter: Cutter):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in byte_slices(batches, 0, BLOCK_BYTES):
+            units, numbers, _ = cutter.units(part.column(0).to_pylist())
+            held.append(pa.table({"unit": units, "c": np.bincount(numbers, minlength=len(units)).astype(np.int64)}))
+            size += len(units)
+            if size > HELD_UNITS:
+                yield from _summed(held)
+                held, size = [], 0
+        yield from _summed(held)
+
+    return run
+
+
+def _summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+    if not held:
+        return []
+    sums = pa.concat_tables(held).group_by("unit").aggregate([("c", "sum")])
+    return sums.rename_columns({"c_sum": "c"}).select(["unit", "c"]).to_batches(max_chunksize=100_000)
+
+
+def vocabulary_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(unit, c, ids) of every distinct unit of the texts, as a written table."""
+    spark, cutter = docs.sparkSession, cutter_of(path)
     # so few units a partition that their edges are grouped in memory, by hash; beyond FALLBACK units Spark sorts them instead
-    parts, spark = counted.count() // UNITS_A_PART + 1, docs.sparkSession
+    parts = max(1, docs.rdd.getNumPartitions()) * PARTS_A_SPLIT
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_unit_counts(cutter), "unit string, c long")
+    counted = counted.repartition(parts, "unit").groupBy("unit").agg(F.sum("c").alias("c"))
+    counted = saved(counted, "units", compression="zstd")
     before = spark.conf.get(FALLBACK_SETTING)
     spark.conf.set(FALLBACK_SETTING, FALLBACK)
     try:
-        return saved(encode_units(counted.repartition(parts, "unit"), path).select(*columns), "vocabulary", compression="zstd")
+        return saved(encode_units(counted.repartition(parts, "unit"), path), "vocabulary", compression="zstd")
     finally:
         spark.conf.set(FALLBACK_SETTING, before)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, ids) of every document, ids in order; key has to be unique."""
-    path = path or vocabulary_path("piece_bpe_32k.model")
-    split = F.udf(lambda t: units_of(t or ""), "array<string>")
-    rows = docs.select(key, F.posexplode(split(F.col(text_col).cast("string"))).alias("at", "unit"))
-    each = rows.join(encode_units(rows.select("unit").distinct(), path), "unit")
-    whole = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select(key, F.expr("flatten(transform(parts, p -> p.ids))").alias("ids"))
-    return docs.select(key).join(whole, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+def cutter_of(path: str) -> Cutter:
+    return Cutter([p.piece for p in load_model(path).pieces if p.type in (1, 4)])
+
 
+class Frequent:
+    """The ids of the units that are looked up where they stand; a bound on what is sent to each task."""
 
-def _digest(frequent):
-    """Sums over a document's units: what the frequent ones come to, and the rare ones with the sum of their places."""
+    def __init__(self, rows: pa.Table):
+        self.units = rows["unit"].combine_chunks()
+        ids = rows["ids"].combine_chunks()
+        self.ids, self.begins = ids.flatten().to_numpy().astype(np.int32), np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py()
+
+    def place(self, units: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(units, self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows(cutter: Cutter, frequent, requests: bool):
+    """Of each row, numbered by partition and place: either the rare units that it needs, or its ids with -1 - k for its k-th distinct rare unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n_ids = digest = n_units = 0
-                rare: dict[str, list[int]] = {}
-                for place, unit in enumerate(units_of(text or ""), 1):
-                    found = known.get(unit)
-                    if found is None:
-                        rare.setdefault(unit, []).append(place)
-                    else:
-                        n_ids += found[0]
-                        digest += place * found[1]
-                    n_units = place
-                rows.append((rid, doc_id, n_units, n_ids, digest % MODULUS, [{"unit": u, "times": len(p), "places": sum(p) % MODULUS} for u, p in rare.items()]))
-                rid += 1
-            schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_ids", pa.int64()), ("digest", pa.int64()), ("rare", pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64()), ("places", pa.int64())])))])
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(6)], schema=schema)
+        known: Frequent = frequent.value
+        rid, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd")
+        for part in byte_slices(batches, 1, BLOCK_BYTES):
+            texts = part.column(1).to_pylist()
+            units, numbers, counts = cutter.units(texts)
+            place = known.place(units)[numbers] if len(units) else numbers
+            text = np.repeat(np.arange(len(texts)), counts)
+            rare = np.flatnonzero(place < 0)
+            pair, first, back = np.unique(text[rare] * (len(units) + 1) + numbers[rare], return_index=True, return_inverse=True)
+            owner = pair // (len(units) + 1)
+            k = np.arange(len(pair)) - np.searchsorted(owner, owner)
+            if requests:
+                yield pa.RecordBatch.from_arrays([pa.array(rid + owner), pa.array(k.astype(np.int32)), units.take(pa.array(numbers[rare[first]]))], ["rid", "k", "unit"])
+            else:
+                begin, length = np.zeros(len(numbers), np.int64), np.ones(len(numbers), np.int64)
+                often = place >= 0
+                begin[often], length[often] = known.begins[place[often]], np.diff(known.begins)[place[often]]
+                pool = np.append(known.ids, (-1 - np.arange(k.max(initial=0) + 1)).astype(np.int32))
+                begin[rare] = len(known.ids) + k[back]
+                at = np.concatenate([[0], np.cumsum(length)])
+                ids = pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
+                cuts = at[np.concatenate([[0], np.cumsum(counts)])]
+                packed = [codec.compress(ids[a:b].tobytes(), asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(texts))), part.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["rid", "doc_id", "n", "packed", "crc"])
+            rid += len(texts)
 
     return run
 
 
-def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_units, n_ids, ids_digest (the sum over units of place x crc32 of the unit's ids, modulo 2^31 - 1)."""
+def decoder_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begins): the bytes of piece i, its marks as spaces, are bytes[begins[i]:begins[i + 1]]; control pieces have none."""
+    table = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b"" for p in load_model(path).pieces]
+    return np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
+
+
+def decode_flat(ids: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """The bytes of texts whose ids are ids[cuts[k]:cuts[k + 1]], without the space in front."""
+    data, begins = table
+    length = np.diff(begins)[ids]
+    at = np.concatenate([[0], np.cumsum(length)])
+    flat = data[np.repeat(begins[:-1][ids] - at[:-1], length) + np.arange(at[-1])].tobytes()
+    ends = at[cuts]
+    return [flat[a + (flat[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _filled(path: str):
+    """Rows with packed ids and the lists of their rare units to rows of ids, each decoded again and held against its text's crc32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, codec = decoder_of(path), pa.Codec("zstd")
+        for batch in byte_slices(batches, 2, BLOCK_BYTES // 4):
+            sizes = batch.column(1).to_numpy()
+            flat = np.concatenate([np.frombuffer(codec.decompress(p, 4 * int(n), asbytes=True), np.int32) if n else np.empty(0, np.int32) for p, n in zip(batch.column(2).to_pylist(), sizes, strict=True)] + [np.empty(0, np.int32)])
+            lists = batch.column(4)  # by k, so that the k-th list of a row is its k-th rare unit's
+            inner = lists.flatten()
+            lengths, offsets = np.asarray(lists.offsets).astype(np.int64), np.asarray(inner.offsets).astype(np.int64)
+            pool = np.concatenate([np.arange(len(table[1]) - 1, dtype=np.int32), inner.values.to_numpy(zero_copy_only=False).astype(np.int32)])
+            rare = np.flatnonzero(flat < 0)
+            row = np.searchsorted(np.cumsum(sizes), rare, "right")
+            unit = lengths[row] - lengths[0] - 1 - flat[rare]
+            begin, length = flat.astype(np.int64), np.ones(len(flat), np.int64)
+            begin[rare], length[rare] = offsets[unit] + len(table[1]) - 1, np.diff(offsets)[unit]
+            at = np.concatenate([[0], np.cumsum(length)])
+            ids = pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
+            cuts = at[np.concatenate([[0], np.cumsum(sizes)])]
+            same = [zlib.crc32(t) == crc for t, crc in zip(decode_flat(ids, cuts, table), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_ids, ids, round_trip) of every row. docs is scanned three times and has to give the same rows in the same
+    partitions each time, as a table does. round_trip: whether the ids decode to the text."""
     spark, path = docs.sparkSession, path or vocabulary_path("piece_bpe_32k.model")
-    as_bytes = F.expr("unhex(array_join(transform(transform(ids, i -> lpad(hex(i), 8, '0')), h -> substring(h, 7, 2) || substring(h, 5, 2) || substring(h, 3, 2) || substring(h, 1, 2)), ''))")
-    table = vocabulary_of(docs, path, text_col, "unit", "c", F.size("ids").cast("long").alias("n"), F.crc32(as_bytes).alias("crc"))
-    top = table.orderBy(F.desc("c"), "unit").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top["unit"].to_pylist(), zip(top["n"].to_pylist(), top["crc"].to_pylist(), strict=True), strict=True))
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_digest(spark.sparkContext.broadcast(frequent)), "rid long, doc_id long, n_units long, n_ids long, digest long, rare array<struct<unit: string, times: long, places: long>>")
-    rows = saved(rows, "unit-rows", compression="zstd")
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.*").join(table.select("unit", "n", "crc"), "unit")
-    sums = rare.groupBy("rid").agg(F.sum(F.col("times") * F.col("n")).alias("more_ids"), F.sum(F.col("places") * F.col("crc") % MODULUS).alias("more"))
-    whole = rows.drop("rare").join(sums, "rid", "left")
-    return whole.select("doc_id", "n_units", (F.col("n_ids") + F.coalesce("more_ids", F.lit(0))).alias("n_ids"), ((F.col("digest") + F.coalesce("more", F.lit(0))) % MODULUS).alias("ids_digest"))
+    vocabulary, cutter = vocabulary_of(docs, path, text_col), cutter_of(path)
+    frequent = spark.sparkContext.broadcast(Frequent(vocabulary.orderBy(F.desc("c"), "unit").limit(FREQUENT).select("unit", "ids").toArrow()))
+    given = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    asked = given.mapInArrow(_rows(cutter, frequent, True), "rid long, k int, unit string").join(vocabulary.select("unit", "ids"), "unit")
+    lists = asked.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("lists")).select("rid", F.expr("transform(lists, x -> x.ids)").alias("lists"))
+    rows = given.mapInArrow(_rows(cutter, frequent, False), "rid long, doc_id long, n long, packed binary, crc long").join(lists, "rid", "left")
+    whole = rows.select("doc_id", "n", "packed", "crc", F.coalesce("lists", F.expr("cast(array() AS array<array<int>>)")))
+    return whole.mapInArrow(_filled(path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = decoder_of(path)
+        for batch in batches:
+            lists = batch.column(1)
+            cuts = np.asarray(lists.offsets).astype(np.int64)
+            texts = decode_flat(lists.values.to_numpy(zero_copy_only=False), cuts, table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["key", "text"])
+
+    return run
 
 
-def digest_of(unit_ids: list[list[int]]) -> int:
-    """ids_digest of a document from its units' ids."""
-    return sum(place * zlib.crc32(np.array(ids, "<u4").tobytes()) for place, ids in enumerate(unit_ids, 1)) % MODULUS
+def decode_ids(rows: DataFrame, path: str, key: str, ids_col: str = "ids") -> DataFrame:
+    """(key, text) of each row's ids: marks are spaces, and the space in front is taken off. Rows without ids have the text ""."""
+    found = rows.select(key, F.coalesce(F.col(ids_col).cast("array<int>"), F.expr("cast(array() AS array<int>)"))).mapInArrow(_decode(path), T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("text", T.StringType())]))
+    return found.withColumnRenamed("key", key)
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(read_table(spark, sf_dir, "documents"))
+    return encode_documents(read_table(spark, sf_dir, "documents"))

@@ -177,27 +177,45 @@ def test_token_files(spark, docs, data, tmp_path):
     assert token_files.token_digests(spark, out + "0").count() == 0
 
 
-def test_pieces(spark, docs):
+def test_pieces(spark, docs, data):
     path = vocabulary_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("text", F.substring("text", 1, 3000))
-    texts = {r.doc_id: r.text or "" for r in unique.collect()}
-    coded = pieces.encode_documents(unique)
-    ids = {r.doc_id: list(r.ids) for r in coded.collect()}
-    assert ids == {i: sp.encode(t) for i, t in texts.items()}
-    back = {r.doc_id: r.text for r in pieces.decode_ids(coded, path, "doc_id").collect()}
-    assert all(back.get(i, "") == t for i, t in texts.items())
+    odd = [(900, "naïve  x\n\n12,5% \t'a' ▁ <s> 語" + " " * 60 + "x" * 70), (901, "ab" * 40000)]
+    rows_ = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    coded = pieces.encode_documents(rows_).collect()
+    key = lambda r: (r[0] is not None, r[0], r[1])
+    want = sorted([(i, sp.encode(t or ""), "▁" not in (t or "")) for i, t in [(r[0], r[1]) for r in data] + odd], key=key)
+    assert sorted([(r.doc_id, list(r.ids), r.round_trip) for r in coded], key=key) == want
+    assert all(r.n_ids == len(r.ids) for r in coded)
+    assert pieces.encode_documents(rows_.limit(0)).count() == 0
+
+
+def test_pieces_are_joined_where_rare(spark, docs, data, monkeypatch):
+    monkeypatch.setattr(pieces, "FREQUENT", 3)
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    got = sorted((r.doc_id or -1, list(r.ids)) for r in pieces.encode_documents(docs).collect())
+    assert got == sorted((r[0] or -1, sp.encode(r[1] or "")) for r in data)
+
+
+def test_decoding(spark, docs):
+    path = vocabulary_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    given = [(r.doc_id, sp.encode(r.text or "")) for r in unique.collect()]
+    frame = spark.createDataFrame([*given, (None, None)], "doc_id long, ids array<int>")
+    back = {r.doc_id: r.text for r in pieces.decode_ids(frame, path, "doc_id").collect()}
+    assert back == {r.doc_id: r.text or "" for r in unique.collect()} | {None: ""}
 
 
 def test_viterbi_by_brute_force():
     rnd = random.Random(4)
     for _ in range(30):
-        n = rnd.randint(1, 7)
-        edges = [(rnd.random() * (e - b), b, e) for b in range(n) for e in range(b + 1, n + 1) if e - b == 1 or rnd.random() < 0.5]
-        cost = {(b, e): r for r, b, e in edges}
-        paths = [c for m in range(1 << (n - 1)) for c in [[0, *(i for i in range(1, n) if m >> (i - 1) & 1), n]] if all(p in cost for p in zip(c, c[1:], strict=False))]
-        total = lambda c: sum(cost[p] for p in zip(c, c[1:], strict=False))
-        assert total(pieces.viterbi_by_steps(n, edges)) == pytest.approx(min(map(total, paths)))
+        unit = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8)))
+        rank = {unit[b:e]: rnd.random() * (e - b) for b in range(len(unit)) for e in range(b + 1, len(unit) + 1) if rnd.random() < 0.5}
+        paths = [[0, *(i for i in range(1, len(unit)) if m >> (i - 1) & 1), len(unit)] for m in range(1 << (len(unit) - 1))]
+        total = lambda c: sum(rank.get(unit[b:e], pieces.NO_PIECE if e - b == 1 else np.inf) for b, e in zip(c, c[1:], strict=False))  # noqa: E731, B023
+        assert total(pieces.viterbi_by_steps(unit, rank)) == pytest.approx(min(map(total, paths)))
 
 
 def test_crf_viterbi_by_brute_force():
@@ -329,10 +347,3 @@ def test_near_copies_go_by_row(spark):
     assert left.columns == frame.columns
     got = sorted(((r.doc_id, r.text.strip()) for r in left.collect()), key=str)
     assert got == sorted([(3, text), (5, apart), (7, ("alone " * 9).strip()), (None, "no id at all here")], key=str)
-
-
-def test_decoding_keeps_documents_without_ids_and_whole_texts(spark, docs):
-    path = vocabulary_path("piece_bpe_32k.model")
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    back = {r.doc_id: r.text for r in pieces.decode_ids(pieces.encode_documents(unique), path, "doc_id").collect()}
-    assert back == {r.doc_id: r.text or "" for r in unique.collect()}
