@@ -11,8 +11,9 @@ side by side. No piece crosses a unit, so a unit's ids are the same wherever it
   what the model's own encoder returns; there the fold takes, step by step, the edge of best score that joins two neighbours.
   Boundaries are bits of a long, so units over WIDEST characters, which prose has few of, are folded by the same rule in Python.
 
-Ids go back to documents by frequency: the FREQUENT units' ids travel to each task (a bound on what is sent), rarer ones are
-joined, each row asking once for each of its own. Decoding takes a piece's bytes by its id (the piece table is the model's).
+Units of at most FREQUENT, chosen by their counts in a sample of about SAMPLE_ROWS rows, travel to each task with their ids (a
+bound on what is sent; which they are changes no result). All others are asked for once by every block of rows, encoded once, and
+joined back to the blocks. Decoding takes a piece's bytes by its id (the piece table is the model's).
 
 Defined cases: null and empty texts have no ids and decode to ""; repeated rows get a row each; a null doc_id stays null; an empty
 table gives an empty result; extra columns are not read. Texts and units of any length are encoded whole. A text that holds the
@@ -37,10 +38,10 @@ from riskloom.llm.common import byte_slices, read_table, saved
 from riskloom.llm.wordbpe import vocabulary_path
 
 MARK = "▁"
-WIDEST, FREQUENT = 48, 200_000
+WIDEST, FREQUENT, SAMPLE_ROWS = 48, 400_000, 40_000
 NO_PIECE = 1e12  # the cost of a character that is no piece
 BLOCK_BYTES, HELD_UNITS = 4 << 20, 600_000  # bytes of text cut at once; units counted before they are sent on
-PARTS_A_SPLIT, FALLBACK, FALLBACK_SETTING = 8, "30000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+UNITS_A_PART, PARTS_A_SPLIT, FALLBACK, FALLBACK_SETTING = 10_000, 8, "30000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 UNIGRAM, BPE = 1, 2
 FIRST_BYTE_ID = 3
 # an edge of a narrow unit as one long: the score's place, begin (6 bits), end (6 bits), id (20 bits; all set: the bytes' ids)
@@ -236,22 +237,6 @@ def _summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
     return sums.rename_columns({"c_sum": "c"}).select(["unit", "c"]).to_batches(max_chunksize=100_000)
 
 
-def vocabulary_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(unit, c, ids) of every distinct unit of the texts, as a written table."""
-    spark, cutter = docs.sparkSession, cutter_of(path)
-    # so few units a partition that their edges are grouped in memory, by hash; beyond FALLBACK units Spark sorts them instead
-    parts = max(1, docs.rdd.getNumPartitions()) * PARTS_A_SPLIT
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_unit_counts(cutter), "unit string, c long")
-    counted = counted.repartition(parts, "unit").groupBy("unit").agg(F.sum("c").alias("c"))
-    counted = saved(counted, "units", compression="zstd")
-    before = spark.conf.get(FALLBACK_SETTING)
-    spark.conf.set(FALLBACK_SETTING, FALLBACK)
-    try:
-        return saved(encode_units(counted.repartition(parts, "unit"), path), "vocabulary", compression="zstd")
-    finally:
-        spark.conf.set(FALLBACK_SETTING, before)
-
-
 def cutter_of(path: str) -> Cutter:
     return Cutter([p.piece for p in load_model(path).pieces if p.type in (1, 4)])
 
@@ -268,40 +253,62 @@ class Frequent:
         return pc.fill_null(pc.index_in(units, self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _rows(cutter: Cutter, frequent, requests: bool):
-    """Of each row, numbered by partition and place: either the rare units that it needs, or its ids with -1 - k for its k-th distinct rare unit."""
+def frequent_units(docs: DataFrame, path: str, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Frequent:
+    """The FREQUENT most frequent units of about sample_rows rows, with their ids. Which they are changes no result."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    counted = docs.select(F.col(text_col).cast("string")).sample(share, seed=7).mapInArrow(_unit_counts(cutter_of(path)), "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c"))
+    top = saved(counted.orderBy(F.desc("c"), "unit").limit(FREQUENT).select("unit"), "frequent-units")
+    return Frequent(encode_in_parts(top, FREQUENT // UNITS_A_PART, path).toArrow())
+
+
+def encode_in_parts(units: DataFrame, parts: int, path: str) -> DataFrame:
+    """encode_units of distinct units. They are dealt out so that few lie in a partition, whose edges are then grouped in memory, by
+    hash; beyond FALLBACK units Spark sorts them instead."""
+    spark = units.sparkSession
+    before = spark.conf.get(FALLBACK_SETTING)
+    spark.conf.set(FALLBACK_SETTING, FALLBACK)
+    try:
+        return saved(encode_units(units.repartition(parts, "unit").distinct(), path), "vocabulary", compression="zstd")
+    finally:
+        spark.conf.set(FALLBACK_SETTING, before)
+
+
+def _blocks(cutter: Cutter, frequent, pieces: int, requests: bool):
+    """Of each block of rows, numbered by partition and place: either the rare units that it needs, or its ids, packed, with pieces + k for its k-th rare unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Frequent = frequent.value
-        rid, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd")
+        block, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd", 3)
         for part in byte_slices(batches, 1, BLOCK_BYTES):
             texts = part.column(1).to_pylist()
             units, numbers, counts = cutter.units(texts)
-            place = known.place(units)[numbers] if len(units) else numbers
-            text = np.repeat(np.arange(len(texts)), counts)
+            place = known.place(units)
             rare = np.flatnonzero(place < 0)
-            pair, first, back = np.unique(text[rare] * (len(units) + 1) + numbers[rare], return_index=True, return_inverse=True)
-            owner = pair // (len(units) + 1)
-            k = np.arange(len(pair)) - np.searchsorted(owner, owner)
             if requests:
-                yield pa.RecordBatch.from_arrays([pa.array(rid + owner), pa.array(k.astype(np.int32)), units.take(pa.array(numbers[rare[first]]))], ["rid", "k", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), block)), pa.array(np.arange(len(rare), dtype=np.int32)), units.take(pa.array(rare))], ["block", "k", "unit"])
             else:
-                begin, length = np.zeros(len(numbers), np.int64), np.ones(len(numbers), np.int64)
+                begin, length = np.zeros(len(units), np.int64), np.ones(len(units), np.int64)
                 often = place >= 0
                 begin[often], length[often] = known.begins[place[often]], np.diff(known.begins)[place[often]]
-                pool = np.append(known.ids, (-1 - np.arange(k.max(initial=0) + 1)).astype(np.int32))
-                begin[rare] = len(known.ids) + k[back]
-                at = np.concatenate([[0], np.cumsum(length)])
-                ids = pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
-                cuts = at[np.concatenate([[0], np.cumsum(counts)])]
-                packed = [codec.compress(ids[a:b].tobytes(), asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                begin[rare] = len(known.ids) + np.arange(len(rare))
+                pool = np.append(known.ids, pieces + np.arange(len(rare), dtype=np.int32))
+                flat, at = _strung(pool, begin[numbers], length[numbers])
+                sizes = np.diff(at[np.concatenate([[0], np.cumsum(counts)])])
+                packed = codec.compress(flat.astype(np.uint16 if pieces + len(rare) <= 1 << 16 else np.uint32).tobytes(), asbytes=True)
                 crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(texts))), part.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["rid", "doc_id", "n", "packed", "crc"])
-            rid += len(texts)
+                row = {"block": block, "doc_ids": part.column(0).to_pylist(), "sizes": sizes, "crc": crc, "wide": pieces + len(rare) > 1 << 16, "packed": packed}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("wide", pa.bool_()), ("packed", pa.binary())]))
+            block += 1
 
     return run
 
 
+def _strung(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[begin:begin + length] one after the other, and where each begins and the last ends."""
+    at = np.concatenate([[0], np.cumsum(length)])
+    return pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])], at
+
+
 def decoder_of(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, begins): the bytes of piece i, its marks as spaces, are bytes[begins[i]:begins[i + 1]]; control pieces have none."""
     table = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b"" for p in load_model(path).pieces]
@@ -311,50 +318,46 @@ def decoder_of(path: str) -> tuple[np.ndarray, np.ndarray]:
 def decode_flat(ids: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """The bytes of texts whose ids are ids[cuts[k]:cuts[k + 1]], without the space in front."""
     data, begins = table
-    length = np.diff(begins)[ids]
-    at = np.concatenate([[0], np.cumsum(length)])
-    flat = data[np.repeat(begins[:-1][ids] - at[:-1], length) + np.arange(at[-1])].tobytes()
-    ends = at[cuts]
-    return [flat[a + (flat[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    found, at = _strung(data, begins[:-1][ids], np.diff(begins)[ids])
+    flat, ends = found.tobytes(), at[cuts].tolist()
+    return [flat[a + (flat[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _filled(path: str):
-    """Rows with packed ids and the lists of their rare units to rows of ids, each decoded again and held against its text's crc32."""
+    """Blocks of packed ids, with their rare units' ids by k, to rows of ids, each decoded again and held against its text's crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, codec = decoder_of(path), pa.Codec("zstd")
-        for batch in byte_slices(batches, 2, BLOCK_BYTES // 4):
-            sizes = batch.column(1).to_numpy()
-            flat = np.concatenate([np.frombuffer(codec.decompress(p, 4 * int(n), asbytes=True), np.int32) if n else np.empty(0, np.int32) for p, n in zip(batch.column(2).to_pylist(), sizes, strict=True)] + [np.empty(0, np.int32)])
-            lists = batch.column(4)  # by k, so that the k-th list of a row is its k-th rare unit's
-            inner = lists.flatten()
-            lengths, offsets = np.asarray(lists.offsets).astype(np.int64), np.asarray(inner.offsets).astype(np.int64)
-            pool = np.concatenate([np.arange(len(table[1]) - 1, dtype=np.int32), inner.values.to_numpy(zero_copy_only=False).astype(np.int32)])
-            rare = np.flatnonzero(flat < 0)
-            row = np.searchsorted(np.cumsum(sizes), rare, "right")
-            unit = lengths[row] - lengths[0] - 1 - flat[rare]
-            begin, length = flat.astype(np.int64), np.ones(len(flat), np.int64)
-            begin[rare], length[rare] = offsets[unit] + len(table[1]) - 1, np.diff(offsets)[unit]
-            at = np.concatenate([[0], np.cumsum(length)])
-            ids = pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
-            cuts = at[np.concatenate([[0], np.cumsum(sizes)])]
-            same = [zlib.crc32(t) == crc for t, crc in zip(decode_flat(ids, cuts, table), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+        pieces = len(table[1]) - 1
+        for batch in batches:
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+                doc_ids, sizes, crc = (row.column(k).flatten() for k in range(3))
+                sizes, kind = sizes.to_numpy(), np.uint32 if row.column(3)[0].as_py() else np.uint16
+                coded = np.frombuffer(codec.decompress(row.column(4)[0].as_py(), int(sizes.sum()) * kind().itemsize, asbytes=True), kind).astype(np.int64)
+                rare = row.column(5).flatten()
+                pool = np.concatenate([np.arange(pieces, dtype=np.int32), rare.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                offsets = np.asarray(rare.offsets).astype(np.int64) if len(rare) else np.zeros(1, np.int64)
+                begins = np.concatenate([np.arange(pieces), pieces + offsets[:-1] - offsets[0]])
+                lengths = np.concatenate([np.ones(pieces, np.int64), np.diff(offsets)])
+                ids, at = _strung(pool, begins[coded], lengths[coded])
+                cuts = at[np.concatenate([[0], np.cumsum(sizes)])]
+                same = [zlib.crc32(t) == c for t, c in zip(decode_flat(ids, cuts, table), crc.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
 
     return run
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ids, ids, round_trip) of every row. docs is scanned three times and has to give the same rows in the same
-    partitions each time, as a table does. round_trip: whether the ids decode to the text."""
+    """(doc_id, n_ids, ids, round_trip) of every row. docs is scanned twice and has to give the same rows in the same partitions
+    each time, as a table does. round_trip: whether the ids decode to the text."""
     spark, path = docs.sparkSession, path or vocabulary_path("piece_bpe_32k.model")
-    vocabulary, cutter = vocabulary_of(docs, path, text_col), cutter_of(path)
-    frequent = spark.sparkContext.broadcast(Frequent(vocabulary.orderBy(F.desc("c"), "unit").limit(FREQUENT).select("unit", "ids").toArrow()))
+    frequent, cutter, pieces = spark.sparkContext.broadcast(frequent_units(docs, path, text_col)), cutter_of(path), len(load_model(path).pieces)
     given = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    asked = given.mapInArrow(_rows(cutter, frequent, True), "rid long, k int, unit string").join(vocabulary.select("unit", "ids"), "unit")
-    lists = asked.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("lists")).select("rid", F.expr("transform(lists, x -> x.ids)").alias("lists"))
-    rows = given.mapInArrow(_rows(cutter, frequent, False), "rid long, doc_id long, n long, packed binary, crc long").join(lists, "rid", "left")
-    whole = rows.select("doc_id", "n", "packed", "crc", F.coalesce("lists", F.expr("cast(array() AS array<array<int>>)")))
+    asked = saved(given.mapInArrow(_blocks(cutter, frequent, pieces, True), "block long, k int, unit string"), "rare-units", compression="zstd")
+    vocabulary = encode_in_parts(asked.select("unit"), max(1, docs.rdd.getNumPartitions()) * PARTS_A_SPLIT, path)
+    rare = asked.join(vocabulary, "unit").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("rare")).select("block", F.expr("transform(rare, x -> x.ids)").alias("rare"))
+    blocks = given.mapInArrow(_blocks(cutter, frequent, pieces, False), "block long, doc_ids array<long>, sizes array<long>, crc array<long>, wide boolean, packed binary")
+    whole = blocks.join(rare, "block", "left").select("doc_ids", "sizes", "crc", "wide", "packed", F.coalesce("rare", F.expr("cast(array() AS array<array<int>>)")))
     return whole.mapInArrow(_filled(path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 

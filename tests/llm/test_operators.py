@@ -192,6 +192,7 @@ def test_pieces(spark, docs, data):
 
 def test_pieces_are_joined_where_rare(spark, docs, data, monkeypatch):
     monkeypatch.setattr(pieces, "FREQUENT", 3)
+    monkeypatch.setattr(pieces, "UNITS_A_PART", 1)
     monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
     got = sorted((r.doc_id or -1, list(r.ids)) for r in pieces.encode_documents(docs).collect())
