@@ -9,7 +9,7 @@ from riskloom.llm.common import saved
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the least node reachable. Each step links neighbours to the least of
+    """(node, root) of every node of edges (a, b) but the roots themselves: root is the least node reachable. Each step links neighbours to the least of
     them, which keeps components whole; it ends when a step changes no edge. Lineage is cut at each round."""
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None

@@ -38,7 +38,7 @@ from riskloom.llm.common import byte_slices, read_table, saved
 from riskloom.llm.wordbpe import vocabulary_path
 
 MARK = "▁"
-WIDEST, FREQUENT, SAMPLE_ROWS = 48, 400_000, 40_000
+WIDEST, FREQUENT, SAMPLE_ROWS = 48, 600_000, 80_000
 NO_PIECE = 1e12  # the cost of a character that is no piece
 BLOCK_BYTES, HELD_UNITS = 4 << 20, 600_000  # bytes of text cut at once; units counted before they are sent on
 UNITS_A_PART, PARTS_A_SPLIT, FALLBACK, FALLBACK_SETTING = 10_000, 8, "30000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -278,7 +278,7 @@ def _blocks(cutter: Cutter, frequent, pieces: int, requests: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Frequent = frequent.value
-        block, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd", 3)
+        block, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd", 9)
         for part in byte_slices(batches, 1, BLOCK_BYTES):
             texts = part.column(1).to_pylist()
             units, numbers, counts = cutter.units(texts)

@@ -3,16 +3,20 @@
 A fingerprint has a bit for each of 64 positions, set if it is set in over half the hashes of the text's word shingles. Equal
 fingerprints are one; pairs of distinct ones are found by their distances to reference fingerprints (pivots):
 
-* The 64 positions are dealt to three regions. Each region has a table of pivots that differ from zero in one position of the
-  region, and a fingerprint's distances to them, taken inside the region, are its coordinates there. Two fingerprints that
-  differ in at most two positions leave one region untouched, so all its coordinates agree: that is the equi-join key.
-* Of the pairs that share a key, those with a coordinate that differs by more than two on the table of SPREAD pivots over all
-  positions are discarded: a distance to a pivot can't change by more than the distance between the two.
+* The 64 positions are dealt to three regions, each with pivots that differ from zero inside the region alone. The table holds
+  every fingerprint's Hamming distances to zero and to all pivots. A distance to a pivot, less that to zero, depends on the
+  region's bits only. Two fingerprints that differ in at most two positions leave one region untouched, so all their coordinates
+  there agree: that is the equi-join key.
+* Of the pairs that share a key, those with a coordinate anywhere on the table that differs by more than two are discarded: a
+  distance to a pivot can't change by more than the distance between the two.
 * Survivors are verified by their exact distance.
 
-A bucket of more than BUCKET fingerprints is split anew by the positions that it doesn't fix, again in three regions, until it
-is small enough; no pair is lost, since the two positions leave one of three untouched at every depth, and a bucket with six
-free positions or fewer holds at most 64 distinct fingerprints. So no bucket's pairs grow with the square of a hot group.
+A bucket of more than BUCKET fingerprints is split anew by the positions that it doesn't fix, again in three regions with pivots
+of their own, until it is small enough; no pair is lost, since the two positions leave one of three untouched at every depth. So
+no bucket's pairs grow with the square of a hot group.
+
+Fingerprints of 64 bits tell near copies of a few edits apart by more bits than any such table can search; drop_near_copies
+finds them by the wider fingerprints of riskloom.llm.similar and keeps one row of each component.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle make one
 shingle; repeated rows get a row each; a null doc_id is never a component's smallest unless there is no other; an empty table
@@ -32,10 +36,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import read_table, saved, text_batches
 from riskloom.llm.components import components
+from riskloom.llm.similar import SIMILAR, similar_pairs
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-BUCKET, REGIONS = 64, 3
-SPREAD = tuple(random.Random(11).getrandbits(64) for _ in range(12))
+BUCKET, REGIONS, PIVOTS = 64, 3, 16
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 COLUMN = (np.arange(8) * 256).astype(np.int64)
 
@@ -66,42 +70,98 @@ def split_positions(positions: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [positions[k::REGIONS] for k in range(REGIONS)]
 
 
-def region_key(fp: Column, region: tuple[int, ...]) -> Column:
-    """A number that stands for the coordinates of fp in the region: its distances, inside the region, to the region's pivots
-    e_j (bit j alone) are w + 1 - 2 x_j, where w is its distance to zero and x_j its bit j; so equal coordinates are equal x."""
-    return fp.bitwiseAND(F.lit(signed(sum(1 << j for j in region))))
+def region_pivots(region: tuple[int, ...]) -> list[int]:
+    """Reference fingerprints that differ from zero inside the region alone: of a small region its first one, two, ... positions,
+    so that the distances tell all its bits; else PIVOTS random sets of half its positions."""
+    if len(region) < 16:
+        return [sum(1 << j for j in region[: k + 1]) for k in range(len(region))]
+    rnd = random.Random(region[0] + 64 * len(region))
+    return [sum(1 << j for j in rnd.sample(region, len(region) // 2)) for _ in range(PIVOTS)]
+
+
+TABLE = [(0, m) for m in [0]] + [(k + 1, m) for k, region in enumerate(split_positions(tuple(range(64)))) for m in region_pivots(region)]  # region (0: none), pivot
+
+
+def distance(fp: Column, pivot: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(signed(pivot))))
+
+
+def coordinates(to_zero: Column, to_pivots: list[tuple[int, Column]]) -> Column:
+    """One number of a region's coordinates: the distances to its pivots less the distance to zero, which is what the fingerprint
+    has outside the region in common; halved, they take four bits each."""
+    key = F.lit(0).cast("long")
+    for k, (pivot, to_pivot) in enumerate(to_pivots):
+        inside = F.shiftright((to_zero + F.lit(pivot.bit_count()) - to_pivot).cast("long"), 1)
+        key = key.bitwiseOR(F.shiftleft(inside, 4 * k))
+    return key
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fps (column fp) with d, the distances to the pivots of TABLE."""
+    return fps.withColumn("d", F.array(*[distance(F.col("fp"), m).cast("byte") for _, m in TABLE]))
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """(a, b, apart) of pairs with equal coordinates in a region (path and fixed): apart is their largest coordinate difference on the whole table."""
+    left = keyed.select(F.col("fp").alias("a"), F.col("d").alias("da"), "path", "fixed")
+    right = keyed.select(F.col("fp").alias("b"), F.col("d").alias("db"), "path", "fixed")
+    apart = F.greatest(*[F.abs(F.col("da")[i] - F.col("db")[i]) for i in range(len(TABLE))])
+    same = (left["path"] == right["path"]) & (left["fixed"] == right["fixed"]) & (F.col("a") < F.col("b"))
+    return left.join(right, same).select("a", "b", apart.alias("apart"))
+
+
+def first_keys(table: DataFrame) -> DataFrame:
+    """A row for each region of all positions: path names the region, fixed holds the coordinates in it."""
+    keys = []
+    for k in range(REGIONS):
+        to = [(m, F.col("d")[i].cast("int")) for i, (r, m) in enumerate(TABLE) if r == k + 1]
+        keys.append(F.struct(F.lit(str(k)).alias("path"), F.array(coordinates(F.col("d")[0].cast("int"), to)).alias("fixed")))
+    return table.select("fp", "d", F.explode(F.array(*keys)).alias("k")).select("fp", "d", "k.path", "k.fixed")
+
+
+def free_positions(path: str) -> tuple[int, ...]:
+    """The positions outside the regions that path names, one in each split."""
+    free = tuple(range(64))
+    for k in path:
+        region = split_positions(free)[int(k)]
+        free = tuple(j for j in free if j not in region)
+    return free
+
+
+def _more_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of full buckets, once for each region of the positions that their path leaves free, with the coordinates there."""
+    pivots: dict[str, list[list[int]]] = {}
+    for batch in batches:
+        paths, prints = np.array(batch.column(2).to_pylist()), batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        for path in np.unique(paths).tolist():
+            at = np.flatnonzero(paths == path)
+            part, fps = batch.take(pa.array(at)), prints[at]
+            to_zero = np.bitwise_count(fps).astype(np.int64)
+            if path not in pivots:
+                pivots[path] = [region_pivots(region) for region in split_positions(free_positions(path))]
+            for k, masks in enumerate(pivots[path]):
+                key = np.zeros(len(fps), np.int64)
+                for i, m in enumerate(masks):
+                    key |= (to_zero + m.bit_count() - np.bitwise_count(fps ^ np.uint64(m)).astype(np.int64) >> 1) << (4 * i)
+                fixed = pa.array([[*f, x] for f, x in zip(part.column(3).to_pylist(), key.tolist(), strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f"{path}{k}"] * len(fps)), fixed], ["fp", "d", "path", "fixed"])
 
 
 def near_pairs(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), a < b, of all distinct fingerprints in column fp that differ in at most two positions."""
-    spread = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p)))).cast("byte") for p in SPREAD]
-    # path: the regions fixed so far; fixed: the key in them
-    levels, found = [((), tuple(range(64)))], []
-    rest = saved(fps.select("fp", F.array(*spread).alias("d"), F.lit("").alias("path"), F.lit(0).cast("long").alias("fixed")), "pivots")
+    """(a, b), a < b, of all distinct fingerprints in column fp that differ in at most MOST_BITS positions."""
+    keyed, found, free = saved(first_keys(pivot_table(fps.select("fp"))), "buckets"), None, 64
     while True:
-        split = F.lit(None)
-        for path, free in levels:
-            name = "".join(map(str, path))
-            keys = F.array(*[F.struct(F.lit(f"{name}{k}").alias("path"), F.col("fixed").bitwiseOR(region_key(F.col("fp"), region)).alias("fixed")) for k, region in enumerate(split_positions(free))])
-            split = F.when(F.col("path") == name, keys).otherwise(split)
-        keyed = saved(rest.select("fp", "d", F.explode(split).alias("k")).select("fp", "d", "k.path", "k.fixed"), "buckets")
-        sizes = keyed.groupBy("path", "fixed").count().where("count > 1")
-        sizes = saved(sizes, "bucket-sizes")
-        small = keyed.join(sizes.where(F.col("count") <= bucket).select("path", "fixed"), ["path", "fixed"], "left_semi")
-        left = small.select(F.col("fp").alias("a"), F.col("d").alias("da"), "path", "fixed")
-        right = small.select(F.col("fp").alias("b"), F.col("d").alias("db"), "path", "fixed")
-        apart = F.greatest(*[F.abs(F.col("da")[i] - F.col("db")[i]) for i in range(len(SPREAD))])
-        same = (left["path"] == right["path"]) & (left["fixed"] == right["fixed"]) & (F.col("a") < F.col("b"))
-        found.append(left.join(right, same & (apart <= MOST_BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b"))
-        large = sizes.where(F.col("count") > bucket)
+        free -= free // REGIONS
+        most = bucket if free >= 2 * REGIONS else 1 << 62  # what can't be split further is small
+        sizes = saved(keyed.groupBy("path", "fixed").count().where("count > 1"), "bucket-sizes")
+        small = keyed.join(sizes.where(F.col("count") <= most).select("path", "fixed"), ["path", "fixed"], "left_semi")
+        near = candidates(small).where(F.col("apart") <= MOST_BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS).select("a", "b")
+        found = near if found is None else found.unionByName(near)
+        large = sizes.where(F.col("count") > most)
         if large.isEmpty():
-            break
-        rest = saved(keyed.join(large.select("path", "fixed"), ["path", "fixed"], "left_semi"), "full-buckets")
-        levels = [((*path, k), tuple(j for j in free if j not in region)) for path, free in levels for k, region in enumerate(split_positions(free))]
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+            return found.distinct()
+        full = keyed.join(large.select("path", "fixed"), ["path", "fixed"], "left_semi").select("fp", "d", "path", "fixed")
+        keyed = saved(full.mapInArrow(_more_keys, keyed.schema), "buckets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,14 +176,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(places, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest id, a null id last. Rows are told apart by a number of their own, since
-    ids may be shared by rows of other components, or by several of one."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """One row of each component of similar texts: that of the smallest id, a null id last. Rows are told apart by a number of
+    their own, since ids may be shared by rows of other components, or by several of one."""
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows", compression="zstd")
-    of_row = near_duplicates(rows, "_row", text_col).select(F.col("doc_id").alias("_row"), "component_id")
+    roots = components(similar_pairs(rows.select("_row", F.col(text_col).cast("string").alias("text")), least))
+    members = roots.select(F.col("node").alias("_row"), "root").unionByName(roots.select(F.col("root").alias("_row"), "root").distinct())
+    grouped = rows.select("_row", id_col).join(members, "_row")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col), "_row"))["_row"]
-    kept = rows.select("_row", id_col).join(of_row, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = grouped.groupBy("root").agg(first.alias("_row")).select("_row", F.lit(True).alias("_kept"))
+    gone = grouped.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

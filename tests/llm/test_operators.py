@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskloom.llm import context_mixing, crf, exact_dedup, html_text, packing, pieces, quality, secrets, simhash, token_files, toxicity
+from riskloom.llm import context_mixing, crf, exact_dedup, html_text, packing, pieces, quality, secrets, similar, simhash, token_files, toxicity
 from riskloom.llm.wordbpe import WordBpe, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, fp long"
@@ -348,3 +348,75 @@ def test_near_copies_go_by_row(spark):
     assert left.columns == frame.columns
     got = sorted(((r.doc_id, r.text.strip()) for r in left.collect()), key=str)
     assert got == sorted([(3, text), (5, apart), (7, ("alone " * 9).strip()), (None, "no id at all here")], key=str)
+
+
+def five_word_sets(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts_by_brute_force(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for n in [*([30, 60, 150, 400] * 12), 5, 4, 3, 0, 0]:
+        base = rnd.choices(vocabulary, k=n)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4) if n > 20 else ():
+            copy = list(base)
+            for _ in range(max(1, n * edits // 200)):
+                copy[rnd.randrange(n)] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    sets = [five_word_sets(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(a, b)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    got = {(r.a, r.b) for r in similar.similar_pairs(frame).collect()}
+    assert got <= want
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert len(want) > 40 and sum(find(a) == find(b) for a, b in want) >= 0.95 * len(want)
+    assert similar.similar_pairs(frame.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_gives_few_pairs(spark):
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 300)]
+    got = similar.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "_row long, text string")).collect()
+    assert {b for _, b in got} | {0} == set(range(300)) and len(got) < 10 * 300
+
+
+def test_wide_prints_by_brute_force():
+    shingles, sizes = similar.shingle_sets(*similar.word_numbers(similar.pa.array(["a b c d e f g", None, "x y", "p q r s t " * 200])))
+    assert sizes.tolist() == [3, 1, 1, 5]
+    many = similar.mixed(np.arange(1000, dtype=np.uint64))
+    got = similar.wide_prints(many, np.array([700, 300]))
+    for k, part in enumerate((many[:700], many[700:])):
+        for w in range(similar.WORDS):
+            h = similar.mixed(part, w + 1)
+            want = [2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h) for b in range(64)]
+            assert [bool(int(got[k, w]) >> b & 1) for b in range(64)] == want
+
+
+def test_pivots_discard_pairs_before_they_are_verified(spark):
+    rnd = random.Random(9)
+    region = sum(1 << j for j in simhash.split_positions(tuple(range(64)))[0])
+    prints = {simhash.signed((rnd.getrandbits(64) & ~region) | 5) for _ in range(60)}
+    prints |= {p ^ 2 for p in list(prints)[:5]}
+    keyed = simhash.pivot_table(spark.createDataFrame([(p,) for p in prints], "fp long")).selectExpr("fp", "d", "'0' AS path", "array(0L) AS fixed")
+    pairs = simhash.candidates(keyed).collect()
+    left = [p for p in pairs if p.apart <= 2]
+    near = lambda p: ((p.a ^ p.b) & (1 << 64) - 1).bit_count() <= 2
+    assert all(p in left for p in pairs if near(p)) and len(left) < 0.02 * len(pairs)
+
+
+def test_coordinates_tell_the_bits_of_a_region():
+    for region in simhash.split_positions(tuple(range(64))):
+        pivots = simhash.region_pivots(region)
+        seen, rnd = {}, random.Random(1)
+        for _ in range(20000):
+            x = sum(1 << j for j in region if rnd.random() < 0.5)
+            assert seen.setdefault(tuple((x & p).bit_count() for p in pivots), x) == x
