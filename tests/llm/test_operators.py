@@ -420,3 +420,84 @@ def test_coordinates_tell_the_bits_of_a_region():
         for _ in range(20000):
             x = sum(1 << j for j in region if rnd.random() < 0.5)
             assert seen.setdefault(tuple((x & p).bit_count() for p in pivots), x) == x
+
+
+def plain_bits(codes, p, known, spelled, new_rate, chunks):
+    """Bits of one text, decision by decision. chunks: first token -> (foretold aright, out of, comes)."""
+    m, bits, clip = context_mixing, 0.0, lambda v, a, b: max(a, min(b, v))
+    weights, record, pending = {}, {}, []
+    stretch = lambda yes, n, prior: np.log((yes + prior) / (n - yes + 1 - prior))
+    history, coming, after, mass, skip, told = [], [], {}, 0.0, False, []
+
+    def decide(kind, met, xs, bit):
+        gate = kind * 4 + min(met, 3)
+        odds = clip(sum(x * w for x, w in zip(xs, weights.get(gate, [m.FIRST_WEIGHT] * 4), strict=True)), -12, 12)
+        q = 1 / (1 + np.exp(-odds))
+        own = int(clip(odds * 2 + m.REFINERS // 2, 0, m.REFINERS - 1))
+        no, yes = record.get(own, (0, 0))
+        final = (q + (yes + m.PULL * q) / (no + yes + m.PULL)) / 2
+        pending.append((gate, xs, bit, q, own))
+        return -np.log2(final if bit else 1 - final)
+
+    for t, code in enumerate(codes):
+        if t % m.STEP == 0:
+            for gate, xs, bit, q, own in pending:
+                w = weights.setdefault(gate, [m.FIRST_WEIGHT] * 4)
+                weights[gate] = [a + m.PACE * (bit - q) * x for a, x in zip(w, xs, strict=True)]
+                no, yes = record.get(own, (0, 0))
+                record[own] = (no + (not bit), yes + bit)
+            pending.clear()
+        if t in chunks:
+            good, tries, comes = chunks[t]
+            skip = False
+            if good > 0:
+                last = 0.0 if not told else 1.0 if told[-1] else -1.0
+                bits += decide(m.REPEATED, len(told), [np.log((good + 0.4) / (tries - good + 0.4)), stretch(sum(told), len(told), 0.5), last, 1.0], comes)
+                told.append(comes)
+                skip = comes
+        count = codes[:t].count(code)
+        seen = count > 0
+        far = 1 << (t.bit_length() - 1) if t else 0
+        past = sum(history[t - k] << (k - 1) for k in (1, 2, 3) if t >= k)
+        cost = 0.0
+        for kind, bit, prior in ((m.SEEN, seen, 0.5), (m.KNOWN, known[t], 1 - new_rate)):
+            if kind == m.KNOWN and seen:
+                break
+            log = [x for x in coming if x[0] == kind]
+            inputs = [log, [x for x in log if x[3] == past], [x for x in log if t and x[4] == codes[t - 1]], [x for x in log if x[2] >= far]]
+            cost += decide(kind, len(inputs[2]), [stretch(sum(x[1] for x in part), len(part), prior) for part in inputs], bit)
+        coming.append((m.SEEN, seen, t, past, codes[t - 1] if t else None))
+        if not seen:
+            coming.append((m.KNOWN, known[t], t, past, codes[t - 1] if t else None))
+        left = min(mass, 0.999)
+        cost -= np.log2((count + m.PULL * p[t]) / (t + m.PULL * max(left, 1e-9))) if seen else np.log2(p[t] / (1 - left)) if known[t] else spelled[t]
+        mass += 0 if seen else p[t]
+        history.append(int(seen))
+        bits += 0 if skip else cost
+    return bits
+
+
+def test_mixing_by_brute_force():
+    rnd = random.Random(15)
+    texts = [[rnd.choice([1, 2, 3, rnd.randrange(4, 60)]) for _ in range(n)] for n in (1, 5, 33, 150)]
+    chance = {c: rnd.random() / 60 if rnd.random() < 0.8 else 0.0 for c in range(60)}
+    spelling = {c: -10 - rnd.random() for c in range(60)}
+    chunks = [{b: (good, good + rnd.randint(0, 2), rnd.random() < 0.7) for b in range(0, len(t), 7) for good in [rnd.randint(0, 3)]} for t in texts]
+    flat, sizes = np.array([c for t in texts for c in t]), np.array([len(t) for t in texts])
+    p = np.array([chance[c] for c in flat])
+    of = [(sum(sizes[:k]) + b, *v) for k, part in enumerate(chunks) for b, v in part.items()]
+    sort, _ = context_mixing.in_text(np.repeat(np.arange(4), sizes), flat)
+    got = context_mixing.text_bits(flat, sizes, p, p > 0, np.array([spelling[c] for c in flat]), 0.1, sort, tuple(np.array(x) for x in zip(*of, strict=True)))
+    want = [plain_bits(t, [chance[c] for c in t], [chance[c] > 0 for c in t], [spelling[c] for c in t], 0.1, part) for t, part in zip(texts, chunks, strict=True)]
+    assert got == pytest.approx(want)
+
+
+def test_texts_that_occur_twice_are_told_apart(spark):
+    rnd = random.Random(16)
+    text = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(200))
+    texts = [text() for _ in range(40)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:10])], "doc_id long, text string")
+    rows_ = {r.doc_id: r.bits_per_byte for r in context_mixing.score_texts(frame).collect()}
+    trained = lambda k: zlib.crc32(str(k).encode()) % 5 != 1
+    twice = [rows_[k] for k in range(10) if trained(k + 40)]
+    assert max(twice) < 0.6 * min(rows_[k] for k in range(10, 40))
