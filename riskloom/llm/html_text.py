@@ -7,7 +7,8 @@ the page's blocks marks article or other, and the article's blocks are the page'
 
 Training takes labelled pages: those of PAGES here, whose blocks are labelled by a data-part attribute that is no feature, and
 at most max_rows pages of the table (a bound on the fit alone) that carry the semantic tags by which a block is surely an
-article's (under article or main alone) or surely not (under nav, header, footer, aside or form).
+article's (under article or main alone) or surely not (under nav, header, footer, aside or form). Long pages are trained on in
+runs of RUN blocks, none of which is left out.
 
 Defined cases: null and empty html have no text; a page without blocks has the text ""; repeated rows get a row each; unclosed
 and stray tags, and html cut off inside a tag, are read as far as they go; an empty table gives an empty result; extra columns
@@ -57,7 +58,7 @@ HIDING = re.compile("hidden|style", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS.split("|")}
-MAX_ROWS, MAX_TRAIN_BLOCKS, REPEATS = 400, 100, 3
+MAX_ROWS, RUN, REPEATS = 400, 100, 3
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -210,7 +211,8 @@ def labelled_pages() -> list[str]:
 
 
 PAGES = labelled_pages()
-BOILERPLATE_TAGS, ARTICLE_TAGS = frozenset(("nav", "header", "footer", "aside", "form")), frozenset(("article", "main"))
+BOILERPLATE_TAGS, ARTICLE_TAGS = frozenset(("nav", "aside", "form")), frozenset(("article", "main"))
+EDGE_TAGS = frozenset(("header", "footer"))  # of a page, or of an article, where they may be content
 
 
 def sure_label(block: Block) -> int | None:
@@ -219,6 +221,8 @@ def sure_label(block: Block) -> int | None:
         return int(block.part == "o")
     if block.tags & BOILERPLATE_TAGS:
         return 1
+    if block.tags & EDGE_TAGS:
+        return None if block.tags & ARTICLE_TAGS else 1
     if block.tags & ARTICLE_TAGS:
         return None if any(p.search(block.names) for p in BAD_NAMES.values()) else 0
     return 1 if any(p.search(block.names) for p in BAD_NAMES.values()) else None
@@ -233,12 +237,13 @@ def fit(pages: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "page_id", htm
             for page in batch.column(0).to_pylist():
                 blocks = leaf_blocks(page or "")
                 labels = [sure_label(b) for b in blocks]
-                if blocks and len(blocks) <= MAX_TRAIN_BLOCKS and None not in labels:
+                if blocks and None not in labels:
                     rows.append({"rows": features(blocks).astype("<f4").tobytes(), "labels": bytes(labels)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("rows", pa.binary()), ("labels", pa.binary())]))
 
     chosen = pages.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    found = pages.join(F.broadcast(chosen), id_col).select(F.col(html_col).cast("string")).mapInArrow(sample, "rows binary, labels binary").limit(2 * max_rows).toArrow().to_pylist()
+    one = pages.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(F.col(html_col).cast("string")).alias("_html"))  # of several pages of an id the least
+    found = one.select("_html").mapInArrow(sample, "rows binary, labels binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["rows"], r["labels"]))
     own = [leaf_blocks(page) for page in PAGES] * REPEATS
     sequences = [features(blocks) for blocks in own]
@@ -246,7 +251,8 @@ def fit(pages: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "page_id", htm
     labels = [np.array([sure_label(b) for b in blocks]) for blocks in own]
     sequences += [np.frombuffer(r["rows"], "<f4").reshape(-1, width) for r in found]
     labels += [np.frombuffer(r["labels"], np.uint8) for r in found]
-    return train([s.astype(float) for s in sequences], labels, rounds=200, decay=3e-4)
+    runs = [(s[at : at + RUN].astype(float), l[at : at + RUN]) for s, l in zip(sequences, labels, strict=True) for at in range(0, len(s), RUN)]
+    return train(*map(list, zip(*runs, strict=True)), rounds=200, decay=3e-4)
 
 
 def main_text(model: LinearChain, page: str) -> str:

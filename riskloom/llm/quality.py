@@ -1,27 +1,33 @@
 """Quality rules: base counts of a text, and line labels by a linear-chain conditional random field.
 
-Each line of a text is one item of a sequence with features of its length, symbols, capitals, digits, repetition and ending.
-Viterbi decoding marks it as content or boilerplate; the share of the text's word characters that lie in content lines decides
-whether the document stays, unless the base rules fail it. The field is trained on the lines of at most max_rows labelled
-documents (a bound on the fit alone): the lines of a document of quality 1 count as content, those of quality 0 as boilerplate.
+Each line of a text is one item of a sequence with features of its length, symbols, capitals, digits, repetition, ending and
+opening words. Viterbi decoding marks it as content or boilerplate; the share of the text's word characters that lie in content
+lines decides whether the document stays, unless the base rules fail it.
+
+The field is trained on the lines of at most max_rows labelled documents outside the held-out fold (a bound on the fit alone).
+Documents that the base rules fail tell nothing about lines and are left out. Lines are labelled one by one: boilerplate are those that recur over the corpus, that is, stand between at least RECURS different
+pairs of neighbours in all documents (whole copies of a document have the same neighbours, so they don't count), and all lines
+of a document of quality 0. Other lines of a document of quality 1 are
+content, so labels change within a text. Long texts are trained on in runs of RUN lines, none of which is left out.
 
 Defined cases: null and empty texts have no words, so the base rules fail them; null labels are left out, and of several
-labels of one doc_id the largest counts; repeated rows get a row each; without training rows every line counts as content; an
+labels of one doc_id the largest counts, of several texts of one doc_id the least; repeated rows get a row each; without training rows every line counts as content; an
 empty table gives an empty result; extra columns are not read. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import read_table, text_batches
+from riskloom.llm.common import id_text, read_table, text_batches
 from riskloom.llm.crf import LinearChain, train, viterbi
 
 # The base rules.
@@ -29,10 +35,13 @@ SYMBOLS = "#*$%&|<>"
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-MAX_ROWS, MAX_TRAIN_LINES = 800, 200
+MAX_ROWS, RUN, RECURS = 800, 200, 3
+FOLDS, HELD_OUT = 5, 1
 MIN_CONTENT_SHARE = 0.4
 NOT_SYMBOLS = re.compile(f"[^{re.escape(SYMBOLS)}]+")
-FEATURES = 14
+OPENINGS = 64  # hashes of a line's first two words
+SHAPES = 15
+FEATURES = SHAPES + OPENINGS
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
@@ -67,8 +76,9 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, list[int]]:
             continue
         symbols = size and len(NOT_SYMBOLS.sub("", line)) / size
         capitals, digits = sum(map(str.isupper, words)) / n, sum(map(str.isdigit, line)) / size
-        last = words[-1][-1]
-        rows[i] = (1, 0, symbols > 0.02, min(symbols, 0.3) * 3, capitals > 0.5, line.count("!") / n > 0.3, min(digits, 0.3) * 3, line in seen, n < 5, n > 15, last in ".?", 1 - len(set(words)) / n > 0.5, size / n > 12, not line[:1].isupper())
+        last, repeats, loud = words[-1][-1], 1 - len(set(words)) / n > 0.5, line.count("!") / n > 0.3
+        rows[i, :SHAPES] = (1, 0, symbols > 0.02, min(symbols, 0.3) * 3, capitals > 0.5, loud, min(digits, 0.3) * 3, line in seen, n < 5, n > 15, last in ".?", repeats, size / n > 12, not line[:1].isupper(), n > 4 and symbols <= 0.02 and capitals <= 0.5 and not repeats and not loud)
+        rows[i, SHAPES + zlib.crc32(" ".join(words[:2]).encode()) % OPENINGS] = 1
         seen.add(line)
     return rows, sizes
 
@@ -108,25 +118,41 @@ def _judge(model: LinearChain | None):
     return run
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    return F.crc32(id_text(id_col)) % FOLDS == HELD_OUT
+
+
+def recurring_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text", least: int = RECURS) -> DataFrame:
+    """The rows of lines (column line, distinct) that stand between at least so many different pairs of neighbours in docs."""
+    split = docs.select(F.split(F.col(text_col).cast("string"), "\n").alias("l")).select(F.explode(F.expr("transform(l, (x, i) -> struct(x AS line, xxhash64(get(l, i - 1), get(l, i + 1)) AS around))")).alias("e")).select("e.*")
+    return split.join(F.broadcast(lines), "line").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("line")
+
+
+def line_labels(lines: list[str], quality: int, recurring: set[str]) -> np.ndarray:
+    return np.array([quality == 0 or line in recurring for line in lines], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LinearChain | None:
-    """Trains on the lines of at most max_rows labelled documents, half of either label where there are as many. Only features come to the driver."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    """Trains on the lines of at most max_rows labelled documents, half of either label where there are as many. The texts of these come to the driver."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.where("_label = 1").orderBy(*order).limit(max_rows // 2).unionByName(known.where("_label = 0").orderBy(*order).limit(max_rows // 2))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given, texts in text_batches(batches):
-            keep = [i for i, t in enumerate(texts) if t.count("\n") < MAX_TRAIN_LINES]
-            rows = [line_features(texts[i].split("\n"))[0].astype(np.float32).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([given.take(pa.array(keep, pa.int64())), pa.array(rows, pa.binary())], ["label", "rows"])
-
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    found = rows.select("_label", "_text").mapInArrow(features, "label int, rows binary").limit(2 * max_rows).toArrow().to_pylist()
-    found.sort(key=lambda r: r["rows"])
-    if {r["label"] for r in found} < {0, 1}:
+    found = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy("_id").toArrow().to_pylist()
+    found = [r for r in found if not base_counts(r["_text"] or "")[5]]
+    if {r["_label"] for r in found} < {0, 1}:
         return None
-    sequences = [np.frombuffer(r["rows"], np.float32).reshape(-1, FEATURES).astype(float) for r in found]
-    return train(sequences, [np.full(len(s), 1 - r["label"]) for s, r in zip(sequences, found, strict=True)], rounds=80)
+    texts = [(r["_text"] or "").split("\n") for r in found]
+    lines = sorted({line for text, r in zip(texts, found, strict=True) if r["_label"] for line in text if line.strip(SPACE)})
+    sent = docs.sparkSession.createDataFrame(pa.table({"line": pa.array(lines, pa.string())}))
+    recurring = set(recurring_lines(docs, sent, text_col).toPandas()["line"])
+    sequences, targets = [], []
+    for text, r in zip(texts, found, strict=True):
+        features, target = line_features(text)[0], line_labels(text, r["_label"], recurring)
+        for at in range(0, len(text), RUN):
+            sequences.append(features[at : at + RUN])
+            targets.append(target[at : at + RUN])
+    return train(sequences, targets, rounds=160)
 
 
 def judge_quality(docs: DataFrame, model: LinearChain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    found = rows.select("_label", "_text").mapInArrow(_buckets_of, "label int, buckets array<int>").limit(2 * max_rows).toArrow()
+    one = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # of several texts of a doc_id the least
+    found = one.select("_label", "_text").mapInArrow(_buckets_of, "label int, buckets array<int>").toArrow()
     lists = found["buckets"].combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
     order = sorted(range(len(at) - 1), key=lambda i: flat[at[i] : at[i + 1]].tobytes())  # the fit doesn't depend on the order of arrival

@@ -244,8 +244,19 @@ def test_toxicity_and_quality_hold_out(spark):
     found = [(r.score, labels[r.doc_id][0]) for r in toxicity.op2_toxicity(spark, sf).where("held_out").collect() if r.doc_id in labels]
     bad, good = [s for s, y in found if y], [s for s, y in found if not y]
     assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) > 0.95
-    kept = [(r.kept, labels[r.doc_id][1]) for r in quality.op8_quality(spark, sf).where("not base_failed").collect() if r.doc_id in labels]
+    judged = quality.op8_quality(spark, sf)
+    kept = [(r.kept, labels[r.doc_id][1]) for r in judged.where(quality.held_out()).where("not base_failed").collect() if r.doc_id in labels]
     assert np.mean([k for k, y in kept if y]) > 0.98 and np.mean([k for k, y in kept if not y]) < 0.05
+    shares = [r.content_share for r in judged.where("not base_failed").collect()]
+    assert sum(0.02 < s < 0.98 for s in shares) > 0.05 * len(shares)
+
+
+def test_recurring_lines(spark):
+    texts = ["a\nrule\nb", "c\nrule\nd", "e\nrule", "copied\ntwin\nend", "copied\ntwin\nend", "copied\ntwin\nend", None, "x\n\ny"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    lines = spark.createDataFrame([(x,) for x in ("rule", "twin", "a")], "line string")
+    assert [r.line for r in quality.recurring_lines(frame, lines).collect()] == ["rule"]
+    assert quality.line_labels(["a", "rule", "b", "a", "", ""], 1, {"rule"}).tolist() == [0, 1, 0, 0, 0, 0] and quality.line_labels(["a"], 0, set()).tolist() == [1]
 
 
 def test_toxicity_without_labels(spark, docs):
