@@ -469,7 +469,7 @@ def plain_bits(codes, p, known, spelled, new_rate, chunks):
         count = codes[:t].count(code)
         seen = count > 0
         far = 1 << (t.bit_length() - 1) if t else 0
-        past = sum(history[t - k] << (k - 1) for k in (1, 2, 3) if t >= k)
+        past = sum(history[t - k] << (k - 1) for k in (1, 2) if t >= k)
         cost = 0.0
         for kind, bit, prior in ((m.SEEN, seen, 0.5), (m.KNOWN, known[t], 1 - new_rate)):
             if kind == m.KNOWN and seen:
