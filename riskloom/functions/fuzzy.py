@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,19 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 def indel_partial_ratio(a: Column, b: Column) -> Column:
     return _column(partial_ratio, a, b)
+
+
+def alike_pairs(texts: DataFrame, least: float = 88.0) -> DataFrame:
+    """(block, a, b) of the distinct texts (block, text) of a block whose Indel ratio is at least that, each pair both ways and each
+    text with itself. At most (1 - least / 100) of both lengths are insertions and deletions, each of which takes two pairs of
+    neighbouring characters at most; so two such texts share one of each one's rarest character pairs, and only those are joined."""
+    slack = 1 - least / 100
+    ratio_of_lengths = (1 - slack) / (1 + slack)
+    texts = texts.select("block", "text").distinct()
+    grams = texts.select("block", "text", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2)))")).alias("g"))
+    ranked = grams.join(grams.groupBy("block", "g").agg(F.count("*").alias("n")), ["block", "g"]).groupBy("block", "text").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
+    lost = F.floor(2 * slack * F.length("text") * (1 + 1 / ratio_of_lengths) + 1e-9).cast("int")  # pairs that may be missing in the other text
+    keyed = ranked.select("block", "text", F.explode(F.slice("r", F.lit(1), F.least(F.size("r"), lost + 1))).alias("x")).select("block", "text", F.col("x.g").alias("g"))
+    near = keyed.withColumnRenamed("text", "a").join(keyed.withColumnRenamed("text", "b"), ["block", "g"]).where("a < b").where(F.least(F.length("a"), F.length("b")) >= ratio_of_lengths * F.greatest(F.length("a"), F.length("b")) - 1e-9).select("block", "a", "b").distinct()
+    found = near.where(indel_ratio(F.col("a"), F.col("b")) >= least)
+    return found.unionByName(found.select("block", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(texts.select("block", F.col("text").alias("a"), F.col("text").alias("b")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import tokens
+from riskloom.functions import lexicon as L
+from riskloom.functions.text import bounded, marked, word_runs
 
 MAX_MPNS, MAX_SUPPLIERS, MAX_COMPONENTS = 500, 3, 100
 
@@ -53,20 +54,30 @@ def countries(distributors: DataFrame, manufacturers: DataFrame) -> DataFrame:
 
 
 def gazetteer(distributors: DataFrame, manufacturers: DataFrame, parts: DataFrame) -> DataFrame:
-    """(surface, canonical, type): names by which catalog entities occur in texts."""
-    s = active(distributors).select(F.col("code").alias("surface"), F.col("code").alias("canonical"), F.lit("SUPPLIER").alias("type"))
-    m = manufacturers.select(F.col("name").alias("surface"), F.col("name").alias("canonical"), F.lit("MANUFACTURER").alias("type"))
-    p = parts.select(F.col("mpn").alias("surface"), F.col("mpn").alias("canonical"), F.lit("COMPONENT").alias("type"))
-    c = countries(distributors, manufacturers).select(F.col("country").alias("surface"), F.col("country").alias("canonical"), F.lit("LOCATION").alias("type"))
-    return s.unionByName(m).unionByName(p).unionByName(c).where(F.length("surface") >= 3)
+    """(surface, canonical, type): names and aliases by which catalog entities occur in texts, and strategic locations."""
+    named = lambda df, surface, canonical, kind: df.select(F.col(surface).alias("surface"), F.col(canonical).alias("canonical"), F.lit(kind).alias("type"))
+    places = manufacturers.sparkSession.createDataFrame([(name,) for name in L.LOCATIONS], "country string")
+    found = named(active(distributors), "code", "code", "SUPPLIER").unionByName(named(manufacturers, "name", "name", "MANUFACTURER")).unionByName(named(manufacturers, "alias", "name", "MANUFACTURER"))
+    found = found.unionByName(named(parts, "mpn", "mpn", "COMPONENT")).unionByName(named(countries(distributors, manufacturers).unionByName(places), "country", "country", "LOCATION"))
+    return found.where(F.length("surface") >= 3).distinct()
+
+
+def term_places(texts: DataFrame, terms: DataFrame, key: str, term: str, keep_case: bool = False) -> DataFrame:
+    """The columns of terms, with key and text_, for every term that stands at word boundaries in text_ (lower-case), whatever its
+    number of words. Texts' words are equi-joined to each term's rarest word among the terms, then the whole term is looked for."""
+    runs = terms.select(term, F.explode(word_runs(F.col(term))).alias("_word")).distinct()
+    rarity = runs.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = runs.join(rarity, "_word").groupBy(term).agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
+    words = texts.select(key, "text_", F.explode(F.array_distinct(word_runs(F.col("text_")))).alias("_word"))
+    surface = F.col(term) if keep_case else F.lower(term)
+    return words.join(terms.join(rarest, term), "_word").where(F.contains(marked(F.col("text_")), bounded(surface))).drop("_word")
 
 
 def mentions(articles: DataFrame, names: DataFrame) -> DataFrame:
     """(article_id, canonical, type, start, end): first span of each entity named in title and body, the longest surface first."""
-    text = F.trim(F.concat_ws(" ", "title", "body"))
-    words = articles.select("article_id", text.alias("_text"), F.explode(F.array_distinct(tokens(text))).alias("_word"))
-    found = words.join(names.withColumn("_word", F.lower("surface")), "_word")
-    start = F.expr("locate(_word, lower(_text)) - 1")
+    texts = articles.select("article_id", F.lower(F.trim(F.concat_ws(" ", "title", "body"))).alias("text_"))
+    found = term_places(texts, names, "article_id", "surface")
+    start = F.expr("locate(lower(surface), text_) - 1")
     spans = found.select("article_id", "canonical", "type", start.alias("start"), (start + F.length("surface")).alias("end"), F.length("surface").alias("_n"))
     best = spans.groupBy("article_id", "canonical", "type").agg(F.min_by(F.struct("start", "end"), F.struct(-F.col("_n"), "start")).alias("s"))
     return best.select("article_id", "canonical", "type", "s.start", "s.end")
@@ -86,7 +97,7 @@ def location_matches(locations: DataFrame, dim: DataFrame, key: str) -> DataFram
 
 def expand_links(mentions_: DataFrame, suppliers: DataFrame, manufacturers: DataFrame, parts: DataFrame) -> DataFrame:
     """(article_id, canonical, type, score, method): mentions as links, then suppliers and manufacturers by location, manufacturers by
-    supplier, and at most MAX_COMPONENTS components by the suppliers' and then the manufacturers' catalogs; of several the best score stays."""
+    supplier, and the first MAX_COMPONENTS components (by mpn) of the suppliers' and manufacturers' catalogs; of several the best score stays."""
     cols = ["article_id", "canonical", "type", "score", "method"]
     own = mentions_.select("article_id", "canonical", "type", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
     places = mentions_.where("type = 'LOCATION'").select("article_id", F.col("canonical").alias("location"))
@@ -102,10 +113,12 @@ def expand_links(mentions_: DataFrame, suppliers: DataFrame, manufacturers: Data
     each = holders.select("holders").distinct().select("holders", F.explode("holders").alias("h")).select("holders", "h.*")
     stocked = suppliers.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), F.explode("mpns").alias("mpn"), F.lit(0).alias("p"))
     listed = parts.select(F.lit("MANUFACTURER").alias("type"), F.col("manufacturer").alias("canonical"), "mpn", F.lit(1).alias("p")).distinct()
-    found = each.join(stocked.unionByName(listed), ["type", "canonical"]).groupBy("holders", "mpn").agg(F.min("p").alias("p"))
-    capped = found.withColumn("r", F.row_number().over(Window.partitionBy("holders").orderBy("p", "mpn"))).where(F.col("r") <= MAX_COMPONENTS)
+    # the first parts of a set are among the first of each of its holders, so each holder's catalog is cut before it is joined
+    catalog = stocked.unionByName(listed).withColumn("r", F.row_number().over(Window.partitionBy("type", "canonical").orderBy("mpn"))).where(F.col("r") <= MAX_COMPONENTS).drop("r")
+    found = each.join(catalog, ["type", "canonical"]).groupBy("holders", "mpn").agg(F.min("p").alias("p"))
+    capped = found.withColumn("r", F.row_number().over(Window.partitionBy("holders").orderBy("mpn"))).where(F.col("r") <= MAX_COMPONENTS)
     capped = holders.join(capped, "holders")
-    parts_ = capped.select("article_id", F.col("mpn").alias("canonical"), F.lit("COMPONENT").alias("type"), F.when(F.col("p") == 0, 0.6).otherwise(0.55).alias("score"), F.when(F.col("p") == 0, "supplier_catalog").otherwise("manufacturer_catalog").alias("method"))
+    parts_ = capped.select("article_id", F.col("mpn").alias("canonical"), F.lit("COMPONENT").alias("type"), F.when(F.col("p") == 0, 0.62).otherwise(0.60).alias("score"), F.when(F.col("p") == 0, "supplier_catalog").otherwise("manufacturer_catalog").alias("method"))
     return best_links(links.unionByName(parts_))
 
 

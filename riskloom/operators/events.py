@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions import lexicon as L
-from riskloom.functions.text import fingerprint, lookup, round_to, stable_id, title_similarity, words
+from riskloom.functions.fuzzy import alike_pairs
+from riskloom.functions.text import fingerprint, lookup, normalize_title, round_to, stable_id, strings, title_similarity, words
 from riskloom.plans.lineage import saved
 
 SIMILAR = 0.75
 
 
 def similar_titles(titles: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity) of distinct titles, a before b in order, at least that similar. titles: (title, ordinal). A pair that
-    similar shares more than half of its words, so it shares one of a title's rarer words: each title is looked up by its
-    (n - ceil(0.6 n) + 1) rarest words alone, and a frequent word joins only titles of nothing rarer."""
-    w = titles.select("title", "ordinal", words(F.col("title")).alias("w"))
-    each = w.select("title", "ordinal", "w", F.explode("w").alias("word"))
+    """(a, oa, b, ob, similarity) of distinct titles, a before b in order, at least that similar. titles: (title, ordinal).
+
+    Word Jaccard j and content Jaccard c give 0.3 j + 0.7 c, so where both titles have content words c is at least (least - 0.3) / 0.7
+    (0.643), and two titles share one of each one's n - ceil(0.643 n) + 1 rarest content words: only those are joined. Where a title
+    has none, j itself is at least least, and the same holds of all its words. Equal titles but for case are joined as they are."""
+    share = (least - 0.3) / 0.7
+    w = titles.select("title", "ordinal", words(F.col("title")).alias("w")).withColumn("c", F.array_except("w", strings(L.STOP_WORDS)))
+    each = w.select("title", "ordinal", F.size("w").alias("nw"), F.size("c").alias("nc"), F.explode("w").alias("word"))
     rarity = each.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "word").groupBy("title", "ordinal").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
-    # word Jaccard j and content Jaccard c: 0.3 j + 0.7 c >= 0.75 needs j > 1/6; a prefix of n - ceil(n / 6) + 1 rarest words can't miss
-    keep = F.size("r") - F.ceil(F.size("r") / 6.0).cast("int") + 1
-    prefix = ranked.select("title", "ordinal", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select("title", "ordinal", F.col("x.word").alias("word"))
-    left, right = prefix.select(F.col("title").alias("a"), F.col("ordinal").alias("oa"), "word"), prefix.select(F.col("title").alias("b"), F.col("ordinal").alias("ob"), "word")
-    pairs = left.join(right, "word").where("oa < ob").select("a", "oa", "b", "ob").distinct()
+    content = ~F.col("word").isin(L.STOP_WORDS)
+    ranked = each.join(rarity, "word").groupBy("title", "ordinal", "nw", "nc").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"), F.array_sort(F.array_compact(F.collect_list(F.when(content, F.struct("df", "word"))))).alias("rc"))
+    first = lambda rows, n, s: F.slice(rows, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * s - 1e-9).cast("int") + 1))
+    # kind c: among titles with content words; kind w: where one has none, so that all words count
+    keys = F.concat(F.transform(first(F.col("rc"), F.col("nc"), share), lambda x: F.concat(F.lit("c "), x["word"])), F.when(F.col("nc") == 0, F.transform(F.col("r"), lambda x: F.concat(F.lit("w "), x["word"]))).otherwise(F.array().cast("array<string>")))
+    keyed = ranked.select("title", "ordinal", "nw", "nc", F.explode(keys).alias("key"))
+    # a title with content words meets those without any by its words
+    meet = ranked.where("nc > 0 and nc < nw").select("title", "ordinal", "nw", "nc", F.explode(F.transform("r", lambda x: F.concat(F.lit("w "), x["word"]))).alias("key")).where(F.substring("key", 3, 99).isin(L.STOP_WORDS))
+    left, right = (keyed.unionByName(meet).select(F.col("title").alias(n), F.col("ordinal").alias(f"o{n}"), F.col("nw").alias(f"w{n}"), F.col("nc").alias(f"c{n}"), "key") for n in "ab")
+    alike = F.when((F.col("ca") > 0) & (F.col("cb") > 0), F.startswith("key", F.lit("c ")) & (F.least("ca", "cb") >= share * F.greatest("ca", "cb") - 1e-9)).otherwise(F.startswith("key", F.lit("w ")) & (F.least("wa", "wb") >= least * F.greatest("wa", "wb") - 1e-9))
+    pairs = left.join(right, "key").where("oa < ob").where(alike).select("a", "oa", "b", "ob").distinct()
     return pairs.withColumn("similarity", title_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
 
 
@@ -70,6 +79,29 @@ def resolve_identity(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.join(known, "fingerprint", "left").select("event_id", "fingerprint", F.coalesce("known_id", first).alias("resolved_id"), F.when(F.col("known_id").isNotNull() | (F.row_number().over(w) > 1), "updated").otherwise("detected").alias("new_status"))
 
 
+def resolve_identity_fuzzily(batch: DataFrame, existing: DataFrame, least: float = 88.0) -> DataFrame:
+    """As resolve_identity, and where no existing row has the fingerprint, a row joins the first row before it (existing ones first,
+    then the batch in order of event_id) of its category whose normalised title has an Indel ratio of at least that. A row that
+    joins one of the batch has that one's event. Needs title and event_category; empty titles match by fingerprint alone."""
+    known = existing.groupBy("fingerprint").agg(F.min("event_id").alias("known_id"))
+    titled = lambda df: df.select("event_id", "fingerprint", F.coalesce("event_category", F.lit("")).alias("block"), normalize_title(F.col("title")).alias("text"))
+    rows, old = saved(titled(batch).join(known, "fingerprint", "left")), titled(existing)
+    first = lambda df, name: df.where("text <> ''").groupBy("block", "text").agg(F.min("event_id").alias(name))
+    groups = first(old, "e").join(first(rows, "f"), ["block", "text"], "full")
+    near = alike_pairs(groups, least).join(groups.withColumnRenamed("text", "b"), ["block", "b"]).groupBy("block", F.col("a").alias("text")).agg(F.min("e").alias("e"), F.min("f").alias("f"))
+    same = Window.partitionBy("fingerprint")
+    found = rows.join(near, ["block", "text"], "left").withColumn("f", F.coalesce("f", F.min("event_id").over(same)))
+    to = F.coalesce("known_id", "e")
+    link = saved(found.select("event_id", "fingerprint", to.isNotNull().alias("done"), F.coalesce(to, F.least("f", "event_id")).alias("at"), (to.isNotNull() | (F.col("f") < F.col("event_id"))).alias("updated")))
+    while True:
+        up = link.select(F.col("event_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
+        follow = ~F.col("done") & F.col("next").isNotNull()
+        moved = saved(link.join(up, "at", "left").select("event_id", "fingerprint", F.when(follow, F.col("next_done")).otherwise(F.col("done")).alias("done"), F.when(follow, F.col("next")).otherwise(F.col("at")).alias("at"), "updated", (follow & ((F.col("next") != F.col("at")) | F.col("next_done"))).alias("moved")))
+        link = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return link.select("event_id", "fingerprint", F.col("at").alias("resolved_id"), F.when(F.col("updated"), "updated").otherwise("detected").alias("new_status"))
+
+
 def keepers(rows: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Each group's row of largest severity, then latest, then least id, and the number of the others."""
     best = F.struct("severity", "retrieved_at", (-F.col("event_id")).alias("e"))
@@ -82,9 +114,15 @@ def reparent(children: DataFrame, rows: DataFrame, keep: DataFrame) -> DataFrame
     return children.join(to, "event_id").select("child_id", F.col("keep_id").alias("event_id"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "event_id") -> DataFrame:
-    """New rows replace old ones of the same key; the rest of both stay."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str = "event_id", update: list[str] | None = None) -> DataFrame:
+    """New rows replace old ones of the same key, in the columns of update only where it is given; the rest of both stay. Of several
+    new rows of a key the greatest counts."""
+    rest = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("n")).select(key, *[F.col(f"n.{c}").alias(c) for c in rest])
+    both = old.withColumn("_old", F.lit(True)).alias("o").join(one.withColumn("_new", F.lit(True)).alias("n"), key, "full")
+    keep = set(rest) if update is None else set(update)
+    choose = lambda c: F.when(F.col("_new") & (F.lit(c in keep) | F.col("_old").isNull()), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return both.select(key, *[choose(c).alias(c) for c in rest])
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import lexicon as L
-from riskloom.functions.text import any_of, best_of, count_of, lookup, quoted, round_to, strings, tokens
+from riskloom.functions.text import any_of, best_of, count_of, lookup, quoted, round_to, strings
+from riskloom.operators.catalog import term_places
 
 
 def article_text(df: DataFrame) -> Column:
@@ -16,45 +17,65 @@ def article_text(df: DataFrame) -> Column:
 
 
 def _lexicon() -> Column:
+    """Topic keywords, the longest first."""
     rows = [(topic, word, weight * (0.25 if topic in L.CORE_TOPICS else 0.20), 0.12 * weight) for topic, (weight, words) in L.TOPICS.items() for word in words]
+    rows.sort(key=lambda r: -len(r[1]))
     return F.expr("array(" + ", ".join(f"named_struct('topic', {quoted(t)}, 'word', {quoted(w)}, 'score', {s!r}D, 'meta', {m!r}D)" for t, w, s, m in rows) + ")")
 
 
-def term_hits(df: DataFrame, terms: DataFrame, term: str, key: str = "article_id") -> DataFrame:
-    """(key, n, found): how many of the terms stand as words in title and body. Words are equi-joined to the terms, so the terms may be many."""
-    words = df.select(key, F.explode(F.array_distinct(tokens(F.concat_ws(" ", "title", "body")))).alias("_word"))
-    return words.join(terms.select(F.lower(term).alias("_word"), F.col(term).alias("_term")).distinct(), "_word").groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("_term")), ",").alias("found"))
+def term_hits(texts: DataFrame, terms: DataFrame, keep_case: bool, key: str = "article_id") -> DataFrame:
+    """(key, n, found): how many of the terms (column term) stand at word boundaries in text_, and which, the longest first."""
+    found = term_places(texts, terms.where("term <> ''").distinct(), key, "term", keep_case)
+    order = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term")))
+    return found.groupBy(key).agg(F.count("*").alias("n"), F.transform(order, lambda t: t["term"]).alias("found"))
 
 
-def relevance(articles: DataFrame, manufacturers: DataFrame) -> DataFrame:
-    """articles with score, matched (terms, joined), reason and least (score needed). Category names keep their capitals while the text loses them, so they never match."""
-    hits = term_hits(articles, manufacturers, "name").select("article_id", F.col("n").alias("_mfr"), F.col("found").alias("_mfr_found"))
-    df = articles.join(hits, "article_id", "left").withColumn("_text", article_text(articles)).withColumn("_n_mfr", F.coalesce("_mfr", F.lit(0)))
-    text, n_mfr = F.col("_text"), F.col("_n_mfr")
+def entity_terms(manufacturers: DataFrame) -> DataFrame:
+    """Names and aliases of three characters and more."""
+    return manufacturers.select(F.explode(F.array("name", "alias")).alias("term")).where(F.length("term") >= 3)
+
+
+def relevance(articles: DataFrame, manufacturers: DataFrame, categories: DataFrame) -> DataFrame:
+    """articles with score (rounded), exact (not rounded to four digits), matched (terms, joined), reason and least (exact score needed).
+    categories: (term). A category keeps its capitals while the text loses them, so one with capitals never matches. The code of an
+    event counts where it stands at the top of the metadata, not inside its raw record."""
+    texts = articles.select("article_id", article_text(articles).alias("text_"))
+    named = lambda hits, n, found: hits.select("article_id", F.col("n").alias(n), F.col("found").alias(found))
+    df = articles.join(named(term_hits(texts, entity_terms(manufacturers), False), "_mfr", "_mfr_found"), "article_id", "left").join(named(term_hits(texts, categories, True), "_cat", "_cat_found"), "article_id", "left")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"_text": article_text(articles), "_n_mfr": F.coalesce("_mfr", F.lit(0)), "_n_cat": F.coalesce("_cat", F.lit(0)), "_mfr_found": F.coalesce("_mfr_found", none), "_cat_found": F.coalesce("_cat_found", none)})
+    text, n_mfr, n_cat = F.col("_text"), F.col("_n_mfr"), F.col("_n_cat")
     df = df.withColumn("_hits", F.filter(_lexicon(), lambda k: F.contains(text, k["word"])))
     hits_ = F.col("_hits")
-    meta = F.lower(F.concat_ws(" ", "category", "event_code", "subcategory"))
-    df = df.withColumn("_meta", F.when(F.col("provider") == "gdelt", F.filter(_lexicon(), lambda k: F.contains(meta, k["word"]) & ~F.contains(text, k["word"]))).otherwise(F.slice(hits_, 1, 0)))
+    meta, gdelt = F.lower("metadata"), F.col("provider") == "gdelt"
+    df = df.withColumn("_meta", F.when(gdelt & meta.isNotNull(), F.filter(_lexicon(), lambda k: F.contains(meta, k["word"]) & ~F.contains(text, k["word"]))).otherwise(F.slice(hits_, 1, 0)))
+    code = F.upper(F.get_json_object("metadata", "$.event_code"))
+    df = df.withColumn("_code", F.when(gdelt & code.isin(L.SIGNAL_CODES), code)).withColumn("_context", count_of(text, L.CONTEXT) >= 2)
     sum_of = lambda rows, field: F.aggregate(rows, F.lit(0.0), lambda a, k: a + k[field])
-    df = df.withColumn("_context", count_of(text, L.CONTEXT) >= 2)
-    context = F.col("_context")
-    score = (
-        sum_of(hits_, "score") + 0.35 * n_mfr + F.when(F.size(hits_) >= 2, 0.15).otherwise(0.0) + F.when((n_mfr > 0) & (F.size(hits_) > 0), 0.10).otherwise(0.0)
-        + sum_of(F.col("_meta"), "meta") + F.when((n_mfr >= 2) | ((n_mfr > 0) & context), 0.10).otherwise(0.0)
-    )
-    matched = (F.size(hits_) > 0) | (n_mfr > 0) | (F.size("_meta") > 0)
+    add = lambda test, v: F.when(test, v).otherwise(0.0)
+    context, several, both = F.col("_context"), F.size(hits_) >= 2, (n_mfr > 0) & (n_cat > 0)
+    strong = (n_mfr + n_cat >= 2) | ((n_mfr > 0) & context)
+    with_topic = (n_mfr > 0) & (F.size(hits_) > 0)
+    score = sum_of(hits_, "score") + 0.35 * n_mfr + 0.20 * n_cat + add(several, 0.15) + add(both, 0.20) + add(with_topic, 0.10) + sum_of(F.col("_meta"), "meta") + add(F.col("_code").isNotNull(), 0.15) + add(strong, 0.10)
+    matched = (F.size(hits_) > 0) | (n_mfr + n_cat > 0) | (F.size("_meta") > 0) | F.col("_code").isNotNull()
     negative = F.element_at(F.filter(strings(L.NEGATIVE), lambda w: F.contains(text, w)), 1)
-    names = F.array_join(F.concat(F.transform(hits_, lambda k: F.concat_ws(":", k["topic"], k["word"])), F.transform(F.col("_meta"), lambda k: F.concat_ws(":", F.lit("metadata"), k["topic"], k["word"]))), ",")
+    of = lambda head, rows: F.transform(rows, lambda t: F.concat(F.lit(head), t))
+    signal = lambda test, name: F.when(test, F.lit("signal:" + name))
+    names = F.array_join(F.concat(
+        F.transform(hits_, lambda k: F.concat_ws(":", k["topic"], k["word"])), of("manufacturer:", F.col("_mfr_found")), of("category:", F.col("_cat_found")),
+        F.array_compact(F.array(signal(several, "multi_topic_cooccurrence"), signal(both, "manufacturer_category_cooccurrence"), signal(with_topic, "manufacturer_topic_cooccurrence"))),
+        F.transform(F.col("_meta"), lambda k: F.concat_ws(":", F.lit("metadata"), k["topic"], k["word"])), F.array_compact(F.array(F.concat(F.lit("metadata:gdelt_event_code:"), "_code"), signal(strong, "strong_context"))),
+    ), ",")
     auto = F.col("provider") == L.AUTO_PASS
     df = df.withColumn("_raw", score).withColumn("_neg", F.when(F.size(F.filter(strings(L.NEGATIVE), lambda w: F.contains(text, w))) > 0, negative))
+    exact = round_to(F.when(auto, 1.0).when(text == "", 0.0).when(F.col("_neg").isNotNull(), 0.0).when(~matched, F.when(context, 0.15).otherwise(0.12)).otherwise(F.least(F.lit(1.0), F.col("_raw"))), 9)
     return df.select(
-        *articles.columns,
-        round_to(F.when(auto, 1.0).when(text == "", 0.0).when(F.col("_neg").isNotNull(), 0.0).when(~matched, F.when(context, 0.15).otherwise(0.12)).otherwise(F.least(F.lit(1.0), F.col("_raw"))), 4).alias("score"),
+        *articles.columns, exact.alias("exact"),
         F.when(auto, "provider:auto_pass").when(text == "", "").when(F.col("_neg").isNotNull(), F.concat(F.lit("negative:"), "_neg")).otherwise(names).alias("matched"),
-        F.coalesce("_mfr_found", F.lit("")).alias("manufacturers_found"),
+        F.array_join("_mfr_found", ",").alias("manufacturers_found"),
         F.when(auto, "provider_auto_pass").when(text == "", "empty_content").when(F.col("_neg").isNotNull(), "negative_keyword_match").when(~matched, F.when(context, "has_context_no_direct_match").otherwise("no_keyword_or_entity_match")).otherwise("keyword_entity_score").alias("reason"),
         lookup(F.col("provider"), {p: v[2] for p, v in L.PROVIDERS.items()}, 0.40).alias("least"),
-    )
+    ).withColumn("score", round_to(F.col("exact"), 4))
 
 
 def _rows_where(scored: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
@@ -63,11 +84,11 @@ def _rows_where(scored: DataFrame, test: Callable[[Column], Column]) -> DataFram
 
 
 def kept(scored: DataFrame) -> DataFrame:
-    return _rows_where(scored, lambda r: r["score"] >= r["least"])
+    return _rows_where(scored, lambda r: r["exact"] >= r["least"])
 
 
 def dropped(scored: DataFrame) -> DataFrame:
-    return _rows_where(scored, lambda r: r["score"] < r["least"])
+    return _rows_where(scored, lambda r: r["exact"] < r["least"])
 
 
 def classify(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def best(text: str, weights: dict) -> str:
 
 
 def filled(text: str) -> str:
-    for mark, value in (("{N}", "nation"), ("{S}", "sup"), ("{B}", "brand"), ("{M}", "mpn")):
+    for mark, value in (("{N}", "nation"), ("{S}", "sup"), ("{B}", "brand"), ("{M}", "mpn"), ("{C}", "stocked")):
         text = f"replace({text}, '{mark}', {value})"
     return text
 
@@ -43,35 +43,42 @@ CTES = {
         CASE WHEN s_acctbal < 0 THEN 0.9::DOUBLE WHEN s_acctbal < 3000 THEN 0.6::DOUBLE WHEN s_acctbal < 6000 THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS risk FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "active": "SELECT * FROM distributors WHERE lower(trim(dealt_with)) IN ('yes', 'y', 'true', '1')",
     "manufacturers": "SELECT p_brand AS name, n_name AS country, replace(p_brand, '#', ' ') AS alias FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL) LEFT JOIN nation ON regexp_extract(p_brand, '([0-9]+)', 1)::INT % 25 = n_nationkey",
-    "parts": f"SELECT {MPN.format('p_partkey')} AS mpn, coalesce(p_brand, '') AS manufacturer, coalesce(p_type, 'catalog') AS category, p_name AS description FROM part",
+    "parts": f"SELECT {MPN.format('p_partkey')} AS mpn, coalesce(p_brand, '') AS manufacturer, coalesce(CASE WHEN p_type IN ('MEDIUM', 'PROMO') THEN lower(p_type) || '__parts' ELSE p_type END, 'catalog') AS category, p_name AS description FROM part",
     "stock": f"""SELECT a.code, {MPN.format('l_partkey')} AS mpn, coalesce(p.manufacturer, '') AS manufacturer, coalesce(p.category, 'catalog') AS category,
         abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) % 90)::INT AS lead_time_days, l_quantity AS quantity, l_orderkey * 8 + l_linenumber AS ordinal
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN active a ON a.code = {SUP.format('l_suppkey')} LEFT JOIN parts p ON p.mpn = {MPN.format('l_partkey')}""",
     "countries": "SELECT country FROM active WHERE country <> '' UNION SELECT country FROM manufacturers WHERE country <> ''",
-    "filled": f"""SELECT event_id, ts, user_id, k, {items(L.PROVIDERS)}[user_id % 5 + 1] AS provider, 'NATION_' || (user_id % 25) AS nation, {SUP.format('event_id % 10')} AS sup, 'Brand#' || (event_id % 25 + 1) AS brand, {MPN.format('event_id % 50')} AS mpn
+    "filled": f"""SELECT event_id, ts, user_id, k, {items(L.PROVIDERS)}[user_id % 5 + 1] AS provider, 'NATION_' || (user_id % 25) AS nation, {SUP.format('event_id % 10')} AS sup, CASE WHEN event_id % 2 = 0 THEN 'Brand#' ELSE 'Brand ' END || (event_id % 25 + 1) AS brand, {items(D.STOCKED)}[event_id % 3 + 1] AS stocked, {MPN.format('event_id % 50')} AS mpn
         FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events)""",
     "articles": f"""SELECT event_id AS article_id, provider, {case('provider', {n: p[0] for n, p in L.PROVIDERS.items()}, 3)} AS tier, {filled(f'{items(D.TITLES)}[event_id % 24 + 1]')} AS title, {filled(q(D.BODY))} AS body,
         CASE WHEN provider = 'marketaux' THEN (k - 60) / 100.0::DOUBLE END AS sentiment, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_TYPES)}[event_id % 7 + 1] END AS gdacs_type, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_LEVELS)}[event_id % 3 + 1] END AS alert_level,
         CASE WHEN provider = 'gdacs' AND k % 4 <> 0 THEN (k % 80) / 10.0::DOUBLE END AS magnitude, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CATEGORIES)}[k % 3 + 1] END AS category, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CODES)}[k % 4 + 1] END AS event_code,
-        CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_SUBS)}[k % 5 + 1] END AS subcategory, CASE WHEN provider = 'gdelt' THEN (k % 10) / 10.0::DOUBLE END AS significance, CASE WHEN provider IN ('gdelt', 'gdacs') AND user_id % 2 = 0 THEN nation END AS geo_country FROM filled""",
-    "doc_articles": "SELECT doc_id AS article_id, 'gnews' AS provider, '' AS title, text AS body, NULL::VARCHAR AS category, NULL::VARCHAR AS event_code, NULL::VARCHAR AS subcategory FROM documents",
+        CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_SUBS)}[k % 5 + 1] END AS subcategory, CASE WHEN provider = 'gdelt' THEN (k % 10) / 10.0::DOUBLE END AS significance, CASE WHEN provider = 'gdelt' THEN CASE WHEN k % 2 = 0 THEN '' ELSE '{{"raw": ' END || '{{"category": "' || {items(D.GDELT_CATEGORIES)}[k % 3 + 1] || '", "event_code": "' || {items(D.GDELT_CODES)}[k % 4 + 1] || '", "subcategory": "' || {items(D.GDELT_SUBS)}[k % 5 + 1] || '"}}' || CASE WHEN k % 2 = 0 THEN '' ELSE '}}' END END AS metadata, CASE WHEN provider IN ('gdelt', 'gdacs') AND user_id % 2 = 0 THEN nation END AS geo_country FROM filled""",
+    "doc_articles": "SELECT doc_id AS article_id, 'gnews' AS provider, '' AS title, text AS body, NULL::VARCHAR AS category, NULL::VARCHAR AS event_code, NULL::VARCHAR AS subcategory, NULL::VARCHAR AS metadata FROM documents",
     "lex": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {q(t)}, {q(w)}, {weight * (0.25 if t in L.CORE_TOPICS else 0.20)!r}::DOUBLE, {0.12 * weight!r}::DOUBLE)" for n, (t, w, weight) in enumerate((t, w, weight) for t, (weight, words) in L.TOPICS.items() for w in words)) + ") x(n, topic, word, score, meta)",
     "texts": "SELECT *, lower(trim(concat_ws(' ', title, body))) AS text FROM {articles}",
-    "mfr": "SELECT article_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS found FROM texts JOIN manufacturers ON list_contains(regexp_extract_all(text, '[a-z0-9_#]+'), lower(name)) GROUP BY 1",
-    "hit": "SELECT article_id, count(*) AS n, sum(score) AS score, string_agg(topic || ':' || word, ',' ORDER BY lex.n) AS names FROM texts JOIN lex ON contains(text, word) GROUP BY 1",
-    "meta": "SELECT article_id, count(*) AS n, sum(meta) AS score, string_agg('metadata:' || topic || ':' || word, ',' ORDER BY lex.n) AS names FROM texts JOIN lex ON provider = 'gdelt' AND contains(lower(concat_ws(' ', category, event_code, subcategory)), word) AND NOT contains(text, word) GROUP BY 1",
-    "scored0": f"""SELECT t.*, coalesce(h.n, 0) AS n_hits, coalesce(m.n, 0) AS n_mfr, coalesce(m.found, '') AS manufacturers_found, coalesce(d.n, 0) AS n_meta, concat_ws(',', h.names, d.names) AS names,
-        round_even(coalesce(h.score, 0) + 0.35 * coalesce(m.n, 0) + CASE WHEN coalesce(h.n, 0) >= 2 THEN 0.15 ELSE 0 END + CASE WHEN coalesce(m.n, 0) > 0 AND coalesce(h.n, 0) > 0 THEN 0.10 ELSE 0 END + coalesce(d.score, 0)
-            + CASE WHEN coalesce(m.n, 0) >= 2 OR (coalesce(m.n, 0) > 0 AND {hits('text', L.CONTEXT)} >= 2) THEN 0.10 ELSE 0 END, 9) AS raw,
-        {hits('text', L.CONTEXT)} >= 2 AS context, list_filter({items(L.NEGATIVE)}, lambda w: contains(text, w))[1] AS neg FROM texts t LEFT JOIN hit h USING (article_id) LEFT JOIN mfr m USING (article_id) LEFT JOIN meta d USING (article_id)""",
-    "scored": f"""SELECT *, round_even(CASE WHEN provider = 'gdacs' THEN 1 WHEN text = '' OR neg IS NOT NULL THEN 0 WHEN n_hits + n_mfr + n_meta = 0 THEN CASE WHEN context THEN 0.15 ELSE 0.12 END ELSE least(1.0, raw) END::DOUBLE, 4) AS score,
+    "mfr": "SELECT article_id, count(*) AS n, string_agg(term, ',' ORDER BY length(term) DESC, term) AS found, string_agg('manufacturer:' || term, ',' ORDER BY length(term) DESC, term) AS names FROM texts JOIN (SELECT name AS term FROM manufacturers UNION SELECT alias FROM manufacturers) t ON length(term) >= 3 AND contains(text, lower(term)) AND regexp_matches(text, '\\b' || regexp_escape(lower(term)) || '\\b') GROUP BY 1",
+    "cat": "SELECT article_id, count(*) AS n, string_agg('category:' || term, ',' ORDER BY length(term) DESC, term) AS names FROM texts JOIN (SELECT DISTINCT trim(regexp_replace(replace(replace(category, '__', ' '), '_', ' '), '\\s+', ' ', 'g')) AS term FROM stock) t ON contains(text, term) AND regexp_matches(text, '\\b' || regexp_escape(term) || '\\b') GROUP BY 1",
+    "hit": "SELECT article_id, count(*) AS n, sum(score) AS score, string_agg(topic || ':' || word, ',' ORDER BY length(word) DESC, lex.n) AS names FROM texts JOIN lex ON contains(text, word) GROUP BY 1",
+    "meta": "SELECT article_id, count(*) AS n, sum(meta) AS score, string_agg('metadata:' || topic || ':' || word, ',' ORDER BY length(word) DESC, lex.n) AS names FROM texts JOIN lex ON provider = 'gdelt' AND contains(lower(metadata), word) AND NOT contains(text, word) GROUP BY 1",
+    "counted": f"""SELECT t.*, coalesce(h.n, 0) AS n_hits, coalesce(m.n, 0) AS n_mfr, coalesce(g.n, 0) AS n_cat, coalesce(m.found, '') AS manufacturers_found, coalesce(d.n, 0) AS n_meta, coalesce(h.score, 0) AS hit_score, coalesce(d.score, 0) AS meta_score, h.names AS h_names, m.names AS m_names, g.names AS c_names, d.names AS d_names,
+        CASE WHEN provider = 'gdelt' AND upper(json_extract_string(metadata, '$.event_code')) IN ({items(L.SIGNAL_CODES)[1:-1]}) THEN upper(json_extract_string(metadata, '$.event_code')) END AS code, {hits('text', L.CONTEXT)} >= 2 AS context, list_filter({items(L.NEGATIVE)}, lambda w: contains(text, w))[1] AS neg
+        FROM texts t LEFT JOIN hit h USING (article_id) LEFT JOIN mfr m USING (article_id) LEFT JOIN cat g USING (article_id) LEFT JOIN meta d USING (article_id)""",
+    "scored0": """SELECT *, n_hits + n_mfr + n_cat + n_meta > 0 OR code IS NOT NULL AS any_match, concat_ws(',', h_names, m_names, c_names, CASE WHEN n_hits >= 2 THEN 'signal:multi_topic_cooccurrence' END, CASE WHEN n_mfr > 0 AND n_cat > 0 THEN 'signal:manufacturer_category_cooccurrence' END,
+        CASE WHEN n_mfr > 0 AND n_hits > 0 THEN 'signal:manufacturer_topic_cooccurrence' END, d_names, 'metadata:gdelt_event_code:' || code, CASE WHEN n_mfr + n_cat >= 2 OR (n_mfr > 0 AND context) THEN 'signal:strong_context' END) AS names,
+        hit_score + 0.35 * n_mfr + 0.20 * n_cat + CASE WHEN n_hits >= 2 THEN 0.15 ELSE 0 END + CASE WHEN n_mfr > 0 AND n_cat > 0 THEN 0.20 ELSE 0 END + CASE WHEN n_mfr > 0 AND n_hits > 0 THEN 0.10 ELSE 0 END + meta_score
+            + CASE WHEN code IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN n_mfr + n_cat >= 2 OR (n_mfr > 0 AND context) THEN 0.10 ELSE 0 END AS raw FROM counted""",
+    "scored": f"""SELECT *, round_even(exact, 4) AS score FROM (SELECT *, round_even(CASE WHEN provider = 'gdacs' THEN 1 WHEN text = '' OR neg IS NOT NULL THEN 0 WHEN NOT any_match THEN CASE WHEN context THEN 0.15 ELSE 0.12 END ELSE least(1.0, raw) END::DOUBLE, 9) AS exact,
         CASE WHEN provider = 'gdacs' THEN 'provider:auto_pass' WHEN text = '' THEN '' WHEN neg IS NOT NULL THEN 'negative:' || neg ELSE names END AS matched,
-        CASE WHEN provider = 'gdacs' THEN 'provider_auto_pass' WHEN text = '' THEN 'empty_content' WHEN neg IS NOT NULL THEN 'negative_keyword_match' WHEN n_hits + n_mfr + n_meta = 0 THEN CASE WHEN context THEN 'has_context_no_direct_match' ELSE 'no_keyword_or_entity_match' END ELSE 'keyword_entity_score' END AS reason,
-        {case('provider', {p: v[2] for p, v in L.PROVIDERS.items()}, 0.40)}::DOUBLE AS least FROM scored0""",
+        CASE WHEN provider = 'gdacs' THEN 'provider_auto_pass' WHEN text = '' THEN 'empty_content' WHEN neg IS NOT NULL THEN 'negative_keyword_match' WHEN NOT any_match THEN CASE WHEN context THEN 'has_context_no_direct_match' ELSE 'no_keyword_or_entity_match' END ELSE 'keyword_entity_score' END AS reason,
+        {case('provider', {p: v[2] for p, v in L.PROVIDERS.items()}, 0.40)}::DOUBLE AS least FROM scored0)""",
     "names": "SELECT code AS surface, code AS canonical, 'SUPPLIER' AS type FROM active UNION ALL SELECT name, name, 'MANUFACTURER' FROM manufacturers UNION ALL SELECT mpn, mpn, 'COMPONENT' FROM parts UNION ALL SELECT country, country, 'LOCATION' FROM countries",
+    "phrases": "SELECT alias AS surface, name AS canonical, 'MANUFACTURER' AS type FROM manufacturers UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(k)}, 'LOCATION')" for k in L.LOCATIONS) + ") v(a, b, c)",
     "words": "SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, body)), '[a-z0-9_#]+')) AS word FROM {articles}",
-    "mentions": "SELECT article_id, canonical, type, (instr(lower(trim(concat_ws(' ', title, body))), word) - 1)::INT AS span_start, (instr(lower(trim(concat_ws(' ', title, body))), word) - 1 + length(surface))::INT AS span_end FROM words JOIN names ON word = lower(surface) JOIN {articles} USING (article_id)",
-    "linked": "SELECT s.*, coalesce(n.n, 0)::INT AS n_mentions, coalesce(n.n, 0)::INT AS n_links, n.supplier_risk FROM scored s LEFT JOIN (SELECT article_id, count(*) AS n, max(risk) AS supplier_risk FROM mentions LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1) n USING (article_id) WHERE score >= least",
+    "mentions": """SELECT article_id, canonical, type, (instr(text, lower(surface)) - 1)::INT AS span_start, (instr(text, lower(surface)) - 1 + length(surface))::INT AS span_end FROM (
+        SELECT article_id, text, surface, canonical, type, row_number() OVER (PARTITION BY article_id, canonical, type ORDER BY length(surface) DESC, instr(text, lower(surface))) AS r FROM (
+        SELECT article_id, surface, canonical, type FROM words JOIN names ON word = lower(surface) UNION SELECT article_id, surface, canonical, type FROM texts JOIN phrases ON contains(text, surface) OR contains(text, lower(surface)) WHERE regexp_matches(text, '\\b' || regexp_escape(lower(surface)) || '\\b')) JOIN texts USING (article_id)) WHERE r = 1""",
+    "linked": "SELECT s.*, coalesce(n.n, 0)::INT AS n_mentions, coalesce(n.n, 0)::INT AS n_links, n.supplier_risk FROM scored s LEFT JOIN (SELECT article_id, count(*) AS n, max(risk) AS supplier_risk FROM mentions LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1) n USING (article_id) WHERE exact >= least",
     "ruled": "SELECT article_id, first(category ORDER BY conf DESC, rank) AS category, first(kind ORDER BY conf DESC, rank) AS kind, max(conf) AS conf FROM ("
     + " UNION ALL ".join(f"SELECT article_id, {n} AS rank, {q(c)} AS category, {q(k)} AS kind, CASE WHEN {hits('text', w)} >= 2 THEN {min(f + 0.05, 1.0)!r} ELSE {f!r} END::DOUBLE AS conf FROM linked WHERE {hits('text', w)} >= 1" for n, (c, k, w, f) in enumerate(L.RULES))
     + " UNION ALL SELECT article_id, 50, 'financial_distress', 'credit_downgrade', CASE WHEN n_links > 0 THEN 0.80 ELSE 0.72 END::DOUBLE FROM linked WHERE provider = 'marketaux' AND sentiment <= -0.2) GROUP BY 1",
@@ -149,9 +156,9 @@ BODIES = {
     "union_sources": "SELECT 'documents' AS source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations UNION ALL SELECT 'pages', count(*), sum(length(html))::BIGINT FROM pages",
     "ingest_report": "SELECT provider, tier, count(*) AS n, min(article_id) AS first_id FROM articles GROUP BY 1, 2",
     "relevance": "SELECT article_id, provider, score, matched, manufacturers_found, reason FROM scored",
-    "kept": "SELECT article_id, provider, score, least FROM scored WHERE score >= least",
-    "dropped": "SELECT article_id, provider, score, least, reason FROM scored WHERE score < least",
-    "by_provider": "SELECT provider, count(*) FILTER (score >= least) AS kept, count(*) FILTER (score < least) AS dropped FROM scored GROUP BY 1",
+    "kept": "SELECT article_id, provider, score, least FROM scored WHERE exact >= least",
+    "dropped": "SELECT article_id, provider, score, least, reason FROM scored WHERE exact < least",
+    "by_provider": "SELECT provider, count(*) FILTER (exact >= least) AS kept, count(*) FILTER (exact < least) AS dropped FROM scored GROUP BY 1",
     "mentions": "SELECT * FROM mentions",
     "extraction_metrics": "SELECT sum(coalesce(n, 0))::BIGINT AS mentions, count(*) FILTER (n > 0) AS with_mentions, round_even(sum(coalesce(n, 0)) / count(*)::DOUBLE, 4) AS per_article FROM articles LEFT JOIN (SELECT article_id, count(*) AS n FROM mentions GROUP BY 1) USING (article_id)",
     "metadata_geo": "SELECT geo_country, count(*) AS n, 0.92::DOUBLE AS confidence FROM articles WHERE geo_country IS NOT NULL GROUP BY 1",
@@ -201,7 +208,13 @@ BODIES = {
     "geo": "SELECT event_id, title, event_category, severity, latitude, longitude, geo_country FROM risk WHERE severity >= 20 AND latitude IS NOT NULL",
     "alert_feed": "SELECT event_id, title, event_category, severity, status, run_id FROM risk WHERE severity >= 60 ORDER BY severity DESC, event_id LIMIT 200",
     "text_cleanup": f"SELECT doc_id, 'a b c' AS category, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 37) || '...' ELSE trim(text) END AS short, trim(regexp_replace(text, '\\s+$', '')) AS summary, doc_id::VARCHAR AS mpn, {NORM.format('text')} AS title FROM documents",
-    "audit": "SELECT count(*) AS rows_in, count(*) FILTER (score >= least) AS rows_out, round_even(count(*) FILTER (score >= least) * 100 / count(*)::DOUBLE, 2) AS retention FROM scored",
+    "alert_sentences": """SELECT article_id, s || CASE WHEN alert_level IS NOT NULL THEN ' GDACS has issued a ' || alert_level || ' alert.' ELSE '' END AS sentence, h || CASE WHEN alert_level IS NOT NULL THEN ' GDACS has issued a ' || alert_level || ' alert.' ELSE '' END AS humanized FROM (SELECT article_id, alert_level,
+        CASE WHEN gdacs_type = 'EQ' THEN CASE WHEN size IS NULL THEN 'An earthquake' ELSE 'A magnitude ' || size || ' earthquake' END || ' was detected' || place || CASE WHEN article_id % 3 = 0 THEN ' at a depth of ' || (article_id % 70) || ' km' ELSE '' END ELSE 'A ' || label || ' event was reported' || place || coalesce(' with severity ' || txt, '') END || '.' AS s,
+        CASE WHEN gdacs_type = 'EQ' THEN CASE WHEN size IS NULL THEN 'An earthquake' ELSE 'A magnitude ' || size || ' earthquake' END || ' was detected' || place || CASE WHEN article_id % 3 = 0 THEN ' at a depth of ' || (article_id % 70) || ' km' ELSE '' END ELSE 'A ' || label || ' event was reported' || place || coalesce(' with severity ' || txt, '') END || '.' AS h
+        FROM (SELECT *, coalesce(' in ' || geo_country, '') AS place, CASE gdacs_type WHEN 'FL' THEN 'flood' WHEN 'TC' THEN 'tropical cyclone' WHEN 'VO' THEN 'volcano' WHEN 'DR' THEN 'drought' WHEN 'WF' THEN 'wildfire' ELSE lower(gdacs_type) END AS label,
+        CASE article_id % 3 WHEN 0 THEN (article_id % 9) || '.' || (article_id % 10) WHEN 1 THEN '7.1' END AS size, CASE article_id % 3 WHEN 0 THEN 'Magnitude ' || (article_id % 9) || '.' || (article_id % 10) || 'M, Depth: ' || (article_id % 70) || ' km' WHEN 1 THEN '7.1 strong' END AS txt FROM articles WHERE provider = 'gdacs'))""",
+    "labels": "SELECT n_nationkey, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ', West Coast' AS label, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS plain, 2 AS n FROM nation",
+    "audit": "SELECT count(*) AS rows_in, count(*) FILTER (exact >= least) AS rows_out, round_even(count(*) FILTER (exact >= least) * 100 / count(*)::DOUBLE, 2) AS retention FROM scored",
     "visible": "SELECT event_id, severity FROM risk WHERE severity >= 50 AND latitude IS NOT NULL",
     "uncovered": "SELECT type, count(*) AS n FROM mentions WHERE type = 'COMPONENT' GROUP BY 1",
     "linking_rate": "SELECT count(*) AS mentions, count(*) FILTER (type <> 'LOCATION') AS linked, round_even(count(*) FILTER (type <> 'LOCATION') * 100 / count(*)::DOUBLE, 2) AS rate FROM mentions",

@@ -10,6 +10,7 @@ from riskloom.functions.fuzzy import indel_ratio
 from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import scoring as S
+from riskloom.plans.lineage import saved
 from riskloom.sources import domain as D
 
 
@@ -42,7 +43,11 @@ class Tables:
 
     @property
     def scored(self) -> DataFrame:
-        return S.relevance(self.articles, self.manufacturers)
+        return S.relevance(self.articles, self.manufacturers, self.categories)
+
+    @property
+    def categories(self) -> DataFrame:
+        return self.stock.select(X.normalize_category(F.col("category")).alias("term")).distinct()
 
     @property
     def linked(self) -> DataFrame:
@@ -126,8 +131,8 @@ def q_relevance(t):
 
 
 def q_relevance_documents(t):
-    df = t.documents.select(F.col("doc_id").alias("article_id"), F.lit("gnews").alias("provider"), F.lit("").alias("title"), F.col("text").alias("body"), *[F.lit(None).cast("string").alias(c) for c in ("category", "event_code", "subcategory")])
-    return S.relevance(df, t.manufacturers).select("article_id", "score", "reason")
+    df = t.documents.select(F.col("doc_id").alias("article_id"), F.lit("gnews").alias("provider"), F.lit("").alias("title"), F.col("text").alias("body"), *[F.lit(None).cast("string").alias(c) for c in ("category", "event_code", "subcategory", "metadata")])
+    return S.relevance(df, t.manufacturers, t.categories).select("article_id", "score", "reason")
 
 
 def q_kept(t):
@@ -139,7 +144,7 @@ def q_dropped(t):
 
 
 def q_by_provider(t):
-    return t.scored.groupBy("provider").agg(F.count_if(F.col("score") >= F.col("least")).alias("kept"), F.count_if(F.col("score") < F.col("least")).alias("dropped"))
+    return t.scored.groupBy("provider").agg(F.count_if(F.col("exact") >= F.col("least")).alias("kept"), F.count_if(F.col("exact") < F.col("least")).alias("dropped"))
 
 
 def q_mentions(t):
@@ -234,7 +239,8 @@ def q_actionable(t):
 
 def q_merged(t):
     df = t.severe
-    return E.merge_clusters(df.where(S.actionable(df)), E.clusters(t.articles)).select("root", "source_count", "primary_id", "title", "event_category", "severity", "n_providers", "providers", "verification")
+    df = saved(df.withColumn("actionable", S.actionable(df)))  # scored once, filtered after
+    return E.merge_clusters(df.where("actionable"), E.clusters(t.articles)).select("root", "source_count", "primary_id", "title", "event_category", "severity", "n_providers", "providers", "verification")
 
 
 def q_verification(t):
@@ -279,6 +285,12 @@ def q_identity(t):
     return E.resolve_identity(rows.where("verification < 0.5"), rows.where("verification >= 0.5"))
 
 
+def q_identity_fuzzy(t):
+    """As identity, with reworded titles of a category as one event. No SQL: DuckDB has no Indel ratio."""
+    rows = t.identified
+    return E.resolve_identity_fuzzily(rows.where("verification < 0.5"), rows.where("verification >= 0.5"))
+
+
 def q_keepers(t):
     return E.keepers(t.identified)
 
@@ -364,12 +376,24 @@ def q_alert_feed(t):
     return E.alert_feed(t.risk_events)
 
 
+def q_alert_sentences(t):
+    size = F.concat(F.lit("Magnitude "), (F.col("article_id") % 9).cast("string"), F.lit("."), (F.col("article_id") % 10).cast("string"), F.lit("M, Depth: "), (F.col("article_id") % 70).cast("string"), F.lit(" km"))
+    rows = t.articles.where("provider = 'gdacs'").withColumn("severity_text", F.when(F.col("article_id") % 3 == 0, size).when(F.col("article_id") % 3 == 1, "7.1 strong"))
+    kv = F.concat_ws(". ", F.concat(F.lit("Event type: "), "gdacs_type"), F.concat(F.lit("Alert level: "), "alert_level"), F.concat(F.lit("Country: "), "geo_country"), F.concat(F.lit("Severity: "), "severity_text"))
+    return rows.select("article_id", X.alert_sentence(F.col("gdacs_type"), F.col("alert_level"), F.col("geo_country"), F.col("severity_text")).alias("sentence"), X.humanized(F.concat(kv, F.lit(" [...]"))).alias("humanized"))
+
+
+def q_labels(t):
+    both = F.concat(F.lit("['"), F.lower("n_name"), F.lit("', \"West  Coast\", '"), F.col("n_name"), F.lit("']"))
+    return t.nation.select("n_nationkey", X.geo_label(both).alias("label"), X.geo_label(F.lower("n_name")).alias("plain"), F.size(X.labels(both)).alias("n"))
+
+
 def q_text_cleanup(t):
     return t.documents.select("doc_id", X.normalize_category(F.lit("a__b_c")).alias("category"), X.truncate(F.col("text"), 40).alias("short"), X.clean_summary(F.concat("text", F.lit(" [...]"))).alias("summary"), X.mpn_of(F.concat(F.lit("mpn:"), F.col("doc_id").cast("string"))).alias("mpn"), X.normalize_title(F.col("text")).alias("title"))
 
 
 def q_audit(t):
-    rows = t.scored.agg(F.count("*").alias("rows_in"), F.count_if(F.col("score") >= F.col("least")).alias("rows_out"))
+    rows = t.scored.agg(F.count("*").alias("rows_in"), F.count_if(F.col("exact") >= F.col("least")).alias("rows_out"))
     return rows.select("rows_in", "rows_out", F.bround(F.col("rows_out") * 100 / F.col("rows_in"), 2).alias("retention"))
 
 
@@ -390,8 +414,9 @@ def q_linking_rate(t):
 
 def q_exposure(t):
     """Which suppliers are exposed to the most severe disruptions."""
-    df, active = t.severe, C.active(t.distributors)
-    hit = df.where(S.actionable(df)).select("article_id", "severity")
+    active = C.active(t.distributors)
+    df = t.severe
+    hit = saved(df.select("article_id", "severity", S.actionable(df).alias("actionable"))).where("actionable").drop("actionable")  # scored once, filtered after
     places = C.countries(t.distributors, t.manufacturers).select(F.col("country").alias("location"))
     near = C.location_matches(places, active, "code").select(F.lit("LOCATION").alias("type"), F.col("location").alias("canonical"), "code")
     to = near.unionByName(active.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), "code"))

@@ -16,7 +16,8 @@ TITLES = [
     "{B} opens a new research milestone office", "Credit downgrade for {B} after liquidity crisis", "Strait of Hormuz closure is a major risk for freight", "Import restriction: new compliance requirement in {N}",
     "Typhoon nears {N}, critical port shutdown expected", "Protest and demonstration at supplier {S} in {N}", "Suez Canal blockage partial, {B} shipments late", "Quarterly results of {B} announced",
 ]
-BODY = "Reported from {N}: part {M} of {B} via {S}."
+BODY = "Reported from {N}: part {M} of {B} via {S}. Stock of {C}."
+STOCKED = ["medium parts", "promo parts", "economy parts"]
 GDACS_TYPES, GDACS_LEVELS = ["EQ", "FL", "TC", "VO", "DR", "WF", "XX"], ["Green", "Orange", "Red"]
 GDELT_CATEGORIES, GDELT_CODES, GDELT_SUBS = ["CORPORATE", "CONFLICT", "PROTEST"], ["CO04", "IN02", "EX01", "PR01"], ["MILESTONE", "RIOT", "DEVELOPMENT", "STRIKE", "TALKS"]
 CATEGORIES = ["natural_disaster", "factory_shutdown", "export_sanction", "labor_action", "logistics_disruption", "financial_distress", "geopolitical_event", "cyber_incident", "energy_disruption", "other"]
@@ -47,7 +48,7 @@ def manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select(F.concat(F.lit("MPN"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("mpn"), F.coalesce("p_brand", F.lit("")).alias("manufacturer"), F.coalesce("p_type", F.lit("catalog")).alias("category"), F.col("p_name").alias("description"))
+    return p.select(F.concat(F.lit("MPN"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("mpn"), F.coalesce("p_brand", F.lit("")).alias("manufacturer"), F.coalesce(F.when(F.col("p_type").isin("MEDIUM", "PROMO"), F.concat(F.lower("p_type"), F.lit("__parts"))).otherwise(F.col("p_type")), F.lit("catalog")).alias("category"), F.col("p_name").alias("description"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
     provider = pick(list(PROVIDERS), u % 5)
     nation = F.concat(F.lit("NATION_"), (u % 25).cast("string"))
-    fill = [("{N}", nation), ("{S}", F.concat(F.lit("SUP"), F.lpad((i % 10).cast("string"), 3, "0"))), ("{B}", F.concat(F.lit("Brand#"), (i % 25 + 1).cast("string"))), ("{M}", F.concat(F.lit("MPN"), F.lpad((i % 50).cast("string"), 6, "0")))]
+    fill = [("{N}", nation), ("{S}", F.concat(F.lit("SUP"), F.lpad((i % 10).cast("string"), 3, "0"))), ("{B}", F.concat(F.when(i % 2 == 0, "Brand#").otherwise("Brand "), (i % 25 + 1).cast("string"))), ("{C}", pick(STOCKED, i % 3)), ("{M}", F.concat(F.lit("MPN"), F.lpad((i % 50).cast("string"), 6, "0")))]
 
     def filled(text):
         for mark, value in fill:
@@ -74,10 +75,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def given(name, value):
         return F.when(provider == name, value)
 
+    record = F.format_string('{"category": "%s", "event_code": "%s", "subcategory": "%s"}', pick(GDELT_CATEGORIES, k % 3), pick(GDELT_CODES, k % 4), pick(GDELT_SUBS, k % 5))
     return e.select(
         i.alias("article_id"), provider.alias("provider"), lookup(provider, {n: p[0] for n, p in PROVIDERS.items()}, 3).alias("tier"), filled(pick(TITLES, i % 24)).alias("title"), filled(F.lit(BODY)).alias("body"), F.col("ts").alias("published_at"),
         given("marketaux", (k - 60) / 100.0).alias("sentiment"), given("gdacs", pick(GDACS_TYPES, i % 7)).alias("gdacs_type"), given("gdacs", pick(GDACS_LEVELS, i % 3)).alias("alert_level"), given("gdacs", F.when(k % 4 != 0, (k % 80) / 10.0)).alias("magnitude"),
         given("gdelt", pick(GDELT_CATEGORIES, k % 3)).alias("category"), given("gdelt", pick(GDELT_CODES, k % 4)).alias("event_code"), given("gdelt", pick(GDELT_SUBS, k % 5)).alias("subcategory"), given("gdelt", (k % 10) / 10.0).alias("significance"),
+        given("gdelt", F.when(k % 2 == 0, record).otherwise(F.concat(F.lit('{"raw": '), record, F.lit("}")))).alias("metadata"),
         F.when(provider.isin("gdelt", "gdacs") & (u % 2 == 0), nation).alias("geo_country"),
     )
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,12 +44,92 @@ def test_clusters(spark):
     assert [roots[t] for t in titles] == [titles[0]] * 3 + [titles[3]] * 2 + [titles[5]]
 
 
+def scored(spark, rows, manufacturers=(("Texas Instruments", "US", "TI Works"), ("STM32-F4", "US", "F4"), ("NXP Semiconductors", "NL", None)), categories=("power modules", "Upper Case")):
+    cols = "article_id long, provider string, title string, body string, metadata string"
+    frame = S.relevance(spark.createDataFrame(rows, cols), spark.createDataFrame(list(manufacturers), "name string, country string, alias string"), spark.createDataFrame([(c,) for c in categories], "term string"))
+    return {r.article_id: r for r in frame.collect()}
+
+
 def test_relevance_golden(spark):
-    cols = "article_id long, provider string, title string, body string, category string, event_code string, subcategory string"
-    rows = [(1, "gnews", "new ic", "", None, None, None), (2, "gnews", "football ic", "", None, None, None), (3, "newsdata", "nothing", "here", None, None, None), (4, "gdelt", "ic", "", "outage", None, None), (5, "gdacs", "x", "y", None, None, None), (6, "gnews", None, None, None, None, None)]
-    mfr = spark.createDataFrame([("Texas", "US")], "name string, country string")
-    got = {r.article_id: (r.score, r.reason) for r in S.relevance(spark.createDataFrame(rows, cols), mfr).collect()}
-    assert got == {1: (0.25, "keyword_entity_score"), 2: (0.0, "negative_keyword_match"), 3: (0.12, "no_keyword_or_entity_match"), 4: (0.352, "keyword_entity_score"), 5: (1.0, "provider_auto_pass"), 6: (0.0, "empty_content")}
+    rows = [
+        (1, "gnews", "new ic", "", None), (2, "gnews", "football ic", "", None), (3, "newsdata", "nothing", "here", None), (4, "gdelt", "ic", "", '{"x": "outage"}'), (5, "gdacs", "x", "y", None), (6, "gnews", None, None, None),
+        (7, "gdelt", "ic", "", '{"x": "supplier"}'), (8, "gdelt", "none", "", '{"x": "export ban", "y": "ic"}'), (9, "gdelt", "war", "", '{"x": "ic"}'), (10, "gdelt", "new ic", "", '{"code": 1}'),
+        (11, "gdelt", "new ic", "", '{"event_code": "in02"}'), (12, "gdelt", "new ic", "", '{"raw": {"event_code": "IN02"}}'), (13, "gdelt", "new", "", '{"event_code": "EX01"}'), (14, "gnews", "called now", "", None),
+    ]
+    got = scored(spark, rows)
+    want = {1: (0.25, "keyword_entity_score"), 2: (0.0, "negative_keyword_match"), 3: (0.12, "no_keyword_or_entity_match"), 4: (0.352, "keyword_entity_score"), 5: (1.0, "provider_auto_pass"), 6: (0.0, "empty_content"), 7: (0.358, "keyword_entity_score"), 8: (0.228, "keyword_entity_score"), 9: (0.30, "keyword_entity_score"), 10: (0.25, "keyword_entity_score"), 11: (0.40, "keyword_entity_score"), 12: (0.25, "keyword_entity_score"), 13: (0.15, "keyword_entity_score"), 14: (0.12, "no_keyword_or_entity_match")}
+    assert {k: (r.score, r.reason) for k, r in got.items()} == want
+    assert got[11].matched == "semiconductor:ic,metadata:gdelt_event_code:IN02" and got[13].matched == "metadata:gdelt_event_code:EX01"
+
+
+def test_names_of_several_words(spark):
+    got = scored(spark, [(1, "gnews", "Texas Instruments, power modules", "", None), (2, "gnews", "the texas instrumentsx", "upper case", None), (3, "gnews", "an STM32-F4 part of TI works", "", None), (4, "gnews", "(NXP Semiconductors)", "", None)])
+    assert got[1].matched == "manufacturer:Texas Instruments,category:power modules,signal:manufacturer_category_cooccurrence,signal:strong_context" and got[1].exact == pytest.approx(0.35 + 0.20 + 0.20 + 0.10)
+    assert got[2].matched == "" and got[3].manufacturers_found == "STM32-F4,TI Works" and got[4].manufacturers_found == "NXP Semiconductors"
+    names = spark.createDataFrame([("Texas Instruments", "TI", "MANUFACTURER"), ("red sea", "red sea", "LOCATION"), ("sea", "red sea", "LOCATION")], "surface string, canonical string, type string")
+    from riskloom.operators.catalog import mentions
+
+    found = mentions(spark.createDataFrame([(1, "In the Red Sea, Texas  Instruments", "Texas Instruments")], "article_id long, title string, body string"), names).collect()
+    assert {(r.canonical, r.start, r.end) for r in found} == {("red sea", 7, 14), ("TI", 35, 52)}
+
+
+def test_similar_titles_by_brute_force(spark):
+    rnd = random.Random(1)
+    words = ["the", "a", "of", "in", "fire", "fab", "port", "chip", "strike", "flood", "taiwan", "ship"]
+    titles = list(dict.fromkeys(" ".join(rnd.choices(words[: rnd.choice([4, 12])], k=rnd.randint(1, 6))) for _ in range(150)))
+    frame = spark.createDataFrame(list(enumerate(titles)), "ordinal long, title string")
+    got = {(r.a, r.b) for r in E.similar_titles(frame).collect()}
+
+    def similarity(a, b):
+        wa, wb = set(a.split()), set(b.split())
+        ca, cb = wa - set(words[:4]), wb - set(words[:4])
+        j = len(wa & wb) / len(wa | wb)
+        return 0.3 * j + 0.7 * (len(ca & cb) / len(ca | cb) if ca and cb else j)
+
+    assert got == {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if similarity(a, b) >= 0.75}
+
+
+def test_alike_pairs_by_brute_force(spark):
+    rnd = random.Random(2)
+    texts = set()
+    for _ in range(40):
+        base = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 30)))
+        texts |= {base, base[1:], base.replace("a", "b", 1), base[: len(base) // 2] + "x" + base[len(base) // 2 :]}
+    frame = spark.createDataFrame([("k", t) for t in texts if t], "block string, text string")
+    got = {(r.a, r.b) for r in fuzzy.alike_pairs(frame).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a and b and fuzzy.ratio(a, b) >= 88}
+
+
+def test_fuzzy_identity_in_order(spark):
+    rnd = random.Random(3)
+    titles = ["port closure at rotterdam", "port closures at rotterdam", "port closure in rotterdam", "fab fire in taiwan today", "fab fires in taiwan today", "", "strike"]
+    rows = [(k, rnd.choice(titles), rnd.choice(["x", "y"]), rnd.choice(["US", "NL"]), k % 4 == 0) for k in range(60)]
+    frame = E.with_identity(spark.createDataFrame(rows, "event_id long, title string, event_category string, geo_country string, old boolean"), "title", "event_category", "geo_country")
+    prints = {r.event_id: r.fingerprint for r in frame.collect()}
+    index = [(i, t, c, prints[i], i) for i, t, c, _, old in rows if old]
+    want, olds = {}, list(index)
+    for i, t, c, _, old in rows:
+        if old:
+            continue
+        match = next((r for r in olds if r[3] == prints[i]), None) or next((r for r in index if r[2] == c and r[1] and t and fuzzy.ratio(r[1], t) >= 88), None) or next((r for r in index if not t and r[3] == prints[i]), None)
+        want[i] = (match[4], "updated") if match else (i, "detected")
+        index.append((i, t, c, prints[i], want[i][0]))
+    got = {r.event_id: (r.resolved_id, r.new_status) for r in E.resolve_identity_fuzzily(frame.where("not old"), frame.where("old")).collect()}
+    assert got == want
+
+
+def test_sentences_and_labels(spark):
+    assert one(spark, X.humanized(F.lit("Event type: EQ. Alert level: orange. Country: Japan. Severity: Magnitude 6.2M, Depth:10km. ..."))) == "A magnitude 6.2 earthquake was detected in Japan at a depth of 10 km. GDACS has issued a Orange alert."
+    assert one(spark, X.alert_sentence(F.lit("wf"), F.lit(""), F.lit(None).cast("string"), F.lit("high "))) == "A wildfire event was reported with severity high."
+    assert one(spark, X.geo_label(F.lit("['united arab emirates']"))) == "United Arab Emirates" and one(spark, X.geo_label(F.lit("  "))) is None
+    assert one(spark, X.labels(F.lit("['oman', \"Oman\", 'US']"))) == ["Oman", "US"] and one(spark, X.summary_field(F.lit("A: 1. a: 2."), "a")) == "2"
+
+
+def test_upsert_of_some_columns(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "event_id long, title string, severity double")
+    new = spark.createDataFrame([(2, "c", 5.0), (2, "c", 4.0), (3, "d", 3.0)], "event_id long, title string, severity double")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(E.upsert(old, new)) == [(1, "a", 1.0), (2, "c", 5.0), (3, "d", 3.0)] and rows(E.upsert(old, new, update=["severity"])) == [(1, "a", 1.0), (2, "b", 5.0), (3, "d", 3.0)]
 
 
 def test_providers(spark, tmp_path):
