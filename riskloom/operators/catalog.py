@@ -68,9 +68,11 @@ def term_places(texts: DataFrame, terms: DataFrame, key: str, term: str, keep_ca
     runs = terms.select(term, F.explode(word_runs(F.col(term))).alias("_word")).distinct()
     rarity = runs.groupBy("_word").agg(F.count("*").alias("_n"))
     rarest = runs.join(rarity, "_word").groupBy(term).agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
-    words = texts.select(key, "text_", F.explode(F.array_distinct(word_runs(F.col("text_")))).alias("_word"))
+    words = texts.select(key, F.explode(F.array_distinct(word_runs(F.col("text_")))).alias("_word"))
     surface = F.col(term) if keep_case else F.lower(term)
-    return words.join(terms.join(rarest, term), "_word").where(F.contains(marked(F.col("text_")), bounded(surface))).drop("_word")
+    sought = terms.join(rarest, term).withColumn("_term", bounded(surface))
+    # words travel without their text, which only the candidates meet again
+    return words.join(sought, "_word").join(texts.select(key, "text_", marked(F.col("text_")).alias("_marked")), key).where(F.contains("_marked", "_term")).drop("_word", "_marked", "_term")
 
 
 def mentions(articles: DataFrame, names: DataFrame) -> DataFrame:
