@@ -278,7 +278,7 @@ def _blocks(cutter: Cutter, frequent, pieces: int, requests: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Frequent = frequent.value
-        block, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd", 3)
+        block, codec = TaskContext.get().partitionId() << 40, pa.Codec("zstd", 9)
         for part in byte_slices(batches, 1, BLOCK_BYTES):
             texts = part.column(1).to_pylist()
             units, numbers, counts = cutter.units(texts)
@@ -294,10 +294,10 @@ def _blocks(cutter: Cutter, frequent, pieces: int, requests: bool):
                 pool = np.append(known.ids, pieces + np.arange(len(rare), dtype=np.int32))
                 flat, at = _strung(pool, begin[numbers], length[numbers])
                 sizes = np.diff(at[np.concatenate([[0], np.cumsum(counts)])])
-                packed = codec.compress(flat.astype(np.uint16 if pieces + len(rare) <= 1 << 16 else np.uint32).tobytes(), asbytes=True)
+                top, others, data = packed_ids(flat)
                 crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                row = {"block": block, "doc_ids": part.column(0).to_pylist(), "sizes": sizes, "crc": crc, "wide": pieces + len(rare) > 1 << 16, "packed": packed}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("wide", pa.bool_()), ("packed", pa.binary())]))
+                row = {"block": block, "doc_ids": part.column(0).to_pylist(), "sizes": sizes, "crc": crc, "top": top, "others": others, "packed": codec.compress(data, asbytes=True)}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("crc", pa.list_(pa.int64())), ("top", pa.list_(pa.int32())), ("others", pa.int64()), ("packed", pa.binary())]))
             block += 1
 
     return run
@@ -309,6 +309,25 @@ def _strung(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np
     return pool[np.repeat(begin - at[:-1], length) + np.arange(at[-1])], at
 
 
+def packed_ids(ids: np.ndarray) -> tuple[np.ndarray, int, bytes]:
+    """(top, others, data): a byte for each id, its place among the 255 most frequent, top, or 255; then the others' bytes, all the
+    lowest first. So most ids take a byte, and what always is zero packs to nothing."""
+    top = np.argsort(-np.bincount(ids), kind="stable")[:255].astype(np.int32)
+    place = np.full(int(ids.max(initial=0)) + 1, 255, np.uint8)
+    place[top] = np.arange(len(top))
+    first = place[ids]
+    rest = ids[first == 255].astype("<u4")
+    return top, len(rest), first.tobytes() + rest.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_ids(top: np.ndarray, others: int, data: bytes) -> np.ndarray:
+    """The ids that packed_ids was given."""
+    first = np.frombuffer(data, np.uint8, len(data) - 4 * others)
+    ids = np.append(top, np.zeros(256 - len(top), np.int64)).astype(np.int64)[first]
+    ids[first == 255] = np.frombuffer(data, np.uint8, 4 * others, len(first)).reshape(4, -1).T.copy().view("<u4").ravel()
+    return ids
+
+
 def decoder_of(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, begins): the bytes of piece i, its marks as spaces, are bytes[begins[i]:begins[i + 1]]; control pieces have none."""
     table = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b"" for p in load_model(path).pieces]
@@ -332,9 +351,9 @@ def _filled(path: str):
         for batch in batches:
             for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
                 doc_ids, sizes, crc = (row.column(k).flatten() for k in range(3))
-                sizes, kind = sizes.to_numpy(), np.uint32 if row.column(3)[0].as_py() else np.uint16
-                coded = np.frombuffer(codec.decompress(row.column(4)[0].as_py(), int(sizes.sum()) * kind().itemsize, asbytes=True), kind).astype(np.int64)
-                rare = row.column(5).flatten()
+                sizes, top, others = sizes.to_numpy(), row.column(3).flatten().to_numpy(), row.column(4)[0].as_py()
+                coded = unpacked_ids(top, others, codec.decompress(row.column(5)[0].as_py(), int(sizes.sum()) + 4 * others, asbytes=True))
+                rare = row.column(6).flatten()
                 pool = np.concatenate([np.arange(pieces, dtype=np.int32), rare.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
                 offsets = np.asarray(rare.offsets).astype(np.int64) if len(rare) else np.zeros(1, np.int64)
                 begins = np.concatenate([np.arange(pieces), pieces + offsets[:-1] - offsets[0]])
@@ -356,8 +375,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     asked = saved(given.mapInArrow(_blocks(cutter, frequent, pieces, True), "block long, k int, unit string"), "rare-units", compression="zstd")
     vocabulary = encode_in_parts(asked.select("unit"), max(1, docs.rdd.getNumPartitions()) * PARTS_A_SPLIT, path)
     rare = asked.join(vocabulary, "unit").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("rare")).select("block", F.expr("transform(rare, x -> x.ids)").alias("rare"))
-    blocks = given.mapInArrow(_blocks(cutter, frequent, pieces, False), "block long, doc_ids array<long>, sizes array<long>, crc array<long>, wide boolean, packed binary")
-    whole = blocks.join(rare, "block", "left").select("doc_ids", "sizes", "crc", "wide", "packed", F.coalesce("rare", F.expr("cast(array() AS array<array<int>>)")))
+    blocks = given.mapInArrow(_blocks(cutter, frequent, pieces, False), "block long, doc_ids array<long>, sizes array<long>, crc array<long>, top array<int>, others long, packed binary")
+    whole = blocks.join(rare, "block", "left").select("doc_ids", "sizes", "crc", "top", "others", "packed", F.coalesce("rare", F.expr("cast(array() AS array<array<int>>)")))
     return whole.mapInArrow(_filled(path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 

@@ -199,6 +199,13 @@ def test_pieces_are_joined_where_rare(spark, docs, data, monkeypatch):
     assert got == sorted((r[0] or -1, sp.encode(r[1] or "")) for r in data)
 
 
+def test_ids_are_packed_and_unpacked():
+    rnd = np.random.default_rng(5)
+    for ids in (np.empty(0, np.int64), np.array([7]), np.repeat(3, 1000), rnd.integers(0, 200, 5000), rnd.zipf(1.3, 5000) % 90_000, np.arange(1 << 17)):
+        top, others, data = pieces.packed_ids(ids.astype(np.int64))
+        assert pieces.unpacked_ids(top, others, data).tolist() == ids.tolist()
+
+
 def test_decoding(spark, docs):
     path = vocabulary_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
