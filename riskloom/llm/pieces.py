@@ -374,7 +374,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     given = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     asked = saved(given.mapInArrow(_blocks(cutter, frequent, pieces, True), "block long, k int, unit string"), "rare-units", compression="zstd")
     vocabulary = encode_in_parts(asked.select("unit"), max(1, docs.rdd.getNumPartitions()) * PARTS_A_SPLIT, path)
-    rare = asked.join(vocabulary, "unit").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("rare")).select("block", F.expr("transform(rare, x -> x.ids)").alias("rare"))
+    rare = asked.join(vocabulary, "unit").groupBy("block").agg(F.array_sort(F.collect_list(F.concat(F.array("k"), "ids"))).alias("rare")).select("block", F.expr("transform(rare, x -> slice(x, 2, size(x) - 1))").alias("rare"))
     blocks = given.mapInArrow(_blocks(cutter, frequent, pieces, False), "block long, doc_ids array<long>, sizes array<long>, crc array<long>, top array<int>, others long, packed binary")
     whole = blocks.join(rare, "block", "left").select("doc_ids", "sizes", "crc", "top", "others", "packed", F.coalesce("rare", F.expr("cast(array() AS array<array<int>>)")))
     return whole.mapInArrow(_filled(path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
