@@ -125,6 +125,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "event_id", update: list[s
     return both.select(key, *[choose(c).alias(c) for c in rest])
 
 
+def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of old, and of the new ones those whose keys it lacks; of several new rows of a key the least is added (rows have no
+    order). A null in a key equals no key of old, and one row is added for it."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("n")).select(*keys, *[F.col(f"n.{c}").alias(c) for c in rest])
+    return old.select(*keys, *rest).unionByName(one.join(old.select(*keys), keys, "left_anti"))
+
+
+def status_history(batch: DataFrame) -> DataFrame:
+    """What a stored batch appends to the history of its events."""
+    return batch.select("event_id", "status", "run_id", F.when(F.col("status") == "updated", "updated").otherwise("persisted").alias("action"))
+
+
 def alert_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(L.ALERTS, "rule_id string, rule_name string, min_severity double, min_sources int, min_verification double, category string")
 

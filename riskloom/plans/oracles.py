@@ -189,6 +189,10 @@ BODIES = {
     "keepers": "SELECT * FROM kept_rows",
     "reparented": "SELECT event_id + 1000000 AS child_id, keep_id AS event_id FROM identified JOIN kept_rows USING (fingerprint)",
     "upsert": "SELECT event_id, severity + CASE WHEN verification >= 0.5 THEN 1 ELSE 0 END AS severity, CASE WHEN verification >= 0.5 THEN 'updated' ELSE status END AS status, run_id FROM risk",
+    "event_articles": """SELECT event_id, article_id, r.p AS provider, r.s AS severity FROM (SELECT event_id % 500 AS event_id, supplier_code AS article_id,
+        coalesce(min({'p': event_type, 's': severity}) FILTER (verification >= 0.5), min({'p': event_type, 's': severity})) AS r FROM risk GROUP BY ALL)""",
+    "status_history": """SELECT event_id, status, run_id, CASE status WHEN 'updated' THEN 'updated' ELSE 'persisted' END AS action FROM
+        (SELECT * FROM risk WHERE verification >= 0.5 UNION ALL SELECT * FROM risk)""",
     "alerts": "SELECT * FROM alerted",
     "gate": "SELECT CASE WHEN severity < 50 THEN 'severity_below_threshold' WHEN confidence < 0.5 THEN 'confidence_below_threshold' ELSE 'eligible' END AS reason, count(*) AS n FROM risk GROUP BY 1",
     "budget": "SELECT event_id, severity, severity >= 65 OR row_number() OVER (PARTITION BY severity >= 65 ORDER BY severity DESC, event_id) <= 10 AS selected FROM risk WHERE severity >= 50 AND confidence >= 0.5",

@@ -308,6 +308,19 @@ def q_upsert(t):
     return E.upsert(rows.where("verification < 0.5 or status = 'detected'").drop("verification"), new.drop("verification"))
 
 
+def q_event_articles(t):
+    """Suppliers' articles of 500 events: those of verified rows are stored first, all others then add what is missing."""
+    rows = t.risk_events.select((F.col("event_id") % 500).alias("event_id"), F.col("supplier_code").alias("article_id"), F.col("event_type").alias("provider"), "severity", "verification")
+    keys, verified = ["event_id", "article_id"], F.col("verification") >= 0.5
+    stored = E.insert_missing(rows.drop("verification").where("false"), rows.where(verified).drop("verification"), keys)
+    return E.insert_missing(stored, rows.where(~verified).drop("verification"), keys)
+
+
+def q_status_history(t):
+    """The history after the verified events were stored, and then all events again."""
+    return E.status_history(t.risk_events.where("verification >= 0.5")).unionByName(E.status_history(t.risk_events))
+
+
 def q_alerts(t):
     return E.alert_matches(t.risk_events)
 

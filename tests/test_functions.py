@@ -164,3 +164,12 @@ def test_stream(spark, tmp_path):
     query = append_to(new_events(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/ck")
     query.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_insert_missing(spark):
+    schema = "event_id long, article_id string, title string"
+    old = spark.createDataFrame([(1, "a", "kept"), (None, "a", "old")], schema)
+    new = spark.createDataFrame([(1, "a", "new"), (1, "b", "y"), (1, "b", "x"), (None, "a", None), (2, None, "z")], schema)
+    got = [tuple(r) for r in E.insert_missing(old, new, ["event_id", "article_id"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", "kept"), (None, "a", "old"), (1, "b", "x"), (None, "a", None), (2, None, "z")], key=str)
+    assert E.insert_missing(old, new.limit(0), ["event_id", "article_id"]).count() == 2
