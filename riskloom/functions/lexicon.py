@@ -82,3 +82,6 @@ ALERTS = [
     ("multi_source_confirmed", "Multi-source verified event", None, 2, 0.6, None),
     ("export_sanction_high", "Export sanction or trade restriction", 60.0, None, None, "export_sanction"),
 ]
+
+# Fixed value: a token of an upper-case text that may be a part number.
+PART_NUMBER = r"\b[A-Z0-9]{3,}[A-Z0-9\-/_]{2,}\b"

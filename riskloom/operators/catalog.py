@@ -85,6 +85,13 @@ def mentions(articles: DataFrame, names: DataFrame) -> DataFrame:
     return best.select("article_id", "canonical", "type", "s.start", "s.end")
 
 
+def part_links(texts: DataFrame, parts: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, mpn): the catalog's part numbers, in capitals as there, among the tokens of (key, text_) in any case. Letters of all
+    scripts end no token. A null text has no tokens."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.upper("text_"), F.lit("(?U)" + L.PART_NUMBER), 0))
+    return texts.select(key, F.explode(tokens).alias("mpn")).join(parts.select("mpn"), "mpn", "left_semi").select(key, "mpn")
+
+
 def location_matches(locations: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """(location, key) where the location and the row's country are equal or one is part of the other. Every substring of a country
     or location is looked up by an equi-join, so no pair is tried that doesn't match."""

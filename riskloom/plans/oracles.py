@@ -163,7 +163,7 @@ BODIES = {
     "extraction_metrics": "SELECT sum(coalesce(n, 0))::BIGINT AS mentions, count(*) FILTER (n > 0) AS with_mentions, round_even(sum(coalesce(n, 0)) / count(*)::DOUBLE, 4) AS per_article FROM articles LEFT JOIN (SELECT article_id, count(*) AS n FROM mentions GROUP BY 1) USING (article_id)",
     "metadata_geo": "SELECT geo_country, count(*) AS n, 0.92::DOUBLE AS confidence FROM articles WHERE geo_country IS NOT NULL GROUP BY 1",
     "supplier_links": "SELECT article_id, canonical, code, 0.9::DOUBLE AS score FROM mentions JOIN (SELECT DISTINCT manufacturer, code, dense_rank() OVER (PARTITION BY manufacturer ORDER BY code) AS r FROM stock) s ON s.manufacturer = canonical AND r <= 3 WHERE type = 'MANUFACTURER'",
-    "mpn_links": "SELECT DISTINCT article_id, mpn FROM (SELECT article_id, unnest(regexp_extract_all(upper(concat_ws(' ', title, body)), 'MPN[0-9]+')) AS mpn FROM articles) JOIN parts USING (mpn)",
+    "mpn_links": "SELECT DISTINCT article_id, mpn FROM (SELECT article_id, unnest(regexp_extract_all(upper(concat_ws(' ', title, body)), '\\b[A-Z0-9]{3,}[A-Z0-9\\-/_]{2,}\\b')) AS mpn FROM articles) JOIN parts USING (mpn)",
     "location_suppliers": "SELECT DISTINCT n_name AS location, code FROM nation JOIN active ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
     "location_manufacturers": "SELECT DISTINCT n_name AS location, name FROM nation JOIN manufacturers ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
     "supplier_manufacturers": "SELECT DISTINCT code, manufacturer FROM stock",

@@ -166,8 +166,7 @@ def q_supplier_links(t):
 
 
 def q_mpn_links(t):
-    found = t.articles.select("article_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper(F.concat_ws(" ", "title", "body")), F.lit("MPN[0-9]+"), 0))).alias("mpn"))
-    return found.join(t.parts.select("mpn"), "mpn", "left_semi").select("article_id", "mpn")
+    return C.part_links(t.articles.select("article_id", F.concat_ws(" ", "title", "body").alias("text_")), t.parts)
 
 
 def q_location_suppliers(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fuzzy
 from riskloom.functions import text as X
+from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import scoring as S
 from riskloom.sources import providers
@@ -173,3 +174,9 @@ def test_insert_missing(spark):
     got = [tuple(r) for r in E.insert_missing(old, new, ["event_id", "article_id"]).collect()]
     assert sorted(got, key=str) == sorted([(1, "a", "kept"), (None, "a", "old"), (1, "b", "x"), (None, "a", None), (2, None, "z")], key=str)
     assert E.insert_missing(old, new.limit(0), ["event_id", "article_id"]).count() == 2
+
+
+def test_part_links(spark):
+    texts = spark.createDataFrame([(1, "stm32-f4 and LM358/N, lm358/n; AB12 éSTM32-F4"), (2, "xSTM32-F4, STM32-F4x"), (3, None), (4, "NE5_55.")], "article_id long, text_ string")
+    parts = spark.createDataFrame([("STM32-F4",), ("LM358/N",), ("AB12",), ("NE5_55",), ("stm32-f4",), (None,), ("LM358/N",)], "mpn string")
+    assert sorted(tuple(r) for r in C.part_links(texts, parts).collect()) == [(1, "LM358/N"), (1, "STM32-F4"), (4, "NE5_55")]
