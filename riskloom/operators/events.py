@@ -125,6 +125,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "event_id", update: list[s
     return both.select(key, *[choose(c).alias(c) for c in rest])
 
 
+def upsert_results(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Analyses or predictions by event: as upsert, but a new row without a result or marked as skipped changes nothing."""
+    return upsert(old, new.where("result is not null and not coalesce(skipped, false)").drop("skipped"))
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of old, and of the new ones those whose keys it lacks; of several new rows of a key the least is added (rows have no
     order). A null in a key equals no key of old, and one row is added for it."""

@@ -189,6 +189,8 @@ BODIES = {
     "keepers": "SELECT * FROM kept_rows",
     "reparented": "SELECT event_id + 1000000 AS child_id, keep_id AS event_id FROM identified JOIN kept_rows USING (fingerprint)",
     "upsert": "SELECT event_id, severity + CASE WHEN verification >= 0.5 THEN 1 ELSE 0 END AS severity, CASE WHEN verification >= 0.5 THEN 'updated' ELSE status END AS status, run_id FROM risk",
+    "event_results": """SELECT event_id, CASE WHEN severity >= 50 AND confidence >= 0.5 AND event_id % 3 <> 0 THEN 'again ' || event_category ELSE 'first' END AS result, run_id
+        FROM risk WHERE status = 'detected' OR (severity >= 50 AND confidence >= 0.5 AND event_id % 3 <> 0)""",
     "event_articles": """SELECT event_id, article_id, r.p AS provider, r.s AS severity FROM (SELECT event_id % 500 AS event_id, supplier_code AS article_id,
         coalesce(min({'p': event_type, 's': severity}) FILTER (verification >= 0.5), min({'p': event_type, 's': severity})) AS r FROM risk GROUP BY ALL)""",
     "status_history": """SELECT event_id, status, run_id, CASE status WHEN 'updated' THEN 'updated' ELSE 'persisted' END AS action FROM

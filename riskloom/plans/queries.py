@@ -307,6 +307,14 @@ def q_upsert(t):
     return E.upsert(rows.where("verification < 0.5 or status = 'detected'").drop("verification"), new.drop("verification"))
 
 
+def q_event_results(t):
+    """Detected events have a result; a new batch has severe ones, of which those of doubtful confidence were skipped and some have none."""
+    rows = t.risk_events
+    old = rows.where("status = 'detected'").select("event_id", F.lit("first").alias("result"), "run_id")
+    result = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("again "), F.col("event_category")))
+    return E.upsert_results(old, rows.where("severity >= 50").select("event_id", result.alias("result"), "run_id", (F.col("confidence") < 0.5).alias("skipped")))
+
+
 def q_event_articles(t):
     """Suppliers' articles of 500 events: those of verified rows are stored first, all others then add what is missing."""
     rows = t.risk_events.select((F.col("event_id") % 500).alias("event_id"), F.col("supplier_code").alias("article_id"), F.col("event_type").alias("provider"), "severity", "verification")

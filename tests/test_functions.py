@@ -180,3 +180,9 @@ def test_part_links(spark):
     texts = spark.createDataFrame([(1, "stm32-f4 and LM358/N, lm358/n; AB12 éSTM32-F4"), (2, "xSTM32-F4, STM32-F4x"), (3, None), (4, "NE5_55.")], "article_id long, text_ string")
     parts = spark.createDataFrame([("STM32-F4",), ("LM358/N",), ("AB12",), ("NE5_55",), ("stm32-f4",), (None,), ("LM358/N",)], "mpn string")
     assert sorted(tuple(r) for r in C.part_links(texts, parts).collect()) == [(1, "LM358/N"), (1, "STM32-F4"), (4, "NE5_55")]
+
+
+def test_upsert_results(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "event_id long, result string")
+    new = spark.createDataFrame([(1, "x", True), (2, None, False), (3, "y", None), (4, "z", False), (5, "w", True)], "event_id long, result string, skipped boolean")
+    assert sorted(tuple(r) for r in E.upsert_results(old, new).collect()) == [(1, "a"), (2, "b"), (3, "y"), (4, "z")]
