@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import context_mixing, exact_dedup, hard_negatives, html_text, mixing, packing, pieces, quality, secrets, simhash, token_files, toxicity
+from riskloom.llm import context_mixing, exact_dedup, hard_negatives, html_text, mixing, packing, pieces, quality, secrets, simhash, token_files, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": pieces.op1_pieces,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_pack": packing.op9_pack,
     "op10_main_text": html_text.op10_main_text,
+    "op11_whitening": whitening.op11_whitening,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_mix": mixing.op13_mix,
 }
