@@ -10,6 +10,8 @@ at most max_rows pages of the table (a bound on the fit alone) that carry the se
 article's (under article or main alone) or surely not (under nav, header, footer, aside or form). Long pages are trained on in
 runs of RUN blocks, none of which is left out.
 
+Time is linear in the page's length, whatever its nesting and quotes.
+
 Defined cases: null and empty html have no text; a page without blocks has the text ""; repeated rows get a row each; unclosed
 and stray tags, and html cut off inside a tag, are read as far as they go; an empty table gives an empty result; extra columns
 are not read. Pages of any length are read whole.
@@ -32,7 +34,7 @@ from riskloom.llm.crf import LinearChain, train, viterbi
 
 # Tags by their part in HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript object ol option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
-SILENT_TAGS = frozenset("head title script style noscript template iframe object svg math canvas audio video textarea select option button map datalist".split())
+SILENT_TAGS = frozenset("head title script style noscript template iframe object svg canvas audio video textarea select option button map datalist".split())
 RAW_TAGS = "script|style|textarea|title|iframe|noembed|noframes|xmp"
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - frozenset("body html head option button caption legend td th tr tbody thead tfoot".split())
@@ -51,26 +53,75 @@ BAD_NAMES = {
     "comment": re.compile(r"comment|respond|replies|disqus|discussion|feedback|review", re.A),
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+# A start or end tag whose values are all closed and hold no angle bracket; a try that fails reads no further than the next of them.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^<>"'=]++|=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))*+)>""")
+OPENING = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|[^<]++|<", re.S)
+GAP, NAME, EQUALS, BARE = re.compile(r"[\s/]*+"), re.compile(r"[^\s/>][^\s/>=]*+"), re.compile(r"\s*+=\s*+"), re.compile(r"[^\s>]*+")
 NAMED = re.compile(r"""\b(?:class|id|role|data-part)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r'data-part="(\w+)"')
 HIDING = re.compile("hidden|style", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
-RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS.split("|")}
-MAX_ROWS, RUN, REPEATS = 400, 100, 3
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS.split("|")}
+MAX_ROWS, RUN, REPEATS = 400, 100, 30
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+TOLD_TAGS = frozenset((*GOOD_TAGS, *BAD_TAGS))  # that features or labels ask for
+
+
 @dataclass
 class Block:
     text: str
-    tags: frozenset
-    names: str
+    tags: frozenset  # of TOLD_TAGS, around it
+    names: frozenset  # of the kinds of names around it: good, and keys of BAD_NAMES
     link_share: float
     part: str | None  # of labelled pages
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element, with what it and those around it tell of a block."""
+
+    tag: str
+    mute: bool
+    tags: frozenset
+    names: frozenset
+    part: str | None
+
+
+OUTSIDE = Open("", False, frozenset(), frozenset(), None)
+
+
+def name_kinds(names: str) -> frozenset:
+    return frozenset([*(["good"] if GOOD_NAMES.search(names) else []), *(k for k, p in BAD_NAMES.items() if p.search(names))])
+
+
+def tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag ends whose name ends at at. Quotes open a value only after an equals sign; a value whose quote is never closed
+    ends at the next angle bracket. unclosed gathers the quotes that occur no more, so that each is looked for in vain once."""
+    while True:
+        at = GAP.match(page, at).end()
+        if at >= len(page):
+            return at
+        if page[at] == ">":
+            return at + 1
+        at = NAME.match(page, at).end()
+        if m := EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                stop = -1 if quote in unclosed else page.find(quote, at + 1)
+                if stop < 0:
+                    unclosed.add(quote)
+                    stop = page.find(">", at)
+                    return stop + 1 if stop >= 0 else len(page)
+                at = stop + 1
+            else:
+                at = BARE.match(page, at).end()
+
+
 def is_hidden(attributes: str) -> bool:
     """Whether a start tag's attributes hide its element: hidden of any value, aria-hidden of true, or a style with display: none."""
     if not HIDING.search(attributes):
@@ -83,81 +134,90 @@ def is_hidden(attributes: str) -> bool:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Runs of text between block-level tags, with the tags and names open around them."""
+    """Runs of text between block-level tags, with the tags and names open around them. Every step looks at the innermost open
+    elements alone, found by tag, so time grows with the page and not with its depth."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, str | None, bool]] = []  # tag, names, part, silent
+    stack = [OUTSIDE]
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    open_blocks: list[int] = []
+    kinds: dict[str, frozenset] = {}
     silent = links = linked = total = 0
     buffer: list[str] = []
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked, total
         if buffer:
             text = " ".join(html_module.unescape("".join(buffer)).split())
             if text:
-                blocks.append(Block(text, frozenset(t for t, *_ in stack), " ".join(n for _, n, *_ in stack if n), linked / max(total, 1), next((p for _, _, p, _ in reversed(stack) if p), None)))
+                top = stack[-1]
+                blocks.append(Block(text, top.tags, top.names, linked / max(total, 1), top.part))
             buffer.clear()
         linked = total = 0
 
     def pop_to(at: int) -> None:
         nonlocal silent, links
-        for tag, _, _, mute in stack[at:]:
-            silent -= mute
-            links -= tag == "a"
-        del stack[at:]
-
+        while len(stack) > at:
+            last = stack.pop()
+            places[last.tag].pop()
+            if last.tag in BLOCK_TAGS:
+                open_blocks.pop()
+            silent -= last.mute
+            links -= last.tag == "a"
+
+    innermost = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        m = TAG.match(page, at) or OPENING.match(page, at)
+        if m is None:
+            m = OTHER.match(page, at)
+            at = m.end()
             piece = m.group()
             if (piece[0] != "<" or piece == "<") and not silent:
                 buffer.append(piece)
                 total += len(piece)
                 linked += len(piece) if links else 0
             continue
-        tag = tag.lower()
+        at = m.end() if m.re is TAG else tag_end(page, m.end(), unclosed)
+        tag = m.group(2).lower()
         if tag in BLOCK_TAGS:
             flush()
         elif tag in SPACE_TAGS:
             buffer.append(" ")
         if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS and tag != "a":
-                    break  # an inline end tag doesn't close the block around it
+            k = innermost((tag,))
+            inside = k > (open_blocks[-1] if open_blocks else 0)
+            if k and (inside or tag in BLOCK_TAGS or tag == "a"):  # no other inline end tag closes the block around it
+                if not inside:
+                    flush()
+                pop_to(k)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
+        if tag in CLOSES_P and open_blocks and stack[open_blocks[-1]].tag == "p":
+            pop_to(open_blocks[-1])
         if tag in SIBLINGS:
-            same, bound = SIBLINGS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    pop_to(k)
-                    break
-                if stack[k][0] in bound:
-                    break
+            same, bound = map(innermost, SIBLINGS[tag])
+            if same > bound:
+                pop_to(same)
         if tag in VOID_TAGS:
             continue
         if tag == "body" and silent:
-            pop_to(0)
-        attributes = m.group(3) or ""
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(PART.sub("", attributes))).lower() if attributes else ""
+            pop_to(1)
+        attributes = m.group(3) if m.re is TAG else page[m.end() : at].removesuffix(">")
         if tag in RAW_END:
             close = RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
-        part = PART.search(attributes) if attributes else None
+        top, names, part = stack[-1], "", None
+        if attributes:
+            names = " ".join(a or b or c for a, b, c in NAMED.findall(PART.sub("", attributes))).lower()
+            part = PART.search(attributes)
+        if names and names not in kinds:
+            kinds[names] = name_kinds(names)
         mute = tag in SILENT_TAGS or is_hidden(attributes)
-        stack.append((tag, names, part and part.group(1), mute))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            open_blocks.append(len(stack))
+        stack.append(Open(tag, mute, top.tags | {tag} if tag in TOLD_TAGS and tag not in top.tags else top.tags, top.names | kinds[names] if names and not kinds[names] <= top.names else top.names, part.group(1) if part else top.part))
         silent += mute
         links += tag == "a"
     flush()
@@ -171,7 +231,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         place = seen.get((b.tags, b.names))
         if place is None:
-            place = seen[b.tags, b.names] = np.array([*(t in b.tags for t in GOOD_TAGS), *(t in b.tags for t in BAD_TAGS), bool(GOOD_NAMES.search(b.names)), *(bool(p.search(b.names)) for p in BAD_NAMES.values())], np.float32)
+            place = seen[b.tags, b.names] = np.array([*(t in b.tags for t in GOOD_TAGS), *(t in b.tags for t in BAD_TAGS), "good" in b.names, *(kind in b.names for kind in BAD_NAMES)], np.float32)
         n = b.text.count(" ") + 1
         rows[i, :8] = (1, n < 4, 4 <= n < 12, n >= 12, b.link_share > 0.5, b.text[-1] in ".!?\"»”…", i == 0, "©" in b.text)
         rows[i, 8:] = place
@@ -205,6 +265,8 @@ def labelled_pages() -> list[str]:
             f"<body>{notice}{chrome}{advert}{wrap}{head}{body}{advert}{body}{form}{close}{side}{foot}</body>",
             f"<body>{chrome}{wrap}{head}{body}{quoted}{share}{body}{side}{close}<section id='comments'{_O}><h2>Comments</h2>{comments}</section>{foot}</body>",
             f"<body>{wrap}{head}{paragraphs[3]}<h2{_C}>{s[5]}</h2>{body}<div class='comments'{_O}>{comments}</div>{close}{form}{foot}{notice}</body>",
+            f"<body>{chrome}{advert}{wrap}<h1{_C}>{s[3]}</h1><p{_C}>Two words &amp;&amp;</p>{close}{foot}</body>",
+            f"<body>{chrome}{advert}{wrap}{head}{body}<p{_C}>Later today</p><p{_C}>More will follow soon ***</p><p{_C}>{s[3]}</p>{close}{foot}</body>",
             f"<body>{chrome}{wrap}<header{_C}><h1{_C}>{s[3]}</h1></header>{body}<footer{_O}><p>{s[1]}</p></footer>{close}{foot}</body>",
         ]
     return pages
@@ -224,8 +286,8 @@ def sure_label(block: Block) -> int | None:
     if block.tags & EDGE_TAGS:
         return None if block.tags & ARTICLE_TAGS else 1
     if block.tags & ARTICLE_TAGS:
-        return None if any(p.search(block.names) for p in BAD_NAMES.values()) else 0
-    return 1 if any(p.search(block.names) for p in BAD_NAMES.values()) else None
+        return None if block.names - {"good"} else 0
+    return 1 if block.names - {"good"} else None
 
 
 def fit(pages: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "page_id", html_col: str = "html") -> LinearChain:

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import read_table
+from riskloom.llm.common import byte_slices, read_table
 from riskloom.llm.wordbpe import encoder, vocabulary_path
 
 WINDOW, UNIT, DEPTH, END_ID = 4096, 64, 4, 2
 BLOCK_TOKENS = 4_000_000
-STEP = 2000  # texts encoded at once
+ENCODED_BYTES = 4 << 20  # of texts encoded at once
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -147,18 +147,16 @@ def _pack(path: str, window: int, end_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_texts
         first, ids, tokens, held = TaskContext.get().partitionId() << 40, [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                flat, begins = encode(part.column(1), end_id)
-                for k, doc_id in enumerate(part.column(0).to_pylist()):
-                    ids.append(doc_id)
-                    tokens.append(flat[begins[k] : begins[k + 1]])
-                    held += len(tokens[-1])
-                    if held >= block_tokens:
-                        out, first = block(ids, tokens, first)
-                        ids, tokens, held = [], [], 0
-                        yield out
+        for part in byte_slices(batches, 1, ENCODED_BYTES):
+            flat, begins = encode(part.column(1), end_id)
+            for k, doc_id in enumerate(part.column(0).to_pylist()):
+                ids.append(doc_id)
+                tokens.append(flat[begins[k] : begins[k + 1]])
+                held += len(tokens[-1])
+                if held >= block_tokens:
+                    out, first = block(ids, tokens, first)
+                    ids, tokens, held = [], [], 0
+                    yield out
         if ids:
             yield block(ids, tokens, first)[0]
 

@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import read_table, scratch_path
+from riskloom.llm.common import byte_slices, read_table, scratch_path
 from riskloom.llm.wordbpe import encoder, vocabulary_path
 
 END_ID = 1
-STEP = 2000
+ENCODED_BYTES = 4 << 20  # of texts encoded at once
 ROW_GROUP_BYTES, PAGE_ROWS = 16 << 20, 2000
+FILE_BYTES = 256 << 20
 FILE_SCHEMA = "doc_id long, block int, block_start long, n_tokens long, ids array<int>"
 RESULT = "doc_id long, block int, block_start long, n_tokens long, ids_crc32 long"
 
@@ -34,25 +35,25 @@ RESULT = "doc_id long, block int, block_start long, n_tokens long, ids_crc32 lon
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, block, start = encoder(path).encode_texts, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                flat, begins = encode(part.column(1), end_id)
-                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(part.num_rows, block, np.int32)), pa.array(start + begins[:-1]), pa.array(np.diff(begins)), lists],
-                    ["doc_id", "block", "block_start", "n_tokens", "ids"],
-                )
-                start += int(begins[-1])
+        for part in byte_slices(batches, 1, ENCODED_BYTES):
+            flat, begins = encode(part.column(1), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.full(part.num_rows, block, np.int32)), pa.array(start + begins[:-1]), pa.array(np.diff(begins)), lists],
+                ["doc_id", "block", "block_start", "n_tokens", "ids"],
+            )
+            start += int(begins[-1])
 
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes docs and writes them to the folder out."""
+def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Encodes docs and writes them to the folder out, in files of about file_bytes of text at most (a document longer than that is in one)."""
     path, spark = path or vocabulary_path(), docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+    ordered = given.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     files = ordered.mapInArrow(_encode(path, end_id), FILE_SCHEMA)
     options = {
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
@@ -65,6 +66,16 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(out)
 
 
+def read_documents(spark: SparkSession, out: str, doc_ids: list[int]) -> DataFrame:
+    """The token rows of some documents: their ids are pushed to the scan, which skips files, row groups and pages by least and greatest doc_id."""
+    return read_token_files(spark, out).where(F.col("doc_id").isin(doc_ids))
+
+
+def read_metadata(spark: SparkSession, out: str) -> DataFrame:
+    """The rows without their ids, which are not read."""
+    return read_token_files(spark, out).drop("ids")
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(4)

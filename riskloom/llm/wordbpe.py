@@ -1,13 +1,16 @@
 """Token ids of whole texts by a public word-level BPE file, with a bounded memory of words per Python worker.
 
-The vocabulary drops white space and never merges across it, nor from a letter to the sign after it, so the ids of a text are
-those of its words between ASCII white space, one after the other. A batch's words are numbered by Arrow, each distinct word
+The vocabulary drops white space and never merges across it, so the ids of a text are those of its words between ASCII white space,
+one after the other. Nor does it merge from a letter to the sign after it, so a stem of letters and the signs that follow are
+encoded each for itself; since the vocabulary composes and lower-cases a word first, which turns some letters into a letter and a
+mark (the capital I with a dot, some of Devanagari), only a stem that is all letters after that is parted. A batch's words are numbered by Arrow, each distinct word
 is encoded once, and the ids are laid out by index. A worker keeps the words it met first, up to a bound.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,8 @@ class WordBpe:
         if word.isascii():
             word = word.lower()
         stem = word.rstrip(SIGNS)
-        return (stem, word[len(stem) :]) if len(stem) < len(word) and stem.isalpha() else (word,)
+        letters = stem if stem.isascii() else unicodedata.normalize("NFC", stem).lower()
+        return (stem, word[len(stem) :]) if len(stem) < len(word) and letters.isalpha() else (word,)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each distinct word, and a pool and begins that hold them all."""
