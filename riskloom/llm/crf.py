@@ -25,8 +25,11 @@ def _padded(sequences: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.n
     return x, y, mask
 
 
-def train(sequences: list[np.ndarray], labels: list[np.ndarray], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 150, decay: float = 1e-3, rate: float = 0.1) -> LinearChain:
-    """Most likely parameters by Adam on the log-likelihood. An item's emission counts by the weight of its label; sequences are batched as one padded block."""
+def train(sequences: list[np.ndarray], labels: list[np.ndarray], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 150, decay: float = 1e-3, rate: float = 0.1, times: list[int] | None = None) -> LinearChain:
+    """Most likely parameters by Adam on the log-likelihood. An item's emission counts by the weight of its label, and a sequence as
+    often as times says; sequences are batched as one padded block."""
+    times = times or [1] * len(sequences)
+    often = np.array([n for s, n in zip(sequences, times, strict=True) if len(s)], float)
     kept = [(s, l) for s, l in zip(sequences, labels, strict=True) if len(s)]
     if not kept:
         return LinearChain(np.zeros((sequences[0].shape[1] if sequences else 1, 2)), np.zeros((2, 2)))
@@ -36,8 +39,8 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], weights: tuple[
     first = [np.zeros((width, 2)), np.zeros((2, 2))]
     second = [np.zeros((width, 2)), np.zeros((2, 2))]
     truth = np.eye(2)[y] * mask[..., None]
-    item = np.asarray(weights)[y] * mask
-    total = mask.sum()
+    item = np.asarray(weights)[y] * mask * often[:, None]
+    total = (mask * often[:, None]).sum()
     for step in range(1, rounds + 1):
         e = x @ model.emission
         forward, backward = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
@@ -57,7 +60,7 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], weights: tuple[
             for b in range(2):
                 pair = forward[:-1, :, a] + model.transition[a, b] + e[:, 1:, b].T + backward[1:, :, b] - norm
                 both = mask[:, 1:].T
-                slope_t[a, b] = ((truth[:, :-1, a] * truth[:, 1:, b]).T[both].sum() - np.exp(np.where(both, pair, -np.inf)).sum()) / total
+                slope_t[a, b] = (((truth[:, :-1, a] * truth[:, 1:, b]).T * both - np.exp(np.where(both, pair, -np.inf))) @ often).sum() / total
         slope_t -= decay * model.transition
         for i, (p, g) in enumerate(((model.emission, slope_e), (model.transition, slope_t))):
             first[i] = 0.9 * first[i] + 0.1 * g

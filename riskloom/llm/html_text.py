@@ -307,14 +307,15 @@ def fit(pages: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "page_id", htm
     one = pages.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(F.col(html_col).cast("string")).alias("_html"))  # of several pages of an id the least
     found = one.select("_html").mapInArrow(sample, "rows binary, labels binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["rows"], r["labels"]))
-    own = [leaf_blocks(page) for page in PAGES] * REPEATS
+    own = [leaf_blocks(page) for page in PAGES]
     sequences = [features(blocks) for blocks in own]
     width = sequences[0].shape[1]
     labels = [np.array([sure_label(b) for b in blocks]) for blocks in own]
     sequences += [np.frombuffer(r["rows"], "<f4").reshape(-1, width) for r in found]
     labels += [np.frombuffer(r["labels"], np.uint8) for r in found]
-    runs = [(s[at : at + RUN].astype(float), l[at : at + RUN]) for s, l in zip(sequences, labels, strict=True) for at in range(0, len(s), RUN)]
-    return train(*map(list, zip(*runs, strict=True)), rounds=200, decay=3e-4)
+    runs = [(s[at : at + RUN].astype(float), l[at : at + RUN], REPEATS if k < len(own) else 1) for k, (s, l) in enumerate(zip(sequences, labels, strict=True)) for at in range(0, len(s), RUN)]
+    sequences, labels, times = map(list, zip(*runs, strict=True))
+    return train(sequences, labels, rounds=200, decay=3e-4, times=times)
 
 
 def main_text(model: LinearChain, page: str) -> str:
