@@ -53,6 +53,7 @@ ALERT_LEVELS = {"green": 35.0, "orange": 65.0, "red": 85.0}
 INTENSITY = {"critical": 0.90, "major": 0.85, "indefinite": 0.85, "nationwide": 0.80, "widespread": 0.80, "complete": 0.80, "partial": 0.50, "minor": 0.40}
 URGENT = ["today", "now", "just", "breaking", "emergency", "alert", "reports", "confirmed", "announced", "revealed", "found", "happening", "ongoing", "in progress"]
 LOCATIONS = {"strait of hormuz": 0.95, "suez canal": 0.95, "panama canal": 0.90, "south china sea": 0.85, "port of shanghai": 0.85, "port of singapore": 0.85, "red sea": 0.80, "taiwan": 0.90, "china": 0.85, "south korea": 0.80, "japan": 0.80, "vietnam": 0.75, "mexico": 0.75}
+REGIONS = ["Europe", "Asia-Pacific", "Middle-East", "Africa", "Latin-America", "North-America"]
 MARKET = {"export_sanction": 75.0, "logistics_disruption": 70.0, "factory_shutdown": 65.0, "natural_disaster": 60.0, "geopolitical_event": 70.0, "market_disruption": 80.0}
 WEIGHTS = {"base_rule_score": 0.40, "supplier_criticality": 0.15, "source_reliability": 0.10, "entity_impact": 0.10, "geographic_importance": 0.10, "market_sensitivity": 0.10, "multi_source_confirmation": 0.05}
 STOP_WORDS = ["the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "of", "is", "by"]

@@ -170,12 +170,13 @@ EDGE = "\u0001"
 
 def marked(text: Column) -> Column:
     """text with a mark at each word boundary, so that a term stands at boundaries where the text holds bounded(term)."""
-    return F.regexp_replace(text, r"\b", EDGE)
+    return F.regexp_replace(text, r"(?U)\b", EDGE)
 
 
 def bounded(term: Column) -> Column:
-    return F.concat(F.lit(EDGE), F.regexp_replace(term, r"(?!^)\b(?!$)", EDGE), F.lit(EDGE))
+    return F.concat(F.lit(EDGE), F.regexp_replace(term, r"(?U)(?!^)\b(?!$)", EDGE), F.lit(EDGE))
 
 
 def word_runs(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
+    """Runs of letters, marks, digits and underscores of any script, in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0)

@@ -53,36 +53,49 @@ def countries(distributors: DataFrame, manufacturers: DataFrame) -> DataFrame:
     return both.where("country is not null and country <> ''").distinct()
 
 
-def gazetteer(distributors: DataFrame, manufacturers: DataFrame, parts: DataFrame) -> DataFrame:
-    """(surface, canonical, type): names and aliases by which catalog entities occur in texts, and strategic locations."""
+def gazetteer(distributors: DataFrame, manufacturers: DataFrame) -> DataFrame:
+    """(surface, canonical, type): names and aliases by which catalog entities occur in texts, countries, regions and strategic locations."""
     named = lambda df, surface, canonical, kind: df.select(F.col(surface).alias("surface"), F.col(canonical).alias("canonical"), F.lit(kind).alias("type"))
-    places = manufacturers.sparkSession.createDataFrame([(name,) for name in L.LOCATIONS], "country string")
+    places = manufacturers.sparkSession.createDataFrame([(name,) for name in [*L.REGIONS, *L.LOCATIONS]], "country string")
     found = named(active(distributors), "code", "code", "SUPPLIER").unionByName(named(manufacturers, "name", "name", "MANUFACTURER")).unionByName(named(manufacturers, "alias", "name", "MANUFACTURER"))
-    found = found.unionByName(named(parts, "mpn", "mpn", "COMPONENT")).unionByName(named(countries(distributors, manufacturers).unionByName(places), "country", "country", "LOCATION"))
+    found = found.unionByName(named(countries(distributors, manufacturers).unionByName(places), "country", "country", "LOCATION"))
     return found.where(F.length("surface") >= 3).distinct()
 
 
-def term_places(texts: DataFrame, terms: DataFrame, key: str, term: str, keep_case: bool = False) -> DataFrame:
+def term_places(texts: DataFrame, terms: DataFrame, key: str, term: str, keep_case: Column | bool = False) -> DataFrame:
     """The columns of terms, with key and text_, for every term that stands at word boundaries in text_ (lower-case), whatever its
-    number of words. Texts' words are equi-joined to each term's rarest word among the terms, then the whole term is looked for."""
+    number of words. A text's words are equi-joined to the terms' rarest words; the candidates of a text are gathered and looked for in it
+    where it is read again, so texts are joined but once, by their key."""
+    term_id = F.struct(*[c for c in terms.columns])
     runs = terms.select(term, F.explode(word_runs(F.col(term))).alias("_word")).distinct()
     rarity = runs.groupBy("_word").agg(F.count("*").alias("_n"))
     rarest = runs.join(rarity, "_word").groupBy(term).agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
+    keep = F.lit(keep_case) if isinstance(keep_case, bool) else keep_case
+    sought = terms.join(rarest, term).select("_word", term_id.alias("_of"), bounded(F.when(keep, F.col(term)).otherwise(F.lower(term))).alias("_term"))
     words = texts.select(key, F.explode(F.array_distinct(word_runs(F.col("text_")))).alias("_word"))
-    surface = F.col(term) if keep_case else F.lower(term)
-    sought = terms.join(rarest, term).withColumn("_term", bounded(surface))
-    # words travel without their text, which only the candidates meet again
-    return words.join(sought, "_word").join(texts.select(key, "text_", marked(F.col("text_")).alias("_marked")), key).where(F.contains("_marked", "_term")).drop("_word", "_marked", "_term")
+    candidates = words.join(sought, "_word").groupBy(key).agg(F.collect_set(F.struct("_of", "_term")).alias("_c"))
+    met = texts.select(key, "text_").join(candidates, key).withColumn("_marked", marked(F.col("text_")))
+    hits = met.select(key, "text_", F.explode(F.filter("_c", lambda c: F.contains(F.col("_marked"), c["_term"]))).alias("_hit"))
+    return hits.select(key, "text_", *[F.col(f"_hit._of.{c}").alias(c) for c in terms.columns])
 
 
 def mentions(articles: DataFrame, names: DataFrame) -> DataFrame:
-    """(article_id, canonical, type, start, end): first span of each entity named in title and body, the longest surface first."""
+    """(article_id, canonical, type, text, start, end): first span of each entity named in title and body, the longest surface first; names
+    that differ in case alone are one entity. text is the mention in small letters."""
     texts = articles.select("article_id", F.lower(F.trim(F.concat_ws(" ", "title", "body"))).alias("text_"))
-    found = term_places(texts, names, "article_id", "surface")
-    start = F.expr("locate(lower(surface), text_) - 1")
-    spans = found.select("article_id", "canonical", "type", start.alias("start"), (start + F.length("surface")).alias("end"), F.length("surface").alias("_n"))
-    best = spans.groupBy("article_id", "canonical", "type").agg(F.min_by(F.struct("start", "end"), F.struct(-F.col("_n"), "start")).alias("s"))
-    return best.select("article_id", "canonical", "type", "s.start", "s.end")
+    return first_spans(term_places(texts, names, "article_id", "surface").withColumn("at", place_of("surface")))
+
+
+def place_of(term: str) -> Column:
+    return F.expr(f"locate(lower({term}), text_) - 1")
+
+
+def first_spans(found: DataFrame) -> DataFrame:
+    """Mentions of found (article_id, surface, canonical, type, at)."""
+    spans = found.select("article_id", "canonical", "type", F.lower("surface").alias("text"), F.col("at").alias("start"), (F.col("at") + F.length("surface")).alias("end"), F.length("surface").alias("_n"))
+    rank = F.struct((-F.col("_n")).alias("n"), "start", "canonical", "end", "text")
+    best = spans.groupBy("article_id", F.lower("canonical").alias("_key"), "type").agg(F.min(rank).alias("s"))
+    return best.select("article_id", "s.canonical", "type", "s.text", "s.start", "s.end")
 
 
 def part_links(texts: DataFrame, parts: DataFrame, key: str = "article_id") -> DataFrame:
@@ -102,35 +115,3 @@ def location_matches(locations: DataFrame, dim: DataFrame, key: str) -> DataFram
     inside = places.join(lands.withColumn("_l", F.explode(cut("_c"))), "_l").select("location", "country")
     around = lands.join(places.withColumn("_c", F.explode(cut("_l"))), "_c").select("location", "country")
     return inside.unionByName(around).distinct().join(dim.select(key, "country"), "country").select("location", key).distinct()
-
-
-def expand_links(mentions_: DataFrame, suppliers: DataFrame, manufacturers: DataFrame, parts: DataFrame) -> DataFrame:
-    """(article_id, canonical, type, score, method): mentions as links, then suppliers and manufacturers by location, manufacturers by
-    supplier, and the first MAX_COMPONENTS components (by mpn) of the suppliers' and manufacturers' catalogs; of several the best score stays."""
-    cols = ["article_id", "canonical", "type", "score", "method"]
-    own = mentions_.select("article_id", "canonical", "type", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
-    places = mentions_.where("type = 'LOCATION'").select("article_id", F.col("canonical").alias("location"))
-    at = places.select("location").distinct()
-    by_place = lambda dim, key, kind, score: places.join(location_matches(at, dim, key), "location").select("article_id", F.col(key).alias("canonical"), F.lit(kind).alias("type"), F.lit(score).alias("score"), F.lit("location").alias("method"))
-    links = own.unionByName(by_place(suppliers, "code", "SUPPLIER", 0.6)).unionByName(by_place(manufacturers.withColumnRenamed("name", "key"), "key", "MANUFACTURER", 0.58))
-    of = suppliers.select(F.col("code").alias("canonical"), F.explode("manufacturers").alias("m"))
-    sup = links.where("type = 'SUPPLIER'").select("article_id", "canonical").distinct()
-    made = sup.join(of, "canonical").select("article_id", F.col("m").alias("canonical"), F.lit("MANUFACTURER").alias("type"), F.lit(0.62).alias("score"), F.lit("supplier_catalog").alias("method"))
-    links = best_links(links.unionByName(made).select(cols))
-    # articles with the same suppliers and manufacturers have the same components, which are found once for each such set
-    holders = links.where("type in ('SUPPLIER', 'MANUFACTURER')").groupBy("article_id").agg(F.array_sort(F.collect_set(F.struct("type", "canonical"))).alias("holders"))
-    each = holders.select("holders").distinct().select("holders", F.explode("holders").alias("h")).select("holders", "h.*")
-    stocked = suppliers.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), F.explode("mpns").alias("mpn"), F.lit(0).alias("p"))
-    listed = parts.select(F.lit("MANUFACTURER").alias("type"), F.col("manufacturer").alias("canonical"), "mpn", F.lit(1).alias("p")).distinct()
-    # the first parts of a set are among the first of each of its holders, so each holder's catalog is cut before it is joined
-    catalog = stocked.unionByName(listed).withColumn("r", F.row_number().over(Window.partitionBy("type", "canonical").orderBy("mpn"))).where(F.col("r") <= MAX_COMPONENTS).drop("r")
-    found = each.join(catalog, ["type", "canonical"]).groupBy("holders", "mpn").agg(F.min("p").alias("p"))
-    capped = found.withColumn("r", F.row_number().over(Window.partitionBy("holders").orderBy("mpn"))).where(F.col("r") <= MAX_COMPONENTS)
-    capped = holders.join(capped, "holders")
-    parts_ = capped.select("article_id", F.col("mpn").alias("canonical"), F.lit("COMPONENT").alias("type"), F.when(F.col("p") == 0, 0.62).otherwise(0.60).alias("score"), F.when(F.col("p") == 0, "supplier_catalog").otherwise("manufacturer_catalog").alias("method"))
-    return best_links(links.unionByName(parts_))
-
-
-def best_links(links: DataFrame) -> DataFrame:
-    """One link per (article, entity, type): the best score, then the least method."""
-    return links.groupBy("article_id", "canonical", "type").agg(F.min(F.struct((-F.col("score")).alias("s"), "method")).alias("b")).select("article_id", "canonical", "type", (-F.col("b.s")).alias("score"), "b.method")

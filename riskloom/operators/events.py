@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from riskloom.functions import lexicon as L
 from riskloom.functions.fuzzy import alike_pairs
 from riskloom.functions.text import fingerprint, lookup, normalize_title, round_to, stable_id, strings, title_similarity, words
+from riskloom.operators.linking import best_of, set_totals
+from riskloom.operators.scoring import confidence, factors, review_reasons
+from riskloom.operators.scoring import verification as mean_weights
 from riskloom.plans.lineage import saved
 
 SIMILAR = 0.75
@@ -53,17 +56,50 @@ def clusters(articles: DataFrame) -> DataFrame:
             return link
 
 
-def merge_clusters(articles: DataFrame, roots: DataFrame) -> DataFrame:
-    """One event per cluster of actionable articles: the primary is the most severe, then most confident, then first article."""
-    rows = articles.join(roots, "title")
-    weight = lookup(F.col("tier"), {1: 1.0, 2: 0.85, 3: 0.65}, 0.5)
+def cluster_modes(classified: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, n, mode): the clusters' sizes and most frequent categories, of several the one seen first. Counted by cluster and category
+    before the clusters', so a hot cluster's articles are not gathered."""
+    by = classified.join(roots, "title").groupBy("root", "event_category").agg(F.count("*").alias("n"), F.min("article_id").alias("first"))
+    return by.groupBy("root").agg(F.sum("n").alias("n"), F.max_by("event_category", F.struct("n", -F.col("first"))).alias("mode"))
+
+
+def merged_links(articles: DataFrame, roots: DataFrame, article_sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, *link columns): the best link of each entity over a cluster's articles. Sets of links, which articles share, are told apart
+    first, and entities before clusters, so a hot cluster's links are never gathered raw."""
+    sets = articles.select("article_id", "title").join(roots, "title").join(article_sets, "article_id").select("root", "set_id").distinct()
+    return best_of(sets.join(links, "set_id"), "root")
+
+
+def merge_clusters(articles: DataFrame, roots: DataFrame, links: DataFrame, distributors: DataFrame) -> DataFrame:
+    """One event per cluster of actionable, scored articles: the primary is the most severe, then most confident, then first article. Severity
+    is that of the primary with the cluster's links (see merged_links), sources and verification; so is confidence. review_reasons are
+    those of any article, without low classification confidence where two sources and more are verified. urls are sorted."""
+    rows = articles.join(roots, "title").withColumn("_reasons", review_reasons(articles))
+    n_providers, weight = mean_weights(F.col("provider"), F.col("tier"))
+    told = F.sum(F.round(F.col("mention_confidence") * F.col("n_mentions") * 100).cast("long"))  # in hundredths, so that the order of a sum decides nothing
+    of_primary = ["article_id", "title", "body", "provider", "event_category", "event_type", "class_confidence", "base_severity", "geo_score", "market_score", "geo_country", "metadata"]
     first = F.struct("severity", "class_confidence", -F.col("article_id"))
     g = rows.groupBy("root").agg(
-        F.count("*").alias("source_count"), F.max_by("article_id", first).alias("primary_id"), F.max_by("title", first).alias("title"), F.max_by("event_category", first).alias("event_category"), F.max("severity").alias("severity"),
-        F.count_distinct("provider").alias("n_providers"), F.avg(weight).alias("mean_weight"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.max("class_confidence").alias("class_confidence"),
+        F.max_by(F.struct(*of_primary), first).alias("p"), F.count("*").alias("source_count"), n_providers.alias("n_providers"), weight.alias("source_weight"),
+        F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.sum("n_mentions").alias("n_mentions"), told.alias("_told"),
     )
-    verified = round_to(F.least(F.lit(1.0), F.least(F.lit(1.0), 0.35 + 0.25 * F.col("n_providers")) * F.least(F.lit(1.0), F.col("mean_weight"))), 3)
-    return g.withColumn("verification", verified).drop("mean_weight")
+    reasons = rows.select("root", F.explode("_reasons").alias("r")).distinct().groupBy("root").agg(F.array_sort(F.collect_list("r")).alias("reasons"))
+    urls = rows.where("url <> ''").select("root", "url").distinct().groupBy("root").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    totals = set_totals(links, distributors, "root")
+    verified = round_to(F.least(F.lit(1.0), F.least(F.lit(1.0), 0.35 + 0.25 * F.col("n_providers")) * F.least(F.lit(1.0), F.col("source_weight"))), 3)
+    df = g.join(totals, "root", "left").join(reasons, "root", "left").join(urls, "root", "left").select("*", *[F.col(f"p.{c}").alias("primary_id" if c == "article_id" else c) for c in of_primary]).drop("p")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"verification": verified, "n_links": F.coalesce("n_links", F.lit(0)), "link_score": F.coalesce("link_score", F.lit(0.0)), "mention_confidence": F.when(F.col("n_mentions") > 0, F.col("_told") / (F.col("n_mentions") * 100.0)).otherwise(0.0), "n_sources": F.col("source_count"), "urls": F.coalesce("urls", none), "reasons": F.coalesce("reasons", none)}).drop("_told")
+    sure = (F.col("source_count") >= 2) & (F.col("verification") >= 0.6)
+    df = confidence(factors(df, F.col("source_count"), F.col("verification")))
+    return df.withColumn("review_reasons", F.when(sure, F.array_remove("reasons", "low_classification_confidence")).otherwise(F.col("reasons"))).drop("reasons")
+
+
+def nested_links(links: DataFrame, key: str = "root") -> DataFrame:
+    """(key, suppliers, manufacturers, components, locations): each entity type's links as an array of structs in the order of their ids."""
+    of = F.struct("canonical", "name", F.round("score", 6).alias("score"), "method", "text", "review")
+    kinds = {"suppliers": "SUPPLIER", "manufacturers": "MANUFACTURER", "components": "COMPONENT", "locations": "LOCATION"}
+    return links.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("type") == v, of))).alias(k) for k, v in kinds.items()])
 
 
 def with_identity(df: DataFrame, title: str, category: str, geo: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import lexicon as L
+from riskloom.functions.metadata import market_metric, parsed, unparsed
 from riskloom.functions.text import any_of, best_of, count_of, lookup, quoted, round_to, strings
 from riskloom.operators.catalog import term_places
 
@@ -23,11 +24,10 @@ def _lexicon() -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('topic', {quoted(t)}, 'word', {quoted(w)}, 'score', {s!r}D, 'meta', {m!r}D)" for t, w, s, m in rows) + ")")
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, keep_case: bool, key: str = "article_id") -> DataFrame:
-    """(key, n, found): how many of the terms (column term) stand at word boundaries in text_, and which, the longest first."""
-    found = term_places(texts, terms.where("term <> ''").distinct(), key, "term", keep_case)
+def term_hits(hits: DataFrame, kind: str, key: str = "article_id") -> DataFrame:
+    """(key, n, found): how many terms of the kind each text holds, and which, the longest first."""
     order = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term")))
-    return found.groupBy(key).agg(F.count("*").alias("n"), F.transform(order, lambda t: t["term"]).alias("found"))
+    return hits.where(F.col("kind") == kind).groupBy(key).agg(F.count("*").alias("n"), F.transform(order, lambda t: t["term"]).alias("found"))
 
 
 def entity_terms(manufacturers: DataFrame) -> DataFrame:
@@ -35,13 +35,21 @@ def entity_terms(manufacturers: DataFrame) -> DataFrame:
     return manufacturers.select(F.explode(F.array("name", "alias")).alias("term")).where(F.length("term") >= 3)
 
 
-def relevance(articles: DataFrame, manufacturers: DataFrame, categories: DataFrame) -> DataFrame:
+def relevance_terms(manufacturers: DataFrame, categories: DataFrame) -> DataFrame:
+    """(term, kind): names of manufacturers (m), and categories (c), which keep their capitals."""
+    both = entity_terms(manufacturers).withColumn("kind", F.lit("m")).unionByName(categories.select("term").withColumn("kind", F.lit("c")))
+    return both.where("term <> ''").distinct()
+
+
+def relevance(articles: DataFrame, manufacturers: DataFrame, categories: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """articles with score (rounded), exact (not rounded to four digits), matched (terms, joined), reason and least (exact score needed).
-    categories: (term). A category keeps its capitals while the text loses them, so one with capitals never matches. The code of an
+    categories: (term). hits: (article_id, term, kind) of relevance_terms, if they were looked for already. A category keeps its capitals while the text loses them, so one with capitals never matches. The code of an
     event counts where it stands at the top of the metadata, not inside its raw record."""
-    texts = articles.select("article_id", article_text(articles).alias("text_"))
-    named = lambda hits, n, found: hits.select("article_id", F.col("n").alias(n), F.col("found").alias(found))
-    df = articles.join(named(term_hits(texts, entity_terms(manufacturers), False), "_mfr", "_mfr_found"), "article_id", "left").join(named(term_hits(texts, categories, True), "_cat", "_cat_found"), "article_id", "left")
+    if hits is None:
+        texts = articles.select("article_id", article_text(articles).alias("text_"))
+        hits = term_places(texts, relevance_terms(manufacturers, categories), "article_id", "term", F.col("kind") == "c")
+    named = lambda kind, n, found: term_hits(hits, kind).select("article_id", F.col("n").alias(n), F.col("found").alias(found))
+    df = articles.join(named("m", "_mfr", "_mfr_found"), "article_id", "left").join(named("c", "_cat", "_cat_found"), "article_id", "left")
     none = F.array().cast("array<string>")
     df = df.withColumns({"_text": article_text(articles), "_n_mfr": F.coalesce("_mfr", F.lit(0)), "_n_cat": F.coalesce("_cat", F.lit(0)), "_mfr_found": F.coalesce("_mfr_found", none), "_cat_found": F.coalesce("_cat_found", none)})
     text, n_mfr, n_cat = F.col("_text"), F.col("_n_mfr"), F.col("_n_cat")
@@ -78,17 +86,13 @@ def relevance(articles: DataFrame, manufacturers: DataFrame, categories: DataFra
     ).withColumn("score", round_to(F.col("exact"), 4))
 
 
-def _rows_where(scored: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
-    """Rows that meet the test, as a generator: a filter would be pushed below the score's projection, which would then be computed twice."""
-    return scored.select(F.inline(F.filter(F.array(F.struct(*scored.columns)), test)))
-
-
 def kept(scored: DataFrame) -> DataFrame:
-    return _rows_where(scored, lambda r: r["exact"] >= r["least"])
+    """The rows that pass the gate. scored is best a written table: a filter is else pushed below the score, which is then computed twice."""
+    return scored.where(F.col("exact") >= F.col("least"))
 
 
 def dropped(scored: DataFrame) -> DataFrame:
-    return _rows_where(scored, lambda r: r["exact"] < r["least"])
+    return scored.where(F.col("exact") < F.col("least"))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -148,20 +152,31 @@ def base_severity(df: DataFrame) -> DataFrame:
     return df.withColumn("base_severity", round_to(base, 1)).drop("_force", "_level", "_size")
 
 
-def severity(df: DataFrame, source_count: int = 1, verification: float = 0.0) -> DataFrame:
-    """df with base_severity, the seven factors' contributions, severity and the three largest factors. supplier_risk is the largest risk of the linked suppliers."""
-    df, n = base_severity(df), F.col("n_links")
+def severity(df: DataFrame) -> DataFrame:
+    """df with base_severity, the seven factors' contributions, severity and what it is driven by. supplier_risk is the largest risk of the
+    linked suppliers; a market metric in the metadata goes before the category's sensitivity."""
+    df = base_severity(df)
     place = F.greatest("_place", F.when(F.col("geo_country").isNotNull(), 0.55).otherwise(0.0))
-    several = verification * 50.0 if source_count <= 1 else max(0.0, min(100.0, 50.0 + verification * 50.0 + (source_count - 1) * 10.0))
+    market = F.coalesce(market_metric() * 100.0, lookup(F.col("event_category"), L.MARKET, 35.0))
+    return factors(unparsed(parsed(df).withColumns({"geo_score": place * 100.0, "market_score": market})).drop("_place"))
+
+
+def factors(df: DataFrame, source_count: Column | None = None, verification: Column | None = None) -> DataFrame:
+    """df (base_severity, supplier_risk, provider, n_links, geo_score, market_score) with c_ of each factor, severity, top_factors and
+    severity_summary. A cluster has its number of sources and their verification."""
+    n, count, verified = F.col("n_links"), F.lit(1) if source_count is None else source_count, F.lit(0.0) if verification is None else verification
+    several = F.when(count <= 1, verified * 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50.0 + verified * 50.0 + (count - 1) * 10.0)))
     parts = {
         "base_rule_score": F.col("base_severity"), "supplier_criticality": F.coalesce("supplier_risk", F.lit(0.0)) * 100.0, "source_reliability": lookup(F.col("provider"), {p: v[1] for p, v in L.PROVIDERS.items()}, 0.5) * 100.0,
-        "entity_impact": F.when(n == 0, 10.0).when(n >= 6, 90.0).when(n >= 3, 65.0).otherwise(40.0), "geographic_importance": place * 100.0, "market_sensitivity": lookup(F.col("event_category"), L.MARKET, 35.0), "multi_source_confirmation": F.lit(several),
+        "entity_impact": F.when(n == 0, 10.0).when(n >= 6, 90.0).when(n >= 3, 65.0).otherwise(40.0), "geographic_importance": F.col("geo_score"), "market_sensitivity": F.col("market_score"), "multi_source_confirmation": several,
     }
-    df = df.withColumns({f"c_{k}": round_to(v * L.WEIGHTS[k], 2) for k, v in parts.items()}).drop("_place")
+    df = df.withColumns({f"c_{k}": round_to(v * L.WEIGHTS[k], 2) for k, v in parts.items()})
     total = sum((F.col(f"c_{k}") for k in parts), F.lit(0.0))
     order = F.array(*[F.struct((-F.col(f"c_{k}")).alias("c"), F.lit(i).alias("i"), F.lit(k).alias("factor")) for i, k in enumerate(parts)])
-    top = F.transform(F.slice(F.array_sort(order), 1, 3), lambda s: s["factor"])
-    return df.withColumn("severity", round_to(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)).withColumn("top_factors", F.array_join(top, ","))
+    first = F.slice(F.array_sort(order), 1, 3)
+    names, told = F.transform(first, lambda s: s["factor"]), F.transform(first, lambda s: F.concat(s["factor"], F.lit(" ("), F.call_function("format_number", -s["c"], F.lit("0.0")), F.lit(")")))
+    df = df.withColumn("severity", round_to(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1))
+    return df.withColumn("top_factors", F.array_join(names, ",")).withColumn("severity_summary", F.concat(F.lit("Severity "), F.col("severity").cast("string"), F.lit("/100 driven by: "), F.array_join(told, ", ")))
 
 
 def confidence(df: DataFrame) -> DataFrame:
@@ -183,5 +198,5 @@ def review_reasons(df: DataFrame, class_threshold: float = 0.6, link_threshold:
 
 
 def verification(providers: Column, tiers: Column) -> tuple[Column, Column]:
-    """Aggregates: (distinct providers, mean tier weight)."""
-    return F.count_distinct(providers), F.avg(lookup(tiers, {1: 1.0, 2: 0.85, 3: 0.65}, 0.5))
+    """Aggregates: (distinct providers, mean tier weight). Weights are added in hundredths, so that the order of a sum decides nothing."""
+    return F.count_distinct(providers), F.sum(lookup(tiers, {1: 100, 2: 85, 3: 65}, 50)) / (F.count("*") * 100.0)

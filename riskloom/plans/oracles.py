@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from riskloom.functions import lexicon as L
+from riskloom.functions.metadata import METRICS
 from riskloom.sources import domain as D
 
 
@@ -34,6 +35,56 @@ def filled(text: str) -> str:
     return text
 
 
+def placed(values, index: str) -> str:
+    return f"replace(replace({items(values)}[{index} + 1], '{{N}}', nation), '{{n}}', lower(nation))"
+
+
+def titled_case(text: str) -> str:
+    """A label cleaned of quotes and runs of space, in title case if it is in small letters."""
+    clean = f"regexp_replace(regexp_replace(trim({text}), '^[''\"]+|[''\"]+$', '', 'g'), '\\s+', ' ', 'g')"
+    return f"list_transform([{clean}], lambda t: CASE WHEN lower(t) = t AND upper(t) <> t THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') ELSE t END)[1]"
+
+
+def labels_of(v: str) -> str:
+    """Labels of a JSON value: of a list, of the literal of a list, or of a scalar."""
+    each = titled_case("x")
+    return f"""list_transform(CASE json_type({v}) WHEN 'ARRAY' THEN regexp_extract_all({v}::VARCHAR, '"([^"]*)"', 1) WHEN 'OBJECT' THEN [] WHEN 'NULL' THEN []
+        ELSE CASE WHEN starts_with({v} ->> '$', '[') AND ends_with({v} ->> '$', ']') THEN regexp_extract_all({v} ->> '$', '''([^'']*)''', 1) ELSE [{v} ->> '$'] END END, lambda x: {each})"""
+
+
+def linked_as(kind: str, canonical: str, name: str, score: str, method: str, text: str, review: str = "false") -> str:
+    return f"'{kind}' AS type, {canonical} AS canonical, {name} AS name, ({score})::DOUBLE AS score, {method} AS method, {text} AS surface, {review} AS review"
+
+
+def best_links(of: str, key: str) -> str:
+    return f"SELECT * FROM {of} QUALIFY row_number() OVER (PARTITION BY {key}, type, canonical ORDER BY score DESC, method, surface, name, review) = 1"
+
+
+REASONS = """list_filter([CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN link_score < 0.7 AND n_mentions > 0 THEN 'low_entity_link_confidence' END,
+        CASE WHEN n_mentions = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'no_entities_for_event_type' END, CASE WHEN severity >= 70 AND class_confidence < 0.7 THEN 'high_severity_low_confidence_mismatch' END,
+        CASE WHEN event_category IN ('factory_shutdown', 'logistics_disruption', 'export_sanction') AND n_links < 1 THEN 'supply_chain_event_no_entities' END], lambda x: x IS NOT NULL)"""
+DOUBTS = """concat_ws(',', CASE WHEN n_sources < 2 THEN 'few_sources' END, CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN n_mentions > 0 AND link_score < 0.7 THEN 'weak_entity_matching' END,
+        CASE WHEN n_links = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'missing_entity_links' END, CASE WHEN verification < 0.5 AND n_sources >= 2 THEN 'weak_multi_source_agreement' END)"""
+OVERALL = "round_even(greatest(0, least(1, class_confidence * 0.35::DOUBLE + link_score * 0.25::DOUBLE + mention_confidence * 0.15::DOUBLE + source_weight * 0.15::DOUBLE + verification * 0.10::DOUBLE)), 3)"
+TIER = "CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 WHEN 3 THEN 0.65 ELSE 0.5 END::DOUBLE"
+MEAN = "sum(CASE tier WHEN 1 THEN 100 WHEN 2 THEN 85 WHEN 3 THEN 65 ELSE 50 END) / (count(*) * 100.0::DOUBLE)"
+KINDS = (("suppliers", "SUPPLIER"), ("manufacturers", "MANUFACTURER"), ("components", "COMPONENT"), ("locations", "LOCATION"))
+
+
+def factored(several: str) -> str:
+    """The factors' contributions."""
+    weight = case("provider", {p: v[1] * 100.0 for p, v in L.PROVIDERS.items()}, 50.0)
+    impact = "CASE WHEN n_links = 0 THEN 10.0 WHEN n_links >= 6 THEN 90.0 WHEN n_links >= 3 THEN 65.0 ELSE 40.0 END::DOUBLE"
+    scores = ["base_severity", "coalesce(supplier_risk, 0) * 100.0", f"{weight}::DOUBLE", impact, "geo_score", "market_score", several]
+    return ", ".join(f"round_even({v} * {w!r}::DOUBLE, 2) AS c_{k}" for v, (k, w) in zip(scores, L.WEIGHTS.items(), strict=True))
+
+
+def top_three(item: str, separator: str) -> str:
+    rows = ", ".join(f"({i}, {q(k)}, c_{k})" for i, k in enumerate(L.WEIGHTS))
+    return f"(SELECT string_agg({item}, '{separator}' ORDER BY c DESC, i) FROM (SELECT * FROM (VALUES {rows}) v(i, f, c) ORDER BY c DESC, i LIMIT 3))"
+
+
+TOTAL = "round_even(greatest(0, least(100, " + " + ".join(f"c_{k}" for k in L.WEIGHTS) + ")), 1)"
 NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 SUP = "'SUP' || lpad(({0})::VARCHAR, 3, '0')"
 MPN = "'MPN' || lpad(({0})::VARCHAR, 6, '0')"
@@ -50,10 +101,24 @@ CTES = {
     "countries": "SELECT country FROM active WHERE country <> '' UNION SELECT country FROM manufacturers WHERE country <> ''",
     "filled": f"""SELECT event_id, ts, user_id, k, {items(L.PROVIDERS)}[user_id % 5 + 1] AS provider, 'NATION_' || (user_id % 25) AS nation, {SUP.format('event_id % 10')} AS sup, CASE WHEN event_id % 2 = 0 THEN 'Brand#' ELSE 'Brand ' END || (event_id % 25 + 1) AS brand, {items(D.STOCKED)}[event_id % 3 + 1] AS stocked, {MPN.format('event_id % 50')} AS mpn
         FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events)""",
-    "articles": f"""SELECT event_id AS article_id, provider, {case('provider', {n: p[0] for n, p in L.PROVIDERS.items()}, 3)} AS tier, {filled(f'{items(D.TITLES)}[event_id % 24 + 1]')} AS title, {filled(q(D.BODY))} AS body,
+    "articles0": f"""SELECT event_id AS article_id, provider, {case('provider', {n: p[0] for n, p in L.PROVIDERS.items()}, 3)} AS tier, {filled(f'{items(D.TITLES)}[event_id % 24 + 1]')} AS title, {filled(q(D.BODY))} AS body, CASE WHEN event_id % 9 <> 0 THEN 'https://news.example/' || provider || '/' || (event_id % 700) END AS url,
         CASE WHEN provider = 'marketaux' THEN (k - 60) / 100.0::DOUBLE END AS sentiment, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_TYPES)}[event_id % 7 + 1] END AS gdacs_type, CASE WHEN provider = 'gdacs' THEN {items(D.GDACS_LEVELS)}[event_id % 3 + 1] END AS alert_level,
         CASE WHEN provider = 'gdacs' AND k % 4 <> 0 THEN (k % 80) / 10.0::DOUBLE END AS magnitude, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CATEGORIES)}[k % 3 + 1] END AS category, CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_CODES)}[k % 4 + 1] END AS event_code,
-        CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_SUBS)}[k % 5 + 1] END AS subcategory, CASE WHEN provider = 'gdelt' THEN (k % 10) / 10.0::DOUBLE END AS significance, CASE WHEN provider = 'gdelt' THEN CASE WHEN k % 2 = 0 THEN '' ELSE '{{"raw": ' END || '{{"category": "' || {items(D.GDELT_CATEGORIES)}[k % 3 + 1] || '", "event_code": "' || {items(D.GDELT_CODES)}[k % 4 + 1] || '", "subcategory": "' || {items(D.GDELT_SUBS)}[k % 5 + 1] || '"}}' || CASE WHEN k % 2 = 0 THEN '' ELSE '}}' END END AS metadata, CASE WHEN provider IN ('gdelt', 'gdacs') AND user_id % 2 = 0 THEN nation END AS geo_country FROM filled""",
+        CASE WHEN provider = 'gdelt' THEN {items(D.GDELT_SUBS)}[k % 5 + 1] END AS subcategory, CASE WHEN provider = 'gdelt' THEN (k % 10) / 10.0::DOUBLE END AS significance,
+        CASE provider WHEN 'gdelt' THEN CASE WHEN k % 2 = 0 THEN record ELSE '{{"raw": ' || record || '}}' END WHEN 'gdacs' THEN '{{"affected_countries": ' || {placed(D.AFFECTED, 'event_id % 4')} || more END AS metadata
+        FROM (SELECT *, '{{"category": "' || {items(D.GDELT_CATEGORIES)}[k % 3 + 1] || '", "event_code": "' || {items(D.GDELT_CODES)}[k % 4 + 1] || '", "subcategory": "' || {items(D.GDELT_SUBS)}[k % 5 + 1] || '"' || more AS record
+        FROM (SELECT *, ', "geo": ' || {placed(D.GEO, 'event_id % 8')} || ', "country": ' || {placed(D.COUNTRY, 'event_id % 3')} || ', "metrics": ' || {items(D.METRICS)}[event_id % 5 + 1] || '}}' AS more FROM filled))""",
+    "geos": """SELECT *, CASE WHEN json_type(rec -> 'geo') = 'OBJECT' THEN rec -> 'geo' END AS geo, CASE WHEN json_type(rec -> 'metrics') = 'OBJECT' THEN rec -> 'metrics' END AS metrics
+        FROM (SELECT article_id, whole, CASE WHEN json_type(whole -> 'raw') = 'OBJECT' THEN whole -> 'raw' ELSE whole END AS rec FROM (SELECT article_id, metadata::JSON AS whole FROM articles0 WHERE metadata IS NOT NULL))""",
+    "coords": f"""SELECT article_id, try_cast(geo ->> 'latitude' AS DOUBLE) AS latitude, try_cast(geo ->> 'longitude' AS DOUBLE) AS longitude, nullif(array_to_string({labels_of('own')}, ', '), '') AS country, nullif({titled_case("geo ->> 'region'")}, '') AS region,
+        coalesce({", ".join(f"try_cast(metrics ->> '{m}' AS DOUBLE)" for m in METRICS)}) AS metric FROM (SELECT *, CASE WHEN coalesce(geo ->> 'country', '') <> '' THEN geo -> 'country' ELSE whole -> 'country' END AS own FROM geos)""",
+    "articles": "SELECT a.*, c.country AS geo_country FROM articles0 a LEFT JOIN coords c USING (article_id)",
+    "place_values": """SELECT article_id, 1 AS o, 1 AS e, 'geo.country' AS source, geo -> 'country' AS v FROM geos UNION ALL SELECT article_id, 2, 1, 'geo.admin1', geo -> 'admin1' FROM geos UNION ALL SELECT article_id, 3, 1, 'geo.location', geo -> 'location' FROM geos
+        UNION ALL SELECT article_id, 4, 1, 'raw.country', rec -> 'country' FROM geos UNION ALL SELECT article_id, 5, 1, 'provider.country', whole -> 'country' FROM geos
+        UNION ALL SELECT article_id, 6, e, 'affected_countries', CASE WHEN json_type(x) = 'OBJECT' THEN CASE WHEN coalesce(x ->> 'countryname', '') <> '' THEN x -> 'countryname' ELSE x -> 'country' END ELSE x END
+        FROM (SELECT article_id, unnest(list) AS x, generate_subscripts(list, 1) AS e FROM (SELECT article_id, (rec -> 'affected_countries')::JSON[] AS list FROM geos WHERE json_type(rec -> 'affected_countries') = 'ARRAY'))""",
+    "places": f"""SELECT article_id, label, source, (row_number() OVER (PARTITION BY article_id ORDER BY o, e, p) - 1)::INT AS ordinal FROM (
+        SELECT *, row_number() OVER (PARTITION BY article_id, lower(label) ORDER BY o, e, p) AS r FROM (SELECT article_id, o, e, source, unnest(list) AS label, generate_subscripts(list, 1) AS p FROM (SELECT *, {labels_of('v')} AS list FROM place_values WHERE v IS NOT NULL)) WHERE length(label) >= 2) WHERE r = 1""",
     "doc_articles": "SELECT doc_id AS article_id, 'gnews' AS provider, '' AS title, text AS body, NULL::VARCHAR AS category, NULL::VARCHAR AS event_code, NULL::VARCHAR AS subcategory, NULL::VARCHAR AS metadata FROM documents",
     "lex": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {q(t)}, {q(w)}, {weight * (0.25 if t in L.CORE_TOPICS else 0.20)!r}::DOUBLE, {0.12 * weight!r}::DOUBLE)" for n, (t, w, weight) in enumerate((t, w, weight) for t, (weight, words) in L.TOPICS.items() for w in words)) + ") x(n, topic, word, score, meta)",
     "texts": "SELECT *, lower(trim(concat_ws(' ', title, body))) AS text FROM {articles}",
@@ -72,13 +137,44 @@ CTES = {
         CASE WHEN provider = 'gdacs' THEN 'provider:auto_pass' WHEN text = '' THEN '' WHEN neg IS NOT NULL THEN 'negative:' || neg ELSE names END AS matched,
         CASE WHEN provider = 'gdacs' THEN 'provider_auto_pass' WHEN text = '' THEN 'empty_content' WHEN neg IS NOT NULL THEN 'negative_keyword_match' WHEN NOT any_match THEN CASE WHEN context THEN 'has_context_no_direct_match' ELSE 'no_keyword_or_entity_match' END ELSE 'keyword_entity_score' END AS reason,
         {case('provider', {p: v[2] for p, v in L.PROVIDERS.items()}, 0.40)}::DOUBLE AS least FROM scored0)""",
-    "names": "SELECT code AS surface, code AS canonical, 'SUPPLIER' AS type FROM active UNION ALL SELECT name, name, 'MANUFACTURER' FROM manufacturers UNION ALL SELECT mpn, mpn, 'COMPONENT' FROM parts UNION ALL SELECT country, country, 'LOCATION' FROM countries",
-    "phrases": "SELECT alias AS surface, name AS canonical, 'MANUFACTURER' AS type FROM manufacturers UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(k)}, 'LOCATION')" for k in L.LOCATIONS) + ") v(a, b, c)",
+    "names": "SELECT code AS surface, code AS canonical, 'SUPPLIER' AS type FROM active UNION ALL SELECT name, name, 'MANUFACTURER' FROM manufacturers UNION ALL SELECT country, country, 'LOCATION' FROM countries",
+    "phrases": "SELECT alias AS surface, name AS canonical, 'MANUFACTURER' AS type FROM manufacturers UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(k)}, 'LOCATION')" for k in [*L.REGIONS, *L.LOCATIONS]) + ") v(a, b, c)",
     "words": "SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, body)), '[a-z0-9_#]+')) AS word FROM {articles}",
-    "mentions": """SELECT article_id, canonical, type, (instr(text, lower(surface)) - 1)::INT AS span_start, (instr(text, lower(surface)) - 1 + length(surface))::INT AS span_end FROM (
-        SELECT article_id, text, surface, canonical, type, row_number() OVER (PARTITION BY article_id, canonical, type ORDER BY length(surface) DESC, instr(text, lower(surface))) AS r FROM (
-        SELECT article_id, surface, canonical, type FROM words JOIN names ON word = lower(surface) UNION SELECT article_id, surface, canonical, type FROM texts JOIN phrases ON contains(text, surface) OR contains(text, lower(surface)) WHERE regexp_matches(text, '\\b' || regexp_escape(lower(surface)) || '\\b')) JOIN texts USING (article_id)) WHERE r = 1""",
-    "linked": "SELECT s.*, coalesce(n.n, 0)::INT AS n_mentions, coalesce(n.n, 0)::INT AS n_links, n.supplier_risk FROM scored s LEFT JOIN (SELECT article_id, count(*) AS n, max(risk) AS supplier_risk FROM mentions LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1) n USING (article_id) WHERE exact >= least",
+    "mentions": """SELECT article_id, canonical, type, lower(surface) AS surface, (instr(text, lower(surface)) - 1)::INT AS span_start, (instr(text, lower(surface)) - 1 + length(surface))::INT AS span_end FROM (
+        SELECT article_id, text, surface, canonical, type, row_number() OVER (PARTITION BY article_id, lower(canonical), type ORDER BY length(surface) DESC, instr(text, lower(surface)), canonical) AS r FROM (
+        SELECT article_id, surface, canonical, type FROM words JOIN names ON word = lower(surface) UNION SELECT article_id, surface, canonical, type FROM texts JOIN phrases ON contains(text, lower(surface)) WHERE regexp_matches(text, '\\b' || regexp_escape(lower(surface)) || '\\b')) JOIN texts USING (article_id)) WHERE r = 1""",
+    "extracted": """SELECT article_id, surface, type, first(canonical ORDER BY confidence, canonical) AS canonical, min(confidence) AS confidence FROM (SELECT article_id, surface, type, canonical, 0.85::DOUBLE AS confidence FROM mentions
+        UNION ALL SELECT article_id, lower(label), 'LOCATION', label, 0.92::DOUBLE FROM places) GROUP BY 1, 2, 3""",
+    "told": "SELECT DISTINCT surface FROM extracted WHERE type = 'MANUFACTURER'",
+    "sided": "SELECT surface, name, CASE WHEN length(surface) <= length(name) THEN surface ELSE lower(name) END AS s, CASE WHEN length(surface) <= length(name) THEN lower(name) ELSE surface END AS l FROM told, manufacturers UNION SELECT surface, name, lower(name), surface FROM told, manufacturers WHERE length(surface) = length(name)",
+    "cuts": "SELECT DISTINCT surface, name, s, substr(l, greatest(k, 0)::INT + 1, (k + length(s) - greatest(k, 0))::INT) AS w FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS k FROM sided)",
+    "sequences": """SELECT s, w, 0 AS i, list_transform(range(length(s) + 1), lambda j: 0::BIGINT) AS best FROM (SELECT DISTINCT s, w FROM cuts)
+        UNION ALL SELECT s, w, i + 1, [0::BIGINT] || list_transform(range(1, length(s) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m: greatest(best[m + 1], best[m] + CASE WHEN substr(s, m::INT, 1) = substr(w, i + 1, 1) THEN 1 ELSE 0 END)))) FROM sequences WHERE i < length(w)""",
+    "ratios": "SELECT surface, name, max(200.0::DOUBLE * best[length(s) + 1] / (length(s) + length(w))) AS score FROM cuts JOIN sequences USING (s, w) WHERE i = length(w) GROUP BY 1, 2",
+    "fuzzy": "SELECT surface, name, score, row_number() OVER (PARTITION BY surface ORDER BY score DESC, name)::INT AS rank FROM ratios",
+    "sold": "SELECT DISTINCT manufacturer AS maker, code FROM stock WHERE manufacturer <> ''",
+    "tokens": "SELECT DISTINCT article_id, mpn FROM (SELECT article_id, unnest(regexp_extract_all(upper(concat_ws(' ', title, body)), '\\b[A-Z0-9]{3,}[A-Z0-9\\-/_]{2,}\\b')) AS mpn FROM {articles}) JOIN parts USING (mpn)",
+    "base0": f"""SELECT article_id, {linked_as('MANUFACTURER', 'f.name', 'f.name', 'f.score / 100.0::DOUBLE', "'fuzzy_manufacturer'", 'surface')} FROM extracted e JOIN fuzzy f USING (surface) WHERE e.type = 'MANUFACTURER' AND f.rank = 1 AND f.score >= 75
+        UNION ALL SELECT article_id, {linked_as('SUPPLIER', 'k.code', 'k.code', 'least(0.9, f.score / 100.0::DOUBLE)', "'manufacturer_supplier_map'", 'surface')} FROM extracted e JOIN fuzzy f USING (surface) JOIN (SELECT maker, code, row_number() OVER (PARTITION BY maker ORDER BY code) AS r FROM sold) k ON k.maker = f.name AND k.r <= 3 WHERE e.type = 'MANUFACTURER' AND f.rank = 1 AND f.score >= 75
+        UNION ALL SELECT article_id, {linked_as('SUPPLIER', 'upper(surface)', 'upper(surface)', '1.0', "'exact_supplier_code'", 'surface')} FROM extracted e WHERE e.type = 'SUPPLIER' AND upper(surface) IN (SELECT code FROM active)
+        UNION ALL SELECT article_id, {linked_as('LOCATION', 'surface', 'e.canonical', '0.8', "'keyword_location'", 'surface')} FROM extracted e WHERE e.type = 'LOCATION'
+        UNION ALL SELECT article_id, {linked_as('COMPONENT', 'mpn', 'mpn', '1.0', "'exact_mpn'", 'mpn')} FROM tokens""",
+    "base1": best_links("base0", "article_id"),
+    "asets": "SELECT article_id, md5(string_agg(concat_ws('|', type, canonical, name, score, method, surface), ',' ORDER BY type, canonical)) AS set_id FROM base1 GROUP BY 1",
+    "sets": "SELECT set_id, type, canonical, name, score, method, surface, review FROM base1 JOIN (SELECT set_id, min(article_id) AS article_id FROM asets GROUP BY 1) USING (article_id)",
+    "near": "SELECT set_id, a.code, a.name, min(s.name) AS place FROM sets s JOIN active a ON contains(lower(s.name), lower(a.country)) OR contains(lower(a.country), lower(s.name)) WHERE s.type = 'LOCATION' GROUP BY 1, 2, 3",
+    "near_made": "SELECT set_id, m.name AS maker, min(s.name) AS place FROM sets s JOIN manufacturers m ON contains(lower(s.name), lower(m.country)) OR contains(lower(m.country), lower(s.name)) WHERE s.type = 'LOCATION' GROUP BY 1, 2",
+    "set1": f"""SELECT * FROM sets UNION ALL SELECT set_id, {linked_as('SUPPLIER', 'code', 'near.name', '0.6', "'location_supplier_map'", 'place', 'true')} FROM near UNION ALL SELECT set_id, {linked_as('MANUFACTURER', 'maker', 'maker', '0.58', "'location_manufacturer_map'", 'place', 'true')} FROM near_made""",
+    "set2": f"""SELECT * FROM set1 UNION ALL SELECT set_id, {linked_as('MANUFACTURER', 'maker', 'maker', '0.62', "'supplier_manufacturer_map'", 'min(code)', 'true')} FROM (SELECT DISTINCT set_id, canonical AS code FROM set1 WHERE type = 'SUPPLIER') JOIN sold USING (code) GROUP BY set_id, maker""",
+    "set3": best_links("set2", "set_id"),
+    "catalog": "SELECT * FROM (SELECT 'SUPPLIER' AS type, code AS canonical, mpn FROM stock UNION SELECT 'MANUFACTURER', manufacturer, mpn FROM parts WHERE manufacturer <> '') QUALIFY row_number() OVER (PARTITION BY type, canonical ORDER BY mpn) <= 100",
+    "inferred0": "SELECT set_id, mpn, min({'late': type = 'MANUFACTURER', 'holder': canonical}) AS h FROM set3 JOIN catalog USING (type, canonical) GROUP BY 1, 2",
+    "inferred": "SELECT * FROM inferred0 QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY mpn) <= 100",
+    "set4": f"""SELECT * FROM set3 UNION ALL SELECT set_id, {linked_as('COMPONENT', 'mpn', 'mpn', 'CASE WHEN h.late THEN 0.60 ELSE 0.62 END', "CASE WHEN h.late THEN 'manufacturer_catalog_map' ELSE 'supplier_inventory_map' END", 'h.holder', 'true')} FROM inferred""",
+    "set_links": best_links("set4", "set_id"),
+    "set_totals": "SELECT set_id, count(*)::INT AS n_links, max(score) AS link_score, max(risk) FILTER (risk > 0) AS supplier_risk FROM set_links LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1",
+    "linked": """SELECT s.*, coalesce(n.n, 0)::INT AS n_mentions, coalesce(n.c, 0)::DOUBLE AS mention_confidence, coalesce(k.n_links, 0)::INT AS n_links, coalesce(k.link_score, 0)::DOUBLE AS link_score, k.supplier_risk FROM scored s
+        LEFT JOIN (SELECT article_id, count(*) AS n, sum(round(confidence * 100)::BIGINT) / (count(*) * 100.0::DOUBLE) AS c FROM extracted GROUP BY 1) n USING (article_id) LEFT JOIN (SELECT * FROM asets JOIN set_totals USING (set_id)) k USING (article_id) WHERE exact >= least""",
     "ruled": "SELECT article_id, first(category ORDER BY conf DESC, rank) AS category, first(kind ORDER BY conf DESC, rank) AS kind, max(conf) AS conf FROM ("
     + " UNION ALL ".join(f"SELECT article_id, {n} AS rank, {q(c)} AS category, {q(k)} AS kind, CASE WHEN {hits('text', w)} >= 2 THEN {min(f + 0.05, 1.0)!r} ELSE {f!r} END::DOUBLE AS conf FROM linked WHERE {hits('text', w)} >= 1" for n, (c, k, w, f) in enumerate(L.RULES))
     + " UNION ALL SELECT article_id, 50, 'financial_distress', 'credit_downgrade', CASE WHEN n_links > 0 THEN 0.80 ELSE 0.72 END::DOUBLE FROM linked WHERE provider = 'marketaux' AND sentiment <= -0.2) GROUP BY 1",
@@ -97,10 +193,9 @@ CTES = {
             CASE WHEN sentiment IS NOT NULL THEN least(100, 40 + abs(sentiment) * 60) WHEN {hits('text', ['bankruptcy', 'default', 'crisis'])} > 0 THEN 75 ELSE 30 END::DOUBLE AS money,
             coalesce(least(100, try_cast(regexp_extract(text, 'magnitude\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) * 12), 30)::DOUBLE AS nature, {hits('text', L.URGENT)} > 0 AS urgent,
             (CASE WHEN {hits('text', ['ban', 'embargo', 'restrict', 'comprehensive'])} > 0 THEN 72 ELSE 60 END + CASE WHEN {hits('text', ['comprehensive', 'all', 'entire', 'full'])} > 0 THEN 10 ELSE 0 END)::DOUBLE AS trade FROM classified)))""",
-    "factored": f"""SELECT *, round_even(b0, 1) AS base_severity, round_even(round_even(b0, 1) * 0.40, 2) AS c_base_rule_score, round_even(coalesce(supplier_risk, 0) * 100.0 * 0.15, 2) AS c_supplier_criticality, round_even({case('provider', {p: v[1] * 100.0 for p, v in L.PROVIDERS.items()}, 50.0)}::DOUBLE * 0.10, 2) AS c_source_reliability,
-        round_even(CASE WHEN n_links = 0 THEN 10.0 WHEN n_links >= 6 THEN 90.0 WHEN n_links >= 3 THEN 65.0 ELSE 40.0 END::DOUBLE * 0.10, 2) AS c_entity_impact, round_even(greatest(place, CASE WHEN geo_country IS NOT NULL THEN 0.55 ELSE 0 END::DOUBLE) * 100.0 * 0.10, 2) AS c_geographic_importance,
-        round_even({case('event_category', L.MARKET, 35.0)}::DOUBLE * 0.10, 2) AS c_market_sensitivity, 0::DOUBLE AS c_multi_source_confirmation FROM based""",
-    "severe": "SELECT *, round_even(greatest(0, least(100, " + " + ".join(f"c_{k}" for k in L.WEIGHTS) + ")), 1) AS severity, (SELECT string_agg(f, ',' ORDER BY c DESC, i) FROM (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)}, c_{k})" for i, k in enumerate(L.WEIGHTS)) + ") v(i, f, c) ORDER BY c DESC, i LIMIT 3)) AS top_factors FROM factored",
+    "based1": f"""SELECT b.*, round_even(b0, 1) AS base_severity, greatest(place, CASE WHEN geo_country IS NOT NULL THEN 0.55 ELSE 0 END::DOUBLE) * 100.0 AS geo_score, coalesce(c.metric * 100.0, {case('event_category', L.MARKET, 35.0)}::DOUBLE) AS market_score FROM based b LEFT JOIN coords c USING (article_id)""",
+    "factors": f"SELECT *, {factored('0::DOUBLE')} FROM based1",
+    "severe": f"SELECT *, {TOTAL} AS severity, {top_three('f', ',')} AS top_factors, {top_three('f || $$ ($$ || printf($$%.1f$$, c) || $$)$$', ', ')} AS driven FROM factors",
     "acted": f"""SELECT *, CASE WHEN {hits('text', L.SIGNALS)} > 0 THEN true WHEN event_category <> 'other' AND class_confidence >= 0.6 THEN true WHEN provider = 'gdacs' THEN true WHEN upper(category) IN ({items(L.QUIET_CATEGORIES)[1:-1]}) OR starts_with(upper(event_code), 'CO') THEN false
         WHEN contains(upper(subcategory), 'MILESTONE') OR contains(upper(subcategory), 'DEVELOPMENT') THEN false WHEN significance < 0.4 AND event_category = 'other' THEN false WHEN severity >= 55 THEN true WHEN n_links > 0 AND event_category <> 'other' THEN true ELSE false END AS actionable FROM severe""",
     "risk": f"""SELECT event_id, {items(D.CATEGORIES)}[event_id % 7 + user_id % 4 + 1] AS event_category, event_type, 'Event ' || (user_id % 40) || ' of ' || event_type AS title, 'Summary of ' || event_type || ' ' || k AS summary, least(100, floor(value))::DOUBLE AS severity,
@@ -110,10 +205,8 @@ CTES = {
     "kept_rows": "SELECT fingerprint, first(event_id ORDER BY severity DESC, retrieved_at DESC, event_id) AS keep_id, max(severity) AS severity, count(*) - 1 AS n_duplicates FROM identified GROUP BY 1",
     "leads": "SELECT code AS supplier_code, round_even(sum(lead_time_days) / count(lead_time_days)::DOUBLE, 1) AS avg_lead FROM stock GROUP BY 1",
     "alerted": "SELECT event_id, severity, rule_id, rule_name FROM risk JOIN (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else q(v) for v in r) + ")" for r in L.ALERTS) + ") r(rule_id, rule_name, ms, mc, mv, mk) ON (ms IS NULL OR severity >= ms) AND (mc IS NULL OR source_count >= mc) AND (mv IS NULL OR verification >= mv) AND (mk IS NULL OR event_category = mk)",
-    "confident": """SELECT *, round_even(greatest(0, least(1, class_confidence * 0.35 + link_score * 0.25 + link_score * 0.9 * 0.15 + w * 0.15)), 3) AS overall_confidence FROM (SELECT *, CASE WHEN n_mentions > 0 THEN 1 ELSE 0 END::DOUBLE AS link_score, CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 WHEN 3 THEN 0.65 ELSE 0.5 END::DOUBLE AS w FROM severe)""",
-    "reviewed": """SELECT article_id, unnest(list_filter([CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN link_score < 0.7 AND n_mentions > 0 THEN 'low_entity_link_confidence' END,
-        CASE WHEN n_mentions = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'no_entities_for_event_type' END, CASE WHEN severity >= 70 AND class_confidence < 0.7 THEN 'high_severity_low_confidence_mismatch' END,
-        CASE WHEN event_category IN ('factory_shutdown', 'logistics_disruption', 'export_sanction') AND n_links < 1 THEN 'supply_chain_event_no_entities' END], lambda x: x IS NOT NULL)) AS reason FROM confident""",
+    "confident": f"SELECT *, {OVERALL} AS overall_confidence, {DOUBTS} AS uncertainties FROM (SELECT *, {TIER} AS source_weight, 1 AS n_sources, 0::DOUBLE AS verification FROM severe)",
+    "reviewed": f"SELECT article_id, unnest({REASONS}) AS reason FROM confident",
     "titled": "SELECT title, min(article_id) AS ordinal, list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '\\s+'), lambda x: x <> '')) AS w FROM articles GROUP BY title",
     "pairs0": f"""SELECT a.title AS a, a.ordinal AS oa, b.title AS b, b.ordinal AS ob, lower(trim(a.title)) = lower(trim(b.title)) AS same, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE AS j,
         list_filter(a.w, lambda x: NOT list_contains({items(L.STOP_WORDS)}, x)) AS ca, list_filter(b.w, lambda x: NOT list_contains({items(L.STOP_WORDS)}, x)) AS cb FROM titled a JOIN titled b ON a.ordinal < b.ordinal AND list_has_any(a.w, b.w)""",
@@ -121,20 +214,34 @@ CTES = {
     "parents": "SELECT t.title, coalesce(p.a, t.title) AS parent FROM titled t LEFT JOIN (SELECT b, first(a ORDER BY similarity DESC, oa) AS a FROM pairs GROUP BY b) p ON p.b = t.title",
     "chain": "SELECT title, parent AS root FROM parents UNION SELECT c.title, p.parent FROM chain c JOIN parents p ON p.title = c.root WHERE p.parent <> c.root",
     "clusters": "SELECT c.title, c.root FROM chain c JOIN parents p ON p.title = c.root AND p.parent = c.root",
-    "hits_at": """SELECT DISTINCT article_id, code, severity FROM (SELECT article_id, a.code, severity FROM mentions m JOIN acted USING (article_id) JOIN active a ON contains(lower(m.canonical), lower(a.country)) OR contains(lower(a.country), lower(m.canonical)) WHERE m.type = 'LOCATION' AND actionable
-        UNION ALL SELECT article_id, canonical, severity FROM mentions m JOIN acted USING (article_id) WHERE m.type = 'SUPPLIER' AND actionable)""",
+    "crows": "SELECT a.*, c.root FROM acted a JOIN clusters c USING (title) WHERE actionable",
+    "clinks0": "SELECT root, s.type, s.canonical, s.name, s.score, s.method, s.surface, s.review FROM (SELECT DISTINCT root, set_id FROM crows JOIN asets USING (article_id)) JOIN set_links s USING (set_id)",
+    "clinks": best_links("clinks0", "root"),
+    "ctotals": "SELECT root, count(*)::INT AS n_links, max(score) AS link_score, max(risk) FILTER (risk > 0) AS supplier_risk FROM clinks LEFT JOIN distributors ON type = 'SUPPLIER' AND code = canonical GROUP BY 1",
+    "cgroups": f"""SELECT root, count(*) AS source_count, count(DISTINCT provider) AS n_providers, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, {MEAN} AS source_weight, sum(n_mentions)::BIGINT AS n_mentions, coalesce(sum(round(mention_confidence * n_mentions * 100)::BIGINT) / nullif(sum(n_mentions) * 100.0::DOUBLE, 0), 0)::DOUBLE AS mention_confidence,
+        round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, {MEAN})), 3) AS verification, coalesce(string_agg(DISTINCT url, ',' ORDER BY url), '') AS urls FROM crows GROUP BY 1""",
+    "creasons": f"SELECT root, list_sort(list_distinct(flatten(list({REASONS})))) AS reasons FROM crows GROUP BY 1",
+    "cprimary": "SELECT root, article_id AS primary_id, title, event_category, provider, class_confidence, base_severity, geo_score, market_score FROM crows QUALIFY row_number() OVER (PARTITION BY root ORDER BY severity DESC, class_confidence DESC, article_id) = 1",
+    "cevents0": "SELECT *, source_count AS n_sources FROM cgroups JOIN cprimary USING (root) JOIN creasons USING (root) LEFT JOIN ctotals USING (root)",
+    "cevents1": f"SELECT * EXCLUDE (n_links, link_score), coalesce(n_links, 0)::INT AS n_links, coalesce(link_score, 0)::DOUBLE AS link_score FROM cevents0",
+    "cevents": f"SELECT *, {TOTAL} AS severity FROM (SELECT *, {factored('CASE WHEN source_count <= 1 THEN verification * 50.0::DOUBLE ELSE greatest(0, least(100, 50.0::DOUBLE + verification * 50.0::DOUBLE + (source_count - 1) * 10.0::DOUBLE)) END')} FROM cevents1)",
+    "cnested": "SELECT root, " + ", ".join(f"coalesce(string_agg(canonical || '|' || method, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in KINDS) + " FROM clinks GROUP BY 1",
 }
 
 
+RECURSIVE = ("sequences", "chain")
+
+
 def _sql(body: str, articles: str = "articles") -> str:
-    """body with the CTEs that it and they name; CTES lists each after those it names."""
+    """body with the CTEs that it and they name, each computed once; CTES lists each after those it names."""
     found, open_ = set(), [body]
     while open_:
         for word in re.findall(r"\b[a-z][a-z_0-9]*\b", re.sub(r"'[^']*'", "", open_.pop().replace("{articles}", articles))):
             if word in CTES and word not in found:
                 found.add(word)
                 open_.append(CTES[word])
-    parts = ", ".join(f"{n} AS ({sql.replace('{articles}', articles)})" for n, sql in CTES.items() if n in found)
+    kept = lambda n: " AS (" if n in RECURSIVE else " AS MATERIALIZED ("
+    parts = ", ".join(f"{n}{kept(n)}{sql.replace('{articles}', articles)})" for n, sql in CTES.items() if n in found)
     return f"WITH RECURSIVE {parts} {body}" if parts else body
 
 
@@ -159,11 +266,18 @@ BODIES = {
     "kept": "SELECT article_id, provider, score, least FROM scored WHERE exact >= least",
     "dropped": "SELECT article_id, provider, score, least, reason FROM scored WHERE exact < least",
     "by_provider": "SELECT provider, count(*) FILTER (exact >= least) AS kept, count(*) FILTER (exact < least) AS dropped FROM scored GROUP BY 1",
-    "mentions": "SELECT * FROM mentions",
-    "extraction_metrics": "SELECT sum(coalesce(n, 0))::BIGINT AS mentions, count(*) FILTER (n > 0) AS with_mentions, round_even(sum(coalesce(n, 0)) / count(*)::DOUBLE, 4) AS per_article FROM articles LEFT JOIN (SELECT article_id, count(*) AS n FROM mentions GROUP BY 1) USING (article_id)",
-    "metadata_geo": "SELECT geo_country, count(*) AS n, 0.92::DOUBLE AS confidence FROM articles WHERE geo_country IS NOT NULL GROUP BY 1",
-    "supplier_links": "SELECT article_id, canonical, code, 0.9::DOUBLE AS score FROM mentions JOIN (SELECT DISTINCT manufacturer, code, dense_rank() OVER (PARTITION BY manufacturer ORDER BY code) AS r FROM stock) s ON s.manufacturer = canonical AND r <= 3 WHERE type = 'MANUFACTURER'",
-    "mpn_links": "SELECT DISTINCT article_id, mpn FROM (SELECT article_id, unnest(regexp_extract_all(upper(concat_ws(' ', title, body)), '\\b[A-Z0-9]{3,}[A-Z0-9\\-/_]{2,}\\b')) AS mpn FROM articles) JOIN parts USING (mpn)",
+    "mentions": "SELECT article_id, canonical, type, span_start, span_end FROM mentions",
+    "extraction_metrics": "SELECT sum(coalesce(n, 0))::BIGINT AS mentions, count(*) FILTER (n > 0) AS with_mentions, round_even(sum(coalesce(n, 0)) / count(*)::DOUBLE, 4) AS per_article, round_even(avg(c), 4) AS mean_confidence FROM articles LEFT JOIN (SELECT article_id, count(*) AS n, avg(confidence) AS c FROM extracted GROUP BY 1) USING (article_id)",
+    "metadata_geo": "SELECT source, label, count(*) AS n FROM places GROUP BY 1, 2",
+    "metadata_mentions": "SELECT article_id, label, source, ordinal, 0.92::DOUBLE AS confidence FROM places",
+    "coordinates": "SELECT article_id, latitude, longitude, country, region, metric FROM coords",
+    "extracted": "SELECT article_id, surface AS text, type, canonical, confidence FROM extracted",
+    "fuzzy_manufacturers": "SELECT surface AS text, name, round_even(score, 6) AS score, rank FROM fuzzy WHERE rank <= 5 AND score >= 75",
+    "link_candidates": "SELECT surface AS text, name, round_even(score, 6) AS score, rank FROM fuzzy WHERE rank <= 5 AND score >= 60",
+    "expanded_links": "SELECT article_id, type, method, count(*) AS n, min(canonical) AS first, max(canonical) AS last, min(surface) AS text, round_even(max(score), 6) AS score, count(*) FILTER (review) AS n_review FROM asets JOIN set_links USING (set_id) GROUP BY 1, 2, 3",
+    "cluster_modes": "SELECT root, sum(n)::BIGINT AS n, first(event_category ORDER BY n DESC, f) AS mode FROM (SELECT root, event_category, count(*) AS n, min(article_id) AS f FROM classified JOIN clusters USING (title) GROUP BY 1, 2) GROUP BY 1",
+    "supplier_links": "SELECT article_id, canonical, code, 0.9::DOUBLE AS score FROM mentions JOIN (SELECT maker, code, row_number() OVER (PARTITION BY maker ORDER BY code) AS r FROM sold) s ON s.maker = canonical AND r <= 3 WHERE type = 'MANUFACTURER'",
+    "mpn_links": "SELECT article_id, mpn FROM tokens",
     "location_suppliers": "SELECT DISTINCT n_name AS location, code FROM nation JOIN active ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
     "location_manufacturers": "SELECT DISTINCT n_name AS location, name FROM nation JOIN manufacturers ON contains(lower(n_name), lower(country)) OR contains(lower(country), lower(n_name))",
     "supplier_manufacturers": "SELECT DISTINCT code, manufacturer FROM stock",
@@ -171,16 +285,16 @@ BODIES = {
     "classified": "SELECT article_id, event_category, event_type, class_confidence FROM classified",
     "class_distribution": "SELECT event_category, count(*) AS n, round_even(avg(class_confidence), 3) AS mean_confidence FROM classified GROUP BY 1",
     "base_severity": "SELECT article_id, base_severity FROM severe",
-    "severity": "SELECT article_id, severity, top_factors, " + ", ".join(f"c_{k}" for k in L.WEIGHTS) + " FROM severe",
+    "severity": "SELECT article_id, severity, top_factors, 'Severity ' || severity || '/100 driven by: ' || driven AS severity_summary, " + ", ".join(f"c_{k}" for k in L.WEIGHTS) + " FROM severe",
     "severity_metrics": "SELECT count(*) AS n, round_even(avg(severity), 2) AS mean_severity, count(*) FILTER (severity >= 70) AS n_high FROM severe",
     "title_pairs": "SELECT a, b, round_even(similarity, 6) AS similarity FROM pairs",
     "clusters": "SELECT * FROM clusters",
     "cluster_stats": "SELECT count(*) AS n_clusters, round_even(avg(n), 3) AS mean_size, max(n) AS max_size FROM (SELECT root, count(*) AS n FROM articles JOIN clusters USING (title) GROUP BY 1)",
     "actionable": "SELECT article_id, actionable FROM acted",
-    "merged": """SELECT root, count(*) AS source_count, first(article_id ORDER BY severity DESC, class_confidence DESC, article_id) AS primary_id, first(title ORDER BY severity DESC, class_confidence DESC, article_id) AS title, first(event_category ORDER BY severity DESC, class_confidence DESC, article_id) AS event_category, max(severity) AS severity,
-        count(DISTINCT provider) AS n_providers, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, avg(CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 ELSE 0.65 END::DOUBLE))), 3) AS verification FROM acted JOIN clusters USING (title) WHERE actionable GROUP BY root""",
-    "verification": "SELECT title, round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, avg(CASE tier WHEN 1 THEN 1 WHEN 2 THEN 0.85 ELSE 0.65 END::DOUBLE))), 3) AS verification FROM articles GROUP BY title",
-    "confidence": """SELECT article_id, overall_confidence, concat_ws(',', 'few_sources', CASE WHEN class_confidence < 0.6 THEN 'low_classification_confidence' END, CASE WHEN n_mentions > 0 AND link_score < 0.7 THEN 'weak_entity_matching' END, CASE WHEN n_links = 0 AND event_category NOT IN ('natural_disaster', 'other') THEN 'missing_entity_links' END) AS uncertainties FROM confident""",
+    "merged": "SELECT root, source_count, primary_id, title, event_category, severity, n_providers, providers, verification, n_links, round_even(link_score, 6) AS link_score, " + OVERALL + " AS overall_confidence, " + DOUBTS + """ AS uncertainties,
+        array_to_string(CASE WHEN source_count >= 2 AND verification >= 0.6 THEN list_filter(reasons, lambda r: r <> 'low_classification_confidence') ELSE reasons END, ',') AS review_reasons, urls, coalesce(suppliers, '') AS suppliers, coalesce(manufacturers, '') AS manufacturers, coalesce(components, '') AS components, coalesce(locations, '') AS locations FROM cevents LEFT JOIN cnested USING (root)""",
+    "verification": f"SELECT title, round_even(least(1, least(1, 0.35 + 0.25::DOUBLE * count(DISTINCT provider)) * least(1, {MEAN})), 3) AS verification FROM articles GROUP BY title",
+    "confidence": "SELECT article_id, overall_confidence, uncertainties FROM confident",
     "review": "SELECT article_id, string_agg(reason, ',' ORDER BY CASE reason WHEN 'low_classification_confidence' THEN 0 WHEN 'low_entity_link_confidence' THEN 1 WHEN 'no_entities_for_event_type' THEN 2 WHEN 'high_severity_low_confidence_mismatch' THEN 3 ELSE 4 END) AS reasons FROM reviewed GROUP BY 1",
     "review_histogram": "SELECT reason, count(*) AS n FROM reviewed GROUP BY 1",
     "fingerprints": f"SELECT doc_id, sha256({NORM.format('text')} || '|other|' || {NORM.format('source')}) AS fingerprint FROM documents",
@@ -205,7 +319,7 @@ BODIES = {
     "refine": "SELECT event_id, severity FROM risk WHERE severity >= 35 ORDER BY severity DESC, event_id LIMIT 10",
     "adjusted": f"SELECT event_id, {_clamp('greatest(confidence - 0.15, least(confidence + 0.15, verification))')} AS adjusted FROM risk",
     "lead_times": "SELECT * FROM leads",
-    "supply_links": "SELECT article_id, " + ", ".join(f"coalesce(string_agg(canonical, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in (("suppliers", "SUPPLIER"), ("manufacturers", "MANUFACTURER"), ("components", "COMPONENT"), ("locations", "LOCATION"))) + " FROM mentions GROUP BY 1",
+    "supply_links": "SELECT suppliers, manufacturers, components, locations, sum(n)::BIGINT AS n_articles FROM (SELECT set_id, " + ", ".join(f"coalesce(string_agg(canonical, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in KINDS) + " FROM set_links GROUP BY 1) JOIN (SELECT set_id, count(*) AS n FROM asets GROUP BY 1) USING (set_id) GROUP BY 1, 2, 3, 4",
     "backfill": "SELECT event_id, supplier_code, name AS supplier_name, CASE WHEN status = 'detected' THEN 'analysis ' || status ELSE 'none' END AS analysis FROM risk LEFT JOIN distributors ON code = supplier_code",
     "list": "SELECT event_id, title, severity, status, status = 'detected' AS has_analysis FROM risk WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
     "detail": "SELECT event_id, title, summary, severity, geo_country, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk WHERE event_id = 7",
@@ -222,9 +336,9 @@ BODIES = {
     "labels": "SELECT n_nationkey, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ', West Coast' AS label, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS plain, 2 AS n FROM nation",
     "audit": "SELECT count(*) AS rows_in, count(*) FILTER (exact >= least) AS rows_out, round_even(count(*) FILTER (exact >= least) * 100 / count(*)::DOUBLE, 2) AS retention FROM scored",
     "visible": "SELECT event_id, severity FROM risk WHERE severity >= 50 AND latitude IS NOT NULL",
-    "uncovered": "SELECT type, count(*) AS n FROM mentions WHERE type = 'COMPONENT' GROUP BY 1",
-    "linking_rate": "SELECT count(*) AS mentions, count(*) FILTER (type <> 'LOCATION') AS linked, round_even(count(*) FILTER (type <> 'LOCATION') * 100 / count(*)::DOUBLE, 2) AS rate FROM mentions",
-    "exposure": "SELECT code, count(*) AS n_articles, max(severity) AS max_severity FROM hits_at GROUP BY 1",
+    "uncovered": "SELECT e.type, e.surface AS text, count(*) AS n FROM extracted e WHERE NOT EXISTS (SELECT 1 FROM asets JOIN set_links l USING (set_id) WHERE asets.article_id = e.article_id AND lower(l.surface) = e.surface) GROUP BY 1, 2",
+    "linking_rate": "SELECT m.n AS mentions, k.n AS links, round_even(k.n * 100 / m.n::DOUBLE, 2) AS rate FROM (SELECT count(*) AS n FROM extracted) m, (SELECT sum(n)::BIGINT AS n FROM asets JOIN (SELECT set_id, count(*) AS n FROM set_links GROUP BY 1) USING (set_id)) k",
+    "exposure": "SELECT canonical AS code, sum(n)::BIGINT AS n_articles, max(severity) AS max_severity FROM (SELECT set_id, count(*) AS n, max(severity) AS severity FROM acted JOIN asets USING (article_id) WHERE actionable GROUP BY 1) JOIN set_links USING (set_id) WHERE type = 'SUPPLIER' GROUP BY 1",
     "tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 

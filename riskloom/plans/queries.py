@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as X
 from riskloom.functions.fuzzy import indel_ratio
+from riskloom.functions.metadata import coordinates, market_metric, parsed
 from riskloom.operators import catalog as C
 from riskloom.operators import events as E
+from riskloom.operators import linking as N
 from riskloom.operators import scoring as S
 from riskloom.plans.lineage import saved
 from riskloom.sources import domain as D
@@ -21,21 +25,35 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if hasattr(D, name):
-            return getattr(D, name)(self.spark, self.sf_dir)
-        return D.table(self.spark, self.sf_dir, name)
+        found = getattr(D, name)(self.spark, self.sf_dir) if hasattr(D, name) else D.table(self.spark, self.sf_dir, name)
+        self.__dict__[name] = found  # built once
+        return found
 
     @property
     def stock(self) -> DataFrame:
         return C.inventory_map(self.inventory, self.distributors, self.parts)
 
-    @property
-    def names(self) -> DataFrame:
-        return C.gazetteer(self.distributors, self.manufacturers, self.parts)
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Where names of the gazetteer (kind n), manufacturers (m) and categories (c) stand in the articles, looked for in one pass."""
+        none = F.lit(None).cast("string")
+        names = C.gazetteer(self.distributors, self.manufacturers).select(F.col("surface").alias("term"), F.lit("n").alias("kind"), "canonical", "type")
+        terms = names.unionByName(S.relevance_terms(self.manufacturers, self.categories).select("term", "kind", none.alias("canonical"), none.alias("type")))
+        articles = self.articles
+        texts = articles.select("article_id", S.article_text(articles).alias("text_"))
+        return saved(C.term_places(texts, terms, "article_id", "term", F.col("kind") == "c").select("article_id", "term", "kind", "canonical", "type", C.place_of("term").alias("at")))
 
     @property
     def mentions(self) -> DataFrame:
-        return C.mentions(self.articles, self.names)
+        return C.first_spans(self.hits.where("kind = 'n'").withColumnRenamed("term", "surface"))
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return N.metadata_places(self.articles)
+
+    @cached_property
+    def extracted(self) -> DataFrame:
+        return saved(N.extracted(self.mentions, self.places))
 
     @property
     def suppliers(self) -> DataFrame:
@@ -43,20 +61,43 @@ class Tables:
 
     @property
     def scored(self) -> DataFrame:
-        return S.relevance(self.articles, self.manufacturers, self.categories)
+        return S.relevance(self.articles, self.manufacturers, self.categories, self.hits)
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        return saved(self.scored)
 
     @property
     def categories(self) -> DataFrame:
         return self.stock.select(X.normalize_category(F.col("category")).alias("term")).distinct()
 
+    @property
+    def part_numbers(self) -> DataFrame:
+        return C.part_links(self.articles.select("article_id", F.concat_ws(" ", "title", "body").alias("text_")), self.parts)
+
+    @cached_property
+    def link_tables(self) -> tuple[DataFrame, DataFrame]:
+        """(article_id, set_id) and (set_id, links): expanded links by their distinct sets."""
+        sellers = self.stock.where("manufacturer <> ''").select("manufacturer", "code").distinct()
+        base = N.base_links(self.extracted, self.part_numbers, self.places, C.active(self.distributors), sellers, self.manufacturers)
+        of_articles, sets = N.link_sets(base)
+        return of_articles, saved(N.expand(sets, C.active(self.distributors), self.manufacturers, self.parts, self.stock))
+
+    @property
+    def links(self) -> DataFrame:
+        of_articles, links = self.link_tables
+        return of_articles.join(links, "set_id").drop("set_id")
+
     @property
     def linked(self) -> DataFrame:
-        """Kept articles with the number of their mentions, of their exact links, and the linked suppliers' largest risk."""
-        m = self.mentions
-        n = m.groupBy("article_id").agg(F.count("*").alias("n_mentions"))
-        risk = m.where("type = 'SUPPLIER'").join(self.distributors.select(F.col("code").alias("canonical"), "risk"), "canonical").groupBy("article_id").agg(F.max("risk").alias("supplier_risk"))
-        df = S.kept(self.scored).join(n, "article_id", "left").join(risk, "article_id", "left")
-        return df.withColumn("n_mentions", F.coalesce("n_mentions", F.lit(0)).cast("int")).withColumn("n_links", F.col("n_mentions"))
+        """Kept articles with the number and mean confidence of their mentions, the number and best score of their links, and the linked
+        suppliers' largest risk."""
+        m = self.extracted.groupBy("article_id").agg(F.count("*").cast("int").alias("n_mentions"), (F.sum(F.round(F.col("confidence") * 100).cast("long")) / (F.count("*") * 100.0)).alias("mention_confidence"))
+        of_articles, links = self.link_tables
+        totals = of_articles.join(N.set_totals(links, self.distributors), "set_id").drop("set_id")
+        df = S.kept(self.gated).join(m, "article_id", "left").join(totals, "article_id", "left")
+        zero = {c: F.coalesce(c, F.lit(0)).cast(t) for c, t in (("n_mentions", "int"), ("n_links", "int"), ("mention_confidence", "double"), ("link_score", "double"))}
+        return df.withColumns(zero)
 
     @property
     def classified(self) -> DataFrame:
@@ -66,6 +107,20 @@ class Tables:
     def severe(self) -> DataFrame:
         return S.severity(self.classified)
 
+    @cached_property
+    def acted(self) -> DataFrame:
+        """Scored articles with whether they tell of a disruption, scored once and filtered after."""
+        df = self.severe
+        return saved(df.withColumn("actionable", S.actionable(df)))
+
+    @cached_property
+    def merged(self) -> tuple[DataFrame, DataFrame]:
+        """Events of clusters, and their links."""
+        rows, roots = self.acted.where("actionable"), saved(E.clusters(self.articles))
+        of_articles, links = self.link_tables
+        merged = saved(E.merged_links(rows, roots, of_articles, links))
+        return E.merge_clusters(rows, roots, merged, self.distributors), merged
+
     @property
     def identified(self) -> DataFrame:
         return E.with_identity(self.risk_events, "title", "event_category", "geo_country")
@@ -136,11 +191,11 @@ def q_relevance_documents(t):
 
 
 def q_kept(t):
-    return S.kept(t.scored).select("article_id", "provider", "score", "least")
+    return S.kept(t.gated).select("article_id", "provider", "score", "least")
 
 
 def q_dropped(t):
-    return S.dropped(t.scored).select("article_id", "provider", "score", "least", "reason")
+    return S.dropped(t.gated).select("article_id", "provider", "score", "least", "reason")
 
 
 def q_by_provider(t):
@@ -152,12 +207,37 @@ def q_mentions(t):
 
 
 def q_extraction_metrics(t):
-    n = t.articles.select("article_id").join(t.mentions.groupBy("article_id").agg(F.count("*").alias("n")), "article_id", "left")
-    return n.agg(F.sum(F.coalesce("n", F.lit(0))).alias("mentions"), F.count_if(F.col("n") > 0).alias("with_mentions"), F.bround(F.sum(F.coalesce("n", F.lit(0))) / F.count("*"), 4).alias("per_article"))
+    n = t.articles.select("article_id").join(t.extracted.groupBy("article_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")), "article_id", "left")
+    return n.agg(F.sum(F.coalesce("n", F.lit(0))).alias("mentions"), F.count_if(F.col("n") > 0).alias("with_mentions"), F.bround(F.sum(F.coalesce("n", F.lit(0))) / F.count("*"), 4).alias("per_article"), F.bround(F.avg("c"), 4).alias("mean_confidence"))
+
+
+def q_metadata_mentions(t):
+    """Every place that the metadata name, by the path where it stands first."""
+    return t.places.select("article_id", "label", "source", "ordinal", F.lit(N.IN_METADATA).alias("confidence"))
 
 
 def q_metadata_geo(t):
-    return t.articles.where("geo_country is not null").groupBy("geo_country").agg(F.count("*").alias("n"), F.lit(0.92).alias("confidence"))
+    return t.places.groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+def q_coordinates(t):
+    lat, lon, country, region = coordinates()
+    rows = parsed(t.articles.where("metadata is not null").select("article_id", "metadata"))
+    return rows.select("article_id", lat.alias("latitude"), lon.alias("longitude"), country.alias("country"), region.alias("region"), market_metric().alias("metric"))
+
+
+def q_extracted(t):
+    return t.extracted.select("article_id", "text", "type", "canonical", "confidence")
+
+
+def q_fuzzy_manufacturers(t):
+    """The manufacturers most like each distinct mention of one, down to the least ratio of a link."""
+    surfaces = t.extracted.where("type = 'MANUFACTURER'").select("text").distinct()
+    return N.fuzzy_manufacturers(surfaces, t.manufacturers).select("text", "name", F.bround("score", 6).alias("score"), "rank")
+
+
+def q_link_candidates(t):
+    return N.candidates(t.extracted, t.manufacturers).select("text", "name", F.bround("score", 6).alias("score"), "rank")
 
 
 def q_supplier_links(t):
@@ -187,7 +267,9 @@ def q_components_capped(t):
 
 
 def q_expanded_links(t):
-    return C.expand_links(t.mentions, t.suppliers, t.manufacturers, t.parts).groupBy("article_id", "type", "method").agg(F.count("*").alias("n"), F.min("canonical").alias("first"), F.max("score").alias("score"))
+    """All links of all articles, summed up by type and method."""
+    of = t.links.groupBy("article_id", "type", "method")
+    return of.agg(F.count("*").alias("n"), F.min("canonical").alias("first"), F.max("canonical").alias("last"), F.min("text").alias("text"), F.bround(F.max("score"), 6).alias("score"), F.count_if("review").alias("n_review"))
 
 
 def q_classified(t):
@@ -203,7 +285,7 @@ def q_base_severity(t):
 
 
 def q_severity(t):
-    return t.severe.select("article_id", "severity", "top_factors", *[f"c_{k}" for k in S.L.WEIGHTS])
+    return t.severe.select("article_id", "severity", "top_factors", "severity_summary", *[f"c_{k}" for k in S.L.WEIGHTS])
 
 
 def q_severity_metrics(t):
@@ -237,9 +319,18 @@ def q_actionable(t):
 
 
 def q_merged(t):
-    df = t.severe
-    df = saved(df.withColumn("actionable", S.actionable(df)))  # scored once, filtered after
-    return E.merge_clusters(df.where("actionable"), E.clusters(t.articles)).select("root", "source_count", "primary_id", "title", "event_category", "severity", "n_providers", "providers", "verification")
+    events, links = t.merged
+    kinds = E.nested_links(links)
+    plain = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["canonical"], x["method"])), ",").alias(c)
+    df = events.join(kinds, "root", "left").select(
+        "root", "source_count", "primary_id", "title", "event_category", "severity", "n_providers", "providers", "verification", "n_links", F.bround("link_score", 6).alias("link_score"), "overall_confidence", "uncertainties",
+        F.array_join("review_reasons", ",").alias("review_reasons"), F.array_join("urls", ",").alias("urls"), *[plain(c) for c in ("suppliers", "manufacturers", "components", "locations")],
+    )
+    return df.na.fill("", ["suppliers", "manufacturers", "components", "locations"])
+
+
+def q_cluster_modes(t):
+    return E.cluster_modes(t.classified, E.clusters(t.articles))
 
 
 def q_verification(t):
@@ -250,9 +341,7 @@ def q_verification(t):
 
 def _confident(t):
     mean = S.lookup(F.col("tier"), {1: 1.0, 2: 0.85, 3: 0.65}, 0.5)
-    has = F.when(F.col("n_mentions") > 0, 1.0).otherwise(0.0)
-    df = t.severe.withColumns({"link_score": has, "mention_confidence": has * 0.9, "source_weight": mean, "n_sources": F.lit(1), "verification": F.lit(0.0)})
-    return S.confidence(df)
+    return S.confidence(t.severe.withColumns({"source_weight": mean, "n_sources": F.lit(1), "verification": F.lit(0.0)}))
 
 
 def q_confidence(t):
@@ -358,9 +447,11 @@ def q_lead_times(t):
 
 
 def q_supply_links(t):
-    links = C.best_links(t.mentions.select("article_id", "canonical", "type", F.lit(1.0).alias("score"), F.lit("exact").alias("method")))
+    """Each set of links once, with the number of articles that have it."""
+    of_articles, links = t.link_tables
     kinds = {"suppliers": "SUPPLIER", "manufacturers": "MANUFACTURER", "components": "COMPONENT", "locations": "LOCATION"}
-    return links.groupBy("article_id").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("type") == v, F.col("canonical")))), ",").alias(k) for k, v in kinds.items()])
+    nested = links.groupBy("set_id").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("type") == v, F.col("canonical")))), ",").alias(k) for k, v in kinds.items()])
+    return of_articles.groupBy("set_id").agg(F.count("*").alias("n_articles")).join(nested, "set_id").groupBy(*kinds).agg(F.sum("n_articles").alias("n_articles"))
 
 
 def q_backfill(t):
@@ -423,25 +514,23 @@ def q_visible(t):
 
 
 def q_uncovered(t):
-    links = t.mentions.where("type <> 'COMPONENT'").select("article_id", "canonical")
-    return t.mentions.join(links, ["article_id", "canonical"], "left_anti").groupBy("type").agg(F.count("*").alias("n"))
+    """Mentions that no link was found by."""
+    return N.uncovered(t.extracted, t.links).groupBy("type", "text").agg(F.count("*").alias("n"))
 
 
 def q_linking_rate(t):
-    m = t.mentions.groupBy("article_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") != "LOCATION").alias("linked"))
-    return m.agg(F.sum("n").alias("mentions"), F.sum("linked").alias("linked"), F.bround(F.sum("linked") * 100 / F.sum("n"), 2).alias("rate"))
+    of_articles, links = t.link_tables
+    n = of_articles.join(links.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").agg(F.sum("n").alias("links"))
+    m = t.extracted.agg(F.count("*").alias("mentions"))
+    return n.join(m).select("mentions", "links", F.bround(F.col("links") * 100 / F.col("mentions"), 2).alias("rate"))
 
 
 def q_exposure(t):
-    """Which suppliers are exposed to the most severe disruptions."""
-    active = C.active(t.distributors)
-    df = t.severe
-    hit = saved(df.select("article_id", "severity", S.actionable(df).alias("actionable"))).where("actionable").drop("actionable")  # scored once, filtered after
-    places = C.countries(t.distributors, t.manufacturers).select(F.col("country").alias("location"))
-    near = C.location_matches(places, active, "code").select(F.lit("LOCATION").alias("type"), F.col("location").alias("canonical"), "code")
-    to = near.unionByName(active.select(F.lit("SUPPLIER").alias("type"), F.col("code").alias("canonical"), "code"))
-    both = t.mentions.join(to, ["type", "canonical"]).select("article_id", "code").distinct().join(hit, "article_id")
-    return both.groupBy("code").agg(F.count("*").alias("n_articles"), F.max("severity").alias("max_severity"))
+    """Which suppliers are exposed to the most severe disruptions: those linked to articles that tell of one, by name or by place."""
+    of_articles, links = t.link_tables
+    by_set = t.acted.where("actionable").join(of_articles, "article_id").groupBy("set_id").agg(F.count("*").alias("n"), F.max("severity").alias("severity"))
+    sellers = links.where("type = 'SUPPLIER'").select("set_id", F.col("canonical").alias("code"))
+    return by_set.join(sellers, "set_id").groupBy("code").agg(F.sum("n").alias("n_articles"), F.max("severity").alias("max_severity"))
 
 
 def q_tumbling(t):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.lexicon import PROVIDERS
+from riskloom.functions.metadata import coordinates, parsed, unparsed
 from riskloom.functions.text import lookup, strings
 
 TITLES = [
@@ -20,6 +21,14 @@ BODY = "Reported from {N}: part {M} of {B} via {S}. Stock of {C}."
 STOCKED = ["medium parts", "promo parts", "economy parts"]
 GDACS_TYPES, GDACS_LEVELS = ["EQ", "FL", "TC", "VO", "DR", "WF", "XX"], ["Green", "Orange", "Red"]
 GDELT_CATEGORIES, GDELT_CODES, GDELT_SUBS = ["CORPORATE", "CONFLICT", "PROTEST"], ["CO04", "IN02", "EX01", "PR01"], ["MILESTONE", "RIOT", "DEVELOPMENT", "STRIKE", "TALKS"]
+#: Pieces of provider metadata; {N} stands for a nation and {n} for it in small letters.
+GEO = [
+    '{"country": "{N}", "admin1": "North", "location": "Port {N}"}', '{"country": ["{n}", "{N}", "Oman"], "latitude": 12.5, "longitude": "7"}', """{"country": "['{n}', 'west coast']"}""", '"nowhere"',
+    '{"country": 42, "latitude": "x", "longitude": -3}', '{"country": null, "region": "middle east"}', '{"country": {"name": "{N}"}, "location": [["Muscat"], "muscat"]}', "{}",
+]
+COUNTRY = ['"{N}"', "null", '["Chile", "{n}"]']
+METRICS = ['{"market_sensitivity": 0.9}', '{"market_sensitivity": "high", "systemic_importance": "0.4"}', "[]", '{"propagation_potential": 1}', '{"market_sensitivity": {}}']
+AFFECTED = ['[{"countryname": "{N}"}, {"countryname": "", "country": "Peru"}, "Chile", 7, null]', "[]", '"none"', '[{"other": 1}]']
 CATEGORIES = ["natural_disaster", "factory_shutdown", "export_sanction", "labor_action", "logistics_disruption", "financial_distress", "geopolitical_event", "cyber_incident", "energy_disruption", "other"]
 STATUSES = ["detected", "updated", "escalated", "resolved"]
 
@@ -75,14 +84,20 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def given(name, value):
         return F.when(provider == name, value)
 
-    record = F.format_string('{"category": "%s", "event_code": "%s", "subcategory": "%s"}', pick(GDELT_CATEGORIES, k % 3), pick(GDELT_CODES, k % 4), pick(GDELT_SUBS, k % 5))
-    return e.select(
+    def placed(values, index):
+        return F.replace(F.replace(pick(values, index), F.lit("{N}"), nation), F.lit("{n}"), F.lower(nation))
+
+    more = F.concat(F.lit(', "geo": '), placed(GEO, i % 8), F.lit(', "country": '), placed(COUNTRY, i % 3), F.lit(', "metrics": '), pick(METRICS, i % 5), F.lit("}"))
+    record = F.concat(F.format_string('{"category": "%s", "event_code": "%s", "subcategory": "%s"', pick(GDELT_CATEGORIES, k % 3), pick(GDELT_CODES, k % 4), pick(GDELT_SUBS, k % 5)), more)
+    metadata = F.when(provider == "gdelt", F.when(k % 2 == 0, record).otherwise(F.concat(F.lit('{"raw": '), record, F.lit("}")))).when(provider == "gdacs", F.concat(F.lit('{"affected_countries": '), placed(AFFECTED, i % 4), more))
+    found = e.select(
         i.alias("article_id"), provider.alias("provider"), lookup(provider, {n: p[0] for n, p in PROVIDERS.items()}, 3).alias("tier"), filled(pick(TITLES, i % 24)).alias("title"), filled(F.lit(BODY)).alias("body"), F.col("ts").alias("published_at"),
+        F.when(i % 9 != 0, F.concat(F.lit("https://news.example/"), provider, F.lit("/"), (i % 700).cast("string"))).alias("url"),
         given("marketaux", (k - 60) / 100.0).alias("sentiment"), given("gdacs", pick(GDACS_TYPES, i % 7)).alias("gdacs_type"), given("gdacs", pick(GDACS_LEVELS, i % 3)).alias("alert_level"), given("gdacs", F.when(k % 4 != 0, (k % 80) / 10.0)).alias("magnitude"),
         given("gdelt", pick(GDELT_CATEGORIES, k % 3)).alias("category"), given("gdelt", pick(GDELT_CODES, k % 4)).alias("event_code"), given("gdelt", pick(GDELT_SUBS, k % 5)).alias("subcategory"), given("gdelt", (k % 10) / 10.0).alias("significance"),
-        given("gdelt", F.when(k % 2 == 0, record).otherwise(F.concat(F.lit('{"raw": '), record, F.lit("}")))).alias("metadata"),
-        F.when(provider.isin("gdelt", "gdacs") & (u % 2 == 0), nation).alias("geo_country"),
+        metadata.alias("metadata"),
     )
+    return unparsed(parsed(found).withColumn("geo_country", coordinates()[2]))
 
 
 def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
