@@ -226,9 +226,25 @@ CTES = {
     "cevents1": f"SELECT * EXCLUDE (n_links, link_score), coalesce(n_links, 0)::INT AS n_links, coalesce(link_score, 0)::DOUBLE AS link_score FROM cevents0",
     "cevents": f"SELECT *, {TOTAL} AS severity FROM (SELECT *, {factored('CASE WHEN source_count <= 1 THEN verification * 50.0::DOUBLE ELSE greatest(0, least(100, 50.0::DOUBLE + verification * 50.0::DOUBLE + (source_count - 1) * 10.0::DOUBLE)) END')} FROM cevents1)",
     "cnested": "SELECT root, " + ", ".join(f"coalesce(string_agg(canonical || '|' || method, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in KINDS) + " FROM clinks GROUP BY 1",
+    "s_linked": f"""SELECT root, CASE type WHEN 'COMPONENT' THEN 'components' WHEN 'SUPPLIER' THEN 'distributors' WHEN 'MANUFACTURER' THEN 'manufacturers' ELSE 'locations' END AS section, 1 AS part, 0 AS place,
+        CASE type WHEN 'COMPONENT' THEN 'MPN:' WHEN 'SUPPLIER' THEN '' WHEN 'MANUFACTURER' THEN 'MFR:' ELSE 'LOC:' END || canonical AS id, CASE WHEN type = 'COMPONENT' THEN name ELSE {titled_case('name')} END AS name FROM clinks""",
+    "s_stored": "SELECT root, section, 0 AS part, place, id, name FROM cgroups, (VALUES ('manufacturers', 0, 'MFR:Old', 'Old maker'), ('manufacturers', 1, NULL, 'brand#3'), ('components', 0, 'mpn:MPN000007', 'MPN000007'), ('components', 1, 'MPN:MPN000009', 'Own name')) v(section, place, id, name) WHERE length(root) % 3 = 0",
+    "s_chosen": "SELECT * FROM s_stored UNION ALL SELECT * FROM s_linked l WHERE NOT EXISTS (SELECT 1 FROM s_stored s WHERE s.root = l.root AND s.section = l.section)",
+    "s_shown": "SELECT * FROM s_chosen WHERE section <> 'components' AND part = 0 UNION ALL SELECT * FROM s_chosen WHERE section <> 'components' AND part = 1 QUALIFY row_number() OVER (PARTITION BY root, section, lower(name) ORDER BY place, id, name) = 1",
+    "s_told": "SELECT root, 'affected_manufacturers' AS section, 2 AS part, place, 'ai_mfr:' || lower(name) AS id, name FROM cgroups, (VALUES (0, 'Brand#1'), (1, 'Samsung'), (2, 'Brand#2')) v(place, name) WHERE length(root) % 2 = 0 AND length(root) % 5 <> 0",
+    "s_affected": "SELECT * FROM (SELECT root, 'affected_manufacturers' AS section, 1 AS part, place, coalesce(id, 'name:' || lower(name)) AS id, name FROM s_shown WHERE section = 'manufacturers' UNION ALL SELECT * FROM s_told) QUALIFY row_number() OVER (PARTITION BY root, lower(name) ORDER BY part, place, id, name) = 1",
+    "s_parts": """SELECT root, section, part, place, 'MPN:' || c.mpn AS id, CASE WHEN part = 0 AND lower(name) <> lower(c.mpn) THEN name ELSE coalesce(p.description, c.mpn) END AS name FROM (SELECT *, regexp_replace(id, '^(mpn|MPN):', '') AS mpn FROM s_chosen WHERE section = 'components') c
+        LEFT JOIN (SELECT mpn, min(nullif(trim(description), '')) AS description FROM parts GROUP BY 1) p ON p.mpn = c.mpn""",
+    "s_all": "SELECT * FROM s_shown UNION ALL SELECT * FROM s_affected UNION ALL SELECT * FROM s_parts",
+    "b_base0": f"""SELECT event_id AS article_id, {linked_as('LOCATION', 'lower(geo_country)', 'geo_country', '0.8', "'keyword_location'", 'lower(geo_country)')} FROM risk WHERE status <> 'detected'
+        UNION ALL SELECT event_id, {linked_as('SUPPLIER', 'supplier_code', 'supplier_code', '1.0', "'exact_supplier_code'", 'supplier_code')} FROM risk WHERE status <> 'detected' AND supplier_code IN (SELECT code FROM active)""",
 }
+#: The steps from base links to all links of their sets, once more for the links of stored events.
+CHAIN = ["base0", "base1", "asets", "sets", "near", "near_made", "set1", "set2", "set3", "inferred0", "inferred", "set4", "set_links"]
+CTES |= {f"b_{n}": re.sub(rf"\b({'|'.join(CHAIN)})\b", r"b_\1", CTES[n]) for n in CHAIN[1:]}
 
 
+SECTIONS = ("components", "distributors", "manufacturers", "affected_manufacturers", "locations")
 RECURSIVE = ("sequences", "chain")
 
 
@@ -320,7 +336,13 @@ BODIES = {
     "adjusted": f"SELECT event_id, {_clamp('greatest(confidence - 0.15, least(confidence + 0.15, verification))')} AS adjusted FROM risk",
     "lead_times": "SELECT * FROM leads",
     "supply_links": "SELECT suppliers, manufacturers, components, locations, sum(n)::BIGINT AS n_articles FROM (SELECT set_id, " + ", ".join(f"coalesce(string_agg(canonical, ',' ORDER BY canonical) FILTER (type = '{v}'), '') AS {k}" for k, v in KINDS) + " FROM set_links GROUP BY 1) JOIN (SELECT set_id, count(*) AS n FROM asets GROUP BY 1) USING (set_id) GROUP BY 1, 2, 3, 4",
-    "backfill": "SELECT event_id, supplier_code, name AS supplier_name, CASE WHEN status = 'detected' THEN 'analysis ' || status ELSE 'none' END AS analysis FROM risk LEFT JOIN distributors ON code = supplier_code",
+    "backfill": """SELECT event_id, r.status = 'detected' AS stored, CASE WHEN r.status = 'detected' THEN (r.supplier_code IN (SELECT code FROM active))::INT ELSE k.s END::BIGINT AS n_suppliers, coalesce(k.m, 0)::BIGINT AS n_manufacturers, coalesce(k.c, 0)::BIGINT AS n_components, coalesce(k.l, 1)::BIGINT AS n_locations,
+        CASE WHEN verification >= 0.5 THEN 'analysis ' || r.status ELSE 'none' END AS analysis FROM risk r LEFT JOIN b_asets a ON a.article_id = r.event_id LEFT JOIN (SELECT set_id, count(*) FILTER (type = 'SUPPLIER') AS s, count(*) FILTER (type = 'MANUFACTURER') AS m, count(*) FILTER (type = 'COMPONENT') AS c, count(*) FILTER (type = 'LOCATION') AS l FROM b_set_links GROUP BY 1) k USING (set_id)""",
+    "link_sections": "SELECT root, " + ", ".join(f"coalesce(string_agg(concat_ws('=', id, name), ';' ORDER BY part, place, id, name) FILTER (section = '{s}'), '') AS {s}" for s in SECTIONS) + " FROM cgroups LEFT JOIN s_all USING (root) GROUP BY 1",
+    "alert_history": "SELECT rule_id, run_id, n, severity, run_id = max(run_id) OVER (PARTITION BY rule_id) AS is_last FROM (SELECT rule_id, run_id, count(*) AS n, max(a.severity) AS severity FROM alerted a JOIN risk USING (event_id) GROUP BY 1, 2)",
+    "run_audit": """SELECT 'relevance_prefilter' AS stage, unnest(['rows_in', 'rows_out']) AS name, unnest([count(*), count(*) FILTER (exact >= least)]) AS n FROM scored UNION ALL SELECT 'ner_extraction', unnest(['rows_out', 'of_metadata']), unnest([count(*), count(*) FILTER (confidence > 0.85)]) FROM extracted
+        UNION ALL SELECT 'severity_estimation', unnest(['rows_out', 'named', 'high', 'actionable']), unnest([count(*), count(*) FILTER (event_category <> 'other'), count(*) FILTER (severity >= 70), count(*) FILTER (actionable)]) FROM acted
+        UNION ALL SELECT 'risk_event_creation', unnest(['rows_in', 'rows_out', 'review']), unnest([sum(source_count)::BIGINT, count(*), count(*) FILTER (len(CASE WHEN source_count >= 2 AND verification >= 0.6 THEN list_filter(reasons, lambda r: r <> 'low_classification_confidence') ELSE reasons END) > 0)]) FROM cevents0""",
     "list": "SELECT event_id, title, severity, status, status = 'detected' AS has_analysis FROM risk WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
     "detail": "SELECT event_id, title, summary, severity, geo_country, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk WHERE event_id = 7",
     "runs": "SELECT coalesce(run_id, 'unknown') AS run_id, count(*) AS n_events, max(severity) AS max_severity FROM risk GROUP BY 1",

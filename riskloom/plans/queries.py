@@ -14,7 +14,9 @@ from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import linking as N
 from riskloom.operators import scoring as S
-from riskloom.plans.lineage import saved
+from riskloom.operators import sections as Q
+from riskloom.operators.store import append_run, latest, read_runs
+from riskloom.plans.lineage import counted, saved, scratch
 from riskloom.sources import domain as D
 
 
@@ -22,7 +24,7 @@ class Tables:
     """The relations of one scale factor, each built where it is asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.counts = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         found = getattr(D, name)(self.spark, self.sf_dir) if hasattr(D, name) else D.table(self.spark, self.sf_dir, name)
@@ -51,9 +53,14 @@ class Tables:
     def places(self) -> DataFrame:
         return N.metadata_places(self.articles)
 
+    def _counted(self, stage: str, df: DataFrame, **counts) -> DataFrame:
+        """df, written; its counts stay in self.counts."""
+        found, self.counts[stage] = counted(df, **counts)
+        return found
+
     @cached_property
     def extracted(self) -> DataFrame:
-        return saved(N.extracted(self.mentions, self.places))
+        return self._counted("ner_extraction", N.extracted(self.mentions, self.places), rows_out=F.count("*"), of_metadata=F.count_if(F.col("confidence") > N.KNOWN))
 
     @property
     def suppliers(self) -> DataFrame:
@@ -65,7 +72,7 @@ class Tables:
 
     @cached_property
     def gated(self) -> DataFrame:
-        return saved(self.scored)
+        return self._counted("relevance_prefilter", self.scored, rows_in=F.count("*"), rows_out=F.count_if(F.col("exact") >= F.col("least")))
 
     @property
     def categories(self) -> DataFrame:
@@ -111,7 +118,8 @@ class Tables:
     def acted(self) -> DataFrame:
         """Scored articles with whether they tell of a disruption, scored once and filtered after."""
         df = self.severe
-        return saved(df.withColumn("actionable", S.actionable(df)))
+        counts = {"rows_out": F.count("*"), "named": F.count_if(F.col("event_category") != "other"), "high": F.count_if(F.col("severity") >= 70), "actionable": F.count_if("actionable")}
+        return self._counted("severity_estimation", df.withColumn("actionable", S.actionable(df)), **counts)
 
     @cached_property
     def merged(self) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +127,8 @@ class Tables:
         rows, roots = self.acted.where("actionable"), saved(E.clusters(self.articles))
         of_articles, links = self.link_tables
         merged = saved(E.merged_links(rows, roots, of_articles, links))
-        return E.merge_clusters(rows, roots, merged, self.distributors), merged
+        events = E.merge_clusters(rows, roots, merged, self.distributors)
+        return self._counted("risk_event_creation", events, rows_in=F.sum("source_count"), rows_out=F.count("*"), review=F.count_if(F.size("review_reasons") > 0)), merged
 
     @property
     def identified(self) -> DataFrame:
@@ -455,8 +464,16 @@ def q_supply_links(t):
 
 
 def q_backfill(t):
-    done = t.risk_events.where("status = 'detected'").select("event_id", F.concat(F.lit("analysis "), F.col("status")).alias("analysis"))
-    return t.risk_events.join(done, "event_id", "left").join(t.distributors.select(F.col("code").alias("supplier_code"), F.col("name").alias("supplier_name")), "supplier_code", "left").select("event_id", "supplier_code", "supplier_name", F.coalesce("analysis", F.lit("none")).alias("analysis"))
+    """Links of stored events: those of detected ones are whole, the others' are expanded through the catalog; with the analysis, where there is one."""
+    rows = t.risk_events.withColumn("stored", F.col("status") == "detected")
+    named = lambda kind, canonical, name, score, method: [F.lit(kind).alias("type"), canonical.alias("canonical"), name.alias("name"), F.lit(score).alias("score"), F.lit(method).alias("method"), canonical.alias("text"), F.lit(False).alias("review")]
+    place = rows.select("event_id", *named("LOCATION", F.lower("geo_country"), F.col("geo_country"), 0.8, "keyword_location"))
+    sold = rows.join(C.active(t.distributors).select(F.col("code").alias("supplier_code")), "supplier_code", "left_semi").select("event_id", *named("SUPPLIER", F.col("supplier_code"), F.col("supplier_code"), 1.0, "exact_supplier_code"))
+    of_events, sets = Q.backfilled(place.unionByName(sold), rows, C.active(t.distributors), t.manufacturers, t.parts, t.stock)
+    kinds = {"n_suppliers": "SUPPLIER", "n_manufacturers": "MANUFACTURER", "n_components": "COMPONENT", "n_locations": "LOCATION"}
+    sizes = sets.groupBy("set_id").agg(*[F.count_if(F.col("type") == v).alias(k) for k, v in kinds.items()])
+    done = rows.where("verification >= 0.5").select("event_id", F.concat(F.lit("analysis "), F.col("status")).alias("analysis"))
+    return rows.select("event_id", "stored").join(of_events.join(sizes, "set_id").drop("set_id"), "event_id").join(done, "event_id", "left").na.fill("none", ["analysis"])
 
 
 def q_list(t):
@@ -508,6 +525,35 @@ def q_audit(t):
     return rows.select("rows_in", "rows_out", F.bround(F.col("rows_out") * 100 / F.col("rows_in"), 2).alias("retention"))
 
 
+def q_run_audit(t):
+    """What each stage of a run took in and gave out, as counted while its table was written."""
+    t.gated, t.extracted, t.acted, t.merged  # noqa: B018
+    rows = [(stage, name, int(n)) for stage, counts in t.counts.items() for name, n in counts.items()]
+    return t.spark.createDataFrame(rows, "stage string, name string, n long")
+
+
+def q_alert_history(t):
+    """Alerts appended by run, the runs of the second half once more, and then those of each rule's last run."""
+    rows = E.alert_matches(t.risk_events).join(t.risk_events.select("event_id", "run_id"), "event_id").select("event_id", "rule_id", "severity", "run_id")
+    path = scratch(t.spark)
+    append_run(rows, path)
+    append_run(rows.where(F.substring("run_id", 9, 2).cast("int") > 15), path)
+    stored = read_runs(t.spark, path, rows)
+    last = latest(stored, ["rule_id"]).groupBy("rule_id", "run_id").agg(F.count("*").alias("n"))
+    return stored.groupBy("rule_id", "run_id").agg(F.count("*").alias("n"), F.max("severity").alias("severity")).join(last.select("rule_id", "run_id", F.lit(True).alias("is_last")), ["rule_id", "run_id"], "left").na.fill({"is_last": False})
+
+
+def q_link_sections(t):
+    """Sections of the merged events: some are stored already in part, and some have an analysis that names manufacturers."""
+    events, links = t.merged
+    roots, size = events.select("root"), F.length("root")
+    entry = lambda *pairs: F.array(*[F.struct(F.lit(i).cast("string").alias("id"), F.lit(n).alias("name")) for i, n in pairs])
+    stored = roots.where(size % 3 == 0).select("root", entry(("MFR:Old", "Old maker"), (None, "brand#3")).alias("manufacturers"), entry(("mpn:MPN000007", "MPN000007"), ("MPN:MPN000009", "Own name")).alias("components"))
+    analyses = roots.where(size % 2 == 0).select("root", (size % 5 == 0).alias("skipped"), F.array(F.lit("Brand#1"), F.lit("['Samsung', 'brand#2']"), F.lit(" ")).alias("affected"))
+    found = Q.link_sections(roots, links.select("root", "type", "canonical", "name"), stored, analyses, t.parts, "root")
+    return found.select("root", *[F.array_join(F.transform(s, lambda e: F.concat_ws("=", e["id"], e["name"])), ";").alias(s) for s in Q.SECTIONS])
+
+
 def q_visible(t):
     visible = E.list_events(t.risk_events, min_severity=50.0).select("event_id")
     return E.geo_points(t.risk_events).join(visible, "event_id", "left_semi").select("event_id", "severity")
