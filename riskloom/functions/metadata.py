@@ -6,7 +6,7 @@ order of paths; a value may be a text, a number, a list (of lists) or the litera
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import geo_label, label_part, labels
@@ -14,7 +14,6 @@ from riskloom.functions.text import geo_label, label_part, labels
 # Paths of places, in their order, and of market metrics.
 GEO_PATHS = ("country", "admin1", "location")
 METRICS = ("market_sensitivity", "systemic_importance", "propagation_potential")
-PLACES = "array<struct<label: string, source: string>>"
 
 
 def _kind(value: Column) -> Column:
@@ -45,28 +44,24 @@ def _text(value: Column) -> Column:
     return F.when(_kind(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
-def _labels(value: Column) -> Column:
-    """Labels of a value that may be a list; an object is no label."""
-    many = F.try_variant_get(value, "$", "array<variant>")
-    of_item = lambda v: F.when(_kind(v) == "ARRAY", labels(F.to_json(v))).when(_kind(v) != "OBJECT", labels(_text(v)))
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.when(many.isNotNull(), F.flatten(F.transform(many, lambda v: F.coalesce(of_item(v), none)))).otherwise(of_item(value)), none)
-
-
-def place_values() -> Column:
-    """Of a parsed frame: the places (label, source) that the metadata name, each once, case aside, in the order of the paths; labels of one letter are left out."""
+def place_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, label, source, ordinal) of the frame (key, metadata): the places that the metadata name, each once, case aside, numbered in the
+    order of the paths. Labels of one letter are left out; an object is no label. Values become rows before they are cleaned, so that
+    all of it is plain columns."""
     whole, record, geo = F.col("_whole"), F.col("_record"), F.col("_geo")
-    named = lambda value, source: F.transform(_labels(value), lambda x: F.struct(x.alias("label"), F.lit(source).alias("source")))
     filled = lambda v: F.when((_kind(v) != "VOID") & ~F.coalesce(F.try_variant_get(v, "$", "string").isin("", "0", "false"), F.lit(False)), v)
     entry = lambda e: F.when(_kind(e) == "OBJECT", F.coalesce(filled(_at(e, "$.countryname")), _at(e, "$.country"))).otherwise(e)
+    named = lambda value, source: F.struct(F.lit(source).alias("source"), value.alias("value"))
     affected = F.try_variant_get(record, "$.affected_countries", "array<variant>")
-    found = F.concat(
-        *[named(_at(geo, f"$.{p}"), f"geo.{p}") for p in GEO_PATHS], named(_at(record, "$.country"), "raw.country"), named(_at(whole, "$.country"), "provider.country"),
-        F.coalesce(F.flatten(F.transform(affected, lambda e: named(entry(e), "affected_countries"))), F.array().cast(PLACES)),
-    )
-    long = F.filter(found, lambda p: F.length(p["label"]) >= 2)
-    keys = F.transform(long, lambda p: F.lower(p["label"]))
-    return F.coalesce(F.filter(long, lambda p, i: F.array_position(keys, F.lower(p["label"])) == i + 1), F.array().cast(PLACES))
+    paths = F.array(*[named(_at(geo, f"$.{p}"), f"geo.{p}") for p in GEO_PATHS], named(_at(record, "$.country"), "raw.country"), named(_at(whole, "$.country"), "provider.country"))
+    more = F.transform(affected, lambda e: named(entry(e), "affected_countries"))
+    values = parsed(df.where("metadata is not null").select(key, "metadata")).select(key, F.posexplode(F.when(more.isNull(), paths).otherwise(F.concat(paths, more))).alias("o", "v"))
+    values = values.select(key, "o", "v.source", "v.value").where("value is not null").withColumn("many", F.try_variant_get("value", "$", "array<variant>"))
+    items = values.select(key, "o", "source", F.posexplode(F.coalesce("many", F.array("value"))).alias("e", "item")).withColumn("kind", _kind(F.col("item"))).where("kind not in ('OBJECT', 'VOID')")
+    texts = items.select(key, "o", "source", "e", F.when(F.col("kind") == "ARRAY", F.to_json("item")).otherwise(_text(F.col("item"))).alias("text"))
+    found = texts.select(key, "o", "source", "e", F.posexplode(labels(F.col("text"))).alias("k", "label")).where(F.length("label") >= 2)
+    first = found.groupBy(key, F.lower("label").alias("_same")).agg(F.min(F.struct("o", "e", "k", "label", "source")).alias("f")).select(key, "f.*")
+    return first.select(key, "label", "source", (F.row_number().over(Window.partitionBy(key).orderBy("o", "e", "k")) - 1).alias("ordinal"))
 
 
 def _number(value: Column) -> Column:

@@ -147,9 +147,10 @@ def labels(text: Column) -> Column:
     """The labels of a text, which may be a list literal, each once (case aside), in order."""
     t = F.trim(text)
     is_list = F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]"))
-    items = F.when(is_list, F.regexp_extract_all(F.substring(t, 2, 1 << 20), F.lit("'[^']*'|\"[^\"]*\"|[^,\\[\\]\\s'\"][^,\\[\\]]*"), 0)).otherwise(F.array(t))
+    items = F.regexp_extract_all(F.substring(t, 2, 1 << 20), F.lit("'[^']*'|\"[^\"]*\"|[^,\\[\\]\\s'\"][^,\\[\\]]*"), 0)
     found = F.filter(F.transform(items, label_part), lambda x: x != "")
-    return F.filter(found, lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1)
+    several = F.filter(found, lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1)
+    return F.when(is_list, several).otherwise(F.array_compact(F.array(F.nullif(label_part(t), F.lit("")))))
 
 
 def geo_label(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.fuzzy import partial_pairs
-from riskloom.functions.metadata import parsed, place_values
+from riskloom.functions.metadata import place_rows
 from riskloom.operators.catalog import MAX_COMPONENTS, MAX_SUPPLIERS, location_matches
 from riskloom.plans.lineage import saved
 
@@ -24,7 +24,7 @@ COLUMNS = ["type", "canonical", "name", "score", "method", "text", "review"]
 
 def metadata_places(articles: DataFrame) -> DataFrame:
     """(article_id, label, source, ordinal): the places that each article's metadata name, in their order."""
-    return parsed(articles.where("metadata is not null").select("article_id", "metadata")).select("article_id", F.posexplode(place_values()).alias("ordinal", "p")).select("article_id", "p.label", "p.source", "ordinal")
+    return place_rows(articles, "article_id")
 
 
 def extracted(known: DataFrame, places: DataFrame) -> DataFrame:

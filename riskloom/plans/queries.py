@@ -51,7 +51,7 @@ class Tables:
 
     @cached_property
     def places(self) -> DataFrame:
-        return N.metadata_places(self.articles)
+        return saved(N.metadata_places(self.articles))
 
     def _counted(self, stage: str, df: DataFrame, **counts) -> DataFrame:
         """df, written; its counts stay in self.counts."""
