@@ -16,7 +16,7 @@ GEO_PATHS = ("country", "admin1", "location")
 METRICS = ("market_sensitivity", "systemic_importance", "propagation_potential")
 
 
-def _kind(value: Column) -> Column:
+def kind_of(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
@@ -27,7 +27,7 @@ def _at(value: Column, path: str) -> Column:
 def parsed(df: DataFrame) -> DataFrame:
     """df (metadata, JSON text) with the VARIANT columns that the functions below read: _whole, the _record in it, and the record's _geo and
     _metrics, each null where it is no object. They stand as columns, so that nothing is parsed twice."""
-    of_kind = lambda v: F.when(_kind(v) == "OBJECT", v)
+    of_kind = lambda v: F.when(kind_of(v) == "OBJECT", v)
     df = df.withColumn("_json", F.try_parse_json("metadata")).withColumn("_whole", of_kind(F.col("_json")))
     df = df.withColumn("_raw", _at(F.col("_whole"), "$.raw")).withColumn("_record", F.coalesce(of_kind(F.col("_raw")), "_whole"))
     df = df.withColumns({"_geo0": _at(F.col("_record"), "$.geo"), "_metrics0": _at(F.col("_record"), "$.metrics")})
@@ -41,7 +41,7 @@ def unparsed(df: DataFrame) -> DataFrame:
 def _text(value: Column) -> Column:
     """Of a scalar: texts as they are, numbers in their shortest form, truth values in capitals' case."""
     text = F.try_variant_get(value, "$", "string")
-    return F.when(_kind(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return F.when(kind_of(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def place_rows(df: DataFrame, key: str) -> DataFrame:
@@ -49,23 +49,23 @@ def place_rows(df: DataFrame, key: str) -> DataFrame:
     order of the paths. Labels of one letter are left out; an object is no label. Values become rows before they are cleaned, so that
     all of it is plain columns."""
     whole, record, geo = F.col("_whole"), F.col("_record"), F.col("_geo")
-    filled = lambda v: F.when((_kind(v) != "VOID") & ~F.coalesce(F.try_variant_get(v, "$", "string").isin("", "0", "false"), F.lit(False)), v)
-    entry = lambda e: F.when(_kind(e) == "OBJECT", F.coalesce(filled(_at(e, "$.countryname")), _at(e, "$.country"))).otherwise(e)
+    filled = lambda v: F.when((kind_of(v) != "VOID") & ~F.coalesce(F.try_variant_get(v, "$", "string").isin("", "0", "false"), F.lit(False)), v)
+    entry = lambda e: F.when(kind_of(e) == "OBJECT", F.coalesce(filled(_at(e, "$.countryname")), _at(e, "$.country"))).otherwise(e)
     named = lambda value, source: F.struct(F.lit(source).alias("source"), value.alias("value"))
     affected = F.try_variant_get(record, "$.affected_countries", "array<variant>")
     paths = F.array(*[named(_at(geo, f"$.{p}"), f"geo.{p}") for p in GEO_PATHS], named(_at(record, "$.country"), "raw.country"), named(_at(whole, "$.country"), "provider.country"))
     more = F.transform(affected, lambda e: named(entry(e), "affected_countries"))
     values = parsed(df.where("metadata is not null").select(key, "metadata")).select(key, F.posexplode(F.when(more.isNull(), paths).otherwise(F.concat(paths, more))).alias("o", "v"))
     values = values.select(key, "o", "v.source", "v.value").where("value is not null").withColumn("many", F.try_variant_get("value", "$", "array<variant>"))
-    items = values.select(key, "o", "source", F.posexplode(F.coalesce("many", F.array("value"))).alias("e", "item")).withColumn("kind", _kind(F.col("item"))).where("kind not in ('OBJECT', 'VOID')")
+    items = values.select(key, "o", "source", F.posexplode(F.coalesce("many", F.array("value"))).alias("e", "item")).withColumn("kind", kind_of(F.col("item"))).where("kind not in ('OBJECT', 'VOID')")
     texts = items.select(key, "o", "source", "e", F.when(F.col("kind") == "ARRAY", F.to_json("item")).otherwise(_text(F.col("item"))).alias("text"))
     found = texts.select(key, "o", "source", "e", F.posexplode(labels(F.col("text"))).alias("k", "label")).where(F.length("label") >= 2)
     first = found.groupBy(key, F.lower("label").alias("_same")).agg(F.min(F.struct("o", "e", "k", "label", "source")).alias("f")).select(key, "f.*")
     return first.select(key, "label", "source", (F.row_number().over(Window.partitionBy(key).orderBy("o", "e", "k")) - 1).alias("ordinal"))
 
 
-def _number(value: Column) -> Column:
-    return F.when(_kind(value) == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), 1.0).otherwise(0.0)).when(~_kind(value).isin("OBJECT", "ARRAY", "VOID"), F.trim(F.try_variant_get(value, "$", "string")).try_cast("double"))
+def number(value: Column) -> Column:
+    return F.when(kind_of(value) == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), 1.0).otherwise(0.0)).when(~kind_of(value).isin("OBJECT", "ARRAY", "VOID"), F.trim(F.try_variant_get(value, "$", "string")).try_cast("double"))
 
 
 def coordinates() -> tuple[Column, Column, Column, Column]:
@@ -75,16 +75,16 @@ def coordinates() -> tuple[Column, Column, Column, Column]:
 
     def label(value: Column) -> Column:
         many = F.try_variant_get(value, "$", "array<variant>")
-        part = lambda v: F.when(~_kind(v).isin("OBJECT", "ARRAY"), label_part(_text(v)))
+        part = lambda v: F.when(~kind_of(v).isin("OBJECT", "ARRAY"), label_part(_text(v)))
         joined = F.array_join(F.filter(F.array_compact(F.transform(many, part)), lambda x: x != ""), ", ")
-        return F.nullif(F.when(many.isNotNull(), joined).when(_kind(value) != "OBJECT", geo_label(_text(value))), F.lit(""))
+        return F.nullif(F.when(many.isNotNull(), joined).when(kind_of(value) != "OBJECT", geo_label(_text(value))), F.lit(""))
 
-    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(_kind(v).isin("OBJECT", "ARRAY"), F.to_json(v)))
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(kind_of(v).isin("OBJECT", "ARRAY"), F.to_json(v)))
     own = _at(geo, "$.country")
     country = F.when(~F.coalesce(text(own).isin("", "0", "false", "[]", "{}"), F.lit(True)), own).otherwise(_at(whole, "$.country"))
-    return _number(_at(geo, "$.latitude")), _number(_at(geo, "$.longitude")), label(country), label(_at(geo, "$.region"))
+    return number(_at(geo, "$.latitude")), number(_at(geo, "$.longitude")), label(country), label(_at(geo, "$.region"))
 
 
 def market_metric() -> Column:
     """Of a parsed frame: the first metric that can be read as a number; null without one."""
-    return F.coalesce(*[_number(_at(F.col("_metrics"), f"$.{m}")) for m in METRICS])
+    return F.coalesce(*[number(_at(F.col("_metrics"), f"$.{m}")) for m in METRICS])

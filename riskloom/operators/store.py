@@ -17,6 +17,19 @@ def read_runs(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
+def write_snapshot(rows: DataFrame, path: str) -> bool:
+    """Writes the rows as JSON, nested as they are, a file for each partition; nothing is written where there are no rows. Whether it wrote."""
+    if rows.isEmpty():
+        return False
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return True
+
+
+def load_snapshot(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows of a snapshot, with the schema of like; what can't be read so is null."""
+    return spark.read.schema(like.schema).json(path, mode="PERMISSIVE")
+
+
 def latest(rows: DataFrame, keys: list[str], run: str = "run_id") -> DataFrame:
     """Of each key the rows of its last run. The last runs are found first, so no key's rows are gathered."""
     last = rows.groupBy(*keys).agg(F.max(run).alias(run))

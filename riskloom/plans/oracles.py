@@ -340,6 +340,11 @@ BODIES = {
         CASE WHEN verification >= 0.5 THEN 'analysis ' || r.status ELSE 'none' END AS analysis FROM risk r LEFT JOIN b_asets a ON a.article_id = r.event_id LEFT JOIN (SELECT set_id, count(*) FILTER (type = 'SUPPLIER') AS s, count(*) FILTER (type = 'MANUFACTURER') AS m, count(*) FILTER (type = 'COMPONENT') AS c, count(*) FILTER (type = 'LOCATION') AS l FROM b_set_links GROUP BY 1) k USING (set_id)""",
     "link_sections": "SELECT root, " + ", ".join(f"coalesce(string_agg(concat_ws('=', id, name), ';' ORDER BY part, place, id, name) FILTER (section = '{s}'), '') AS {s}" for s in SECTIONS) + " FROM cgroups LEFT JOIN s_all USING (root) GROUP BY 1",
     "alert_history": "SELECT rule_id, run_id, n, severity, run_id = max(run_id) OVER (PARTITION BY rule_id) AS is_last FROM (SELECT rule_id, run_id, count(*) AS n, max(a.severity) AS severity FROM alerted a JOIN risk USING (event_id) GROUP BY 1, 2)",
+    "model_answers": f"""SELECT event_id, o IS NOT NULL AS readable, coalesce(trim(o ->> 'executive_summary'), '') AS executive_summary, coalesce(trim(o ->> 'business_impact'), '') AS business_impact,
+        CASE WHEN json_type(o -> 'affected_manufacturers') = 'ARRAY' THEN array_to_string(list_filter(list_transform((o -> 'affected_manufacturers')::JSON[], lambda x: CASE WHEN json_type(x) IN ('NULL', 'OBJECT') THEN '' ELSE trim(x ->> '$') END), lambda x: x <> ''), '|') ELSE '' END AS affected, 0 AS n_actions,
+        greatest(0, least(1, coalesce(try_cast(o ->> 'analysis_confidence' AS DOUBLE), 0))) AS analysis_confidence FROM (SELECT event_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS o FROM (SELECT event_id, try_cast(c AS JSON) AS j
+        FROM (SELECT event_id, trim(regexp_replace(regexp_replace(replace({items(D.ANSWERS)}[event_id % {len(D.ANSWERS)} + 1], '{{N}}', event_id::VARCHAR), '^```json', ''), '```$', ''), e' \\n') AS c FROM risk)))""",
+    "snapshot": "SELECT article_id, provider, score, least, reason, title, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published FROM scored JOIN (SELECT event_id AS article_id, ts AS published_at FROM events) USING (article_id) WHERE exact < least",
     "run_audit": """SELECT 'relevance_prefilter' AS stage, unnest(['rows_in', 'rows_out']) AS name, unnest([count(*), count(*) FILTER (exact >= least)]) AS n FROM scored UNION ALL SELECT 'ner_extraction', unnest(['rows_out', 'of_metadata']), unnest([count(*), count(*) FILTER (confidence > 0.85)]) FROM extracted
         UNION ALL SELECT 'severity_estimation', unnest(['rows_out', 'named', 'high', 'actionable']), unnest([count(*), count(*) FILTER (event_category <> 'other'), count(*) FILTER (severity >= 70), count(*) FILTER (actionable)]) FROM acted
         UNION ALL SELECT 'risk_event_creation', unnest(['rows_in', 'rows_out', 'review']), unnest([sum(source_count)::BIGINT, count(*), count(*) FILTER (len(CASE WHEN source_count >= 2 AND verification >= 0.6 THEN list_filter(reasons, lambda r: r <> 'low_classification_confidence') ELSE reasons END) > 0)]) FROM cevents0""",

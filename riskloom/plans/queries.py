@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as X
 from riskloom.functions.fuzzy import indel_ratio
 from riskloom.functions.metadata import coordinates, market_metric, parsed
+from riskloom.operators import analysis as A
 from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import linking as N
 from riskloom.operators import scoring as S
 from riskloom.operators import sections as Q
-from riskloom.operators.store import append_run, latest, read_runs
+from riskloom.operators.store import append_run, latest, load_snapshot, read_runs, write_snapshot
 from riskloom.plans.lineage import counted, saved, scratch
 from riskloom.sources import domain as D
 
@@ -554,6 +555,20 @@ def q_link_sections(t):
     return found.select("root", *[F.array_join(F.transform(s, lambda e: F.concat_ws("=", e["id"], e["name"])), ";").alias(s) for s in Q.SECTIONS])
 
 
+def q_model_answers(t):
+    """Answers to events, good, fenced, cut and of wrong types, read as typed rows."""
+    answers = t.risk_events.select("event_id", F.replace(D.pick(D.ANSWERS, F.col("event_id") % len(D.ANSWERS)), F.lit("{N}"), F.col("event_id").cast("string")).alias("content"))
+    return A.analyses(answers).select("event_id", "readable", "executive_summary", "business_impact", F.array_join("affected_manufacturers", "|").alias("affected"), F.size("monitoring_actions").alias("n_actions"), "analysis_confidence")
+
+
+def q_snapshot(t):
+    """Dropped articles written as JSON and read back."""
+    rows = S.dropped(t.gated).select("article_id", "provider", "score", "least", "reason", F.struct("title", "published_at").alias("article"))
+    path = scratch(t.spark)
+    found = load_snapshot(t.spark, path, rows) if write_snapshot(rows, path) else rows
+    return found.select("article_id", "provider", "score", "least", "reason", "article.title", F.date_format("article.published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
 def q_visible(t):
     visible = E.list_events(t.risk_events, min_severity=50.0).select("event_id")
     return E.geo_points(t.risk_events).join(visible, "event_id", "left_semi").select("event_id", "severity")

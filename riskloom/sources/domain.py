@@ -29,6 +29,11 @@ GEO = [
 COUNTRY = ['"{N}"', "null", '["Chile", "{n}"]']
 METRICS = ['{"market_sensitivity": 0.9}', '{"market_sensitivity": "high", "systemic_importance": "0.4"}', "[]", '{"propagation_potential": 1}', '{"market_sensitivity": {}}']
 AFFECTED = ['[{"countryname": "{N}"}, {"countryname": "", "country": "Peru"}, "Chile", 7, null]', "[]", '"none"', '[{"other": 1}]']
+#: Answers of a model, {N} standing for a number.
+ANSWERS = [
+    '{"executive_summary": " Event {N} ", "affected_manufacturers": ["Acme", " ", "Maker {N}", 7], "analysis_confidence": 0.75}', '```json\n{"executive_summary": "fenced", "analysis_confidence": "1.5", "monitoring_actions": "watch"}\n```', '{"executive_summary": "cut',
+    "[1, 2]", '{"business_impact": 12, "affected_manufacturers": [null, {"a": 1}, "x"], "analysis_confidence": {}}', "no answer", '{"analysis_confidence": -3, "possible_consequences": []}',
+]
 CATEGORIES = ["natural_disaster", "factory_shutdown", "export_sanction", "labor_action", "logistics_disruption", "financial_distress", "geopolitical_event", "cyber_incident", "energy_disruption", "other"]
 STATUSES = ["detected", "updated", "escalated", "resolved"]
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fuzzy
 from riskloom.functions import metadata as M
+from riskloom.operators import analysis as A
 from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import linking as N
 from riskloom.operators import sections as Q
+from riskloom.operators import store as W
+from riskloom.plans.lineage import counted
 
 
 def places(spark, *metadata):
@@ -201,3 +204,56 @@ def test_merging_a_hot_cluster(spark):
     assert (b.source_count, b.n_links, b.urls, b.review_reasons, b.uncertainties) == (1, 0, [], ["low_classification_confidence"], "few_sources,low_classification_confidence")
     modes = {r.root: (r.n, r["mode"]) for r in E.cluster_modes(frame.select("article_id", "title", F.when(F.col("article_id") % 2 == 1, "x").otherwise("y").alias("event_category")), roots).collect()}
     assert modes == {"a": (300, "y"), "b": (1, "y")}
+
+
+def test_answers_of_a_model(spark):
+    rows = [(1, '```json\n{"executive_summary": " s ", "affected_manufacturers": ["a", " ", 3], "analysis_confidence": "0.5"}\n```'), (2, '{"executive_summary": 5, "monitoring_actions": "x", "analysis_confidence": 9}'), (3, '{"cut": '), (4, None), (5, "[]"), (6, "")]
+    got = {r.event_id: r for r in A.analyses(spark.createDataFrame(rows, "event_id long, content string")).collect()}
+    assert [got[k].readable for k in range(1, 7)] == [True, True, False, False, False, False]
+    assert (got[1].executive_summary, got[1].affected_manufacturers, got[1].analysis_confidence) == ("s", ["a", "3"], 0.5)
+    assert (got[2].executive_summary, got[2].monitoring_actions, got[2].analysis_confidence) == ("5", [], 1.0)
+    assert (got[3].executive_summary, got[3].possible_consequences, got[3].analysis_confidence) == ("", [], 0.0)
+
+
+def test_matches_of_a_model(spark):
+    good = {"canonical_id": "MFR:X", "canonical_name": "['x', 'y']", "entity_type": "MANUFACTURER", "match_score": "0.9", "extracted_text": "x co"}
+    bad = [{**good, "canonical_id": "UNRESOLVED"}, {**good, "entity_type": "PLANET"}, {**good, "extracted_text": ""}, {k: v for k, v in good.items() if k != "canonical_name"}, 7, None]
+    rows = [(1, json.dumps({"matches": [good, {**good, "canonical_id": "SUP1", "canonical_name": "S", "entity_type": "SUPPLIER", "match_score": "high", "requires_review": True}, *bad]})), (2, json.dumps({"matches": "none"})), (3, "broken")]
+    found = sorted(tuple(r) for r in A.matches(spark.createDataFrame(rows, "event_id long, content string")).collect())
+    assert found == [(1, "MANUFACTURER", "MFR:X", "X", 0.9, "llm", "x co", False), (1, "SUPPLIER", "SUP1", "S", 0.8, "llm", "x co", True)]
+
+
+def test_a_model_is_asked_in_batches_and_may_fail(spark):
+    events = spark.createDataFrame([(k, f"title {k}", [f"u{j}" for j in range(9)] if k else None) for k in range(4)], "event_id long, title string, urls array<string>")
+    asked = A.contexts(events, ["title", "urls"], "urls")
+    assert json.loads(asked.where("event_id = 1").first().context) == {"title": "title 1", "urls": ["u0", "u1", "u2", "u3", "u4"]} and json.loads(asked.where("event_id = 0").first().context) == {"title": "title 0", "urls": None}
+    told = {r.event_id: r.content for r in A.ask(asked.coalesce(1), lambda texts: [None if "title 2" in t else '{"executive_summary": "ok"}' for t in texts]).collect()}
+    assert told == {0: '{"executive_summary": "ok"}', 1: '{"executive_summary": "ok"}', 2: None, 3: '{"executive_summary": "ok"}'}
+
+    def broken(texts):
+        raise ValueError("no network")
+
+    assert {r.content for r in A.ask(asked, broken).collect()} == {None}
+
+
+def test_snapshots_and_runs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", [("x", 1.5)], None), (2, None, [], "r")], "id long, name string, links array<struct<n: string, s: double>>, run_id string")
+    assert W.write_snapshot(rows, f"file://{tmp_path}/s") and sorted(map(tuple, W.load_snapshot(spark, f"file://{tmp_path}/s", rows).collect())) == sorted(map(tuple, rows.collect()))
+    assert not W.write_snapshot(rows.limit(0), f"file://{tmp_path}/none") and not (tmp_path / "none").exists()
+    first = spark.createDataFrame([(1, "r1"), (2, "r1"), (3, "r2"), (4, None)], "id long, run_id string")
+    path = f"file://{tmp_path}/runs"
+    W.append_run(first, path)
+    W.append_run(first.where("run_id = 'r1'"), path)
+    W.append_run(spark.createDataFrame([(9, "r2")], "id long, run_id string"), path)
+    W.append_run(first.limit(0), path)
+    assert sorted((r.id, r.run_id or "") for r in W.read_runs(spark, path, first).collect()) == [(1, "r1"), (2, "r1"), (4, ""), (9, "r2")]
+    assert [r.id for r in W.latest(W.read_runs(spark, path, first).where("run_id is not null").withColumn("k", F.lit(1)), ["k"]).collect()] == [9]
+
+
+def test_counts_are_taken_in_the_pass_that_writes(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    found, counts = counted(spark.range(1000).repartition(4), n=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+    assert counts == {"n": 1000, "even": 500} and found.count() == 1000
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup("counted")) <= 4  # the shuffle and the write, and the count above
