@@ -243,6 +243,8 @@ def list_events(events: DataFrame, category: str | None = None, min_severity: fl
     for column, value in (("event_category", category), ("status", status), ("run_id", run_id)):
         events = events.where(F.col(column) == value) if value else events
     if min_severity is not None:
+        if not 0 <= min_severity <= 100:
+            raise ValueError("0 <= min_severity <= 100")
         events = events.where(F.coalesce("severity", F.lit(0.0)) >= min_severity)
     if search:
         hay = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "summary", "geo_country", "event_type")]))
@@ -250,6 +252,17 @@ def list_events(events: DataFrame, category: str | None = None, min_severity: fl
     return events
 
 
+#: Columns of a list of events, beside the flags.
+LISTED = ["event_id", "title", "summary", "event_type", "event_category", "severity", "class_confidence", "confidence", "verification", "source_count", "status", "run_id", "supplier_code", "geo_country", "latitude", "longitude", "retrieved_at"]
+
+
+def with_flags(events: DataFrame, analyses: DataFrame, predictions: DataFrame) -> DataFrame:
+    """events with has_analysis and has_prediction: whether the results (event_id) have any of theirs."""
+    for name, results in (("has_analysis", analyses), ("has_prediction", predictions)):
+        events = events.join(results.select("event_id", F.lit(True).alias(name)).distinct(), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return events
+
+
 def page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("1 <= limit <= 200 and offset >= 0")
@@ -257,14 +270,15 @@ def page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
 
 
 def runs(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.coalesce("run_id", F.lit("unknown")).alias("run_id")).agg(F.count("*").alias("n_events"), F.max("severity").alias("max_severity"))
+    """Each run's events and largest severity, the last run first."""
+    return events.groupBy(F.coalesce("run_id", F.lit("unknown")).alias("run_id")).agg(F.count("*").alias("n_events"), F.max("severity").alias("max_severity")).orderBy(F.desc("run_id"))
 
 
 def summary(events: DataFrame) -> DataFrame:
-    """Counts by category, by status and overall, in one pass."""
+    """Counts by category, by status and overall, in one pass; how many have an analysis and a prediction (see with_flags)."""
     g = events.groupingSets([(), ("event_category",), ("status",)], "event_category", "status")
-    rows = g.agg(F.count("*").alias("n"), round_to(F.avg("severity"), 1).alias("avg_severity"), F.max("severity").alias("max_severity"), F.grouping_id().alias("_g"))
-    return rows.select(F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "category").otherwise("status").alias("kind"), F.coalesce("event_category", "status", F.lit("")).alias("value"), "n", "avg_severity", "max_severity")
+    rows = g.agg(F.count("*").alias("n"), round_to(F.avg("severity"), 1).alias("avg_severity"), F.max("severity").alias("max_severity"), F.count_if("has_analysis").alias("with_analysis"), F.count_if("has_prediction").alias("with_prediction"), F.grouping_id().alias("_g"))
+    return rows.select(F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "category").otherwise("status").alias("kind"), F.coalesce("event_category", "status", F.lit("")).alias("value"), "n", "avg_severity", "max_severity", "with_analysis", "with_prediction")
 
 
 def geo_points(events: DataFrame, min_severity: float = 0.0) -> DataFrame:

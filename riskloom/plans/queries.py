@@ -477,10 +477,13 @@ def q_backfill(t):
     return rows.select("event_id", "stored").join(of_events.join(sizes, "set_id").drop("set_id"), "event_id").join(done, "event_id", "left").na.fill("none", ["analysis"])
 
 
+def _flagged(t):
+    """Events with their flags: detected ones have an analysis, severe ones a prediction."""
+    return E.with_flags(t.risk_events, t.risk_events.where("status = 'detected'"), t.risk_events.where("severity >= 35"))
+
+
 def q_list(t):
-    done = t.risk_events.where("status = 'detected'").select("event_id", F.lit(True).alias("has")).distinct()
-    found = E.page(E.list_events(t.risk_events, category="other", min_severity=10.0, search="of view"), 50, 5)
-    return found.join(done, "event_id", "left").select("event_id", "title", "severity", "status", F.coalesce("has", F.lit(False)).alias("has_analysis"))
+    return E.page(E.list_events(_flagged(t), category="other", min_severity=10.0, search="of view"), 50, 5).select(*E.LISTED, "has_analysis", "has_prediction")
 
 
 def q_detail(t):
@@ -494,7 +497,7 @@ def q_runs(t):
 
 
 def q_summary(t):
-    return E.summary(t.risk_events)
+    return E.summary(_flagged(t))
 
 
 def q_geo(t):

@@ -186,3 +186,17 @@ def test_upsert_results(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "event_id long, result string")
     new = spark.createDataFrame([(1, "x", True), (2, None, False), (3, "y", None), (4, "z", False), (5, "w", True)], "event_id long, result string, skipped boolean")
     assert sorted(tuple(r) for r in E.upsert_results(old, new).collect()) == [(1, "a"), (2, "b"), (3, "y"), (4, "z")]
+
+
+def test_reads_have_flags_bounds_and_order(spark):
+    events = spark.createDataFrame([(1, "a", "detected", 10.0, "r1"), (2, "b", "updated", 90.0, "r2"), (3, "a", "detected", None, None)], "event_id long, event_category string, status string, severity double, run_id string")
+    results = spark.createDataFrame([(1,), (1,), (9,)], "event_id long")
+    flagged = E.with_flags(events, results, results.limit(0))
+    assert {(r.event_id, r.has_analysis, r.has_prediction) for r in flagged.collect()} == {(1, True, False), (2, False, False), (3, False, False)}
+    whole = [r for r in E.summary(flagged).collect() if r.kind == "all"][0]
+    assert (whole.n, whole.max_severity, whole.with_analysis, whole.with_prediction) == (3, 90.0, 1, 0)
+    assert [r.run_id for r in E.runs(events).collect()] == ["unknown", "r2", "r1"]
+    assert E.list_events(events, min_severity=0.0).count() == 3
+    for bad in (-1.0, 101.0):
+        with pytest.raises(ValueError, match="min_severity"):
+            E.list_events(events, min_severity=bad)
