@@ -269,6 +269,16 @@ def page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return events.orderBy(F.desc("severity"), "event_id").offset(offset).limit(limit)
 
 
+def detail(event_id: int, events: DataFrame, analyses: DataFrame, predictions: DataFrame, articles: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The event with its analysis (result) and prediction, null where there is none, and arrays of its articles (article_id, provider) and of
+    the rules that it met (rule_id), both in order. The id is looked for in each table before anything is joined."""
+    of = lambda df: df.where(F.col("event_id") == event_id)
+    read = of(articles).groupBy("event_id").agg(F.array_sort(F.collect_set(F.struct("article_id", "provider"))).alias("articles"))
+    met = of(alerts).groupBy("event_id").agg(F.array_sort(F.collect_set("rule_id")).alias("alerts"))
+    found = of(events).join(of(analyses).groupBy("event_id").agg(F.max("result").alias("analysis")), "event_id", "left").join(of(predictions), "event_id", "left").join(read, "event_id", "left").join(met, "event_id", "left")
+    return found.withColumns({"articles": F.coalesce("articles", F.array().cast("array<struct<article_id: string, provider: string>>")), "alerts": F.coalesce("alerts", F.array().cast("array<string>"))})
+
+
 def runs(events: DataFrame) -> DataFrame:
     """Each run's events and largest severity, the last run first."""
     return events.groupBy(F.coalesce("run_id", F.lit("unknown")).alias("run_id")).agg(F.count("*").alias("n_events"), F.max("severity").alias("max_severity")).orderBy(F.desc("run_id"))

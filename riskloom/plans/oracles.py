@@ -349,7 +349,6 @@ BODIES = {
         UNION ALL SELECT 'severity_estimation', unnest(['rows_out', 'named', 'high', 'actionable']), unnest([count(*), count(*) FILTER (event_category <> 'other'), count(*) FILTER (severity >= 70), count(*) FILTER (actionable)]) FROM acted
         UNION ALL SELECT 'risk_event_creation', unnest(['rows_in', 'rows_out', 'review']), unnest([sum(source_count)::BIGINT, count(*), count(*) FILTER (len(CASE WHEN source_count >= 2 AND verification >= 0.6 THEN list_filter(reasons, lambda r: r <> 'low_classification_confidence') ELSE reasons END) > 0)]) FROM cevents0""",
     "list": "SELECT *, status = 'detected' AS has_analysis, severity >= 35 AS has_prediction FROM (SELECT * EXCLUDE (n_components) FROM risk) WHERE event_category = 'other' AND severity >= 10 AND contains(lower(title || ' ' || summary || ' ' || geo_country || ' ' || event_type), 'of view') ORDER BY severity DESC, event_id LIMIT 50 OFFSET 5",
-    "detail": "SELECT event_id, title, summary, severity, geo_country, coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk WHERE event_id = 7",
     "runs": "SELECT coalesce(run_id, 'unknown') AS run_id, count(*) AS n_events, max(severity) AS max_severity FROM risk GROUP BY 1",
     "summary": "SELECT CASE WHEN grouping(event_category) = 0 THEN 'category' WHEN grouping(status) = 0 THEN 'status' ELSE 'all' END AS kind, coalesce(event_category, status, '') AS value, count(*) AS n, round_even(avg(severity), 1) AS avg_severity, max(severity) AS max_severity, count(*) FILTER (status = 'detected') AS with_analysis, count(*) FILTER (severity >= 35) AS with_prediction FROM risk GROUP BY GROUPING SETS ((), (event_category), (status))",
     "geo": "SELECT event_id, title, event_category, severity, latitude, longitude, geo_country FROM risk WHERE severity >= 20 AND latitude IS NOT NULL",
@@ -369,4 +368,6 @@ BODIES = {
     "tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 
+BODIES["detail"] = f"""SELECT event_id, title, summary, severity, geo_country, 'analysis of ' || event_category AS analysis, supply_delay, recovery_max, least(supplier_code, run_id) || '/' || event_type || ',' || greatest(supplier_code, run_id) || '/' || event_type AS articles,
+    coalesce((SELECT string_agg(rule_id, ',' ORDER BY rule_id) FROM alerted a WHERE a.event_id = 7), '') AS alerts FROM risk LEFT JOIN ({BODIES['impact']}) i USING (event_id) WHERE event_id = 7"""
 ORACLES: dict[str, str] = {name: _sql(body) for name, body in BODIES.items()} | {"relevance_documents": _sql("SELECT article_id, score, reason FROM scored", "doc_articles")}

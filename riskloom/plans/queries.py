@@ -487,9 +487,13 @@ def q_list(t):
 
 
 def q_detail(t):
-    one = t.risk_events.where("event_id = 7")
-    alerts = E.alert_matches(one).groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list("rule_id")), ",").alias("alerts"))
-    return one.join(alerts, "event_id", "left").select("event_id", "title", "summary", "severity", "geo_country", F.coalesce("alerts", F.lit("")).alias("alerts"))
+    """One event with its rows in the four other tables."""
+    rows = t.risk_events.where("event_id = 7")
+    results = rows.select("event_id", F.concat(F.lit("analysis of "), "event_category").alias("result"))
+    articles = rows.select("event_id", F.explode(F.array("supplier_code", "run_id", "supplier_code")).alias("article_id"), F.col("event_type").alias("provider"))
+    found = E.detail(7, rows, results, E.impact(rows, E.lead_times(t.stock)), articles, E.alert_matches(rows))
+    told = F.array_join(F.transform("articles", lambda x: F.concat_ws("/", x["article_id"], x["provider"])), ",")
+    return found.select("event_id", "title", "summary", "severity", "geo_country", "analysis", "supply_delay", "recovery_max", told.alias("articles"), F.array_join("alerts", ",").alias("alerts"))
 
 
 def q_runs(t):
