@@ -15,8 +15,9 @@ A bucket of more than BUCKET fingerprints is split anew by the positions that it
 of their own, until it is small enough; no pair is lost, since the two positions leave one of three untouched at every depth. So
 no bucket's pairs grow with the square of a hot group.
 
-Fingerprints of 64 bits tell near copies of a few edits apart by more bits than any such table can search; drop_near_copies
-finds them by the wider fingerprints of riskloom.llm.similar and keeps one row of each component.
+drop_near_copies takes the pairs that these tables find; since fingerprints of 64 bits tell near copies of a few edits apart by more
+bits than any such table can search, it adds those that the wider fingerprints of riskloom.llm.similar find, verifies all of them
+on whole texts and keeps one row of each component.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle make one
 shingle; repeated rows get a row each; a null doc_id is never a component's smallest unless there is no other; an empty table
@@ -176,11 +177,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(places, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, of rows (_row, text): each row with the first of its fingerprint, and the first rows of fingerprints that the pivot
+    tables link."""
+    prints = saved(rows.select("_row", "text").mapInArrow(_fingerprints, "doc_id long, fp long").withColumnRenamed("doc_id", "_row"), "near-prints")
+    first = saved(prints.groupBy("fp").agg(F.min("_row").alias("a")), "near-firsts")
+    equal = prints.join(first, "fp").where("_row <> a").select("a", F.col("_row").alias("b"))
+    linked = near_pairs(first.select("fp")).withColumnsRenamed({"a": "fp", "b": "fq"})
+    both = linked.join(first, "fp").join(first.select(F.col("fp").alias("fq"), F.col("a").alias("b")), "fq")
+    return equal.unionByName(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row of each component of similar texts: that of the smallest id, a null id last. Rows are told apart by a number of
     their own, since ids may be shared by rows of other components, or by several of one."""
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows", compression="zstd")
-    roots = components(similar_pairs(rows.select("_row", F.col(text_col).cast("string").alias("text")), least))
+    texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
+    roots = components(similar_pairs(texts, least, fingerprint_pairs(texts)))
     members = roots.select(F.col("node").alias("_row"), "root").unionByName(roots.select(F.col("root").alias("_row"), "root").distinct())
     grouped = rows.select("_row", id_col).join(members, "_row")
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col), "_row"))["_row"]

@@ -137,11 +137,12 @@ def _cuts(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return shingles, np.cumsum(sizes)[:-1]
 
 
-def similar_pairs(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b), a < b, that link all similar texts of rows (_row, text): each text of a bucket to its leader, not all to all."""
+def similar_pairs(rows: DataFrame, least: float = SIMILAR, more: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b, that link all similar texts of rows (_row, text): each text of a bucket to its leader, not all to all. more: pairs
+    (a, b), a < b, that were found otherwise and are verified with these."""
     prints = saved(rows.select("_row", "text").mapInArrow(_prints, "row long, n long, fp array<long>"), "wide-prints", compression="zstd")
     keyed = prints.mapInArrow(_keys(*table_plan(prints.count(), least)), "key long, row long, n int, bits long")
-    found = None
+    found = more
     while True:
         lead = keyed.groupBy("key").agg(F.min(F.struct("row", "n", "bits")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", F.col("l.row").alias("a"), F.col("l.n").alias("an"), F.col("l.bits").alias("abits"))
         likely = (F.bit_count(F.col("bits").bitwiseXOR(F.col("abits"))) <= LIKELY_BITS) & (F.least("n", "an") >= least * F.greatest("n", "an") - 1e-9)
