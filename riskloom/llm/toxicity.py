@@ -69,21 +69,24 @@ def train(rows: list[np.ndarray], labels: np.ndarray, kept: int = KEPT, rank: in
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         return FactorizationMachine(np.zeros(0, np.int64), -30.0 if rate == 0 else 30.0)
-    flat = np.concatenate(rows)
-    counts = np.bincount(flat, minlength=BUCKETS)
-    toxic = np.bincount(flat, weights=np.repeat(y, [len(r) for r in rows]), minlength=BUCKETS)
+    counts, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for row, label in zip(rows, y, strict=True):  # row by row, so that the driver holds no second copy of the buckets
+        np.add.at(counts, row, 1)
+        np.add.at(toxic, row, label)
     n, p = len(y), y.sum()
-    a, b, c, d = toxic, counts - toxic, p - toxic, (n - p) - (counts - toxic)
+    often = np.flatnonzero(counts >= 3)
+    a, counts = toxic[often], counts[often]
+    b, c, d = counts - a, p - a, (n - p) - (counts - a)
     gain = sum(x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)) for x, e in ((a, counts * p / n), (b, counts * (n - p) / n), (c, (n - counts) * p / n), (d, (n - counts) * (n - p) / n)))
-    gain[counts < 3] = 0
-    best = np.sort(np.argsort(-gain, kind="stable")[:kept])
-    best = best[gain[best] > LEAST_GAIN]
+    first = np.sort(np.argsort(-gain, kind="stable")[:kept])
+    best = often[first[gain[first] > LEAST_GAIN]]
     place = np.full(BUCKETS, -1)
     place[best] = np.arange(len(best))
     x = np.zeros((n, len(best)), np.float32)
     for i, row in enumerate(rows):
         at = place[row]
         x[i, at[at >= 0]] = 1
+    sloped = np.empty_like(x)
     random = np.random.default_rng(7)
     machine = FactorizationMachine(best, float(np.log(rate / (1 - rate))), np.zeros(len(best), np.float32), random.normal(0, 0.01, (len(best), rank)).astype(np.float32))
     state = [np.zeros(1), machine.weights, machine.factors]
@@ -91,7 +94,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, kept: int = KEPT, rank: in
     for step in range(1, rounds + 1):
         error = (1 / (1 + np.exp(-np.clip(machine.margin(x), -60, 60))) - y) / n
         together = x @ machine.factors
-        slope = (x * error[:, None]).T
+        slope = np.multiply(x, error[:, None], out=sloped).T
         gradient = [np.array([error.sum()]), slope @ np.ones(n, np.float32) + decay * machine.weights / 10, slope @ together - (x.T @ error)[:, None] * machine.factors + decay * machine.factors]
         moves = []
         for i, g in enumerate(gradient):
@@ -116,10 +119,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
     one = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # of several texts of a doc_id the least
     found = one.select("_label", "_text").mapInArrow(_buckets_of, "label int, buckets array<int>").toArrow()
-    lists = found["buckets"].combine_chunks()
+    label, lists = found["label"].to_numpy(), found["buckets"].combine_chunks()
+    del found  # the lists stand in one piece now
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
     order = sorted(range(len(at) - 1), key=lambda i: flat[at[i] : at[i + 1]].tobytes())  # the fit doesn't depend on the order of arrival
-    return train([flat[at[i] : at[i + 1]].astype(np.int64) for i in order], found["label"].to_numpy()[order])
+    return train([flat[at[i] : at[i + 1]] for i in order], label[order])
 
 
 def _score(machine: FactorizationMachine):
