@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,13 @@ class WordBpe:
         return (stem, word[len(stem) :]) if len(stem) < len(word) and letters.isalpha() else (word,)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The number of each distinct word, and a pool and begins that hold them all."""
+        """The number of each of the words, which are distinct, and a pool and begins that hold them all."""
         known, stems = self.known, self.stems
-        new = [w for w in words if w not in known]
-        if not new:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), self.pool, self.begins
+        number = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        unmet = np.flatnonzero(number < 0)
+        if not len(unmet):
+            return number, self.pool, self.begins
+        new = [words[i] for i in unmet.tolist()]
         split = [self.parts(w) for w in new]
         missing = list({s for parts in split for s in parts if s not in stems})
         fresh: dict[str, bytes] = {}
@@ -73,19 +76,20 @@ class WordBpe:
         ids = [b"".join([fresh[s] if s in fresh else stems[s] for s in parts]) for parts in split]
         pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
         begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) // 4 for x in ids])])
-        number = dict(zip(new, range(len(self.begins) - 1, len(begins) - 1), strict=True))
+        number[unmet] = np.arange(len(self.begins) - 1, len(begins) - 1)
         if len(known) + len(new) <= self.max_words:
-            known.update(number)
+            known.update(zip(new, number[unmet].tolist(), strict=True))
             self.pool, self.begins = pool, begins
-            number = known
-        return np.array([number[w] if w in number else known[w] for w in words], np.int64), pool, begins
+        return number, pool, begins
 
     def encode_texts(self, texts: list[str] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, begins): the ids of text k with end after them are ids[begins[k]:begins[k + 1]]. A null text counts as empty."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        number, pool, begins = self._words(coded.dictionary.to_pylist())
+        # words hold no space, so all of them become Python's as one text
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ") if len(coded.dictionary) else []
+        number, pool, begins = self._words(words)
         word = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
         # one more "word" after each text: the end id, which lies behind the pool
         pool = np.append(pool, np.uint32(end))

@@ -59,3 +59,28 @@ def test_token_files_are_encoded_and_read_in_part(spark, library, tmp_path):
     light = token_files.read_metadata(spark, "file://" + out)
     assert "ids" not in light.columns and "ids" not in light._jdf.queryExecution().executedPlan().toString()
     assert light.agg(F.sum("n_tokens")).first()[0] == sum(len(t.split()) + 1 for _, t in texts)
+
+
+def test_a_word_is_looked_up_once_a_batch(library):
+    class Known(dict):
+        looked = 0
+
+        def get(self, word, other=None):
+            self.looked += 1
+            return super().get(word, other)
+
+        def __contains__(self, word):
+            self.looked += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    own = WordBpe(vocabulary_path())
+    own.known = Known()
+    for texts in (["port of  call ", "", "\tport\x0bof\n"], ["of port"], ["call a port, of"]):
+        before = own.known.looked
+        ids, begins = own.encode_texts(texts, 1)
+        assert [ids[begins[k] : begins[k + 1] - 1].tolist() for k in range(len(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert own.known.looked - before <= len({w for t in texts for w in t.split()} | {""})
