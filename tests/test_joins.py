@@ -2,6 +2,7 @@
 
 import re
 
+from riskloom.operators import catalog as C
 from riskloom.operators import events as E
 from riskloom.operators import scoring as S
 from riskloom.plans.lineage import saved
@@ -42,3 +43,24 @@ def test_clusters_read_the_articles_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(E, "saved", lambda df: seen.append(reads(df)) or saved(df))
     E.clusters(Tables(spark, sf_dir).articles)
     assert seen[0] > 0 and not any(seen[1:])
+
+
+def test_backfill_gathers_links_once_and_sends_no_events_around(spark, sf_dir, monkeypatch):
+    from riskloom.operators import linking as N
+
+    seen = []
+    monkeypatch.setattr(N, "saved", lambda df: seen.append(broadcast_keys(df)) or saved(df))
+    gathered = []
+    monkeypatch.setattr(N, "best_of", lambda links, *keys, real=N.best_of: gathered.append(keys) or real(links, *keys))
+    df = QUERIES["backfill"](Tables(spark, sf_dir))
+    assert not any("event_id" in keys for keys in [*seen, broadcast_keys(df)])
+    assert [keys for keys in gathered if "event_id" in keys] == [("event_id", "stored")]
+
+
+def test_holdings_are_told_apart_before_parts_are_joined(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = C.holdings(t.inventory, t.distributors, t.parts)
+    assert sorted(found.collect()) == sorted(t.stock.select(found.columns).distinct().collect())
+    assert len(set(found.collect())) == found.count()
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin [mpn#" in plan  # stock is sorted nowhere
